@@ -91,3 +91,59 @@ oracle("branch_target_progress", """
            target_amount::DOUBLE AS target_amount, actual_profit::DOUBLE AS actual_profit,
            pct_of_target::DOUBLE AS pct_of_target
     FROM o_targets""")
+
+
+# 2.6 customer credit ------------------------------------------------------
+V_EVENTS = ("o_events", """
+    SELECT customer_id, 0 AS kind, id AS event_id, sale_date AS event_date, created_at,
+           round(weight_kg * price_charged, 2) AS delta
+    FROM m_sales WHERE payment_type = 'credit' AND customer_id IS NOT NULL
+    UNION ALL
+    SELECT customer_id, 1, id, payment_date, created_at, -amount FROM m_payments""")
+V_HISTORY = ("o_history", """
+    SELECT e.*, c.name, c.credit_limit,
+           sum(e.delta) OVER (PARTITION BY e.customer_id ORDER BY e.created_at, e.kind, e.event_id
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance_after
+    FROM o_events e JOIN m_customers c ON c.id = e.customer_id""")
+CREDIT_VIEWS = (V_EVENTS, V_HISTORY)
+CREDIT_ALERT_COLS = """CAST(NULL AS BIGINT) AS branch_id, customer_id, 'high_credit_balance' AS alert_type,
+           {msg} AS message, 'warning' AS severity, false AS is_read,
+           CAST(created_at AS DATE) AS alert_date, kind AS event_kind, event_id,
+           balance_after::DOUBLE AS balance_after"""
+
+oracle("credit_charges", """
+    SELECT id AS sale_id, customer_id, branch_id, product_id, sale_date, weight_kg::DOUBLE AS weight_kg,
+           price_charged::DOUBLE AS price_charged, (weight_kg * price_charged)::DOUBLE AS amount, created_at
+    FROM m_sales WHERE payment_type = 'credit' AND customer_id IS NOT NULL""")
+oracle("payment_credits", """
+    SELECT id AS payment_id, customer_id, branch_id, payment_date, (-amount)::DOUBLE AS amount, created_at
+    FROM m_payments""")
+oracle("customer_balances", """
+    SELECT c.id AS customer_id, c.name, c.customer_type, c.credit_limit::DOUBLE AS credit_limit,
+           coalesce((SELECT sum(e.delta) FROM o_events e WHERE e.customer_id = c.id), 0)::DOUBLE AS balance_owed
+    FROM m_customers c""", *CREDIT_VIEWS)
+oracle("credit_limit_crossings", "SELECT " + CREDIT_ALERT_COLS.format(
+    msg="name || ' crossed their credit limit of ' || CAST(credit_limit AS VARCHAR) || ', now owes ' "
+        "|| CAST(CAST(balance_after AS DECIMAL(38,2)) AS VARCHAR)") + """
+    FROM o_history WHERE balance_after - delta <= credit_limit AND balance_after > credit_limit""",
+       *CREDIT_VIEWS)
+oracle("credit_over_limit_updates", "SELECT " + CREDIT_ALERT_COLS.format(
+    msg="name || ' owes ' || CAST(CAST(balance_after AS DECIMAL(38,2)) AS VARCHAR) "
+        "|| ', above their limit of ' || CAST(credit_limit AS VARCHAR)") + """
+    FROM o_history WHERE balance_after > credit_limit""", *CREDIT_VIEWS)
+oracle("customer_statement", """
+    SELECT customer_id, entry_type, entry_id, entry_date, created_at, description, amount::DOUBLE AS amount,
+           sum(amount) OVER (PARTITION BY customer_id ORDER BY entry_date, kind, created_at, entry_id
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE AS running_balance
+    FROM (
+      SELECT s.customer_id, 'charge' AS entry_type, 0 AS kind, s.id AS entry_id, s.sale_date AS entry_date,
+             s.created_at,
+             p.name || ' — ' || CAST(s.weight_kg AS VARCHAR) || 'kg @ ' || CAST(s.price_charged AS VARCHAR)
+               || ' (' || b.name || ')' AS description,
+             s.weight_kg * s.price_charged AS amount
+      FROM m_sales s JOIN m_branches b ON b.id = s.branch_id JOIN m_products p ON p.id = s.product_id
+      WHERE s.payment_type = 'credit' AND s.customer_id IS NOT NULL
+      UNION ALL
+      SELECT customer_id, 'payment', 1, id, payment_date, created_at, 'Payment received', -amount
+      FROM m_payments) l
+    WHERE customer_id IN (SELECT id FROM m_customers)""")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyman.operators import profit, stock
+from tallyman.operators import credit, profit, stock
 from tallyman.plans.finalize import finalize
 from tallyman.sources.fixtures import fixture_tables
 
@@ -34,6 +34,14 @@ register("daily_branch_profit")(profit.daily_branch_profit)
 register("daily_branch_profit_full")(profit.daily_branch_profit_full)
 register("branch_target_progress")(profit.branch_target_progress)
 
+# 2.6 customer credit --------------------------------------------------------
+register("credit_charges")(credit.credit_charges)
+register("payment_credits")(credit.payment_credits)
+register("customer_balances")(credit.customer_balances)
+register("customer_statement")(credit.customer_statement)
+register("credit_limit_crossings")(credit.credit_limit_crossings)
+register("credit_over_limit_updates")(credit.credit_over_limit_updates)
+
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
