@@ -43,3 +43,150 @@ def daily_stock_variance(t: Tables) -> DataFrame:
                 sold.alias("sold_kg"), "closing_kg",
                 variance.alias("variance_kg"),
                 pct_of(variance, avail, 2).alias("variance_pct")))
+
+
+# --- stock ledger ------------------------------------------------------------
+LEDGER_COLS = ["branch_id", "product_id", "stock_date", "opening_kg", "received_kg", "closing_kg"]
+
+
+def _previous_closing():
+    w = Window.partitionBy("branch_id", "product_id").orderBy("stock_date")
+    return F.lag("closing_kg").over(w)
+
+
+def opening_stock_fill(t: Tables, table: str = "daily_stock_unfilled") -> DataFrame:
+    """A row that came in with a NULL opening takes the closing of the
+    latest earlier day of the same (branch, product), gaps allowed, else 0;
+    a given opening stays. Days are unique per key, so the latest earlier
+    row is the previous row of the (branch, product) window."""
+    ds = t[table]
+    filled = F.coalesce(F.col("opening_kg"), _previous_closing(), F.lit(0)).cast("decimal(8,2)")
+    return ds.select("id", "branch_id", "product_id", "stock_date",
+                     filled.alias("opening_kg"), "received_kg", "closing_kg",
+                     F.col("opening_kg").isNull().alias("opening_filled"))
+
+
+def transfers_per_stock_day(t: Tables) -> DataFrame:
+    """Σ weight sent per (receiving branch, product, transfer day); the
+    product comes from the transfer's breakdown record."""
+    br = t["breakdown_records"].select(F.col("id").alias("breakdown_record_id"), "product_id")
+    tr = t["branch_transfers"].select("breakdown_record_id", F.col("to_branch_id").alias("branch_id"),
+                                      F.col("transfer_date").alias("stock_date"), "weight_sent_kg")
+    return (tr.join(br, "breakdown_record_id")
+            .groupBy(*KEY).agg(F.sum("weight_sent_kg").alias("received_in")))
+
+
+def last_counts(t: Tables) -> DataFrame:
+    """Last write wins: the latest night count per stock day."""
+    return (t["closing_counts"].groupBy(*KEY)
+            .agg(F.max_by("closing_kg", F.struct("created_at", "id")).alias("counted")))
+
+
+def _merge_into_stock(existing: DataFrame, incoming: DataFrame, received, closing) -> DataFrame:
+    """Full-outer merge of daily_stock with per-key increments (an upsert on
+    the unique key). Existing rows keep their opening; created rows take the
+    previous day's closing of the merged table (T1), else 0."""
+    j = existing.select(*LEDGER_COLS, F.lit(True).alias("_old")).join(incoming, KEY, "full_outer")
+    rows = j.select(*KEY, "opening_kg", received.cast("decimal(8,2)").alias("received_kg"),
+                    closing.cast("decimal(8,2)").alias("closing_kg"), F.col("_old").isNull().alias("created"))
+    opening = F.when(F.col("created"), F.coalesce(_previous_closing(), F.lit(0))).otherwise(F.col("opening_kg"))
+    return rows.select(*KEY, opening.cast("decimal(8,2)").alias("opening_kg"), "received_kg", "closing_kg",
+                       "created")
+
+
+def transfers_to_stock(t: Tables) -> DataFrame:
+    """Apply every transfer to daily_stock: an existing (branch, product,
+    day) row gets ``received += weight``; a missing one is created with the
+    weight as received, closing 0 and the opening of T1."""
+    zero = F.lit(0)
+    received = F.coalesce(F.col("received_kg"), zero) + F.coalesce(F.col("received_in"), zero)
+    return _merge_into_stock(t["daily_stock"], transfers_per_stock_day(t), received,
+                             F.coalesce(F.col("closing_kg"), zero))
+
+
+def closing_count_upsert(t: Tables) -> DataFrame:
+    """Apply the night counts to daily_stock: the last count sets
+    closing_kg of an existing row; a missing row is created with received 0
+    and the opening of T1. Opening and received of existing rows stay."""
+    return _merge_into_stock(t["daily_stock"], last_counts(t), F.coalesce(F.col("received_kg"), F.lit(0)),
+                             F.coalesce(F.col("counted"), F.col("closing_kg")))
+
+
+def stock_ledger_build(t: Tables) -> DataFrame:
+    """T4 (settled): the whole daily_stock from events alone: received =
+    Σ transfers, closing = last count (0 if none), opening = previous
+    day's final closing (0 for the first day)."""
+    j = transfers_per_stock_day(t).join(last_counts(t), KEY, "full_outer")
+    closing = F.coalesce(F.col("counted"), F.lit(0)).cast("decimal(8,2)")
+    rows = j.select(*KEY, F.coalesce(F.col("received_in"), F.lit(0)).cast("decimal(8,2)").alias("received_kg"),
+                    closing.alias("closing_kg"))
+    return rows.select(*KEY, F.coalesce(_previous_closing(), F.lit(0)).cast("decimal(8,2)").alias("opening_kg"),
+                       "received_kg", "closing_kg")
+
+
+def _ledger_events(t: Tables) -> DataFrame:
+    """Events that create or change stock rows, in arrival order: the first
+    transfer of each key (kind 0; later transfers only add to received) and
+    every night count (kind 1). Ties on time put transfers first, then id."""
+    br = t["breakdown_records"].select(F.col("id").alias("breakdown_record_id"), "product_id")
+    tr = (t["branch_transfers"].join(br, "breakdown_record_id")
+          .groupBy(F.col("to_branch_id").alias("branch_id"), "product_id",
+                   F.col("transfer_date").alias("stock_date"))
+          .agg(F.min(F.struct("created_at", "id")).alias("first")))
+    first = tr.select(*KEY, F.col("first.created_at").alias("ts"), F.lit(0).alias("kind"),
+                      F.col("first.id").alias("event_id"), F.lit(None).cast("decimal(8,2)").alias("closing_kg"))
+    counts = t["closing_counts"].select(*KEY, F.col("created_at").alias("ts"), F.lit(1).alias("kind"),
+                                        F.col("id").alias("event_id"), "closing_kg")
+    return first.unionByName(counts)
+
+
+REPLAY_SCHEMA = ("branch_id bigint, product_id bigint, stock_date date, opening_kg decimal(8,2), "
+                 "closing_kg decimal(8,2), created_at timestamp_ntz")
+
+
+def _replay_group(pdf):
+    """Fold one (branch, product)'s events in arrival order. A stock day is
+    created by its first event; its opening is the closing, as known at that
+    moment, of the latest earlier day that already existed (else 0), and is
+    never revised. Counts set the closing; a transfer-created row starts at 0."""
+    import bisect
+    from decimal import Decimal
+
+    import pandas as pd
+
+    pdf = pdf.sort_values(["ts", "kind", "event_id"], kind="stable")
+    zero = Decimal("0.00")
+    days: list = []
+    closing: dict = {}
+    opening: dict = {}
+    created: dict = {}
+    for d, ts, kind, c in zip(pdf["stock_date"], pdf["ts"], pdf["kind"], pdf["closing_kg"]):
+        if d not in closing:
+            i = bisect.bisect_left(days, d)
+            opening[d] = closing[days[i - 1]] if i > 0 else zero
+            days.insert(i, d)
+            closing[d] = c if kind == 1 else zero
+            created[d] = ts
+        elif kind == 1:
+            closing[d] = c
+    b, p = pdf["branch_id"].iloc[0], pdf["product_id"].iloc[0]
+    return pd.DataFrame({"branch_id": b, "product_id": p, "stock_date": days,
+                         "opening_kg": [opening[d] for d in days], "closing_kg": [closing[d] for d in days],
+                         "created_at": [created[d] for d in days]})
+
+
+def stock_ledger_replay(t: Tables) -> DataFrame:
+    """T5 (arrival order): daily_stock as the triggers leave it when events
+    arrive one by one: the opening is a snapshot taken when the row is
+    created, so a previous day's count that arrives later does not reach it.
+
+    The fold runs per (branch, product) in ``applyInPandas``; a group holds
+    one creation event per stock day plus that day's counts, i.e. it is
+    bounded by the calendar, not by the data volume (transfers are
+    pre-aggregated to one row per stock day before the shuffle)."""
+    rows = _ledger_events(t).groupBy("branch_id", "product_id").applyInPandas(_replay_group, REPLAY_SCHEMA)
+    received = transfers_per_stock_day(t)
+    return (rows.join(received, KEY, "left")
+            .select(*KEY, "opening_kg",
+                    F.coalesce(F.col("received_in"), F.lit(0)).cast("decimal(8,2)").alias("received_kg"),
+                    "closing_kg", "created_at"))

@@ -112,13 +112,17 @@ FIXTURE_CTES: dict[str, str] = {
                CAST(CASE WHEN h = 19 THEN 0 WHEN h < 10 THEN 50 WHEN h < 14 THEN 45 WHEN h < 17 THEN 20
                          ELSE 58 END AS DECIMAL(8,2)) AS closing_kg
         FROM m_stock_keys WHERE h <> 18""",
+    "m_daily_stock_unfilled": """
+        SELECT id, branch_id, product_id, stock_date,
+               CASE WHEN (branch_id * 31 + product_id * 7 + day(stock_date)) % 20 % 2 = 0 THEN NULL
+                    ELSE opening_kg END AS opening_kg, received_kg, closing_kg
+        FROM m_daily_stock""",
     "m_closing_counts": """
-        SELECT branch_id, product_id, stock_date, closing_kg, created_at FROM (
-          SELECT branch_id, product_id, stock_date, closing_kg,
-                 CAST(stock_date + CAST(h % 3 AS INTEGER) AS TIMESTAMP) + INTERVAL 23 HOUR AS created_at, h
-          FROM (SELECT *, (branch_id * 31 + product_id * 7 + day(stock_date)) % 20 AS h FROM m_daily_stock))
+        SELECT id * 10 + 1 AS id, branch_id, product_id, stock_date, closing_kg,
+               CAST(stock_date + CAST(h % 3 AS INTEGER) AS TIMESTAMP) + INTERVAL 23 HOUR AS created_at
+        FROM (SELECT *, (branch_id * 31 + product_id * 7 + day(stock_date)) % 20 AS h FROM m_daily_stock)
         UNION ALL
-        SELECT branch_id, product_id, stock_date, CAST(closing_kg + 1.5 AS DECIMAL(8,2)),
+        SELECT id * 10 + 2, branch_id, product_id, stock_date, CAST(closing_kg + 1.5 AS DECIMAL(8,2)),
                CAST(stock_date + CAST(h % 3 AS INTEGER) AS TIMESTAMP) + INTERVAL 47 HOUR
         FROM (SELECT *, (branch_id * 31 + product_id * 7 + day(stock_date)) % 20 AS h FROM m_daily_stock)
         WHERE h % 7 = 0""",

@@ -147,3 +147,87 @@ oracle("customer_statement", """
       SELECT customer_id, 'payment', 1, id, payment_date, created_at, 'Payment received', -amount
       FROM m_payments) l
     WHERE customer_id IN (SELECT id FROM m_customers)""")
+
+
+# 2.5 stock ledger -----------------------------------------------------------
+V_RECEIVED = ("o_received", """
+    SELECT t.to_branch_id AS branch_id, br.product_id, t.transfer_date AS stock_date,
+           sum(t.weight_sent_kg) AS received_in
+    FROM m_branch_transfers t JOIN m_breakdown_records br ON br.id = t.breakdown_record_id
+    GROUP BY 1, 2, 3""")
+V_LASTCOUNT = ("o_lastcount", """
+    SELECT branch_id, product_id, stock_date, arg_max(closing_kg, (created_at, id)) AS counted
+    FROM m_closing_counts GROUP BY 1, 2, 3""")
+STOCK_VIEWS = (V_RECEIVED, V_LASTCOUNT)
+PREV_CLOSING = """(SELECT p.closing_kg FROM {tbl} p
+        WHERE p.branch_id = d.branch_id AND p.product_id = d.product_id AND p.stock_date < d.stock_date
+        ORDER BY p.stock_date DESC LIMIT 1)"""
+
+oracle("opening_stock_fill", f"""
+    SELECT d.id, d.branch_id, d.product_id, d.stock_date,
+           coalesce(d.opening_kg, {PREV_CLOSING.format(tbl='m_daily_stock_unfilled')}, 0)::DOUBLE AS opening_kg,
+           d.received_kg::DOUBLE AS received_kg, d.closing_kg::DOUBLE AS closing_kg,
+           d.opening_kg IS NULL AS opening_filled
+    FROM m_daily_stock_unfilled d""")
+oracle("transfers_to_stock", f"""
+    SELECT d.branch_id, d.product_id, d.stock_date,
+           (CASE WHEN d.created THEN coalesce({PREV_CLOSING.format(tbl='o_merged')}, 0)
+                 ELSE d.opening_kg END)::DOUBLE AS opening_kg,
+           d.received_kg::DOUBLE AS received_kg, d.closing_kg::DOUBLE AS closing_kg, d.created
+    FROM o_merged d""", *STOCK_VIEWS, ("o_merged", """
+    SELECT coalesce(ds.branch_id, r.branch_id) AS branch_id, coalesce(ds.product_id, r.product_id) AS product_id,
+           coalesce(ds.stock_date, r.stock_date) AS stock_date, ds.opening_kg,
+           coalesce(ds.received_kg, 0) + coalesce(r.received_in, 0) AS received_kg,
+           coalesce(ds.closing_kg, 0) AS closing_kg, ds.id IS NULL AS created
+    FROM m_daily_stock ds FULL OUTER JOIN o_received r
+      ON r.branch_id = ds.branch_id AND r.product_id = ds.product_id AND r.stock_date = ds.stock_date"""))
+oracle("closing_count_upsert", f"""
+    SELECT d.branch_id, d.product_id, d.stock_date,
+           (CASE WHEN d.created THEN coalesce({PREV_CLOSING.format(tbl='o_merged')}, 0)
+                 ELSE d.opening_kg END)::DOUBLE AS opening_kg,
+           d.received_kg::DOUBLE AS received_kg, d.closing_kg::DOUBLE AS closing_kg, d.created
+    FROM o_merged d""", *STOCK_VIEWS, ("o_merged", """
+    SELECT coalesce(ds.branch_id, c.branch_id) AS branch_id, coalesce(ds.product_id, c.product_id) AS product_id,
+           coalesce(ds.stock_date, c.stock_date) AS stock_date, ds.opening_kg,
+           coalesce(ds.received_kg, 0) AS received_kg, coalesce(c.counted, ds.closing_kg) AS closing_kg,
+           ds.id IS NULL AS created
+    FROM m_daily_stock ds FULL OUTER JOIN o_lastcount c
+      ON c.branch_id = ds.branch_id AND c.product_id = ds.product_id AND c.stock_date = ds.stock_date"""))
+oracle("stock_ledger_build", f"""
+    SELECT d.branch_id, d.product_id, d.stock_date,
+           coalesce({PREV_CLOSING.format(tbl='o_ledger')}, 0)::DOUBLE AS opening_kg,
+           d.received_kg::DOUBLE AS received_kg, d.closing_kg::DOUBLE AS closing_kg
+    FROM o_ledger d""", *STOCK_VIEWS, ("o_ledger", """
+    SELECT coalesce(r.branch_id, c.branch_id) AS branch_id, coalesce(r.product_id, c.product_id) AS product_id,
+           coalesce(r.stock_date, c.stock_date) AS stock_date, coalesce(r.received_in, 0) AS received_kg,
+           coalesce(c.counted, 0) AS closing_kg
+    FROM o_received r FULL OUTER JOIN o_lastcount c
+      ON c.branch_id = r.branch_id AND c.product_id = r.product_id AND c.stock_date = r.stock_date"""))
+oracle("stock_ledger_replay", """
+    SELECT k.branch_id, k.product_id, k.stock_date,
+           coalesce((SELECT arg_max(e.closing_kg, e.seq) FROM o_ev e
+                     WHERE e.kind = 1 AND e.branch_id = k.branch_id AND e.product_id = k.product_id
+                       AND e.stock_date = k.prev_date AND e.seq < k.cseq), 0)::DOUBLE AS opening_kg,
+           coalesce(r.received_in, 0)::DOUBLE AS received_kg,
+           coalesce((SELECT arg_max(e.closing_kg, e.seq) FROM o_ev e
+                     WHERE e.kind = 1 AND e.branch_id = k.branch_id AND e.product_id = k.product_id
+                       AND e.stock_date = k.stock_date), 0)::DOUBLE AS closing_kg,
+           k.created_at
+    FROM o_keys k LEFT JOIN o_received r
+      ON r.branch_id = k.branch_id AND r.product_id = k.product_id AND r.stock_date = k.stock_date""",
+       *STOCK_VIEWS,
+       ("o_ev", """
+    SELECT *, row_number() OVER (PARTITION BY branch_id, product_id ORDER BY ts, kind, eid) AS seq FROM (
+      SELECT t.to_branch_id AS branch_id, br.product_id, t.transfer_date AS stock_date, t.created_at AS ts,
+             0 AS kind, t.id AS eid, CAST(NULL AS DECIMAL(8,2)) AS closing_kg
+      FROM m_branch_transfers t JOIN m_breakdown_records br ON br.id = t.breakdown_record_id
+      UNION ALL
+      SELECT branch_id, product_id, stock_date, created_at, 1, id, closing_kg FROM m_closing_counts)"""),
+       ("o_keys0", """
+    SELECT branch_id, product_id, stock_date, min(seq) AS cseq, arg_min(ts, seq) AS created_at
+    FROM o_ev GROUP BY 1, 2, 3"""),
+       ("o_keys", """
+    SELECT k.*, (SELECT max(k2.stock_date) FROM o_keys0 k2
+                 WHERE k2.branch_id = k.branch_id AND k2.product_id = k.product_id
+                   AND k2.stock_date < k.stock_date AND k2.cseq < k.cseq) AS prev_date
+    FROM o_keys0 k"""))

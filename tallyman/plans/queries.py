@@ -34,6 +34,13 @@ register("daily_branch_profit")(profit.daily_branch_profit)
 register("daily_branch_profit_full")(profit.daily_branch_profit_full)
 register("branch_target_progress")(profit.branch_target_progress)
 
+# 2.5 stock ledger -----------------------------------------------------------
+register("opening_stock_fill")(stock.opening_stock_fill)
+register("transfers_to_stock")(stock.transfers_to_stock)
+register("closing_count_upsert")(stock.closing_count_upsert)
+register("stock_ledger_build")(stock.stock_ledger_build)
+register("stock_ledger_replay")(stock.stock_ledger_replay)
+
 # 2.6 customer credit --------------------------------------------------------
 register("credit_charges")(credit.credit_charges)
 register("payment_credits")(credit.payment_credits)

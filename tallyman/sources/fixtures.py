@@ -65,6 +65,7 @@ class FixtureTables(Mapping[str, DataFrame]):
             "branch_transfers": self._branch_transfers,
             "daily_stock": self._daily_stock,
             "closing_counts": self._closing_counts,
+            "daily_stock_unfilled": self._daily_stock_unfilled,
             "profit_targets": self._profit_targets,
             "users": self._users,
         }
@@ -253,16 +254,25 @@ class FixtureTables(Mapping[str, DataFrame]):
             .cast(KG).alias("closing_kg"),
         )
 
+    def _daily_stock_unfilled(self) -> DataFrame:
+        """daily_stock as inserted: rows with an even hash came in with a NULL
+        opening (to be filled from the previous day), the others with one."""
+        ds = self["daily_stock"]
+        h = (F.col("branch_id") * 31 + F.col("product_id") * 7 + F.dayofmonth("stock_date")) % 20
+        return ds.withColumn("opening_kg", F.when(h % 2 == 0, F.lit(None)).otherwise(F.col("opening_kg")).cast(KG))
+
     def _closing_counts(self) -> DataFrame:
         """Night counts of every stock row, arriving 0–2 days late at 23:00;
-        rows with h % 7 == 0 are counted again an hour later (last write wins)."""
+        rows with h % 7 == 0 are counted again a day later (last write wins).
+        id = daily_stock id * 10 + count number."""
         ds = self["daily_stock"].withColumn(
             "h", ((F.col("branch_id") * 31 + F.col("product_id") * 7 + F.dayofmonth("stock_date")) % 20))
         arrival = F.timestamp_add(
             "HOUR", F.lit(23), F.date_add("stock_date", (F.col("h") % 3).cast("int")).cast("timestamp_ntz"))
-        first = ds.select("branch_id", "product_id", "stock_date", "closing_kg", arrival.alias("created_at"))
+        first = ds.select((F.col("id") * 10 + 1).alias("id"), "branch_id", "product_id", "stock_date",
+                          "closing_kg", arrival.alias("created_at"))
         again = ds.where(F.col("h") % 7 == 0).select(
-            "branch_id", "product_id", "stock_date",
+            (F.col("id") * 10 + 2).alias("id"), "branch_id", "product_id", "stock_date",
             (F.col("closing_kg") + F.lit(1.5)).cast(KG).alias("closing_kg"),
             F.timestamp_add("HOUR", F.lit(24), arrival).alias("created_at"))
         return first.unionByName(again)
