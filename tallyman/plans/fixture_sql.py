@@ -126,6 +126,21 @@ FIXTURE_CTES: dict[str, str] = {
                CAST(stock_date + CAST(h % 3 AS INTEGER) AS TIMESTAMP) + INTERVAL 47 HOUR
         FROM (SELECT *, (branch_id * 31 + product_id * 7 + day(stock_date)) % 20 AS h FROM m_daily_stock)
         WHERE h % 7 = 0""",
+    "m_notifications": """
+        SELECT event_id AS id,
+               CASE WHEN t = 'high_credit_balance' THEN NULL ELSE CAST(user_id % 25 + 1 AS BIGINT) END AS branch_id,
+               CASE WHEN t = 'high_credit_balance' THEN CAST(user_id + 1 AS BIGINT) END AS customer_id,
+               t AS alert_type, 'earlier alert ' || CAST(event_id AS VARCHAR) AS message, 'info' AS severity,
+               event_id % 2 = 0 AS is_read,
+               CAST(DATE '1995-01-01' + CAST(event_id % 2404 AS INTEGER) AS DATE) AS alert_date
+        FROM (SELECT *, CASE WHEN event_type IN ('view', 'error') THEN 'high_variance'
+                             WHEN event_type = 'click' THEN 'negative_profit'
+                             WHEN event_type = 'purchase' THEN 'target_performance'
+                             ELSE 'high_credit_balance' END AS t FROM events)""",
+    "m_read_acks": """
+        SELECT event_id AS id FROM events WHERE event_type = 'click'
+        UNION ALL
+        SELECT event_id + 1000000000 FROM events WHERE event_type = 'signup'""",
     "m_profit_targets": """
         SELECT CAST(branch_id * 1000 + (year(period_start) - 1995) * 12 + month(period_start) - 1 AS BIGINT) AS id,
                branch_id,

@@ -231,3 +231,46 @@ oracle("stock_ledger_replay", """
                  WHERE k2.branch_id = k.branch_id AND k2.product_id = k.product_id
                    AND k2.stock_date < k.stock_date AND k2.cseq < k.cseq) AS prev_date
     FROM o_keys0 k"""))
+
+
+# 2.7 alerts -------------------------------------------------------------------
+RUN_DATE = "DATE '2001-08-01'"
+A1 = """SELECT branch_id, CAST(NULL AS BIGINT) AS customer_id, 'high_variance' AS alert_type,
+           branch_name || ': ' || product_name || ' variance is ' || CAST(variance_kg AS VARCHAR) || 'kg ('
+             || CAST(CAST(variance_pct AS DECIMAL(18,2)) AS VARCHAR) || '%), above normal' AS message,
+           CASE WHEN variance_pct > 15 THEN 'critical' ELSE 'warning' END AS severity, false AS is_read,
+           stock_date AS alert_date
+    FROM o_variance WHERE variance_pct > 5"""
+A2 = """SELECT branch_id, CAST(NULL AS BIGINT) AS customer_id, 'negative_profit' AS alert_type,
+           branch_name || ' made a loss of ' || CAST(abs(gross_profit) AS VARCHAR) || ' today' AS message,
+           'critical' AS severity, false AS is_read, report_date AS alert_date
+    FROM o_profit WHERE gross_profit < 0"""
+A3 = f"""SELECT branch_id, CAST(NULL AS BIGINT) AS customer_id, 'target_performance' AS alert_type,
+           branch_name || ' is at ' || CAST(CAST(pct_of_target AS DECIMAL(18,1)) AS VARCHAR) || '% of its '
+             || period_type || ' target' AS message,
+           'warning' AS severity, false AS is_read, {RUN_DATE} AS alert_date
+    FROM o_targets WHERE pct_of_target < 80"""
+C5 = """SELECT CAST(NULL AS BIGINT) AS branch_id, customer_id, 'high_credit_balance' AS alert_type,
+           name || ' crossed their credit limit of ' || CAST(credit_limit AS VARCHAR) || ', now owes '
+             || CAST(CAST(balance_after AS DECIMAL(38,2)) AS VARCHAR) AS message,
+           'warning' AS severity, false AS is_read, CAST(created_at AS DATE) AS alert_date
+    FROM o_history WHERE balance_after - delta <= credit_limit AND balance_after > credit_limit"""
+
+oracle("variance_alerts", A1)
+oracle("profit_alerts", A2)
+oracle("target_alerts", A3)
+oracle("alert_feed", f"{A1}\n UNION ALL {A2}\n UNION ALL {A3}\n UNION ALL {C5}", *CREDIT_VIEWS)
+oracle("regenerate_alerts", f"""
+    SELECT branch_id, customer_id, alert_type, message, severity, is_read, alert_date FROM m_notifications n
+    WHERE NOT (n.alert_type = 'high_variance' AND n.alert_date IN (SELECT stock_date FROM m_daily_stock))
+      AND NOT (n.alert_type = 'negative_profit' AND n.alert_date IN (SELECT report_date FROM o_profit))
+      AND NOT (n.alert_type = 'target_performance' AND n.alert_date = {RUN_DATE})
+    UNION ALL {A1}
+    UNION ALL {A2}
+    UNION ALL {A3}""")
+oracle("mark_read", """
+    SELECT id, branch_id, customer_id, alert_type, message, severity, alert_date,
+           is_read OR id IN (SELECT id FROM m_read_acks) AS is_read
+    FROM m_notifications""")
+oracle("mark_read_not_found", """
+    SELECT DISTINCT id FROM m_read_acks WHERE id NOT IN (SELECT id FROM m_notifications)""")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyman.operators import credit, profit, stock
+from tallyman.operators import alerts, credit, profit, stock
 from tallyman.plans.finalize import finalize
 from tallyman.sources.fixtures import fixture_tables
 
@@ -49,6 +49,15 @@ register("customer_statement")(credit.customer_statement)
 register("credit_limit_crossings")(credit.credit_limit_crossings)
 register("credit_over_limit_updates")(credit.credit_over_limit_updates)
 
+# 2.7 alerts -------------------------------------------------------------------
+register("variance_alerts")(alerts.variance_alerts)
+register("profit_alerts")(alerts.profit_alerts)
+register("target_alerts")(alerts.target_alerts)
+register("alert_feed")(alerts.alert_feed)
+register("regenerate_alerts")(alerts.regenerate_alerts)
+register("mark_read")(alerts.mark_read)
+register("mark_read_not_found")(alerts.mark_read_not_found)
+
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):

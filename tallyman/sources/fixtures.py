@@ -68,6 +68,8 @@ class FixtureTables(Mapping[str, DataFrame]):
             "daily_stock_unfilled": self._daily_stock_unfilled,
             "profit_targets": self._profit_targets,
             "users": self._users,
+            "notifications": self._notifications,
+            "read_acks": self._read_acks,
         }
 
     # Mapping protocol -------------------------------------------------
@@ -277,6 +279,33 @@ class FixtureTables(Mapping[str, DataFrame]):
             F.timestamp_add("HOUR", F.lit(24), arrival).alias("created_at"))
         return first.unionByName(again)
 
+    def _notifications(self) -> DataFrame:
+        """An earlier notifications table: one alert per event, on the event's
+        expense day; every second one already read."""
+        et = F.col("event_type")
+        atype = (F.when(et.isin("view", "error"), "high_variance").when(et == "click", "negative_profit")
+                 .when(et == "purchase", "target_performance").otherwise("high_credit_balance"))
+        credit = atype == "high_credit_balance"
+        return self.raw("events").select(
+            F.col("event_id").alias("id"),
+            F.when(credit, F.lit(None)).otherwise(F.col("user_id") % N_BRANCHES + 1).cast("bigint").alias("branch_id"),
+            F.when(credit, F.col("user_id") + 1).cast("bigint").alias("customer_id"),
+            atype.alias("alert_type"),
+            F.concat(F.lit("earlier alert "), F.col("event_id").cast("string")).alias("message"),
+            F.lit("info").alias("severity"),
+            (F.col("event_id") % 2 == 0).alias("is_read"),
+            F.date_add(F.lit(EXPENSE_EPOCH).cast("date"),
+                       (F.col("event_id") % EXPENSE_SPAN_DAYS).cast("int")).alias("alert_date"),
+        )
+
+    def _read_acks(self) -> DataFrame:
+        """Notification ids a user marked read: every 'click' event's alert,
+        and for every 'signup' event an id that does not exist."""
+        ev = self.raw("events")
+        known = ev.where(F.col("event_type") == "click").select(F.col("event_id").alias("id"))
+        unknown = ev.where(F.col("event_type") == "signup").select((F.col("event_id") + 1000000000).alias("id"))
+        return known.unionByName(unknown)
+
     def _profit_targets(self) -> DataFrame:
         """One target per (branch, calendar month) that has sales or expenses:
         January daily, even months weekly, other months monthly; December's

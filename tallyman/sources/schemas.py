@@ -72,7 +72,8 @@ SCHEMAS: dict[str, T.StructType] = {
         _f("period_start", T.DateType()), _f("target_amount", MONEY),
     ]),
     "notifications": T.StructType([
-        _f("branch_id", ID, True), _f("customer_id", ID, True), _f("alert_type", T.StringType()),
+        _f("id", ID, True), _f("branch_id", ID, True), _f("customer_id", ID, True),
+        _f("alert_type", T.StringType()),
         _f("message", T.StringType()), _f("severity", T.StringType()),
         _f("is_read", T.BooleanType()), _f("alert_date", T.DateType()),
     ]),
