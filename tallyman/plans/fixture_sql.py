@@ -126,6 +126,9 @@ FIXTURE_CTES: dict[str, str] = {
                CAST(stock_date + CAST(h % 3 AS INTEGER) AS TIMESTAMP) + INTERVAL 47 HOUR
         FROM (SELECT *, (branch_id * 31 + product_id * 7 + day(stock_date)) % 20 AS h FROM m_daily_stock)
         WHERE h % 7 = 0""",
+    "m_sale_drafts": """
+        SELECT * REPLACE (CASE WHEN id // 1000000000 % 10 = 6 THEN NULL ELSE price_charged END AS price_charged)
+        FROM m_sales""",
     "m_notifications": """
         SELECT event_id AS id,
                CASE WHEN t = 'high_credit_balance' THEN NULL ELSE CAST(user_id % 25 + 1 AS BIGINT) END AS branch_id,

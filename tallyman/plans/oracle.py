@@ -274,3 +274,54 @@ oracle("mark_read", """
     FROM m_notifications""")
 oracle("mark_read_not_found", """
     SELECT DISTINCT id FROM m_read_acks WHERE id NOT IN (SELECT id FROM m_notifications)""")
+
+
+# 2.8 yield and allocation -------------------------------------------------------
+oracle("breakdown_yield", """
+    SELECT breakdown_record_id, carcass_purchase_id, product_id, product_name, output_weight_kg::DOUBLE AS output_weight_kg,
+           expected_yield_pct::DOUBLE AS expected_yield_pct, actual_pct,
+           output_weight_kg <> 0 AND abs(actual_pct - CAST(expected_yield_pct AS DOUBLE)) > 3 AS flagged
+    FROM (
+      SELECT br.id AS breakdown_record_id, br.carcass_purchase_id, br.product_id, p.name AS product_name,
+             br.output_weight_kg, br.expected_yield_pct,
+             CASE WHEN cp.received_weight_kg <> 0
+                  THEN CAST(br.output_weight_kg AS DOUBLE) / CAST(cp.received_weight_kg AS DOUBLE) * 100
+                  ELSE 0.0 END AS actual_pct
+      FROM m_breakdown_records br JOIN m_carcass_purchases cp ON cp.id = br.carcass_purchase_id
+      JOIN m_products p ON p.id = br.product_id)""")
+oracle("breakdown_loss", """
+    SELECT cp.id AS carcass_purchase_id, cp.received_weight_kg::DOUBLE AS received_weight_kg,
+           coalesce(sum(br.output_weight_kg), 0)::DOUBLE AS total_output_kg,
+           (cp.received_weight_kg - coalesce(sum(br.output_weight_kg), 0))::DOUBLE AS loss_kg,
+           CASE WHEN cp.received_weight_kg > 0
+                THEN CAST(cp.received_weight_kg - coalesce(sum(br.output_weight_kg), 0) AS DOUBLE)
+                     / CAST(cp.received_weight_kg AS DOUBLE) * 100 END AS loss_pct
+    FROM m_carcass_purchases cp LEFT JOIN m_breakdown_records br ON br.carcass_purchase_id = cp.id
+    GROUP BY cp.id, cp.received_weight_kg""")
+oracle("allocation_matrix", """
+    SELECT br.id AS breakdown_record_id, br.product_id, br.output_weight_kg::DOUBLE AS output_weight_kg,
+           s.to_branch_id, s.sent_kg::DOUBLE AS sent_kg,
+           coalesce(sum(s.sent_kg) OVER (PARTITION BY br.id), 0)::DOUBLE AS total_sent_kg,
+           coalesce(sum(s.sent_kg) OVER (PARTITION BY br.id), 0) > br.output_weight_kg AS over_allocated
+    FROM m_breakdown_records br
+    LEFT JOIN (SELECT breakdown_record_id, to_branch_id, sum(weight_sent_kg) AS sent_kg
+               FROM m_branch_transfers GROUP BY 1, 2) s ON s.breakdown_record_id = br.id""")
+oracle("allocation_requests", """
+    SELECT c.l_orderkey AS carcass_purchase_id, c.record_id AS breakdown_record_id, c.branch_id AS to_branch_id,
+           c.weight::DOUBLE AS weight_sent_kg, cp.purchase_date AS transfer_date
+    FROM (SELECT l_orderkey, l_orderkey * 10 + (l_partkey % 6 + 1) AS record_id,
+                 CAST(l_suppkey % 25 + 1 AS BIGINT) AS branch_id,
+                 CASE WHEN min(l_discount) = 0 THEN 0 ELSE CAST(sum(l_quantity) AS DECIMAL(8,2)) END AS weight
+          FROM lineitem GROUP BY 1, 2, 3) c
+    JOIN m_carcass_purchases cp ON cp.id = c.l_orderkey
+    WHERE c.weight > 0""")
+oracle("breakdown_item_requests", """
+    SELECT l_orderkey AS carcass_purchase_id, product_id, CAST(q AS DECIMAL(8,2))::DOUBLE AS output_weight_kg,
+           (CASE WHEN tax = 0 THEN 0 ELSE CAST(tax * 100 AS DECIMAL(5,1)) END)::DOUBLE AS expected_yield_pct
+    FROM (SELECT l_orderkey, CAST(l_partkey % 6 + 1 AS BIGINT) AS product_id, sum(l_quantity) AS q,
+                 min(l_tax) AS tax
+          FROM lineitem GROUP BY 1, 2)
+    WHERE l_orderkey % 97 <> 0""")
+oracle("breakdown_form_rejects", """
+    SELECT DISTINCT l_orderkey AS carcass_purchase_id, 'no_items' AS reject_reason
+    FROM lineitem WHERE l_orderkey % 97 = 0""")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyman.operators import alerts, credit, profit, stock
+from tallyman.operators import alerts, credit, profit, stock, yields
 from tallyman.plans.finalize import finalize
 from tallyman.sources.fixtures import fixture_tables
 
@@ -58,6 +58,14 @@ register("regenerate_alerts")(alerts.regenerate_alerts)
 register("mark_read")(alerts.mark_read)
 register("mark_read_not_found")(alerts.mark_read_not_found)
 
+# 2.8 yield and allocation -----------------------------------------------------
+register("breakdown_yield")(yields.breakdown_yield)
+register("breakdown_loss")(yields.breakdown_loss)
+register("allocation_matrix")(yields.allocation_matrix)
+register("allocation_requests")(yields.allocation_requests)
+register("breakdown_item_requests")(yields.breakdown_item_requests)
+register("breakdown_form_rejects")(yields.breakdown_form_rejects)
+
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):

@@ -69,6 +69,9 @@ class FixtureTables(Mapping[str, DataFrame]):
             "profit_targets": self._profit_targets,
             "users": self._users,
             "notifications": self._notifications,
+            "allocation_forms": self._allocation_forms,
+            "breakdown_forms": self._breakdown_forms,
+            "sale_drafts": self._sale_drafts,
             "read_acks": self._read_acks,
         }
 
@@ -279,6 +282,42 @@ class FixtureTables(Mapping[str, DataFrame]):
             F.timestamp_add("HOUR", F.lit(24), arrival).alias("created_at"))
         return first.unionByName(again)
 
+    def _allocation_forms(self) -> DataFrame:
+        """The allocation step's form per carcass: {record id: {branch id:
+        typed weight}}; a line with no discount was typed as '0'."""
+        li = self.raw("lineitem")
+        cells = li.groupBy(
+            "l_orderkey", (F.col("l_orderkey") * 10 + _product_of(F.col("l_partkey"))).alias("record_id"),
+            (F.col("l_suppkey") % N_BRANCHES + 1).cast("bigint").alias("branch_id"),
+        ).agg(F.when(F.min("l_discount") == 0, F.lit("0"))
+              .otherwise(F.sum("l_quantity").cast(KG).cast("string")).alias("weight"))
+        rows = cells.groupBy("l_orderkey", "record_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("branch_id", "weight"))).alias("cells"))
+        return rows.groupBy(F.col("l_orderkey").alias("carcass_purchase_id")).agg(
+            F.map_from_entries(F.collect_list(F.struct("record_id", "cells"))).alias("allocations"))
+
+    def _breakdown_forms(self) -> DataFrame:
+        """The breakdown step's form per carcass: {product id: {output,
+        expected}} as typed text. Orders whose key is a multiple of 97 were
+        left blank; a line with no tax left the expected % blank."""
+        li = self.raw("lineitem")
+        blank = F.col("l_orderkey") % 97 == 0
+        per = li.groupBy("l_orderkey", _product_of(F.col("l_partkey")).alias("product_id")).agg(
+            F.sum("l_quantity").alias("q"), F.min("l_tax").alias("tax"))
+        row = F.struct(
+            F.when(blank, F.lit("")).otherwise(F.col("q").cast(KG).cast("string")).alias("output_weight_kg"),
+            F.when(F.col("tax") == 0, F.lit("")).otherwise((F.col("tax") * 100).cast("decimal(5,1)").cast("string"))
+            .alias("expected_yield_pct"))
+        return per.groupBy(F.col("l_orderkey").alias("carcass_purchase_id")).agg(
+            F.map_from_entries(F.collect_list(F.struct("product_id", row))).alias("rows"))
+
+    def _sale_drafts(self) -> DataFrame:
+        """Sales as typed: the sixth line of an order left the price blank."""
+        s = self["sales"]
+        return s.withColumn("price_charged",
+                            F.when(F.expr("id div 1000000000") % 10 == 6, F.lit(None))
+                            .otherwise(F.col("price_charged")).cast(PRICE))
+
     def _notifications(self) -> DataFrame:
         """An earlier notifications table: one alert per event, on the event's
         expense day; every second one already read."""
