@@ -1,0 +1,28 @@
+"""Exact positions in a total order without a single-partition window.
+
+``row_number() over (order by …)`` with no partition moves every row into
+one task. Here the position is split on the leading sort key: a count per
+lead value, a running offset over those counts (one row per distinct lead
+value), and a row_number inside each lead value; position = offset + local.
+Only the small table of distinct lead values is ordered globally.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def with_position(df: DataFrame, lead: str, lead_desc: bool, within: Sequence[Column],
+                  out: str = "position") -> DataFrame:
+    """Add ``out`` = 1-based position in the order (lead, *within);
+    ``within`` must break all ties inside a lead value."""
+    lead_order = F.col(lead).desc_nulls_first() if lead_desc else F.col(lead).asc_nulls_last()
+    counts = df.groupBy(lead).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(lead_order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(lead).alias("_lead"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy(lead).orderBy(*within))
+    return (df.join(offsets, df[lead].eqNullSafe(offsets["_lead"]))
+            .withColumn(out, (F.col("_off") + local).cast("bigint")).drop("_lead", "_off"))

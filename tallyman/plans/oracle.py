@@ -325,3 +325,118 @@ oracle("breakdown_item_requests", """
 oracle("breakdown_form_rejects", """
     SELECT DISTINCT l_orderkey AS carcass_purchase_id, 'no_items' AS reject_reason
     FROM lineitem WHERE l_orderkey % 97 = 0""")
+
+
+# 2.3 listings -------------------------------------------------------------------
+oracle("list_branches", """
+    SELECT id, name, is_main, row_number() OVER (ORDER BY is_main DESC, name, id) AS position FROM m_branches""")
+oracle("list_products", """
+    SELECT id, name, price_per_kg::DOUBLE AS price_per_kg, is_byproduct,
+           row_number() OVER (ORDER BY is_byproduct, name, id) AS position FROM m_products""")
+oracle("list_daily_stock", """
+    SELECT ds.* REPLACE (ds.opening_kg::DOUBLE AS opening_kg, ds.received_kg::DOUBLE AS received_kg,
+                         ds.closing_kg::DOUBLE AS closing_kg),
+           b.name AS branch_name, p.name AS product_name
+    FROM m_daily_stock ds JOIN m_branches b ON b.id = ds.branch_id JOIN m_products p ON p.id = ds.product_id""")
+oracle("list_sales", """
+    SELECT s.* REPLACE (s.weight_kg::DOUBLE AS weight_kg, s.price_charged::DOUBLE AS price_charged),
+           b.name AS branch_name, p.name AS product_name, c.name AS customer_name, c.customer_type
+    FROM m_sales s JOIN m_branches b ON b.id = s.branch_id JOIN m_products p ON p.id = s.product_id
+    LEFT JOIN m_customers c ON c.id = s.customer_id""")
+oracle("list_carcass_purchases", """
+    SELECT cp.* REPLACE (cp.invoice_weight_kg::DOUBLE AS invoice_weight_kg,
+                         cp.received_weight_kg::DOUBLE AS received_weight_kg, cp.cost::DOUBLE AS cost),
+           b.name AS branch_name
+    FROM m_carcass_purchases cp JOIN m_branches b ON b.id = cp.branch_id""")
+oracle("list_breakdown_records", """
+    SELECT br.* REPLACE (br.output_weight_kg::DOUBLE AS output_weight_kg,
+                         br.expected_yield_pct::DOUBLE AS expected_yield_pct),
+           p.name AS product_name
+    FROM m_breakdown_records br JOIN m_products p ON p.id = br.product_id""")
+oracle("list_branch_transfers", """
+    SELECT bt.* REPLACE (bt.weight_sent_kg::DOUBLE AS weight_sent_kg), b.name AS to_branch_name
+    FROM m_branch_transfers bt JOIN m_branches b ON b.id = bt.to_branch_id""")
+oracle("list_payments", """
+    SELECT p.* REPLACE (p.amount::DOUBLE AS amount), c.name AS customer_name
+    FROM m_payments p JOIN m_customers c ON c.id = p.customer_id""")
+oracle("list_expenses", """
+    SELECT e.* REPLACE (e.amount::DOUBLE AS amount), b.name AS branch_name
+    FROM m_expenses e JOIN m_branches b ON b.id = e.branch_id""")
+oracle("list_customers", """
+    SELECT c.id AS customer_id, c.name, c.customer_type, c.credit_limit::DOUBLE AS credit_limit,
+           coalesce(x.total, 0)::DOUBLE AS balance_owed, coalesce(x.total, 0) > c.credit_limit AS over_limit
+    FROM m_customers c LEFT JOIN (SELECT customer_id, sum(delta) AS total FROM o_events GROUP BY 1) x
+      ON x.customer_id = c.id""", *CREDIT_VIEWS)
+oracle("list_notifications", """
+    SELECT n.*, b.name AS branch_name, c.name AS customer_name
+    FROM m_notifications n LEFT JOIN m_branches b ON b.id = n.branch_id
+    LEFT JOIN m_customers c ON c.id = n.customer_id""")
+
+# 2.4 reports (R4–R6) ----------------------------------------------------------
+oracle("branch_report", """
+    SELECT s.branch_id, b.name AS branch_name, s.report_date, p.revenue::DOUBLE AS revenue,
+           p.discount_given::DOUBLE AS discount_given, p.expenses::DOUBLE AS expenses,
+           p.gross_profit::DOUBLE AS gross_profit,
+           coalesce(v.n, 0) AS n_variance, coalesce(v.items, '') AS variance_items,
+           coalesce(tg.n, 0) AS n_targets, coalesce(tg.items, '') AS target_items
+    FROM (SELECT branch_id, report_date FROM o_profit UNION SELECT branch_id, stock_date FROM o_variance) s
+    JOIN m_branches b ON b.id = s.branch_id
+    LEFT JOIN o_profit p ON p.branch_id = s.branch_id AND p.report_date = s.report_date
+    LEFT JOIN (SELECT branch_id, stock_date, count(*) AS n,
+                      string_agg(product_name || '=' || CAST(variance_kg AS VARCHAR) || '/'
+                                 || coalesce(CAST(variance_pct AS VARCHAR), 'null'), '; '
+                                 ORDER BY product_name, daily_stock_id) AS items
+               FROM o_variance GROUP BY 1, 2) v ON v.branch_id = s.branch_id AND v.stock_date = s.report_date
+    LEFT JOIN (SELECT branch_id, count(*) AS n,
+                      string_agg(period_type || '@' || CAST(period_start AS VARCHAR) || '='
+                                 || coalesce(CAST(pct_of_target AS VARCHAR), 'null'), '; '
+                                 ORDER BY period_start DESC, period_type DESC, profit_target_id DESC) AS items
+               FROM o_targets GROUP BY 1) tg ON tg.branch_id = s.branch_id""")
+oracle("branch_comparison", """
+    SELECT branch_id, branch_name, period_type, period_start, target_amount::DOUBLE AS target_amount,
+           actual_profit::DOUBLE AS actual_profit, pct_of_target::DOUBLE AS pct_of_target,
+           row_number() OVER (ORDER BY period_start DESC, pct_of_target DESC NULLS FIRST, branch_id, period_type)
+             AS position
+    FROM o_targets""")
+oracle("latest_target_comparison", """
+    SELECT profit_target_id, branch_id, branch_name, period_type, period_start, period_end,
+           target_amount::DOUBLE AS target_amount, actual_profit::DOUBLE AS actual_profit,
+           pct_of_target::DOUBLE AS pct_of_target
+    FROM o_targets
+    QUALIFY row_number() OVER (PARTITION BY branch_id, period_type ORDER BY period_start DESC) = 1""")
+
+# 2.9 dashboard ----------------------------------------------------------------
+oracle("sales_day_total", """
+    SELECT id, branch_id, sale_date, product_id, weight_kg::DOUBLE AS weight_kg,
+           price_charged::DOUBLE AS price_charged, (weight_kg * price_charged)::DOUBLE AS amount,
+           (sum(weight_kg * price_charged) OVER (PARTITION BY branch_id, sale_date))::DOUBLE AS day_total
+    FROM m_sales""")
+oracle("expense_day_total", """
+    SELECT id, branch_id, expense_date, description, amount::DOUBLE AS amount,
+           (sum(amount) OVER (PARTITION BY branch_id, expense_date))::DOUBLE AS day_total
+    FROM m_expenses""")
+oracle("target_progress_bar", """
+    SELECT profit_target_id, branch_id, period_type, period_start, pct_of_target::DOUBLE AS pct_of_target,
+           least(coalesce(pct_of_target, 0), 100)::DOUBLE AS bar_pct, coalesce(pct_of_target, 0) >= 100 AS over_target
+    FROM o_targets""")
+oracle("variance_flags", """
+    SELECT daily_stock_id, branch_id, product_id, stock_date, variance_kg::DOUBLE AS variance_kg,
+           variance_pct::DOUBLE AS variance_pct, abs(coalesce(variance_pct, 0)) > 5 AS flagged
+    FROM o_variance""")
+oracle("closing_sheet", """
+    SELECT s.branch_id, s.stock_date, p.id AS product_id, p.name AS product_name,
+           ds.closing_kg::DOUBLE AS closing_kg, ds.closing_kg IS NOT NULL AS entered
+    FROM (SELECT DISTINCT branch_id, stock_date FROM m_daily_stock) s CROSS JOIN m_products p
+    LEFT JOIN m_daily_stock ds ON ds.branch_id = s.branch_id AND ds.stock_date = s.stock_date
+                              AND ds.product_id = p.id""")
+oracle("default_branch", """
+    SELECT id, name, is_main FROM m_branches ORDER BY is_main DESC, name, id LIMIT 1""")
+oracle("default_price_fill", """
+    SELECT s.id, s.branch_id, s.product_id, s.sale_date, s.weight_kg::DOUBLE AS weight_kg,
+           coalesce(s.price_charged, p.price_per_kg)::DOUBLE AS price_charged, s.price_charged IS NULL AS price_filled
+    FROM m_sale_drafts s LEFT JOIN m_products p ON p.id = s.product_id""")
+
+# 2.10 row scope -----------------------------------------------------------------
+oracle("branch_scope", """
+    SELECT u.id AS user_id, u.role, s.id AS row_id, s.branch_id
+    FROM m_users u JOIN m_sales s ON u.role = 'admin' OR s.branch_id = u.branch_id""")

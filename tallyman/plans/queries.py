@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyman.operators import alerts, credit, profit, stock, yields
+from tallyman.operators import alerts, credit, listings, profit, reports, scope, stock, yields
 from tallyman.plans.finalize import finalize
 from tallyman.sources.fixtures import fixture_tables
 
@@ -66,6 +66,36 @@ register("allocation_requests")(yields.allocation_requests)
 register("breakdown_item_requests")(yields.breakdown_item_requests)
 register("breakdown_form_rejects")(yields.breakdown_form_rejects)
 
+# 2.3 listings -------------------------------------------------------------------
+register("list_branches")(listings.list_branches)
+register("list_products")(listings.list_products)
+register("list_daily_stock")(listings.list_daily_stock)
+register("list_sales")(listings.list_sales)
+register("list_carcass_purchases")(listings.list_carcass_purchases)
+register("list_breakdown_records")(listings.list_breakdown_records)
+register("list_branch_transfers")(listings.list_branch_transfers)
+register("list_payments")(listings.list_payments)
+register("list_expenses")(listings.list_expenses)
+register("list_customers")(listings.list_customers)
+register("list_notifications")(listings.list_notifications)
+
+# 2.4 reports (R4–R6) ------------------------------------------------------------
+register("branch_report")(lambda t: reports.render_branch_report(reports.branch_report(t)))
+register("branch_comparison")(reports.branch_comparison)
+register("latest_target_comparison")(reports.latest_target_comparison)
+
+# 2.9 dashboard ------------------------------------------------------------------
+register("sales_day_total")(reports.sales_day_total)
+register("expense_day_total")(reports.expense_day_total)
+register("target_progress_bar")(reports.target_progress_bar)
+register("variance_flags")(reports.variance_flags)
+register("closing_sheet")(reports.closing_sheet)
+register("default_branch")(reports.default_branch)
+register("default_price_fill")(reports.default_price_fill)
+
+# 2.10 row scope -----------------------------------------------------------------
+register("branch_scope")(scope.branch_scope)
+
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
