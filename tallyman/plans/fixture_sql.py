@@ -129,6 +129,77 @@ FIXTURE_CTES: dict[str, str] = {
     "m_sale_drafts": """
         SELECT * REPLACE (CASE WHEN id // 1000000000 % 10 = 6 THEN NULL ELSE price_charged END AS price_charged)
         FROM m_sales""",
+    "m_raw_sales": """
+        SELECT id, branch_id,
+               CASE WHEN _t = 'product99' THEN 99 ELSE product_id END AS product_id,
+               CASE WHEN _t = 'credit_nocust' THEN NULL ELSE customer_id END AS customer_id,
+               sale_date,
+               CAST(CASE WHEN _t = 'weight0' THEN 0 ELSE weight_kg END AS DECIMAL(8,2)) AS weight_kg,
+               CAST(CASE WHEN _t = 'price_neg' THEN -1 WHEN _t = 'price0' THEN 0 ELSE price_charged END
+                    AS DECIMAL(10,2)) AS price_charged,
+               CASE WHEN _t = 'card' THEN 'card' WHEN _t = 'credit_nocust' THEN 'credit' ELSE payment_type END
+                   AS payment_type,
+               CASE WHEN _t = 'reason_other' THEN 'other' WHEN _t = 'reason_null' THEN NULL
+                    ELSE discount_reason END AS discount_reason
+        FROM (SELECT *, CASE WHEN id % 97 = 0 THEN 'weight0' WHEN id % 89 = 0 THEN 'card' WHEN id % 83 = 0 THEN 'credit_nocust' WHEN id % 79 = 0 THEN 'product99' WHEN id % 73 = 0 THEN 'price_neg' WHEN id % 71 = 0 THEN 'price0' WHEN id % 67 = 0 THEN 'reason_other' WHEN id % 61 = 0 THEN 'reason_null' ELSE 'clean' END AS _t FROM m_sales)""",
+    "m_raw_closing_counts": """
+        SELECT id, branch_id, product_id, stock_date,
+               CASE WHEN _t = 'null' THEN NULL WHEN _t = 'neg' THEN '-1' WHEN _t = 'abc' THEN 'abc'
+                    WHEN _t = 'zero' THEN '0' ELSE CAST(closing_kg AS VARCHAR) END AS closing_kg
+        FROM (SELECT *, CASE WHEN id % 31 = 0 THEN 'null' WHEN id % 29 = 0 THEN 'neg' WHEN id % 23 = 0 THEN 'abc' WHEN id % 19 = 0 THEN 'zero' ELSE 'clean' END AS _t FROM m_daily_stock)""",
+    "m_raw_carcass_purchases": """
+        SELECT id, branch_id, CASE WHEN _t = 'goat' THEN 'goat' ELSE animal_type END AS animal_type,
+               invoice_weight_kg,
+               CAST(CASE WHEN _t = 'received0' THEN 0 ELSE received_weight_kg END AS DECIMAL(8,2))
+                   AS received_weight_kg,
+               CAST(CASE WHEN _t = 'cost0' THEN 0 WHEN _t = 'cost_null' THEN NULL ELSE cost END AS DECIMAL(12,2))
+                   AS cost,
+               purchase_date
+        FROM (SELECT *, CASE WHEN id % 70 = 0 THEN 'goat' WHEN id % 90 = 0 THEN 'received0' WHEN id % 110 = 0 THEN 'cost0' WHEN id % 130 = 0 THEN 'cost_null' ELSE 'clean' END AS _t
+              FROM m_carcass_purchases)""",
+    "m_raw_breakdown_items": """
+        SELECT carcass_purchase_id, pos, product_id,
+               CASE WHEN carcass_purchase_id % 90 = 0 AND pos = 0 THEN CAST(-1 AS DECIMAL(8,2))
+                    ELSE output_weight_kg END AS output_weight_kg, expected_yield_pct
+        FROM (SELECT carcass_purchase_id, product_id, output_weight_kg, expected_yield_pct,
+                     row_number() OVER (PARTITION BY carcass_purchase_id
+                                        ORDER BY product_id, output_weight_kg, expected_yield_pct) - 1 AS pos
+              FROM m_breakdown_records)
+        WHERE carcass_purchase_id % 70 <> 0
+        UNION ALL
+        SELECT carcass_purchase_id, n AS pos, product_id, output_weight_kg, expected_yield_pct
+        FROM (SELECT carcass_purchase_id, count(*) OVER (PARTITION BY carcass_purchase_id) AS n,
+                     product_id, output_weight_kg, expected_yield_pct,
+                     row_number() OVER (PARTITION BY carcass_purchase_id
+                                        ORDER BY product_id, output_weight_kg, expected_yield_pct) AS rn
+              FROM m_breakdown_records)
+        WHERE rn = 1 AND carcass_purchase_id % 110 = 0 AND carcass_purchase_id % 70 <> 0
+              AND carcass_purchase_id % 90 <> 0""",
+    "m_raw_branch_transfers": """
+        SELECT id, CASE WHEN _t = 'record_null' THEN NULL ELSE breakdown_record_id END AS breakdown_record_id,
+               CASE WHEN _t = 'branch99' THEN 99 ELSE to_branch_id END AS to_branch_id,
+               CAST(CASE WHEN _t = 'weight0' THEN 0 ELSE weight_sent_kg END AS DECIMAL(8,2)) AS weight_sent_kg,
+               transfer_date
+        FROM (SELECT *, CASE WHEN id % 37 = 0 THEN 'weight0' WHEN id % 41 = 0 THEN 'branch99' WHEN id % 43 = 0 THEN 'record_null' ELSE 'clean' END AS _t FROM m_branch_transfers)""",
+    "m_raw_payments": """
+        SELECT id, customer_id, branch_id, payment_date,
+               CAST(CASE WHEN _t = 'zero' THEN 0 WHEN _t = 'neg' THEN -5 ELSE amount END AS DECIMAL(12,2)) AS amount
+        FROM (SELECT *, CASE WHEN id % 37 = 0 THEN 'zero' WHEN id % 41 = 0 THEN 'neg' ELSE 'clean' END AS _t FROM m_payments)""",
+    "m_raw_expenses": """
+        SELECT id, branch_id, expense_date, CASE WHEN _t = 'blank' THEN '' ELSE description END AS description,
+               CAST(CASE WHEN _t = 'zero' THEN 0 WHEN _t = 'neg' THEN -5 ELSE amount END AS DECIMAL(12,2)) AS amount
+        FROM (SELECT *, CASE WHEN id % 37 = 0 THEN 'zero' WHEN id % 41 = 0 THEN 'neg' WHEN id % 43 = 0 THEN 'blank' ELSE 'clean' END AS _t FROM m_expenses)""",
+    "m_raw_customers": """
+        SELECT id,
+               CASE WHEN _t = 'name_null' THEN NULL WHEN _t = 'name_blank' THEN '   ' ELSE ' ' || name || ' ' END
+                   AS name,
+               CASE WHEN _t = 'company' THEN 'company' WHEN _t = 'type_null' THEN NULL ELSE customer_type END
+                   AS customer_type,
+               phone,
+               CAST(CASE WHEN _t = 'limit0' THEN 0 WHEN _t = 'limit_null' THEN NULL ELSE credit_limit END
+                    AS DECIMAL(12,2)) AS credit_limit
+        FROM (SELECT *, CASE WHEN id % 37 = 0 THEN 'name_null' WHEN id % 41 = 0 THEN 'name_blank' WHEN id % 43 = 0 THEN 'company' WHEN id % 47 = 0 THEN 'limit0' WHEN id % 53 = 0 THEN 'limit_null' WHEN id % 59 = 0 THEN 'type_null' ELSE 'clean' END AS _t
+              FROM m_customers)""",
     "m_notifications": """
         SELECT event_id AS id,
                CASE WHEN t = 'high_credit_balance' THEN NULL ELSE CAST(user_id % 25 + 1 AS BIGINT) END AS branch_id,

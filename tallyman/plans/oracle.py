@@ -440,3 +440,107 @@ oracle("default_price_fill", """
 oracle("branch_scope", """
     SELECT u.id AS user_id, u.role, s.id AS row_id, s.branch_id
     FROM m_users u JOIN m_sales s ON u.role = 'admin' OR s.branch_id = u.branch_id""")
+
+
+# 2.2 ingest validation --------------------------------------------------------------
+oracle("validate_sales", """
+    SELECT id, branch_id, product_id, cust AS customer_id, sale_date, weight_kg::DOUBLE AS weight_kg,
+           price_charged::DOUBLE AS price_charged, payment_type, reason AS discount_reason,
+           CASE WHEN coalesce(branch_id, 0) = 0 OR coalesce(product_id, 0) = 0 OR sale_date IS NULL
+                     OR coalesce(weight_kg, 0) = 0 OR price_charged IS NULL OR coalesce(payment_type, '') = ''
+                  THEN 'missing_required'
+                WHEN payment_type NOT IN ('cash', 'credit') THEN 'bad_payment_type'
+                WHEN payment_type = 'credit' AND cust IS NULL THEN 'credit_needs_customer'
+                WHEN weight_kg <= 0 OR price_charged < 0 THEN 'bad_weight_or_price'
+                WHEN reason NOT IN ('none', 'regular_customer', 'school_hotel', 'weekly_promo_day')
+                  THEN 'bad_discount_reason'
+                WHEN branch_id NOT IN (SELECT id FROM m_branches) THEN 'unknown_branch'
+                WHEN product_id NOT IN (SELECT id FROM m_products) THEN 'unknown_product'
+                WHEN cust IS NOT NULL AND cust NOT IN (SELECT id FROM m_customers) THEN 'unknown_customer'
+           END AS reject_reason
+    FROM (SELECT *, CASE WHEN customer_id = 0 THEN NULL ELSE customer_id END AS cust,
+                 CASE WHEN coalesce(discount_reason, '') = '' THEN 'none' ELSE discount_reason END AS reason
+          FROM m_raw_sales)""")
+oracle("validate_closing_counts", """
+    SELECT id, branch_id, product_id, stock_date, num::DOUBLE AS closing_kg,
+           CASE WHEN coalesce(branch_id, 0) = 0 OR coalesce(product_id, 0) = 0 OR stock_date IS NULL
+                  THEN 'missing_required'
+                WHEN closing_kg IS NOT NULL AND (num IS NULL OR num < 0) THEN 'bad_closing'
+                WHEN closing_kg IS NULL THEN 'closing_null'
+                WHEN branch_id NOT IN (SELECT id FROM m_branches) THEN 'unknown_branch'
+                WHEN product_id NOT IN (SELECT id FROM m_products) THEN 'unknown_product'
+           END AS reject_reason
+    FROM (SELECT *, TRY_CAST(trim(closing_kg) AS DECIMAL(8,2)) AS num FROM m_raw_closing_counts)""")
+oracle("validate_carcass_purchases", """
+    SELECT id, branch_id, animal_type, invoice_weight_kg::DOUBLE AS invoice_weight_kg,
+           received_weight_kg::DOUBLE AS received_weight_kg, cost::DOUBLE AS cost, purchase_date,
+           CASE WHEN coalesce(branch_id, 0) = 0 OR coalesce(animal_type, '') = '' OR coalesce(invoice_weight_kg, 0) = 0
+                     OR coalesce(received_weight_kg, 0) = 0 OR cost IS NULL OR purchase_date IS NULL
+                  THEN 'missing_required'
+                WHEN animal_type NOT IN ('beef', 'mutton') THEN 'bad_animal_type'
+                WHEN invoice_weight_kg <= 0 OR received_weight_kg <= 0 OR cost < 0 THEN 'bad_weight_or_cost'
+                WHEN branch_id NOT IN (SELECT id FROM m_branches) THEN 'unknown_branch'
+           END AS reject_reason
+    FROM m_raw_carcass_purchases""")
+oracle("validate_breakdown_batches", """
+    SELECT i.carcass_purchase_id, i.pos, i.product_id, i.output_weight_kg::DOUBLE AS output_weight_kg,
+           i.expected_yield_pct::DOUBLE AS expected_yield_pct,
+           coalesce(b.batch_reason, b.api_reason, b.db_reason) AS reject_reason
+    FROM o_items i JOIN (
+      SELECT carcass_purchase_id,
+             max(CASE WHEN pos IS NULL OR coalesce(carcass_purchase_id, 0) = 0 THEN 'missing_required' END)
+               AS batch_reason,
+             arg_min(api, pos) FILTER (WHERE api IS NOT NULL) AS api_reason,
+             arg_min(db, pos) FILTER (WHERE db IS NOT NULL) AS db_reason
+      FROM o_items GROUP BY carcass_purchase_id) b ON b.carcass_purchase_id = i.carcass_purchase_id""",
+       ("o_items0", """
+    SELECT carcass_purchase_id, pos, product_id, output_weight_kg, expected_yield_pct FROM m_raw_breakdown_items
+    UNION ALL
+    SELECT DISTINCT carcass_purchase_id, NULL, NULL, NULL, NULL FROM m_breakdown_records
+    WHERE carcass_purchase_id % 70 = 0"""),
+       ("o_items", """
+    SELECT *,
+           CASE WHEN pos IS NULL THEN NULL
+                WHEN coalesce(product_id, 0) = 0 OR output_weight_kg IS NULL OR expected_yield_pct IS NULL
+                  THEN 'bad_item'
+                WHEN output_weight_kg < 0 THEN 'negative_output' END AS api,
+           CASE WHEN pos IS NULL THEN NULL
+                WHEN expected_yield_pct < 0 THEN 'negative_expected'
+                WHEN carcass_purchase_id NOT IN (SELECT id FROM m_carcass_purchases) THEN 'unknown_carcass'
+                WHEN product_id NOT IN (SELECT id FROM m_products) THEN 'unknown_product'
+                WHEN row_number() OVER (PARTITION BY carcass_purchase_id, product_id ORDER BY pos) > 1
+                  THEN 'duplicate_product' END AS db
+    FROM o_items0"""))
+oracle("validate_branch_transfers", """
+    SELECT id, breakdown_record_id, to_branch_id, weight_sent_kg::DOUBLE AS weight_sent_kg, transfer_date,
+           CASE WHEN coalesce(breakdown_record_id, 0) = 0 OR coalesce(to_branch_id, 0) = 0
+                     OR coalesce(weight_sent_kg, 0) = 0 OR transfer_date IS NULL THEN 'missing_required'
+                WHEN weight_sent_kg <= 0 THEN 'bad_weight'
+                WHEN breakdown_record_id NOT IN (SELECT id FROM m_breakdown_records) THEN 'unknown_breakdown_record'
+                WHEN to_branch_id NOT IN (SELECT id FROM m_branches) THEN 'unknown_branch'
+           END AS reject_reason
+    FROM m_raw_branch_transfers""")
+oracle("validate_payments", """
+    SELECT id, customer_id, branch_id, payment_date, amount::DOUBLE AS amount,
+           CASE WHEN coalesce(customer_id, 0) = 0 OR coalesce(branch_id, 0) = 0 OR payment_date IS NULL
+                     OR coalesce(amount, 0) = 0 THEN 'missing_required'
+                WHEN amount <= 0 THEN 'bad_amount'
+                WHEN customer_id NOT IN (SELECT id FROM m_customers) THEN 'unknown_customer'
+                WHEN branch_id NOT IN (SELECT id FROM m_branches) THEN 'unknown_branch'
+           END AS reject_reason
+    FROM m_raw_payments""")
+oracle("validate_expenses", """
+    SELECT id, branch_id, expense_date, description, amount::DOUBLE AS amount,
+           CASE WHEN coalesce(branch_id, 0) = 0 OR expense_date IS NULL OR coalesce(description, '') = ''
+                     OR amount IS NULL THEN 'missing_required'
+                WHEN amount < 0 THEN 'bad_amount'
+                WHEN branch_id NOT IN (SELECT id FROM m_branches) THEN 'unknown_branch'
+           END AS reject_reason
+    FROM m_raw_expenses""")
+oracle("validate_customers", """
+    SELECT id, trim(name) AS name, ctype AS customer_type, CASE WHEN phone = '' THEN NULL ELSE phone END AS phone,
+           CAST(coalesce(nullif(credit_limit, 0), 3000) AS DECIMAL(12,2))::DOUBLE AS credit_limit,
+           CASE WHEN coalesce(trim(name), '') = '' THEN 'missing_name'
+                WHEN ctype NOT IN ('individual', 'school', 'hotel') THEN 'bad_customer_type' END AS reject_reason
+    FROM (SELECT *, CASE WHEN coalesce(customer_type, '') = '' THEN 'individual' ELSE customer_type END AS ctype
+          FROM m_raw_customers)""")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyman.operators import alerts, credit, listings, profit, reports, scope, stock, yields
+from tallyman.operators import alerts, credit, listings, profit, reports, scope, stock, validate, yields
 from tallyman.plans.finalize import finalize
 from tallyman.sources.fixtures import fixture_tables
 
@@ -66,6 +66,16 @@ register("allocation_requests")(yields.allocation_requests)
 register("breakdown_item_requests")(yields.breakdown_item_requests)
 register("breakdown_form_rejects")(yields.breakdown_form_rejects)
 
+# 2.2 ingest validation ----------------------------------------------------------
+register("validate_sales")(validate.validate_sales)
+register("validate_closing_counts")(validate.validate_closing_counts)
+register("validate_carcass_purchases")(validate.validate_carcass_purchases)
+register("validate_breakdown_batches")(validate.validate_breakdown_batches)
+register("validate_branch_transfers")(validate.validate_branch_transfers)
+register("validate_payments")(validate.validate_payments)
+register("validate_expenses")(validate.validate_expenses)
+register("validate_customers")(validate.validate_customers)
+
 # 2.3 listings -------------------------------------------------------------------
 register("list_branches")(listings.list_branches)
 register("list_products")(listings.list_products)

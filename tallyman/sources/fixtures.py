@@ -72,6 +72,14 @@ class FixtureTables(Mapping[str, DataFrame]):
             "allocation_forms": self._allocation_forms,
             "breakdown_forms": self._breakdown_forms,
             "sale_drafts": self._sale_drafts,
+            "raw_sales": self._raw_sales,
+            "raw_closing_counts": self._raw_closing_counts,
+            "raw_carcass_purchases": self._raw_carcass_purchases,
+            "raw_breakdown_batches": self._raw_breakdown_batches,
+            "raw_branch_transfers": self._raw_branch_transfers,
+            "raw_payments": self._raw_payments,
+            "raw_expenses": self._raw_expenses,
+            "raw_customers": self._raw_customers,
             "read_acks": self._read_acks,
         }
 
@@ -318,6 +326,118 @@ class FixtureTables(Mapping[str, DataFrame]):
                             F.when(F.expr("id div 1000000000") % 10 == 6, F.lit(None))
                             .otherwise(F.col("price_charged")).cast(PRICE))
 
+    # Dirty inputs (FIXTURES.md §3): fields overridden by id modulus, first
+    # match wins, every other row clean.
+    @staticmethod
+    def _tag(rules: list[tuple[int, str]]) -> Column:
+        out = F.lit("clean")
+        for mod, tag in reversed(rules):
+            out = F.when(F.col("id") % mod == 0, F.lit(tag)).otherwise(out)
+        return out
+
+    def _raw_sales(self) -> DataFrame:
+        tag = self._tag([(97, "weight0"), (89, "card"), (83, "credit_nocust"), (79, "product99"),
+                         (73, "price_neg"), (71, "price0"), (67, "reason_other"), (61, "reason_null")])
+        s = self["sales"].withColumn("_t", tag)
+        t = F.col("_t")
+        return s.select(
+            "id", "branch_id",
+            F.when(t == "product99", F.lit(99)).otherwise(F.col("product_id")).cast("bigint").alias("product_id"),
+            F.when(t == "credit_nocust", F.lit(None)).otherwise(F.col("customer_id")).cast("bigint").alias("customer_id"),
+            "sale_date",
+            F.when(t == "weight0", F.lit(0)).otherwise(F.col("weight_kg")).cast(KG).alias("weight_kg"),
+            F.when(t == "price_neg", F.lit(-1)).when(t == "price0", F.lit(0)).otherwise(F.col("price_charged"))
+            .cast(PRICE).alias("price_charged"),
+            F.when(t == "card", F.lit("card")).when(t == "credit_nocust", F.lit("credit"))
+            .otherwise(F.col("payment_type")).alias("payment_type"),
+            F.when(t == "reason_other", F.lit("other")).when(t == "reason_null", F.lit(None))
+            .otherwise(F.col("discount_reason")).alias("discount_reason"),
+            "created_at")
+
+    def _raw_closing_counts(self) -> DataFrame:
+        tag = self._tag([(31, "null"), (29, "neg"), (23, "abc"), (19, "zero")])
+        d = self["daily_stock"].withColumn("_t", tag)
+        t = F.col("_t")
+        txt = (F.when(t == "null", F.lit(None)).when(t == "neg", F.lit("-1")).when(t == "abc", F.lit("abc"))
+               .when(t == "zero", F.lit("0")).otherwise(F.col("closing_kg").cast("string")))
+        return d.select("id", "branch_id", "product_id", "stock_date", txt.alias("closing_kg"))
+
+    def _raw_carcass_purchases(self) -> DataFrame:
+        tag = self._tag([(70, "goat"), (90, "received0"), (110, "cost0"), (130, "cost_null")])
+        d = self["carcass_purchases"].withColumn("_t", tag)
+        t = F.col("_t")
+        return d.select(
+            "id", "branch_id",
+            F.when(t == "goat", F.lit("goat")).otherwise(F.col("animal_type")).alias("animal_type"),
+            "invoice_weight_kg",
+            F.when(t == "received0", F.lit(0)).otherwise(F.col("received_weight_kg")).cast(KG)
+            .alias("received_weight_kg"),
+            F.when(t == "cost0", F.lit(0)).when(t == "cost_null", F.lit(None)).otherwise(F.col("cost"))
+            .cast(MONEY).alias("cost"),
+            "purchase_date")
+
+    def _raw_breakdown_batches(self) -> DataFrame:
+        """One post per carcass: its items sorted by product; carcass % 70 = 0
+        sent no items, % 90 has a first item with output −1, % 110 repeats
+        its first item at the end."""
+        br = self["breakdown_records"]
+        item = F.struct("product_id", "output_weight_kg", "expected_yield_pct")
+        g = br.groupBy("carcass_purchase_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        cid = F.col("carcass_purchase_id")
+        first = F.col("items")[0]
+        bad_first = F.struct(first["product_id"].alias("product_id"),
+                             F.lit(-1).cast(KG).alias("output_weight_kg"),
+                             first["expected_yield_pct"].alias("expected_yield_pct"))
+        items = (F.when(cid % 70 == 0, F.array().cast(g.schema["items"].dataType))
+                 .when(cid % 90 == 0, F.concat(F.array(bad_first), F.slice("items", 2, F.size("items"))))
+                 .when(cid % 110 == 0, F.concat(F.col("items"), F.array(first)))
+                 .otherwise(F.col("items")))
+        return g.select("carcass_purchase_id", items.alias("items"))
+
+    def _raw_branch_transfers(self) -> DataFrame:
+        tag = self._tag([(37, "weight0"), (41, "branch99"), (43, "record_null")])
+        d = self["branch_transfers"].withColumn("_t", tag)
+        t = F.col("_t")
+        return d.select(
+            "id",
+            F.when(t == "record_null", F.lit(None)).otherwise(F.col("breakdown_record_id")).cast("bigint")
+            .alias("breakdown_record_id"),
+            F.when(t == "branch99", F.lit(99)).otherwise(F.col("to_branch_id")).cast("bigint").alias("to_branch_id"),
+            F.when(t == "weight0", F.lit(0)).otherwise(F.col("weight_sent_kg")).cast(KG).alias("weight_sent_kg"),
+            "transfer_date")
+
+    def _raw_payments(self) -> DataFrame:
+        tag = self._tag([(37, "zero"), (41, "neg")])
+        d = self["payments"].withColumn("_t", tag)
+        t = F.col("_t")
+        return d.select("id", "customer_id", "branch_id", "payment_date",
+                        F.when(t == "zero", F.lit(0)).when(t == "neg", F.lit(-5)).otherwise(F.col("amount"))
+                        .cast(MONEY).alias("amount"))
+
+    def _raw_expenses(self) -> DataFrame:
+        tag = self._tag([(37, "zero"), (41, "neg"), (43, "blank")])
+        d = self["expenses"].withColumn("_t", tag)
+        t = F.col("_t")
+        return d.select("id", "branch_id", "expense_date",
+                        F.when(t == "blank", F.lit("")).otherwise(F.col("description")).alias("description"),
+                        F.when(t == "zero", F.lit(0)).when(t == "neg", F.lit(-5)).otherwise(F.col("amount"))
+                        .cast(MONEY).alias("amount"))
+
+    def _raw_customers(self) -> DataFrame:
+        tag = self._tag([(37, "name_null"), (41, "name_blank"), (43, "company"), (47, "limit0"),
+                         (53, "limit_null"), (59, "type_null")])
+        d = self["customers"].withColumn("_t", tag)
+        t = F.col("_t")
+        return d.select(
+            "id",
+            F.when(t == "name_null", F.lit(None)).when(t == "name_blank", F.lit("   "))
+            .otherwise(F.concat(F.lit(" "), F.col("name"), F.lit(" "))).alias("name"),
+            F.when(t == "company", F.lit("company")).when(t == "type_null", F.lit(None))
+            .otherwise(F.col("customer_type")).alias("customer_type"),
+            "phone",
+            F.when(t == "limit0", F.lit(0)).when(t == "limit_null", F.lit(None)).otherwise(F.col("credit_limit"))
+            .cast(MONEY).alias("credit_limit"))
+
     def _notifications(self) -> DataFrame:
         """An earlier notifications table: one alert per event, on the event's
         expense day; every second one already read."""
