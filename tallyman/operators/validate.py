@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyman.functions.rules import falsy, falsy_text, first_failure, with_key_check
-from tallyman.sources.schemas import ANIMAL_TYPES, CUSTOMER_TYPES, DISCOUNT_REASONS, PAYMENT_TYPES
+from tallyman.sources.schemas import (
+    ALERT_TYPES, ANIMAL_TYPES, CUSTOMER_TYPES, DISCOUNT_REASONS, PAYMENT_TYPES, SEVERITIES, USER_ROLES,
+)
 
 Tables = Mapping[str, DataFrame]
 DEFAULT_CREDIT_LIMIT = 3000  # fixed by the reference
@@ -183,3 +185,99 @@ def validate_customers(t: Tables) -> DataFrame:
                     F.when(falsy_text(c("phone")), F.lit(None)).otherwise(c("phone")).alias("phone"),
                     limit.cast("decimal(12,2)").alias("credit_limit"),
                     first_failure(rules).alias("reject_reason"))
+
+
+# --- V9: constraint audit of stored tables ----------------------------------------
+def _check_counts(df: DataFrame, table: str, checks: list[tuple[str, object]]) -> DataFrame:
+    """One pass over ``df`` counting the rows that break each CHECK (a NULL
+    check result passes, as in SQL), as (table_name, rule, bad_rows) rows."""
+    agg = df.agg(*[F.sum(F.when(F.coalesce(~cond, F.lit(False)), 1).otherwise(0)).alias(f"_c{i}")
+                   for i, (_, cond) in enumerate(checks)])
+    rows = [F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
+                     F.coalesce(F.col(f"_c{i}"), F.lit(0)).cast("bigint").alias("bad_rows"))
+            for i, (rule, _) in enumerate(checks)]
+    return agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def _unique_count(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
+    """Rows sharing their unique key with another row."""
+    d = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    return d.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("bad_rows")).select(
+        F.lit(table).alias("table_name"), F.lit("unique(" + ", ".join(keys) + ")").alias("rule"), "bad_rows")
+
+
+def _fk_count(df: DataFrame, table: str, col: str, dim: DataFrame, dim_name: str) -> DataFrame:
+    """Rows whose non-NULL ``col`` names no row of ``dim``."""
+    ids = dim.select(F.col("id").alias(col)).distinct()
+    bad = df.select(col).where(F.col(col).isNotNull()).join(ids, col, "left_anti")
+    return bad.agg(F.count(F.lit(1)).cast("bigint").alias("bad_rows")).select(
+        F.lit(table).alias("table_name"), F.lit(f"{col} -> {dim_name}").alias("rule"), "bad_rows")
+
+
+def constraint_report(t: Tables) -> DataFrame:
+    """V9: for every stored table, the rows breaking each of the schema's
+    rules: unique keys, CHECKs, foreign keys, at most one main branch, and
+    admin ⇔ no branch for users. One row per (table, rule), 0 when clean."""
+    c = F.col
+    b, p, cu = t["branches"], t["products"], t["customers"]
+    cp, br, bt = t["carcass_purchases"], t["breakdown_records"], t["branch_transfers"]
+    ds, s, pay, ex = t["daily_stock"], t["sales"], t["payments"], t["expenses"]
+    pt, n, u = t["profit_targets"], t["notifications"], t["users"]
+    parts = [
+        _unique_count(b, "branches", ["name"]),
+        _check_counts(b.agg(F.count(F.when(c("is_main"), 1)).alias("mains")), "branches",
+                      [("at most one main branch", c("mains") <= 1)]),
+        _unique_count(p, "products", ["name"]),
+        _check_counts(p, "products", [("price_per_kg >= 0", c("price_per_kg") >= 0)]),
+        _check_counts(cu, "customers", [("customer_type in domain", c("customer_type").isin(*CUSTOMER_TYPES))]),
+        _check_counts(cp, "carcass_purchases", [
+            ("animal_type in domain", c("animal_type").isin(*ANIMAL_TYPES)),
+            ("invoice_weight_kg > 0", c("invoice_weight_kg") > 0),
+            ("received_weight_kg > 0", c("received_weight_kg") > 0),
+            ("cost >= 0", c("cost") >= 0)]),
+        _fk_count(cp, "carcass_purchases", "branch_id", b, "branches"),
+        _unique_count(br, "breakdown_records", ["carcass_purchase_id", "product_id"]),
+        _check_counts(br, "breakdown_records", [
+            ("output_weight_kg >= 0", c("output_weight_kg") >= 0),
+            ("expected_yield_pct >= 0", c("expected_yield_pct") >= 0)]),
+        _fk_count(br, "breakdown_records", "carcass_purchase_id", cp, "carcass_purchases"),
+        _fk_count(br, "breakdown_records", "product_id", p, "products"),
+        _check_counts(bt, "branch_transfers", [("weight_sent_kg >= 0", c("weight_sent_kg") >= 0)]),
+        _fk_count(bt, "branch_transfers", "breakdown_record_id", br, "breakdown_records"),
+        _fk_count(bt, "branch_transfers", "to_branch_id", b, "branches"),
+        _unique_count(ds, "daily_stock", ["branch_id", "product_id", "stock_date"]),
+        _fk_count(ds, "daily_stock", "branch_id", b, "branches"),
+        _fk_count(ds, "daily_stock", "product_id", p, "products"),
+        _check_counts(s, "sales", [
+            ("weight_kg > 0", c("weight_kg") > 0),
+            ("price_charged >= 0", c("price_charged") >= 0),
+            ("payment_type in domain", c("payment_type").isin(*PAYMENT_TYPES)),
+            ("discount_reason in domain", c("discount_reason").isin(*DISCOUNT_REASONS))]),
+        _fk_count(s, "sales", "branch_id", b, "branches"),
+        _fk_count(s, "sales", "product_id", p, "products"),
+        _fk_count(s, "sales", "customer_id", cu, "customers"),
+        _check_counts(pay, "payments", [("amount > 0", c("amount") > 0)]),
+        _fk_count(pay, "payments", "customer_id", cu, "customers"),
+        _fk_count(pay, "payments", "branch_id", b, "branches"),
+        _check_counts(ex, "expenses", [("amount >= 0", c("amount") >= 0)]),
+        _fk_count(ex, "expenses", "branch_id", b, "branches"),
+        _unique_count(pt, "profit_targets", ["branch_id", "period_type", "period_start"]),
+        _check_counts(pt, "profit_targets", [
+            ("period_type in domain", c("period_type").isin("daily", "weekly", "monthly")),
+            ("target_amount >= 0", c("target_amount") >= 0)]),
+        _fk_count(pt, "profit_targets", "branch_id", b, "branches"),
+        _check_counts(n, "notifications", [
+            ("alert_type in domain", c("alert_type").isin(*ALERT_TYPES)),
+            ("severity in domain", c("severity").isin(*SEVERITIES))]),
+        _fk_count(n, "notifications", "branch_id", b, "branches"),
+        _fk_count(n, "notifications", "customer_id", cu, "customers"),
+        _check_counts(u, "users", [
+            ("role in domain", c("role").isin(*USER_ROLES)),
+            ("admin has no branch, attendant has one",
+             ((c("role") == "admin") & c("branch_id").isNull()) | ((c("role") == "attendant") & c("branch_id").isNotNull()))]),
+        _fk_count(u, "users", "branch_id", b, "branches"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -544,3 +544,51 @@ oracle("validate_customers", """
                 WHEN ctype NOT IN ('individual', 'school', 'hotel') THEN 'bad_customer_type' END AS reject_reason
     FROM (SELECT *, CASE WHEN coalesce(customer_type, '') = '' THEN 'individual' ELSE customer_type END AS ctype
           FROM m_raw_customers)""")
+
+oracle("constraint_report", """
+    SELECT * FROM (
+    SELECT 'branches', 'unique(name)', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM m_branches GROUP BY name HAVING count(*) > 1)
+    UNION ALL SELECT 'branches', 'at most one main branch', CAST(CASE WHEN count(*) FILTER (WHERE is_main) <= 1 THEN 0 ELSE count(*) FILTER (WHERE is_main) END AS BIGINT) FROM m_branches
+    UNION ALL SELECT 'products', 'unique(name)', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM m_products GROUP BY name HAVING count(*) > 1)
+    UNION ALL SELECT 'products' AS table_name, 'price_per_kg >= 0' AS rule, CAST(count(*) FILTER (WHERE NOT (price_per_kg >= 0)) AS BIGINT) AS bad_rows FROM m_products
+    UNION ALL SELECT 'customers' AS table_name, 'customer_type in domain' AS rule, CAST(count(*) FILTER (WHERE NOT (customer_type IN ('individual','school','hotel'))) AS BIGINT) AS bad_rows FROM m_customers
+    UNION ALL SELECT 'carcass_purchases' AS table_name, 'animal_type in domain' AS rule, CAST(count(*) FILTER (WHERE NOT (animal_type IN ('beef','mutton'))) AS BIGINT) AS bad_rows FROM m_carcass_purchases
+    UNION ALL SELECT 'carcass_purchases' AS table_name, 'invoice_weight_kg > 0' AS rule, CAST(count(*) FILTER (WHERE NOT (invoice_weight_kg > 0)) AS BIGINT) AS bad_rows FROM m_carcass_purchases
+    UNION ALL SELECT 'carcass_purchases' AS table_name, 'received_weight_kg > 0' AS rule, CAST(count(*) FILTER (WHERE NOT (received_weight_kg > 0)) AS BIGINT) AS bad_rows FROM m_carcass_purchases
+    UNION ALL SELECT 'carcass_purchases' AS table_name, 'cost >= 0' AS rule, CAST(count(*) FILTER (WHERE NOT (cost >= 0)) AS BIGINT) AS bad_rows FROM m_carcass_purchases
+    UNION ALL SELECT 'carcass_purchases', 'branch_id -> branches', CAST(count(*) AS BIGINT) FROM m_carcass_purchases WHERE branch_id IS NOT NULL AND branch_id NOT IN (SELECT id FROM m_branches)
+    UNION ALL SELECT 'breakdown_records', 'unique(carcass_purchase_id, product_id)', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM m_breakdown_records GROUP BY carcass_purchase_id, product_id HAVING count(*) > 1)
+    UNION ALL SELECT 'breakdown_records' AS table_name, 'output_weight_kg >= 0' AS rule, CAST(count(*) FILTER (WHERE NOT (output_weight_kg >= 0)) AS BIGINT) AS bad_rows FROM m_breakdown_records
+    UNION ALL SELECT 'breakdown_records' AS table_name, 'expected_yield_pct >= 0' AS rule, CAST(count(*) FILTER (WHERE NOT (expected_yield_pct >= 0)) AS BIGINT) AS bad_rows FROM m_breakdown_records
+    UNION ALL SELECT 'breakdown_records', 'carcass_purchase_id -> carcass_purchases', CAST(count(*) AS BIGINT) FROM m_breakdown_records WHERE carcass_purchase_id IS NOT NULL AND carcass_purchase_id NOT IN (SELECT id FROM m_carcass_purchases)
+    UNION ALL SELECT 'breakdown_records', 'product_id -> products', CAST(count(*) AS BIGINT) FROM m_breakdown_records WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM m_products)
+    UNION ALL SELECT 'branch_transfers' AS table_name, 'weight_sent_kg >= 0' AS rule, CAST(count(*) FILTER (WHERE NOT (weight_sent_kg >= 0)) AS BIGINT) AS bad_rows FROM m_branch_transfers
+    UNION ALL SELECT 'branch_transfers', 'breakdown_record_id -> breakdown_records', CAST(count(*) AS BIGINT) FROM m_branch_transfers WHERE breakdown_record_id IS NOT NULL AND breakdown_record_id NOT IN (SELECT id FROM m_breakdown_records)
+    UNION ALL SELECT 'branch_transfers', 'to_branch_id -> branches', CAST(count(*) AS BIGINT) FROM m_branch_transfers WHERE to_branch_id IS NOT NULL AND to_branch_id NOT IN (SELECT id FROM m_branches)
+    UNION ALL SELECT 'daily_stock', 'unique(branch_id, product_id, stock_date)', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM m_daily_stock GROUP BY branch_id, product_id, stock_date HAVING count(*) > 1)
+    UNION ALL SELECT 'daily_stock', 'branch_id -> branches', CAST(count(*) AS BIGINT) FROM m_daily_stock WHERE branch_id IS NOT NULL AND branch_id NOT IN (SELECT id FROM m_branches)
+    UNION ALL SELECT 'daily_stock', 'product_id -> products', CAST(count(*) AS BIGINT) FROM m_daily_stock WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM m_products)
+    UNION ALL SELECT 'sales' AS table_name, 'weight_kg > 0' AS rule, CAST(count(*) FILTER (WHERE NOT (weight_kg > 0)) AS BIGINT) AS bad_rows FROM m_sales
+    UNION ALL SELECT 'sales' AS table_name, 'price_charged >= 0' AS rule, CAST(count(*) FILTER (WHERE NOT (price_charged >= 0)) AS BIGINT) AS bad_rows FROM m_sales
+    UNION ALL SELECT 'sales' AS table_name, 'payment_type in domain' AS rule, CAST(count(*) FILTER (WHERE NOT (payment_type IN ('cash','credit'))) AS BIGINT) AS bad_rows FROM m_sales
+    UNION ALL SELECT 'sales' AS table_name, 'discount_reason in domain' AS rule, CAST(count(*) FILTER (WHERE NOT (discount_reason IN ('none','regular_customer','school_hotel','weekly_promo_day'))) AS BIGINT) AS bad_rows FROM m_sales
+    UNION ALL SELECT 'sales', 'branch_id -> branches', CAST(count(*) AS BIGINT) FROM m_sales WHERE branch_id IS NOT NULL AND branch_id NOT IN (SELECT id FROM m_branches)
+    UNION ALL SELECT 'sales', 'product_id -> products', CAST(count(*) AS BIGINT) FROM m_sales WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM m_products)
+    UNION ALL SELECT 'sales', 'customer_id -> customers', CAST(count(*) AS BIGINT) FROM m_sales WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT id FROM m_customers)
+    UNION ALL SELECT 'payments' AS table_name, 'amount > 0' AS rule, CAST(count(*) FILTER (WHERE NOT (amount > 0)) AS BIGINT) AS bad_rows FROM m_payments
+    UNION ALL SELECT 'payments', 'customer_id -> customers', CAST(count(*) AS BIGINT) FROM m_payments WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT id FROM m_customers)
+    UNION ALL SELECT 'payments', 'branch_id -> branches', CAST(count(*) AS BIGINT) FROM m_payments WHERE branch_id IS NOT NULL AND branch_id NOT IN (SELECT id FROM m_branches)
+    UNION ALL SELECT 'expenses' AS table_name, 'amount >= 0' AS rule, CAST(count(*) FILTER (WHERE NOT (amount >= 0)) AS BIGINT) AS bad_rows FROM m_expenses
+    UNION ALL SELECT 'expenses', 'branch_id -> branches', CAST(count(*) AS BIGINT) FROM m_expenses WHERE branch_id IS NOT NULL AND branch_id NOT IN (SELECT id FROM m_branches)
+    UNION ALL SELECT 'profit_targets', 'unique(branch_id, period_type, period_start)', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM m_profit_targets GROUP BY branch_id, period_type, period_start HAVING count(*) > 1)
+    UNION ALL SELECT 'profit_targets' AS table_name, 'period_type in domain' AS rule, CAST(count(*) FILTER (WHERE NOT (period_type IN ('daily','weekly','monthly'))) AS BIGINT) AS bad_rows FROM m_profit_targets
+    UNION ALL SELECT 'profit_targets' AS table_name, 'target_amount >= 0' AS rule, CAST(count(*) FILTER (WHERE NOT (target_amount >= 0)) AS BIGINT) AS bad_rows FROM m_profit_targets
+    UNION ALL SELECT 'profit_targets', 'branch_id -> branches', CAST(count(*) AS BIGINT) FROM m_profit_targets WHERE branch_id IS NOT NULL AND branch_id NOT IN (SELECT id FROM m_branches)
+    UNION ALL SELECT 'notifications' AS table_name, 'alert_type in domain' AS rule, CAST(count(*) FILTER (WHERE NOT (alert_type IN ('high_variance','negative_profit','high_credit_balance','target_performance'))) AS BIGINT) AS bad_rows FROM m_notifications
+    UNION ALL SELECT 'notifications' AS table_name, 'severity in domain' AS rule, CAST(count(*) FILTER (WHERE NOT (severity IN ('info','warning','critical'))) AS BIGINT) AS bad_rows FROM m_notifications
+    UNION ALL SELECT 'notifications', 'branch_id -> branches', CAST(count(*) AS BIGINT) FROM m_notifications WHERE branch_id IS NOT NULL AND branch_id NOT IN (SELECT id FROM m_branches)
+    UNION ALL SELECT 'notifications', 'customer_id -> customers', CAST(count(*) AS BIGINT) FROM m_notifications WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT id FROM m_customers)
+    UNION ALL SELECT 'users' AS table_name, 'role in domain' AS rule, CAST(count(*) FILTER (WHERE NOT (role IN ('admin','attendant'))) AS BIGINT) AS bad_rows FROM m_users
+    UNION ALL SELECT 'users' AS table_name, 'admin has no branch, attendant has one' AS rule, CAST(count(*) FILTER (WHERE NOT ((role = 'admin' AND branch_id IS NULL) OR (role = 'attendant' AND branch_id IS NOT NULL))) AS BIGINT) AS bad_rows FROM m_users
+    UNION ALL SELECT 'users', 'branch_id -> branches', CAST(count(*) AS BIGINT) FROM m_users WHERE branch_id IS NOT NULL AND branch_id NOT IN (SELECT id FROM m_branches)
+    ) AS audit(table_name, rule, bad_rows)""")

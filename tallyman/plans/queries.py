@@ -75,6 +75,7 @@ register("validate_branch_transfers")(validate.validate_branch_transfers)
 register("validate_payments")(validate.validate_payments)
 register("validate_expenses")(validate.validate_expenses)
 register("validate_customers")(validate.validate_customers)
+register("constraint_report")(validate.constraint_report)
 
 # 2.3 listings -------------------------------------------------------------------
 register("list_branches")(listings.list_branches)
