@@ -20,24 +20,43 @@ from tallyman.functions.rules import accepted, rejected
 from tallyman.sources.tables import PARTITION_DATE
 
 
-def append_events(validated: DataFrame, table: str, root: str, quarantine_root: str | None = None) -> DataFrame:
+def append_events(validated: DataFrame, table: str, root: str, quarantine_root: str | None = None,
+                  batch_id: int | None = None) -> DataFrame:
     """Append the accepted rows of a validated DataFrame to ``root/table``
     (partitioned by business date), the rejected ones to
-    ``quarantine_root/table``; return the accepted rows."""
+    ``quarantine_root/table``; return the accepted rows.
+
+    With a ``batch_id`` (streaming), rows also go under an ``ingest_batch``
+    partition written with dynamic overwrite, so a retried micro-batch
+    replaces exactly what it wrote before instead of appending twice."""
+    spark = validated.sparkSession
     ok = accepted(validated)
-    ok.write.mode("append").partitionBy(PARTITION_DATE[table]).parquet(f"{root.rstrip('/')}/{table}")
-    if quarantine_root is not None:
-        (rejected(validated).withColumn("rejected_at", F.current_timestamp())
-         .write.mode("append").parquet(f"{quarantine_root.rstrip('/')}/{table}"))
+    bad = rejected(validated)
+    parts = [PARTITION_DATE[table]]
+    mode = "append"
+    if batch_id is not None:
+        ok = ok.withColumn("ingest_batch", F.lit(batch_id).cast("bigint"))
+        bad = bad.withColumn("ingest_batch", F.lit(batch_id).cast("bigint"))
+        parts.append("ingest_batch")
+        mode = "overwrite"
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        ok.write.mode(mode).partitionBy(*parts).parquet(f"{root.rstrip('/')}/{table}")
+        if quarantine_root is not None:
+            (bad.write.mode(mode).partitionBy(*parts[1:]) if batch_id is not None else bad.write.mode(mode)) \
+                .parquet(f"{quarantine_root.rstrip('/')}/{table}")
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
     return ok
 
 
 def _delete_partition_dirs(spark, root: str, pairs: list[tuple[str, str]]) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
     for alert_type, alert_date in pairs:
         path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/alert_type={alert_type}/alert_date={alert_date}")
-        fs = path.getFileSystem(conf)
         if fs.exists(path):
             fs.delete(path, True)
 
