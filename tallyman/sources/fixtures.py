@@ -239,17 +239,16 @@ class FixtureTables(Mapping[str, DataFrame]):
         )
 
     def _stock_keys(self) -> DataFrame:
-        s = self["sales"]
-        sold = s.groupBy("branch_id", "product_id", F.col("sale_date").alias("stock_date")) \
-            .agg(F.sum("weight_kg").alias("sold"))
-        li = self.raw("lineitem")
-        tk = li.select(
+        """Distinct (branch, product, day) of sales ∪ transfers with the day's
+        sold weight (NULL when only transfers), in one aggregate."""
+        sold = self["sales"].select("branch_id", "product_id", F.col("sale_date").alias("stock_date"), "weight_kg")
+        tk = self.raw("lineitem").select(
             (F.col("l_suppkey") % N_BRANCHES + 1).cast("bigint").alias("branch_id"),
             _product_of(F.col("l_partkey")).alias("product_id"),
             F.to_date("l_shipdate").alias("stock_date"),
-        ).distinct()
-        keys = sold.select("branch_id", "product_id", "stock_date").unionByName(tk).distinct()
-        k = keys.join(sold, ["branch_id", "product_id", "stock_date"], "left")
+            F.lit(None).cast(KG).alias("weight_kg"))
+        k = sold.unionByName(tk).groupBy("branch_id", "product_id", "stock_date") \
+            .agg(F.sum("weight_kg").alias("sold"))
         return k.withColumn(
             "h", ((F.col("branch_id") * 31 + F.col("product_id") * 7 + F.dayofmonth("stock_date")) % 20))
 
@@ -483,5 +482,14 @@ class FixtureTables(Mapping[str, DataFrame]):
         )
 
 
+_MAPPINGS: dict[tuple[int, str], FixtureTables] = {}
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str) -> FixtureTables:
-    return FixtureTables(spark, sf_dir)
+    """The lazy mapping for one (session, directory), built once: it holds
+    plan objects only (no data), so every query still reads and computes
+    everything, but the Python-side plan construction is not repeated."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _MAPPINGS:
+        _MAPPINGS[key] = FixtureTables(spark, sf_dir)
+    return _MAPPINGS[key]

@@ -31,3 +31,7 @@ def seed(spark):
 @pytest.fixture()
 def scratch():
     return tempfile.mkdtemp(prefix="tallyman-test-")
+
+TESTS = os.path.dirname(os.path.abspath(__file__))
+if TESTS not in sys.path:
+    sys.path.insert(0, TESTS)
