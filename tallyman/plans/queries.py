@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyman.operators import alerts, credit, listings, profit, reports, scope, stock, validate, yields
 from tallyman.plans.finalize import finalize
 from tallyman.sources.fixtures import fixture_tables
+from tallyman.sources.tables import table_row_counts
 
 Tables = Mapping[str, DataFrame]
 REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -66,6 +67,11 @@ register("allocation_requests")(yields.allocation_requests)
 register("breakdown_item_requests")(yields.breakdown_item_requests)
 register("breakdown_form_rejects")(yields.breakdown_form_rejects)
 
+# 2.1 sources ----------------------------------------------------------------------
+MODEL_TABLES = ["branches", "products", "customers", "carcass_purchases", "breakdown_records", "branch_transfers",
+                "daily_stock", "sales", "payments", "expenses", "profit_targets", "users"]
+register("load_tables")(lambda t: table_row_counts(t, MODEL_TABLES))
+
 # 2.2 ingest validation ----------------------------------------------------------
 register("validate_sales")(validate.validate_sales)
 register("validate_closing_counts")(validate.validate_closing_counts)
