@@ -17,58 +17,74 @@ VARIANCE_FLAG_PCT = 5   # the dashboard's two-sided flag
 FULL_BAR_PCT = 100
 
 
-def branch_report(t: Tables, date: dt.date | None = None, branch_id: int | None = None) -> DataFrame:
+def _variance_items(var: DataFrame) -> DataFrame:
+    return var.groupBy("branch_id", F.col("stock_date").alias("report_date")).agg(
+        F.array_sort(F.collect_list(F.struct("product_name", "daily_stock_id", "opening_kg", "received_kg",
+                                             "sold_kg", "closing_kg", "variance_kg", "variance_pct")))
+        .alias("stock_variance"))
+
+
+def _target_items(targets: DataFrame) -> DataFrame:
+    return targets.groupBy("branch_id").agg(
+        F.sort_array(F.collect_list(F.struct("period_start", "period_type", "profit_target_id", "period_end",
+                                             "target_amount", "actual_profit", "pct_of_target")), asc=False)
+        .alias("targets"))
+
+
+def _dec_text(c):
+    return F.coalesce(c.cast("string"), F.lit("null"))
+
+
+def branch_report(t: Tables, date: dt.date | None = None, branch_id: int | None = None,
+                  rendered: bool = False) -> DataFrame:
     """For every (branch, day) that has a profit or stock row (or just
     the given ones): the profit row (NULL if none), the stock variance rows
     ordered by product name, and the branch's targets, newest period first.
 
     Lists are bounded: one entry per product per day, one per target period
-    per branch; they are built with one aggregate each and joined to the
-    (branch, day) spine."""
+    per branch; each is built by one aggregate and joined to the (branch,
+    day) spine. ``rendered`` flattens the profit row into columns and each
+    list into a count and a text, computed before the join, so a branch's
+    target text is built once, not once per day."""
     profit = daily_branch_profit(t)
     var = daily_stock_variance(t)
+    targets = branch_target_progress(t, profit)
     if branch_id is not None:
         profit = profit.where(F.col("branch_id") == branch_id)
         var = var.where(F.col("branch_id") == branch_id)
+        targets = targets.where(F.col("branch_id") == branch_id)
     if date is not None:
         profit = profit.where(F.col("report_date") == F.lit(date))
         var = var.where(F.col("stock_date") == F.lit(date))
     spine = (profit.select("branch_id", "report_date")
              .unionByName(var.select("branch_id", F.col("stock_date").alias("report_date"))).distinct())
-    var_lists = var.groupBy("branch_id", F.col("stock_date").alias("report_date")).agg(
-        F.array_sort(F.collect_list(F.struct("product_name", "daily_stock_id", "opening_kg", "received_kg",
-                                             "sold_kg", "closing_kg", "variance_kg", "variance_pct")))
-        .alias("stock_variance"))
-    targets = branch_target_progress(t)
-    tgt_lists = targets.groupBy("branch_id").agg(
-        F.sort_array(F.collect_list(F.struct("period_start", "period_type", "profit_target_id", "period_end",
-                                             "target_amount", "actual_profit", "pct_of_target")), asc=False)
-        .alias("targets"))
     names = t["branches"].select(F.col("id").alias("branch_id"), F.col("name").alias("branch_name"))
-    prof = profit.select("branch_id", "report_date",
-                         F.struct("revenue", "discount_given", "expenses", "gross_profit").alias("profit"))
+    var_lists, tgt_lists = _variance_items(var), _target_items(targets)
+    if rendered:
+        var_lists = var_lists.select("branch_id", "report_date", F.size("stock_variance").alias("n_variance"),
+                                     F.concat_ws("; ", F.transform("stock_variance", lambda x: F.concat(
+                                         x["product_name"], F.lit("="), _dec_text(x["variance_kg"]), F.lit("/"),
+                                         _dec_text(x["variance_pct"])))).alias("variance_items"))
+        tgt_lists = tgt_lists.select("branch_id", F.size("targets").alias("n_targets"),
+                                     F.concat_ws("; ", F.transform("targets", lambda x: F.concat(
+                                         x["period_type"], F.lit("@"), x["period_start"].cast("string"), F.lit("="),
+                                         _dec_text(x["pct_of_target"])))).alias("target_items"))
+        prof = profit.select("branch_id", "report_date", "revenue", "discount_given", "expenses", "gross_profit")
+        out = [F.coalesce("n_variance", F.lit(0)).alias("n_variance"),
+               F.coalesce("variance_items", F.lit("")).alias("variance_items"),
+               F.coalesce("n_targets", F.lit(0)).alias("n_targets"),
+               F.coalesce("target_items", F.lit("")).alias("target_items")]
+        head = ["branch_id", "branch_name", "report_date", "revenue", "discount_given", "expenses", "gross_profit"]
+    else:
+        prof = profit.select("branch_id", "report_date",
+                             F.struct("revenue", "discount_given", "expenses", "gross_profit").alias("profit"))
+        out = [F.coalesce("stock_variance", F.array()).alias("stock_variance"),
+               F.coalesce("targets", F.array()).alias("targets")]
+        head = ["branch_id", "branch_name", "report_date", "profit"]
     return (spine.join(names, "branch_id").join(prof, ["branch_id", "report_date"], "left")
             .join(var_lists, ["branch_id", "report_date"], "left")
             .join(tgt_lists, "branch_id", "left")
-            .select("branch_id", "branch_name", "report_date", "profit",
-                    F.coalesce("stock_variance", F.array()).alias("stock_variance"),
-                    F.coalesce("targets", F.array()).alias("targets")))
-
-
-def render_branch_report(report: DataFrame) -> DataFrame:
-    """R4 flattened for comparison: profit fields as columns, lists as text."""
-    def dec(c):
-        return F.coalesce(c.cast("string"), F.lit("null"))
-    var_txt = F.transform("stock_variance", lambda x: F.concat(
-        x["product_name"], F.lit("="), dec(x["variance_kg"]), F.lit("/"), dec(x["variance_pct"])))
-    tgt_txt = F.transform("targets", lambda x: F.concat(
-        x["period_type"], F.lit("@"), x["period_start"].cast("string"), F.lit("="), dec(x["pct_of_target"])))
-    return report.select(
-        "branch_id", "branch_name", "report_date",
-        F.col("profit.revenue").alias("revenue"), F.col("profit.discount_given").alias("discount_given"),
-        F.col("profit.expenses").alias("expenses"), F.col("profit.gross_profit").alias("gross_profit"),
-        F.size("stock_variance").alias("n_variance"), F.concat_ws("; ", var_txt).alias("variance_items"),
-        F.size("targets").alias("n_targets"), F.concat_ws("; ", tgt_txt).alias("target_items"))
+            .select(*head, *out))
 
 
 def branch_comparison(t: Tables) -> DataFrame:

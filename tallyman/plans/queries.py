@@ -97,7 +97,7 @@ register("list_customers")(listings.list_customers)
 register("list_notifications")(listings.list_notifications)
 
 # 2.4 reports (R4–R6) ------------------------------------------------------------
-register("branch_report")(lambda t: reports.render_branch_report(reports.branch_report(t)))
+register("branch_report")(lambda t: reports.branch_report(t, rendered=True))
 register("branch_comparison")(reports.branch_comparison)
 register("latest_target_comparison")(reports.latest_target_comparison)
 

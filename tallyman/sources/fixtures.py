@@ -12,6 +12,8 @@ sales have no stock row (the view must then ignore them).
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,11 +49,19 @@ def _line_id(li: str = "") -> Column:
 
 
 class FixtureTables(Mapping[str, DataFrame]):
-    """Lazy ``{model table: DataFrame}`` over one driver directory."""
+    """``{model table: DataFrame}`` over one driver directory.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    With ``store`` set, each stand-in table is written once as parquet to
+    ``store/<table>`` (spread over the session's default parallelism) and read
+    back, the way production reads stored model tables: later queries scan
+    the stored rows with column pruning and parallel splits instead of
+    re-deriving them from the driver tables. Only inputs are stored; every
+    query still computes its result from them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, store: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.store = store
         self._cache: dict[str, DataFrame] = {}
         self._builders: dict[str, Callable[[], DataFrame]] = {
             "branches": self._branches,
@@ -86,7 +96,13 @@ class FixtureTables(Mapping[str, DataFrame]):
     # Mapping protocol -------------------------------------------------
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self._builders[name]()
+            df = self._builders[name]()
+            if self.store is not None:
+                path = f"{self.store.rstrip('/')}/{name}"
+                n = self.spark.sparkContext.defaultParallelism
+                df.repartition(n).write.mode("overwrite").parquet(path)
+                df = self.spark.read.schema(df.schema).parquet(path)
+            self._cache[name] = df
         return self._cache[name]
 
     def __iter__(self) -> Iterator[str]:
@@ -482,14 +498,22 @@ class FixtureTables(Mapping[str, DataFrame]):
         )
 
 
-_MAPPINGS: dict[tuple[int, str], FixtureTables] = {}
+_MAPPINGS: dict[tuple[int, str, bool], FixtureTables] = {}
+
 
+def fixture_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> FixtureTables:
+    """The stand-in mapping for one (session, directory), built once.
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> FixtureTables:
-    """The lazy mapping for one (session, directory), built once: it holds
-    plan objects only (no data), so every query still reads and computes
-    everything, but the Python-side plan construction is not repeated."""
-    key = (id(spark), sf_dir.rstrip("/"))
+    ``stored`` (default) writes each stand-in table on first use under the
+    session's checkpoint folder (``spark.checkpoint.dir`` on a cluster), in a
+    folder unique to this mapping; ``stored=False`` keeps every table a lazy
+    derivation from the driver tables."""
+    key = (id(spark), sf_dir.rstrip("/"), stored)
     if key not in _MAPPINGS:
-        _MAPPINGS[key] = FixtureTables(spark, sf_dir)
+        store = None
+        if stored:
+            from tallyman.session import checkpoint_dir
+            tag = os.path.basename(sf_dir.rstrip("/")) or "data"
+            store = f"{checkpoint_dir(spark).rstrip('/')}/tallyman-model-{tag}-{uuid.uuid4().hex[:12]}"
+        _MAPPINGS[key] = FixtureTables(spark, sf_dir, store)
     return _MAPPINGS[key]
