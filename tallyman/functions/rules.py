@@ -47,3 +47,18 @@ def accepted(df: DataFrame) -> DataFrame:
 
 def rejected(df: DataFrame) -> DataFrame:
     return df.where(F.col("reject_reason").isNotNull())
+
+
+MAX_ATTACHED_LIST = 100_000  # entries a scalar-subquery list may carry to every row
+
+
+def bounded_list(df: DataFrame, item, what: str) -> Column:
+    """A scalar subquery holding ``collect_list(item)`` over a small
+    dimension, attached to every row of another DataFrame. The bound is
+    checked where the list is built: past it the job fails with a message
+    instead of shipping an unbounded list to every task."""
+    n = F.count(F.lit(1))
+    return df.select(
+        F.when(n <= MAX_ATTACHED_LIST, F.collect_list(item))
+        .otherwise(F.raise_error(F.lit(f"{what}: more than {MAX_ATTACHED_LIST} entries to attach to every row")))
+        .alias("_list")).scalar()

@@ -48,10 +48,10 @@ def variance_alerts(t: Tables, on: dt.date | None = None) -> DataFrame:
     return _shape(v, "high_variance", msg, sev, F.col("stock_date"))
 
 
-def profit_alerts(t: Tables, on: dt.date | None = None) -> DataFrame:
+def profit_alerts(t: Tables, on: dt.date | None = None, profit: DataFrame | None = None) -> DataFrame:
     """A2: a branch-day with negative gross profit (as the profit view
     reports it); critical. ``"{branch} made a loss of {abs} today"``."""
-    p = daily_branch_profit(t)
+    p = daily_branch_profit(t) if profit is None else profit
     if on is not None:
         p = p.where(F.col("report_date") == F.lit(on))
     p = p.where(F.col("gross_profit") < 0)
@@ -59,11 +59,11 @@ def profit_alerts(t: Tables, on: dt.date | None = None) -> DataFrame:
     return _shape(p, "negative_profit", msg, F.lit("critical"), F.col("report_date"))
 
 
-def target_alerts(t: Tables, run_date: dt.date = DEFAULT_RUN_DATE) -> DataFrame:
+def target_alerts(t: Tables, run_date: dt.date = DEFAULT_RUN_DATE, profit: DataFrame | None = None) -> DataFrame:
     """A3: every target (finished, running or future) below 80 % (NULL
     excluded), dated on the run date. ``"{branch} is at {pct}% of its
     {period} target"``."""
-    p = branch_target_progress(t).where(F.col("pct_of_target") < TARGET_PCT)
+    p = branch_target_progress(t, profit).where(F.col("pct_of_target") < TARGET_PCT)
     msg = F.concat(F.col("branch_name"), F.lit(" is at "), text("pct_of_target"), F.lit("% of its "),
                    F.col("period_type"), F.lit(" target"))
     return _shape(p, "target_performance", msg, F.lit("warning"), F.lit(run_date))
@@ -73,18 +73,19 @@ def alert_feed(t: Tables, run_date: dt.date = DEFAULT_RUN_DATE) -> DataFrame:
     """A4: variance, loss, target and credit-crossing alerts as one
     notifications-shaped DataFrame (unread)."""
     credit = credit_limit_crossings(t).select(*NOTIFICATION_COLS)
-    return (variance_alerts(t).unionByName(profit_alerts(t)).unionByName(target_alerts(t, run_date))
-            .unionByName(credit))
+    profit = daily_branch_profit(t)
+    return (variance_alerts(t).unionByName(profit_alerts(t, profit=profit))
+            .unionByName(target_alerts(t, run_date, profit=profit)).unionByName(credit))
 
 
-def regenerated_scope(t: Tables, run_date: dt.date = DEFAULT_RUN_DATE) -> DataFrame:
+def regenerated_scope(t: Tables, run_date: dt.date = DEFAULT_RUN_DATE, profit: DataFrame | None = None) -> DataFrame:
     """The (alert_type, alert_date) pairs one regeneration run replaces: the
     variance check for every stock day, the loss check for every report
     day, the target check for the run date."""
     v = t["daily_stock"].select(F.lit("high_variance").alias("alert_type"),
                                 F.col("stock_date").alias("alert_date")).distinct()
-    p = daily_branch_profit(t).select(F.lit("negative_profit").alias("alert_type"),
-                                      F.col("report_date").alias("alert_date")).distinct()
+    p = (daily_branch_profit(t) if profit is None else profit).select(
+        F.lit("negative_profit").alias("alert_type"), F.col("report_date").alias("alert_date")).distinct()
     tg = t["branches"].select(F.lit("target_performance").alias("alert_type"),
                               F.lit(run_date).alias("alert_date")).distinct()
     return v.unionByName(p).unionByName(tg)
@@ -100,8 +101,10 @@ def replace_alert_partitions(existing: DataFrame, fresh: DataFrame, scope: DataF
 
 def regenerate_alerts(t: Tables, run_date: dt.date = DEFAULT_RUN_DATE) -> DataFrame:
     """A5: the notifications table after one run of the three checks."""
-    fresh = variance_alerts(t).unionByName(profit_alerts(t)).unionByName(target_alerts(t, run_date))
-    return replace_alert_partitions(t["notifications"], fresh, regenerated_scope(t, run_date))
+    profit = daily_branch_profit(t)
+    fresh = (variance_alerts(t).unionByName(profit_alerts(t, profit=profit))
+             .unionByName(target_alerts(t, run_date, profit=profit)))
+    return replace_alert_partitions(t["notifications"], fresh, regenerated_scope(t, run_date, profit=profit))
 
 
 def mark_read(t: Tables) -> DataFrame:

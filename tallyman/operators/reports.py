@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyman.functions.ranking import with_position
+from tallyman.functions.rules import bounded_list
 from tallyman.operators.profit import branch_target_progress, daily_branch_profit
 from tallyman.operators.stock import daily_stock_variance
 
@@ -147,7 +148,7 @@ def closing_sheet(t: Tables) -> DataFrame:
     no row for it. The product list (a bounded dimension) is attached with
     a scalar subquery, not a join."""
     ds = t["daily_stock"]
-    products = t["products"].select(F.collect_list(F.struct("id", "name")).alias("p")).scalar()
+    products = bounded_list(t["products"], F.struct("id", "name"), "closing sheet products")
     spine = ds.select("branch_id", "stock_date").distinct()
     sheet = spine.select("branch_id", "stock_date", F.explode(products).alias("p")).select(
         "branch_id", "stock_date", F.col("p.id").alias("product_id"), F.col("p.name").alias("product_name"))

@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyman.functions.rules import bounded_list
+
 Tables = Mapping[str, DataFrame]
 
 
@@ -23,7 +25,7 @@ def scoped_pairs(users: DataFrame, rows: DataFrame, row_id: str = "id", branch_c
         F.col("id").alias("user_id"), F.col("role"), F.col("branch_id").alias(branch_col))
     r = rows.select(F.col(row_id).alias("row_id"), branch_col)
     staff_pairs = r.join(staff, branch_col).select("user_id", "role", "row_id", branch_col)
-    admins = users.where(F.col("role") == "admin").select(F.collect_list("id").alias("a")).scalar()
+    admins = bounded_list(users.where(F.col("role") == "admin"), F.col("id"), "admin users")
     admin_pairs = r.select(F.explode(admins).alias("user_id"), F.lit("admin").alias("role"), "row_id", branch_col)
     return staff_pairs.unionByName(admin_pairs)
 

@@ -140,38 +140,39 @@ def _ledger_events(t: Tables) -> DataFrame:
     return first.unionByName(counts)
 
 
-REPLAY_SCHEMA = ("branch_id bigint, product_id bigint, stock_date date, opening_kg decimal(8,2), "
-                 "closing_kg decimal(8,2), created_at timestamp_ntz")
+REPLAY_SCHEMA = ("branch_id bigint, product_id bigint, stock_date date, opening_h bigint, closing_h bigint, "
+                 "created_at timestamp_ntz")
 
 
 def _replay_group(pdf):
     """Fold one (branch, product)'s events in arrival order. A stock day is
     created by its first event; its opening is the closing, as known at that
     moment, of the latest earlier day that already existed (else 0), and is
-    never revised. Counts set the closing; a transfer-created row starts at 0."""
+    never revised. Counts set the closing; a transfer-created row starts at 0.
+    Weights travel as integer hundredths of a kg."""
     import bisect
-    from decimal import Decimal
 
     import pandas as pd
 
     pdf = pdf.sort_values(["ts", "kind", "event_id"], kind="stable")
-    zero = Decimal("0.00")
     days: list = []
     closing: dict = {}
     opening: dict = {}
     created: dict = {}
-    for d, ts, kind, c in zip(pdf["stock_date"], pdf["ts"], pdf["kind"], pdf["closing_kg"]):
+    dates = pdf["stock_date"].map(lambda d: d.toordinal()).to_numpy()
+    for d, ts, kind, h in zip(dates, pdf["ts"].to_numpy(), pdf["kind"].to_numpy(), pdf["closing_h"].to_numpy()):
         if d not in closing:
             i = bisect.bisect_left(days, d)
-            opening[d] = closing[days[i - 1]] if i > 0 else zero
+            opening[d] = closing[days[i - 1]] if i > 0 else 0
             days.insert(i, d)
-            closing[d] = c if kind == 1 else zero
+            closing[d] = int(h) if kind == 1 else 0
             created[d] = ts
         elif kind == 1:
-            closing[d] = c
-    b, p = pdf["branch_id"].iloc[0], pdf["product_id"].iloc[0]
-    return pd.DataFrame({"branch_id": b, "product_id": p, "stock_date": days,
-                         "opening_kg": [opening[d] for d in days], "closing_kg": [closing[d] for d in days],
+            closing[d] = int(h)
+    import datetime as _dt
+    return pd.DataFrame({"branch_id": pdf["branch_id"].iloc[0], "product_id": pdf["product_id"].iloc[0],
+                         "stock_date": [_dt.date.fromordinal(int(d)) for d in days],
+                         "opening_h": [opening[d] for d in days], "closing_h": [closing[d] for d in days],
                          "created_at": [created[d] for d in days]})
 
 
@@ -184,9 +185,12 @@ def stock_ledger_replay(t: Tables) -> DataFrame:
     one creation event per stock day plus that day's counts, i.e. it is
     bounded by the calendar, not by the data volume (transfers are
     pre-aggregated to one row per stock day before the shuffle)."""
-    rows = _ledger_events(t).groupBy("branch_id", "product_id").applyInPandas(_replay_group, REPLAY_SCHEMA)
+    ev = _ledger_events(t).select(*KEY, "ts", "kind", "event_id",
+                                  (F.col("closing_kg") * 100).cast("bigint").alias("closing_h"))
+    rows = ev.groupBy("branch_id", "product_id").applyInPandas(_replay_group, REPLAY_SCHEMA)
+    kg = lambda c: (F.col(c).cast("decimal(18,0)") / 100).cast("decimal(8,2)")
     received = transfers_per_stock_day(t)
     return (rows.join(received, KEY, "left")
-            .select(*KEY, "opening_kg",
+            .select(*KEY, kg("opening_h").alias("opening_kg"),
                     F.coalesce(F.col("received_in"), F.lit(0)).cast("decimal(8,2)").alias("received_kg"),
-                    "closing_kg", "created_at"))
+                    kg("closing_h").alias("closing_kg"), "created_at"))
