@@ -608,3 +608,15 @@ oracle("load_tables", """
     UNION ALL SELECT 'expenses' AS table_name, CAST(count(*) AS BIGINT) AS rows FROM m_expenses
     UNION ALL SELECT 'profit_targets' AS table_name, CAST(count(*) AS BIGINT) AS rows FROM m_profit_targets
     UNION ALL SELECT 'users' AS table_name, CAST(count(*) AS BIGINT) AS rows FROM m_users""")
+
+
+# 2.11 streaming forms: the stream equals its batch twin ---------------------------
+ORACLE["stream_credit_alerts"] = ORACLE["credit_limit_crossings"]
+ORACLE["stream_stock_ledger"] = ORACLE["stock_ledger_replay"]
+ORACLE["stream_validated_ingest"] = ORACLE["validate_sales"]
+oracle("stream_branch_totals", """
+    SELECT coalesce(r.branch_id, e.branch_id) AS branch_id, coalesce(r.sale_date, e.sale_date) AS report_date,
+           coalesce(r.revenue, 0)::DOUBLE AS revenue, coalesce(r.discount_given, 0)::DOUBLE AS discount_given,
+           coalesce(e.total_expenses, 0)::DOUBLE AS expenses,
+           (coalesce(r.revenue, 0) - coalesce(e.total_expenses, 0))::DOUBLE AS gross_profit
+    FROM o_revenue r FULL OUTER JOIN o_expense e ON e.branch_id = r.branch_id AND e.sale_date = r.sale_date""")

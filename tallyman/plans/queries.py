@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyman.operators import alerts, credit, listings, profit, reports, scope, stock, validate, yields
+from tallyman.plans import stream_queries
 from tallyman.plans.finalize import finalize
 from tallyman.sources.fixtures import fixture_tables
 from tallyman.sources.tables import table_row_counts
@@ -113,6 +114,12 @@ register("default_price_fill")(reports.default_price_fill)
 # 2.10 row scope -----------------------------------------------------------------
 register("branch_scope")(scope.branch_scope)
 
+# 2.11 streaming forms (run once over stored inputs) ------------------------------
+register("stream_credit_alerts")(stream_queries.stream_credit_alerts)
+register("stream_stock_ledger")(stream_queries.stream_stock_ledger)
+register("stream_validated_ingest")(stream_queries.stream_validated_ingest)
+register("stream_branch_totals")(stream_queries.stream_branch_totals)
+
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):

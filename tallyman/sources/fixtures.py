@@ -105,6 +105,14 @@ class FixtureTables(Mapping[str, DataFrame]):
             self._cache[name] = df
         return self._cache[name]
 
+    def path(self, name: str) -> str:
+        """Directory of a stored stand-in table (stored on first use), for
+        jobs that read files, such as file streams."""
+        if self.store is None:
+            raise ValueError("stand-in tables are not stored; use fixture_tables(..., stored=True)")
+        self[name]
+        return f"{self.store.rstrip('/')}/{name}"
+
     def __iter__(self) -> Iterator[str]:
         return iter(self._builders)
 

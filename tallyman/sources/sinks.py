@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyman.functions.rules import accepted, rejected
-from tallyman.sources.tables import PARTITION_DATE
+from tallyman.sources.tables import PARTITION_DATE, partitioned_writer
 
 
 def append_events(validated: DataFrame, table: str, root: str, quarantine_root: str | None = None,
@@ -42,7 +42,7 @@ def append_events(validated: DataFrame, table: str, root: str, quarantine_root:
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        ok.write.mode(mode).partitionBy(*parts).parquet(f"{root.rstrip('/')}/{table}")
+        partitioned_writer(ok, parts).mode(mode).parquet(f"{root.rstrip('/')}/{table}")
         if quarantine_root is not None:
             (bad.write.mode(mode).partitionBy(*parts[1:]) if batch_id is not None else bad.write.mode(mode)) \
                 .parquet(f"{quarantine_root.rstrip('/')}/{table}")
@@ -72,7 +72,7 @@ def replace_alert_partitions_on_disk(fresh: DataFrame, scope: DataFrame, root: s
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        out.write.mode("overwrite").partitionBy("alert_type", "alert_date").parquet(root)
+        partitioned_writer(out, ["alert_type", "alert_date"]).mode("overwrite").parquet(root)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
     # The emptied pairs are partition keys (types × days): a bounded list.

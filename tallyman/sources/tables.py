@@ -22,6 +22,15 @@ PARTITION_DATE = {
 }
 
 
+def partitioned_writer(df: DataFrame, partition_cols: list[str]):
+    """A writer partitioned by ``partition_cols`` whose rows are first
+    rebalanced on those columns (the REBALANCE hint): AQE clusters each
+    partition value into as few files as its size needs, coalescing small
+    values together and splitting a hot value (today's date in a stream)
+    over several tasks by the advisory partition size."""
+    return df.hint("rebalance", *partition_cols).write.partitionBy(*partition_cols)
+
+
 def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{root.rstrip('/')}/{name}")
 
@@ -38,10 +47,9 @@ def store_tables(tables: Mapping[str, DataFrame], root: str, mode: str = "overwr
         if name not in SCHEMAS:
             continue
         cols = [f.name for f in SCHEMAS[name].fields]
-        w = df.select(*[F.col(c).cast(SCHEMAS[name][c].dataType) for c in cols]).write.mode(mode)
-        if name in PARTITION_DATE:
-            w = w.partitionBy(PARTITION_DATE[name])
-        w.parquet(f"{root.rstrip('/')}/{name}")
+        typed = df.select(*[F.col(c).cast(SCHEMAS[name][c].dataType) for c in cols])
+        w = partitioned_writer(typed, [PARTITION_DATE[name]]) if name in PARTITION_DATE else typed.write
+        w.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
 
 
 def table_row_counts(tables: Mapping[str, DataFrame], names: Iterable[str]) -> DataFrame:
