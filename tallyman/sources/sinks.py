@@ -26,28 +26,21 @@ def append_events(validated: DataFrame, table: str, root: str, quarantine_root:
     (partitioned by business date), the rejected ones to
     ``quarantine_root/table``; return the accepted rows.
 
-    With a ``batch_id`` (streaming), rows also go under an ``ingest_batch``
-    partition written with dynamic overwrite, so a retried micro-batch
-    replaces exactly what it wrote before instead of appending twice."""
-    spark = validated.sparkSession
-    ok = accepted(validated)
-    bad = rejected(validated)
-    parts = [PARTITION_DATE[table]]
-    mode = "append"
-    if batch_id is not None:
-        ok = ok.withColumn("ingest_batch", F.lit(batch_id).cast("bigint"))
-        bad = bad.withColumn("ingest_batch", F.lit(batch_id).cast("bigint"))
-        parts.append("ingest_batch")
-        mode = "overwrite"
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        partitioned_writer(ok, parts).mode(mode).parquet(f"{root.rstrip('/')}/{table}")
+    With a ``batch_id`` (streaming), each micro-batch goes to its own
+    ``ingest_batch=N`` directory (partitioned by business date inside),
+    written with overwrite: a retried micro-batch replaces exactly what it
+    wrote before instead of appending twice."""
+    ok, bad = accepted(validated), rejected(validated)
+    date = PARTITION_DATE[table]
+    base, qbase = f"{root.rstrip('/')}/{table}", f"{(quarantine_root or '').rstrip('/')}/{table}"
+    if batch_id is None:
+        partitioned_writer(ok, [date]).mode("append").parquet(base)
         if quarantine_root is not None:
-            (bad.write.mode(mode).partitionBy(*parts[1:]) if batch_id is not None else bad.write.mode(mode)) \
-                .parquet(f"{quarantine_root.rstrip('/')}/{table}")
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+            bad.write.mode("append").parquet(qbase)
+    else:
+        partitioned_writer(ok, [date]).mode("overwrite").parquet(f"{base}/ingest_batch={batch_id}")
+        if quarantine_root is not None:
+            bad.write.mode("overwrite").parquet(f"{qbase}/ingest_batch={batch_id}")
     return ok
 
 
