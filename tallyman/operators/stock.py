@@ -125,23 +125,29 @@ def stock_ledger_build(t: Tables) -> DataFrame:
 
 
 def _ledger_events(t: Tables) -> DataFrame:
-    """Events that create or change stock rows, in arrival order: the first
-    transfer of each key (kind 0; later transfers only add to received) and
-    every night count (kind 1). Ties on time put transfers first, then id."""
+    """Events that create or change stock rows, in arrival order, weights in
+    integer hundredths of a kg: one row per stock day that received
+    transfers (kind 0: its first transfer's time and id, and the day's total
+    received; later transfers only add to received) and every night count
+    (kind 1). Ties on time put transfers first, then id."""
     br = t["breakdown_records"].select(F.col("id").alias("breakdown_record_id"), "product_id")
     tr = (t["branch_transfers"].join(br, "breakdown_record_id")
           .groupBy(F.col("to_branch_id").alias("branch_id"), "product_id",
                    F.col("transfer_date").alias("stock_date"))
-          .agg(F.min(F.struct("created_at", "id")).alias("first")))
+          .agg(F.min(F.struct("created_at", "id")).alias("first"),
+               F.sum("weight_sent_kg").alias("received")))
     first = tr.select(*KEY, F.col("first.created_at").alias("ts"), F.lit(0).alias("kind"),
-                      F.col("first.id").alias("event_id"), F.lit(None).cast("decimal(8,2)").alias("closing_kg"))
+                      F.col("first.id").alias("event_id"), F.lit(0).cast("bigint").alias("closing_h"),
+                      (F.col("received") * 100).cast("bigint").alias("received_h"))
     counts = t["closing_counts"].select(*KEY, F.col("created_at").alias("ts"), F.lit(1).alias("kind"),
-                                        F.col("id").alias("event_id"), "closing_kg")
+                                        F.col("id").alias("event_id"),
+                                        (F.col("closing_kg") * 100).cast("bigint").alias("closing_h"),
+                                        F.lit(0).cast("bigint").alias("received_h"))
     return first.unionByName(counts)
 
 
-REPLAY_SCHEMA = ("branch_id bigint, product_id bigint, stock_date date, opening_h bigint, closing_h bigint, "
-                 "created_at timestamp_ntz")
+REPLAY_SCHEMA = ("branch_id bigint, product_id bigint, stock_date date, opening_h bigint, received_h bigint, "
+                 "closing_h bigint, created_at timestamp_ntz")
 
 
 def _replay_group(pdf):
@@ -151,6 +157,7 @@ def _replay_group(pdf):
     never revised. Counts set the closing; a transfer-created row starts at 0.
     Weights travel as integer hundredths of a kg."""
     import bisect
+    import datetime as dt
 
     import pandas as pd
 
@@ -158,22 +165,26 @@ def _replay_group(pdf):
     days: list = []
     closing: dict = {}
     opening: dict = {}
+    received: dict = {}
     created: dict = {}
     dates = pdf["stock_date"].map(lambda d: d.toordinal()).to_numpy()
-    for d, ts, kind, h in zip(dates, pdf["ts"].to_numpy(), pdf["kind"].to_numpy(), pdf["closing_h"].to_numpy()):
+    for d, ts, kind, c, r in zip(dates, pdf["ts"].to_numpy(), pdf["kind"].to_numpy(),
+                                 pdf["closing_h"].to_numpy(), pdf["received_h"].to_numpy()):
         if d not in closing:
             i = bisect.bisect_left(days, d)
             opening[d] = closing[days[i - 1]] if i > 0 else 0
             days.insert(i, d)
-            closing[d] = int(h) if kind == 1 else 0
+            closing[d] = 0
+            received[d] = 0
             created[d] = ts
-        elif kind == 1:
-            closing[d] = int(h)
-    import datetime as _dt
+        if kind == 1:
+            closing[d] = int(c)
+        else:
+            received[d] += int(r)
     return pd.DataFrame({"branch_id": pdf["branch_id"].iloc[0], "product_id": pdf["product_id"].iloc[0],
-                         "stock_date": [_dt.date.fromordinal(int(d)) for d in days],
-                         "opening_h": [opening[d] for d in days], "closing_h": [closing[d] for d in days],
-                         "created_at": [created[d] for d in days]})
+                         "stock_date": [dt.date.fromordinal(int(d)) for d in days],
+                         "opening_h": [opening[d] for d in days], "received_h": [received[d] for d in days],
+                         "closing_h": [closing[d] for d in days], "created_at": [created[d] for d in days]})
 
 
 def stock_ledger_replay(t: Tables) -> DataFrame:
@@ -185,12 +196,7 @@ def stock_ledger_replay(t: Tables) -> DataFrame:
     one creation event per stock day plus that day's counts, i.e. it is
     bounded by the calendar, not by the data volume (transfers are
     pre-aggregated to one row per stock day before the shuffle)."""
-    ev = _ledger_events(t).select(*KEY, "ts", "kind", "event_id",
-                                  (F.col("closing_kg") * 100).cast("bigint").alias("closing_h"))
-    rows = ev.groupBy("branch_id", "product_id").applyInPandas(_replay_group, REPLAY_SCHEMA)
+    rows = _ledger_events(t).groupBy("branch_id", "product_id").applyInPandas(_replay_group, REPLAY_SCHEMA)
     kg = lambda c: (F.col(c).cast("decimal(18,0)") / 100).cast("decimal(8,2)")
-    received = transfers_per_stock_day(t)
-    return (rows.join(received, KEY, "left")
-            .select(*KEY, kg("opening_h").alias("opening_kg"),
-                    F.coalesce(F.col("received_in"), F.lit(0)).cast("decimal(8,2)").alias("received_kg"),
-                    kg("closing_h").alias("closing_kg"), "created_at"))
+    return rows.select(*KEY, kg("opening_h").alias("opening_kg"), kg("received_h").alias("received_kg"),
+                       kg("closing_h").alias("closing_kg"), "created_at")
