@@ -13,6 +13,7 @@ sales have no stock row (the view must then ignore them).
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from collections.abc import Callable, Iterator, Mapping
 
@@ -62,6 +63,7 @@ class FixtureTables(Mapping[str, DataFrame]):
         self.spark = spark
         self.sf_dir = sf_dir
         self.store = store
+        self._lock = threading.RLock()  # one writer per stored table, even if queries run on several threads
         self._cache: dict[str, DataFrame] = {}
         self._builders: dict[str, Callable[[], DataFrame]] = {
             "branches": self._branches,
@@ -95,6 +97,10 @@ class FixtureTables(Mapping[str, DataFrame]):
 
     # Mapping protocol -------------------------------------------------
     def __getitem__(self, name: str) -> DataFrame:
+        with self._lock:
+            return self._get(name)
+
+    def _get(self, name: str) -> DataFrame:
         if name not in self._cache:
             df = self._builders[name]()
             if self.store is not None:
@@ -507,6 +513,7 @@ class FixtureTables(Mapping[str, DataFrame]):
 
 
 _MAPPINGS: dict[tuple[int, str, bool], FixtureTables] = {}
+_MAPPINGS_LOCK = threading.Lock()
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> FixtureTables:
@@ -517,6 +524,11 @@ def fixture_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> Fix
     folder unique to this mapping; ``stored=False`` keeps every table a lazy
     derivation from the driver tables."""
     key = (id(spark), sf_dir.rstrip("/"), stored)
+    with _MAPPINGS_LOCK:
+        return _mapping(spark, sf_dir, stored, key)
+
+
+def _mapping(spark: SparkSession, sf_dir: str, stored: bool, key) -> FixtureTables:
     if key not in _MAPPINGS:
         store = None
         if stored:
