@@ -18,11 +18,14 @@ VARIANCE_FLAG_PCT = 5   # the dashboard's two-sided flag
 FULL_BAR_PCT = 100
 
 
-def _variance_items(var: DataFrame) -> DataFrame:
+VARIANCE_ITEM = ["product_name", "daily_stock_id", "opening_kg", "received_kg", "sold_kg", "closing_kg",
+                 "variance_kg", "variance_pct"]
+
+
+def _variance_items(var: DataFrame, fields: list[str] = VARIANCE_ITEM) -> DataFrame:
+    """Per branch-day, the stock rows sorted by product name (then id)."""
     return var.groupBy("branch_id", F.col("stock_date").alias("report_date")).agg(
-        F.array_sort(F.collect_list(F.struct("product_name", "daily_stock_id", "opening_kg", "received_kg",
-                                             "sold_kg", "closing_kg", "variance_kg", "variance_pct")))
-        .alias("stock_variance"))
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("stock_variance"))
 
 
 def _target_items(targets: DataFrame) -> DataFrame:
@@ -60,8 +63,9 @@ def branch_report(t: Tables, date: dt.date | None = None, branch_id: int | None
     spine = (profit.select("branch_id", "report_date")
              .unionByName(var.select("branch_id", F.col("stock_date").alias("report_date"))).distinct())
     names = t["branches"].select(F.col("id").alias("branch_id"), F.col("name").alias("branch_name"))
-    var_lists, tgt_lists = _variance_items(var), _target_items(targets)
     if rendered:
+        var_lists = _variance_items(var, ["product_name", "daily_stock_id", "variance_kg", "variance_pct"])
+        tgt_lists = _target_items(targets)
         var_lists = var_lists.select("branch_id", "report_date", F.size("stock_variance").alias("n_variance"),
                                      F.concat_ws("; ", F.transform("stock_variance", lambda x: F.concat(
                                          x["product_name"], F.lit("="), _dec_text(x["variance_kg"]), F.lit("/"),
@@ -77,6 +81,7 @@ def branch_report(t: Tables, date: dt.date | None = None, branch_id: int | None
                F.coalesce("target_items", F.lit("")).alias("target_items")]
         head = ["branch_id", "branch_name", "report_date", "revenue", "discount_given", "expenses", "gross_profit"]
     else:
+        var_lists, tgt_lists = _variance_items(var), _target_items(targets)
         prof = profit.select("branch_id", "report_date",
                              F.struct("revenue", "discount_given", "expenses", "gross_profit").alias("profit"))
         out = [F.coalesce("stock_variance", F.array()).alias("stock_variance"),

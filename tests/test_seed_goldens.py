@@ -128,3 +128,10 @@ def test_default_branch_and_sheet(seed):
     assert b["name"] == "Main branch"
     sheet = reports.closing_sheet(seed).collect()
     assert len(sheet) == 6 and all(r["entered"] for r in sheet)
+
+
+def test_branch_report_nested(seed):
+    [r] = reports.branch_report(seed).collect()
+    assert (r["branch_name"], r["report_date"], r["profit"]["gross_profit"]) == ("Main branch", DAY, D("43550.0000"))
+    assert [x["product_name"] for x in r["stock_variance"]] == ["Beef cuts", "Bones", "Fat", "Liver", "Matumbo", "Mutton"]
+    assert [x["pct_of_target"] for x in r["targets"]] == [D("90.7")]
