@@ -42,3 +42,20 @@ def held_out(doc_id: Column) -> Column:
 
 def held_out_id(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def _bytes(setting: str) -> int:
+    units = {"b": 0, "k": 10, "m": 20, "g": 30, "t": 40}
+    s = setting.strip().lower().removesuffix("b") or "0"
+    return int(float(s[:-1]) * (1 << units[s[-1]])) if s[-1] in units else int(s)
+
+
+def merged_splits(df: DataFrame, least_bytes: int) -> DataFrame:
+    """A scan whose tasks read at least about ``least_bytes`` each, where the session cuts
+    files smaller: neighbouring splits go to one task, without a shuffle, as long as
+    every core keeps a task."""
+    spark = df.sparkSession
+    split = max(1, _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    now, cores = df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    n = max(cores, -(-now * split // least_bytes))
+    return df.coalesce(n) if n < now else df
