@@ -44,6 +44,8 @@ WIDTH = 80
 #: Counters of a fingerprint; a multiple of the three parts a digest is placed in.
 CELLS = 24
 GROWTH = 4
+#: Cells a third of a table can be addressed with.
+MOST_PLACES = 3 << 21
 _CELL = re.compile(rf"\S(?:[^\n]{{0,{WIDTH - 2}}}\S)?(?!\S)|\S[^\n]{{{WIDTH - 1}}}")
 _LOWEST = -(1 << 63)
 
@@ -74,14 +76,17 @@ def digests(text: str) -> np.ndarray:
     return (h & ~np.uint64(255)) | n
 
 
+_BITS = np.array([[0], [21], [42]], np.uint64)
+
+
 def _places(keys: np.ndarray, cells: int) -> np.ndarray:
-    part = np.uint64(cells // 3)
-    seed = np.uint64(cells)
-    return np.concatenate([(_mix(keys + seed + np.uint64(j << 32)) >> np.uint64(8)) % part + np.uint64(j) * part for j in range(3)]).astype(np.int64)
+    """Each key's cell in each third of the table, by its own bits of one scrambled value."""
+    h = (_mix(keys + np.uint64(cells)) >> _BITS) & np.uint64(0x1FFFFF)
+    return (h.view(np.int64) % (cells // 3) + np.array([[0], [cells // 3], [2 * (cells // 3)]])).ravel()
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
-    return _mix(keys ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)
+    return ((keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E6C63D0876A9A47)) >> np.uint64(32)
 
 
 class Sketch:
@@ -94,10 +99,9 @@ class Sketch:
 
     def _add(self, keys: np.ndarray, signs: np.ndarray) -> None:
         at = _places(keys, len(self.count))
-        s3, unsigned = np.tile(signs, 3), signs.astype(np.uint64)  # -1 wraps to 2^64 - 1, as the sums do
-        np.add.at(self.count, at, s3)
-        np.add.at(self.key, at, np.tile(keys * unsigned, 3))
-        np.add.at(self.check, at, np.tile(_check(keys) * unsigned, 3))
+        unsigned = signs.view(np.uint64)  # -1 is 2^64 - 1, as the sums wrap
+        for table, value in ((self.count, signs), (self.key, keys * unsigned), (self.check, _check(keys) * unsigned)):
+            np.add.at(table, at, np.concatenate((value, value, value)))
 
     def minus(self, other: "Sketch") -> "Sketch":
         out = Sketch.__new__(Sketch)
@@ -106,25 +110,24 @@ class Sketch:
 
     def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
         """Digests only on the left and only on the right, or None when peeling gets stuck."""
-        got: dict[int, int] = {}
-        while True:
+        keys_out, signs_out, left = [], [], len(self.count)
+        while left:  # every round but the last takes out a digest; a stuck table ends it
             single = np.flatnonzero(np.abs(self.count) == 1)
-            if len(single):
-                sign = self.count[single]
-                keys = self.key[single] * sign.astype(np.uint64)
-                fits = self.check[single] * sign.astype(np.uint64) == _check(keys)
-                keys, first = np.unique(keys[fits], return_index=True)
-                signs = sign[fits][first]
-            if not len(single) or not len(keys):
+            sign = self.count[single]
+            keys = self.key[single] * sign.view(np.uint64)
+            fits = self.check[single] * sign.view(np.uint64) == _check(keys)
+            found = dict(zip(keys[fits].tolist(), sign[fits].tolist()))  # a digest can be alone in two cells
+            if not found:
                 break
-            for k, s in zip(keys.tolist(), signs.tolist()):
-                if k in got:
-                    return None
-                got[k] = s
+            keys, signs = np.fromiter(found, np.uint64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+            keys_out.append(keys), signs_out.append(signs)
             self._add(keys, -signs)
+            left -= 1
         if self.count.any() or self.key.any() or self.check.any():
             return None
-        keys, signs = np.fromiter(got, np.uint64, len(got)), np.fromiter(got.values(), np.int64, len(got))
+        if not keys_out:
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        keys, signs = np.concatenate(keys_out), np.concatenate(signs_out)
         return keys[signs > 0], keys[signs < 0]
 
     def text(self) -> str:
@@ -132,24 +135,41 @@ class Sketch:
         return base64.b64encode(b"".join(p.tobytes() for p in parts)).decode()
 
 
-def differing(a: np.ndarray, b: np.ndarray, cells: int = CELLS, left: Sketch | None = None, right: Sketch | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+class Version:
+    """A text's digests and its sketches of the sizes asked for so far."""
+
+    def __init__(self, text: str):
+        self.keys, self.sketches = digests(text), {}
+        self.weight = weight(self.keys)
+
+    def sketch(self, cells: int) -> Sketch:
+        if cells not in self.sketches:
+            self.sketches[cells] = Sketch(self.keys, cells)
+        return self.sketches[cells]
+
+
+def differing(a: Version, b: Version, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, int]:
     """Digests only in ``a``, only in ``b``, and the size of the tables that gave them.
-    ``left`` and ``right`` are the sketches of the first size, where they exist."""
+    A failure is tried again four times as large, or larger by a power of four where
+    the squared counts (a digest adds about 1 to each of three) tell of more digests."""
     while True:
-        got = (left or Sketch(a, cells)).minus(right or Sketch(b, cells)).peel()
+        difference = a.sketch(cells).minus(b.sketch(cells))
+        about = float((difference.count ** 2).sum()) / 3
+        got = difference.peel()
         if got is not None:
             return *got, cells
-        left = right = None
         cells *= GROWTH
+        while cells < about and cells < MOST_PLACES and cells < 3 * (len(a.keys) + len(b.keys)):
+            cells *= GROWTH
 
 
 def weight(keys: np.ndarray) -> int:
     return int((keys & np.uint64(255)).sum())
 
 
-def likeness(a: np.ndarray, b: np.ndarray, left: Sketch, right: Sketch) -> tuple[float, int]:
-    total = weight(a) + weight(b)
-    only_a, only_b, cells = differing(a, b, len(left.count), left, right)
+def likeness(a: Version, b: Version, cells: int = CELLS) -> tuple[float, int]:
+    total = a.weight + b.weight
+    only_a, only_b, cells = differing(a, b, cells)
     return (1.0 - (weight(only_a) + weight(only_b)) / total if total else 1.0), cells
 
 
@@ -180,7 +200,7 @@ def sliced_with_next(rows: DataFrame, slices: int) -> DataFrame:
     there = F.struct(F.col("before").alias("slice"), F.lit(True).alias("tail"))
     placed = placed.withColumn("at", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))))
     placed = placed.select("at.slice", "at.tail", "key", "doc_id", "text")
-    return placed.repartition(slices, "slice").sortWithinPartitions("slice", "tail", "key", "text")
+    return placed.repartitionById(slices, F.col("slice").cast("int")).sortWithinPartitions("slice", "tail", "key", "text")
 
 
 def fingerprint_versions(docs: DataFrame, slices: int | None = None, cells: int = CELLS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,26 +213,25 @@ def fingerprint_versions(docs: DataFrame, slices: int | None = None, cells: int
         schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
                             ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
                             ("cells_edited", pa.int64()), ("cells_next", pa.int64())])
-        held = None  # (slice, doc_id, text, digests, sketch) of the row before; None after a tail
+        held = None  # the document before; None after a tail, as another slice begins
         for b in batches:
             out = []
-            for s, tail, doc, now in zip(*(b.column(c).to_pylist() for c in ("slice", "tail", "doc_id", "text"))):
+            for tail, doc, now in zip(*(b.column(c).to_pylist() for c in ("tail", "doc_id", "text"))):
                 if held is None and tail:
                     continue  # a further row with the tail's id
-                keys = digests(now)
-                sketch = Sketch(keys, cells)
+                version = Version(now)
                 if held is not None:
-                    _, doc0, text0, keys0, sketch0 = held
+                    doc0, text0, version0 = held
                     n = len(text0)
                     edited = text0[:n - n // 2] + now[:n // 2]
-                    edited_keys = digests(edited)
-                    edited_sketch = Sketch(edited_keys, cells)
-                    near_edited, c1 = likeness(keys0, edited_keys, sketch0, edited_sketch)
-                    near_next, c2 = likeness(keys0, keys, sketch0, sketch)
-                    out.append((doc0, n, hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), sketch0.text(), edited_sketch.text(), near_edited, near_next, c1, c2))
-                held = None if tail else (s, doc, now, keys, sketch)
+                    changed = Version(edited)
+                    near_edited, c1 = likeness(version0, changed, cells)
+                    near_next, c2 = likeness(version0, version, cells)
+                    out.append((doc0, n, hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), version0.sketch(cells).text(),
+                                changed.sketch(cells).text(), near_edited, near_next, c1, c2))
+                held = None if tail else (doc, now, version)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, cells_edited long, cells_next long"
-    return sliced_with_next(rows, slices).select("slice", "tail", "doc_id", "text").mapInArrow(run, kinds)
+    return sliced_with_next(rows, slices).select("tail", "doc_id", "text").mapInArrow(run, kinds)
