@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyman.llm import byte_bpe, fingerprints, language_id, packing, quality, topk
+from tallyman.llm import byte_bpe, fingerprints, language_id, packing, quality, secrets, topk
 from tallyman.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(secrets.rendered(F.col("base")), 256).alias("base_sha256"), secrets.rendered(F.col("spans")).alias("spans"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -47,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_packing": op3_packing,
     "op5_quality": op5_quality,
+    "op6_secrets": op6_secrets,
     "op7_topk": op7_topk,
     "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
