@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyman.llm import byte_bpe, fingerprints, language_id, packing, quality, secrets, topk
+from tallyman.llm import byte_bpe, fingerprints, language_id, line_dedup, packing, quality, secrets, topk
 from tallyman.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -55,6 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
@@ -65,6 +71,25 @@ QUERIES: dict[str, Query] = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": """
+WITH docs AS (SELECT doc_id, text, coalesce(source, '') AS site, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT doc_id, site, parts, unnest(range(len(parts))) AS pos FROM docs),
+named AS (SELECT doc_id, site, pos, trim(parts[pos + 1]) AS line FROM lines),
+bad AS (
+  SELECT line, min({'doc_id': doc_id, 'pos': pos}) AS first_at FROM named
+  WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 8),
+gone AS (
+  SELECT n.doc_id, list(n.pos) AS positions FROM named n JOIN bad b ON n.line = b.line
+  WHERE {'doc_id': n.doc_id, 'pos': n.pos} <> b.first_at GROUP BY n.doc_id),
+cleaned AS (
+  SELECT d.doc_id, len(d.parts) AS n_lines, coalesce(len(g.positions), 0) AS n_removed,
+         CASE WHEN g.positions IS NULL THEN d.text ELSE array_to_string(
+           list_transform(list_filter(range(len(d.parts)), lambda i: NOT list_contains(g.positions, i)), lambda i: d.parts[i + 1]), chr(10)) END AS text
+  FROM docs d LEFT JOIN gone g USING (doc_id))
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed,
+       CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM cleaned
+""",
     "op7_topk": """
 WITH part AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
