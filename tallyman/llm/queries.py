@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyman.llm import byte_bpe, fingerprints, language_id, line_dedup, ngram_join, packing, quality, secrets, topk
+from tallyman.llm import byte_bpe, fingerprints, html_text, language_id, line_dedup, ngram_join, packing, quality, secrets, topk
 from tallyman.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_versions(read(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_topk": op7_topk,
+    "op8_html_text": op8_html_text,
     "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
 }
