@@ -158,7 +158,8 @@ def frequent_shingles(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, least: in
 
 
 def classes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n, cls, tokens, bits`` of each row: set size, class digest, packed set in the global order, signature."""
+    """``doc_id, text_key, n, cls, tokens, bits`` of each row: a hash of its text, set size,
+    class digest, packed set in the global order, signature."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +171,11 @@ def classes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
             blobs = [pack(in_order(s, hot)) for s in sets]
             digest = np.array([xxhash.xxh3_64_intdigest(x, seed=len(x)) for x in blobs], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest), pa.array(blobs, pa.binary()),
-                pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "cls", "tokens", "bits"])
+                b.column("doc_id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest), pa.array(blobs, pa.binary()),
+                pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "text_key", "n", "cls", "tokens", "bits"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls long, tokens binary, bits binary")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, cls long, tokens binary, bits binary")
 
 
 def prefix_rows(sets: DataFrame) -> DataFrame:
@@ -325,7 +327,7 @@ def tree_pairs(members: DataFrame, node: int = NODE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` of each row; ``n_links`` counts the
+    """``doc_id, n_shingles, component_id, n_links, text_key`` of each row; ``n_links`` counts the
     verified links of the row's class to other classes (not all of a component's pairs
     are compared: those its links already connect are left out)."""
     rows = pick(docs, doc_id=doc_id, text=text)
@@ -363,6 +365,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     degree = both.groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     per_class = best.withColumnRenamed("doc_id", "own").join(of_class, "cls", "left").join(degree, "cls", "left")
     per_class = per_class.select("cls", F.coalesce("component_id", "own").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    linked = everything.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("cls")).alias("cls"))
+    linked = everything.select("doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("cls")).alias("cls"))
     out = linked.join(per_class, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+                      F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_key")
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are the smallest id of their component; of rows with
+    equal id and text one stays. Rows without an id are only compared with each other."""
+    found = near_duplicates(docs, doc_id, text)
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    whole = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.join(gone, ["id", "key"], "left_anti").dropDuplicates(["id", "key"]).select("row.*")

@@ -204,6 +204,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return d.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text")).withColumns(statistics(F.col("text")))
+    return rows.where(model.score() >= threshold).select("row.*")
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     rows = pick(docs, doc_id=doc_id, text=text)
     return score(rows, learn(rows, pick(labels, doc_id="doc_id", label=label)))

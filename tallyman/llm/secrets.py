@@ -24,12 +24,11 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyman.llm.common import pick
-
 # Fixed values of the task: the base patterns and the least lengths of what they find.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 12
@@ -146,11 +145,13 @@ def model_spans(text: Column, base: Column, table: list[float], margin: float =
     return F.when(text.rlike(RUN), F.element_at(F.transform(F.array(ratios), chosen), 1)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table: list[float] | None = None, margin: float = MARGIN) -> DataFrame:
-    """``doc_id, text, base, spans``: the spans of the patterns, and those with the models' added."""
-    rows = pick(docs, doc_id=doc_id, text=text)
-    table = train(rows) if table is None else table
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table: list[float] | None = None, margin: float = MARGIN,
+         keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, text, base, spans``: the spans of the patterns, and those with the models'
+    added; ``row`` holds the input columns named in ``keep``."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []))
+    table = train(rows.select("doc_id", "text")) if table is None else table
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     return rows.withColumn("spans", F.array_sort(F.concat("base", model_spans(F.col("text"), F.col("base"), table, margin))))
 
