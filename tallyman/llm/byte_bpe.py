@@ -60,14 +60,69 @@ def read_ranks(rank_file: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal: an array of small maps from a piece's hexadecimal text to its rank.
-    The optimizer folds the parsing into a constant."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        text = piece.hex().upper()
-        buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+class PairTable:
+    """The rank of every mergeable pair of pieces, as two literal arrays.
+
+    A piece is known by its rank (its id). The key of a pair is left × size + right; it
+    lies in one of two places, key modulo either prime (a cuckoo table), together with
+    its quotient, which tells it from other keys of that place. So a look-up reads two
+    array elements, however many pairs there are."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bits = max(ranks.values()).bit_length()
+        self.none = 1 << self.bits  # above every rank: the pair cannot merge
+        pairs = {}
+        for piece, rank in ranks.items():
+            for k in range(1, len(piece)):
+                left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+                if left is not None and right is not None:
+                    pairs[(left << self.bits) | right] = rank
+        least = max(64, 2 * len(pairs))
+        while True:
+            self.primes = (_next_prime(least), _next_prime(least + 1000))
+            self.tables = self._placed(pairs)
+            if self.tables:
+                return
+            least = least * 5 // 4
+
+    def _placed(self, pairs: dict[int, int]) -> tuple[list[int], list[int]] | None:
+        places: tuple[dict[int, int], dict[int, int]] = ({}, {})
+        for key in pairs:
+            t = 0
+            for _ in range(500):
+                at = key % self.primes[t]
+                evicted = places[t].get(at)
+                places[t][at] = key
+                if evicted is None:
+                    break
+                key, t = evicted, 1 - t
+            else:
+                return None
+        tables = tuple([0] * p for p in self.primes)
+        for t, held in enumerate(places):
+            for at, key in held.items():
+                tables[t][at] = ((key // self.primes[t] + 1) << self.bits) | pairs[key]
+        return tables
+
+    def literal(self) -> Column:
+        """Both arrays, as a constant that the optimizer parses once."""
+        return F.from_json(F.lit(json.dumps(self.tables, separators=(",", ":"))), "array<array<bigint>>")
+
+    def rank(self, tables: Column, left: Column, right: Column) -> Column:
+        key = F.shiftleft(left, self.bits).bitwiseOR(right)
+        out = F.lit(self.none).cast("long")
+        for t in (1, 0):
+            entry = F.get(F.get(tables, F.lit(t)), (key % self.primes[t]).cast("int"))
+            fits = (F.shiftright(entry, self.bits) - 1) * self.primes[t] == key - key % self.primes[t]
+            out = F.when(fits, entry.bitwiseAND(self.none - 1)).otherwise(out)
+        return out
+
+
+def _next_prime(n: int) -> int:
+    n |= 1
+    while any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
 
 
 def _with(value: Column, f) -> Column:
@@ -75,49 +130,47 @@ def _with(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _rank(ranks: Column, piece: Column) -> Column:
-    bucket = (F.crc32(piece.cast("binary")) % BUCKETS + 1).cast("int")
-    return F.coalesce(F.element_at(F.element_at(ranks, bucket), piece), F.lit(NONE))
-
-
-def fold_merges(ranks: Column, word: Column) -> Column:
+def fold_merges(pairs: PairTable, tables: Column, byte_ids: Column, word: Column) -> Column:
     """The ids of one word: its bytes, merged pair by pair in the order of rank.
 
-    The state holds the pieces (as hexadecimal text between sentinels that no rank
-    knows) and the rank of each neighbouring pair; a merge replaces one piece and
-    looks up the two pairs it now takes part in."""
-    n, sentinel, most = F.octet_length(word), F.lit("x"), F.lit(NONE)
+    The state is one array of integers, an element for each piece: the rank of the
+    pair it begins, its offset in the word, and its id, from the highest bits down. The
+    smallest element is therefore the next merge, leftmost first among equal ranks,
+    and a merge replaces the elements around it. Two sentinels end the array."""
+    n, bits, none = F.octet_length(word), pairs.bits, pairs.none
+    places = (LONG_WORD + 2).bit_length()
+    id_of = lambda e: e.bitwiseAND(none - 1)
+    rank_of = lambda e: F.shiftright(e, bits + places)
+    unmergeable = none << (bits + places)
 
-    def merge_all(text: Column) -> Column:
-        bytes_ = F.sequence(F.lit(1), n)
-        pieces = F.transform(bytes_, lambda i: F.substr(text, i * 2 - 1, F.lit(2)))
-        pairs = F.transform(bytes_, lambda i: _rank(ranks, F.substr(text, i * 2 - 1, F.lit(4))))
-        start = F.struct(
-            F.flatten(F.array(F.array(sentinel), pieces, F.array(sentinel, sentinel))).alias("p"),
-            F.flatten(F.array(F.array(most), F.slice(pairs, F.lit(1), n - 1), F.array(most))).alias("k"))
+    def element(rank: Column, rest: Column) -> Column:
+        """A rank above the offset and id of ``rest``."""
+        return F.shiftleft(rank, bits + places).bitwiseOR(rest.bitwiseAND((1 << (bits + places)) - 1))
 
-        def step(state: Column, _: Column) -> Column:
-            p, k = state["p"], state["k"]
+    def merge_all(codes: Column) -> Column:
+        first = F.transform(codes, lambda c, j: F.when(j + 1 < n, _with(F.get(codes, j + 1), lambda d: element(pairs.rank(tables, c, d), F.shiftleft(j.cast("long"), bits).bitwiseOR(c))))
+                            .otherwise(F.shiftleft(j.cast("long"), bits).bitwiseOR(c).bitwiseOR(F.lit(unmergeable))))
 
-            def merge(i: Column) -> Column:  # pairs i: pieces i and i + 1, from 1
-                def replace(new: Column) -> Column:
-                    here = F.array(_rank(ranks, F.concat(F.get(p, i - 2), new)), _rank(ranks, F.concat(new, F.get(p, i + 1))))
-                    return F.struct(
-                        F.flatten(F.array(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, n + 3))).alias("p"),
-                        F.flatten(F.array(F.slice(k, F.lit(1), i - 2), here, F.slice(k, i + 2, n + 3))).alias("k"))
+        def step(state: Column, _: Column) -> Column:
+            def merge(i: Column, low: Column) -> Column:  # elements i and i + 1 (from 0) become one with the rank's id
+                new = rank_of(low)
 
-                return _with(F.concat(F.get(p, i - 1), F.get(p, i)), replace)
+                def around(left: Column, right: Column) -> Column:
+                    here = low.bitwiseAND(((1 << places) - 1) << bits).bitwiseOR(new)  # its offset and id
+                    begun = F.when(right.isNull(), here.bitwiseOR(F.lit(unmergeable))).otherwise(element(pairs.rank(tables, new, id_of(right)), here))
+                    return F.when(i > 0, F.flatten(F.array(F.slice(state, F.lit(1), i - 1), F.array(element(pairs.rank(tables, id_of(left), new), left), begun), F.slice(state, i + 3, n)))
+                                  ).otherwise(F.flatten(F.array(F.array(begun), F.slice(state, F.lit(3), n))))
 
-            lowest = F.array_min(k)
-            return _with(lowest, lambda low: F.when(low < NONE, _with(F.array_position(k, low).cast("int"), merge)).otherwise(state))
+                return around(F.get(state, i - 1), F.get(state, i + 2))
 
-        return F.aggregate(F.slice(bytes_, F.lit(2), n), start, step,
-                           lambda s: F.transform(F.slice(s["p"], F.lit(2), F.size(s["p"]) - 3), lambda h: _rank(ranks, h)))
+            lowest = F.array_min(state)
+            return _with(lowest, lambda low: F.when(low < unmergeable, _with((F.array_position(state, low) - 1).cast("int"), lambda i: merge(i, low))).otherwise(state))
 
-    def whole_or_merged(text: Column) -> Column:
-        return _with(_rank(ranks, text), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(merge_all(text)))
+        return F.aggregate(F.slice(codes, F.lit(2), n), first, step, lambda s: F.transform(s, lambda e: id_of(e).cast("int")))
 
-    return F.when(n <= LONG_WORD, _with(F.hex(F.encode(word, "utf-8")), whole_or_merged))
+    raw = F.encode(word, "utf-8")
+    codes = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(byte_ids, F.conv(F.hex(F.substr(raw, i, F.lit(1))), 16, 10).cast("int")))
+    return F.when(n <= LONG_WORD, _with(codes, merge_all))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:

@@ -59,3 +59,13 @@ def merged_splits(df: DataFrame, least_bytes: int) -> DataFrame:
     now, cores = df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
     n = max(cores, -(-now * split // least_bytes))
     return df.coalesce(n) if n < now else df
+
+
+#: Rows of a few numbers each that may be broadcast, after they have been counted.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when it is counted to be small; beyond that a join
+    shuffles both sides. For stored tables: counting reads no more than their footers."""
+    return F.broadcast(df) if df.count() <= rows else df

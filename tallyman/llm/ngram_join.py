@@ -5,7 +5,7 @@ is at least 75 %; the result is exact. Copies (equal sets) are one *class* and a
 compared once.
 
 1. One Arrow pass hashes each document's shingles to 48 bits and writes the class
-   digest, the set in a fixed order and a token bitmap (a signature).
+   digest, the first part of the set in a fixed order and a token bitmap (a signature).
 2. Any two linked sets share a shingle among the first 25 % of their sets in that
    order. Shingles found in many documents of a sample come last in the order, which
    keeps boilerplate out of these prefixes; whatever the sample says, the order is
@@ -19,7 +19,8 @@ compared once.
    of its bitmaps, its size range and its range of components; node pairs survive
    unless they lie in one component, or their sizes or bitmaps rule out the overlap
    needed. Surviving pairs of nodes are traversed by trees of the same kind down to
-   pairs of classes, which are verified on the whole sets.
+   pairs of classes. Verification sifts pairs by signatures and compares whole sets,
+   which are made again from the texts for the few classes that come so far.
 5. Components of all links; each document gets the smallest id of its component.
 
 Hot shingles and hot groups are bounded everywhere: minima are combined on the map
@@ -44,19 +45,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyman.llm.common import pick, stored
+from tallyman.llm.common import broadcast_if_small, pick, stored
 from tallyman.llm.components import connected_components
 
 WORDS = 5
 #: Similarity of a link, as a fraction of integers: NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Bytes kept of a shingle's hash, and 64-bit words of a signature.
+#: Bytes kept of a shingle's hash, and least bits of a signature for each shingle.
 HASH_BYTES = 6
-SIGNATURE_WORDS = 32
+BITS_A_SHINGLE = 2
 #: The sample that finds frequent shingles: documents, and how many must share one.
-SAMPLE_DOCS, FREQUENT = 4096, 8
-#: Classes in a node of the distributed level, about.
-NODE = 512
+SAMPLE_DOCS, FREQUENT = 4096, 3
+#: Classes in a node of the distributed level, about, and in a node that is not cut further.
+NODE, LEAF = 512, 8
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SHIFT = np.uint64(64 - 8 * HASH_BYTES)
@@ -114,11 +115,23 @@ def prefix_length(n: int) -> int:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * SIGNATURE_WORDS, np.uint8)
-    bits[(_mix(tokens) % np.uint64(64 * SIGNATURE_WORDS)).astype(np.int64)] = 1
+    """The token bitmap, a power of two of 64-bit words that grows with the set. Sets that
+    can link differ little in size, and the wider of two bitmaps folds to the narrower."""
+    words = 4
+    while 64 * words < BITS_A_SHINGLE * len(tokens):
+        words *= 2
+    bits = np.zeros(64 * words, np.uint8)
+    bits[(_mix(tokens) & np.uint64(64 * words - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view("<u8")
 
 
+def bitmaps(blobs: pa.ChunkedArray | pa.Array, words: int | None = None) -> np.ndarray:
+    """A row for each bitmap, all folded to the narrowest (or to ``words``)."""
+    raw = [np.frombuffer(x.as_buffer(), "<u8") for x in blobs]
+    words = min(words or 1 << 40, min((len(r) for r in raw), default=4))
+    return np.stack([np.bitwise_or.reduce(r.reshape(-1, words), axis=0) for r in raw]) if raw else np.zeros((0, 4), "<u8")
+
+
 def pack(tokens: np.ndarray) -> bytes:
     return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
 
@@ -158,8 +171,8 @@ def frequent_shingles(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, least: in
 
 
 def classes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, text_key, n, cls, tokens, bits`` of each row: a hash of its text, set size,
-    class digest, packed set in the global order, signature."""
+    """``doc_id, text_key, n, cls, prefix, bits`` of each row: a hash of its text, set size,
+    class digest, packed prefix of the set in the global order, signature."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,14 +181,14 @@ def classes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
         hot = shared.value
         for b in _slices(batches):
             sets = shingle_sets(b.column("text"))
-            blobs = [pack(in_order(s, hot)) for s in sets]
-            digest = np.array([xxhash.xxh3_64_intdigest(x, seed=len(x)) for x in blobs], np.uint64).astype(np.int64)
+            prefixes = [pack(in_order(s, hot)[:prefix_length(len(s))]) for s in sets]
+            digest = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) for s in sets], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest), pa.array(blobs, pa.binary()),
-                pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "text_key", "n", "cls", "tokens", "bits"])
+                b.column("doc_id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest), pa.array(prefixes, pa.binary()),
+                pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "text_key", "n", "cls", "prefix", "bits"])
 
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, n long, cls long, tokens binary, bits binary")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, cls long, prefix binary, bits binary")
 
 
 def prefix_rows(sets: DataFrame) -> DataFrame:
@@ -183,15 +196,24 @@ def prefix_rows(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            keys, of = [], []
-            for cls, n, blob in zip(b.column("cls").to_pylist(), b.column("n").to_pylist(), b.column("tokens")):
-                k = prefix_length(n)
-                keys.append(unpack(blob.as_buffer()[:k * HASH_BYTES]))
-                of.append(np.full(k, cls, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(of))], names=["key", "cls"])
+            keys = [unpack(blob.as_buffer()) for blob in b.column("prefix")]
+            of = np.repeat(b.column("cls").to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(of)], names=["key", "cls"])
+
+    return sets.where(F.col("n") > 0).select("cls", "prefix").mapInArrow(run, "key long, cls long")
+
 
-    return sets.where(F.col("n") > 0).select("cls", "n", "tokens").mapInArrow(run, "key long, cls long")
+def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``cls, tokens``: the packed sets of the wanted classes, from one document (``doc_id,
+    text_key, cls``) each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([pack(s) for s in shingle_sets(b.column("text"))], pa.binary())], names=["cls", "tokens"])
+
+    keyed = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    found = keyed.join(broadcast_if_small(wanted), ["doc_id", "text_key"]).select("cls", "text").mapInArrow(run, "cls long, tokens binary")
+    return stored(found.groupBy("cls").agg(F.min("tokens").alias("tokens")), "join-whole")  # repeated rows give one set
 
 
 def _overlap_bound(bits_a: np.ndarray, bits_b: np.ndarray, spare_a, spare_b) -> np.ndarray:
@@ -200,19 +222,25 @@ def _overlap_bound(bits_a: np.ndarray, bits_b: np.ndarray, spare_a, spare_b) ->
     return np.bitwise_count(bits_a & bits_b).sum(-1) + np.minimum(spare_a, spare_b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of classes ``a, b`` that link: first by sizes and signatures, then by whole sets."""
+def verified(pairs: DataFrame, one: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs of classes ``a, b`` that link: first by sizes and signatures, then by whole
+    sets. ``one`` has a row ``cls, n, bits, doc_id, text_key`` for each class."""
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("cls").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+        return table.select(F.col("cls").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, 20_000):
             n_a, n_b = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
-            bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), "<u8").reshape(len(b), -1) for c in ("bits_a", "bits_b")]
-            spare = [n - np.bitwise_count(x).sum(-1) for n, x in zip((n_a, n_b), bits)]
-            most = np.minimum(_overlap_bound(*bits, *spare), np.minimum(n_a, n_b))
-            yield b.select(["a", "b"]).filter(pa.array(enough(most, n_a, n_b)))
+            widths = np.minimum(*(pc.binary_length(b.column(c)).to_numpy() // 8 for c in ("bits_a", "bits_b")))
+            keep = np.zeros(len(b), bool)
+            for words in np.unique(widths).tolist():
+                at = np.flatnonzero(widths == words)
+                bits = [bitmaps(b.column(c).take(pa.array(at)), words) for c in ("bits_a", "bits_b")]
+                spare = [n[at] - np.bitwise_count(x).sum(-1) for n, x in zip((n_a, n_b), bits)]
+                most = np.minimum(_overlap_bound(*bits, *spare), np.minimum(n_a[at], n_b[at]))
+                keep[at] = enough(most, n_a[at], n_b[at])
+            yield b.select(["a", "b"]).filter(pa.array(keep))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -222,10 +250,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(bool(enough(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t))))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    near = pairs.join(side(one, "a", "n", "bits"), "a").join(side(one, "b", "n", "bits"), "b")
     near = near.where(F.least("n_a", "n_b") * DENOMINATOR >= F.greatest("n_a", "n_b") * NUMERATOR)
     near = stored(near.mapInArrow(sift, "a long, b long"), "join-sifted")
-    whole = near.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+    some = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
+    sets = whole_sets(rows, stored(one.join(some, "cls", "left_semi").select("doc_id", "text_key", "cls"), "join-wanted"))
+    whole = near.join(side(sets, "a", "tokens"), "a").join(side(sets, "b", "tokens"), "b")
     return stored(whole.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long"), "join-links")
 
 
@@ -278,15 +308,54 @@ class _Tree:
 
 
 def _traverse(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
+    words = min(pc.min(pc.binary_length(t.column("bits"))).as_py() // 8 for t in (left, right) if t is not None)
+
     def tree(t: pa.Table) -> _Tree:
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), "<u8").reshape(t.num_rows, -1)
-        return _Tree(t.column("n").to_numpy(), bits, t.column("component").to_numpy(), t.column("cls").to_numpy())
+        return _Tree(t.column("n").to_numpy(), bitmaps(t.column("bits"), words), t.column("component").to_numpy(), t.column("cls").to_numpy())
 
     a = tree(left)
     x, y = a.pairs_with(a if right is None else tree(right))
     return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
 
+def _inside_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs inside each node; rows come sorted by node, a node may span batches."""
+    keys, held = ["key", "size_class", "salt"], None
+
+    def pairs(rows: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        """Nodes begin at ``starts``, whose last element is the end of the rows."""
+        cls, n, comp = (rows.column(c).to_numpy() for c in ("cls", "n", "component"))
+        a, b = [], []
+        for at, end in zip(starts, starts[1:]):
+            if end - at > LEAF:
+                t = _traverse(rows.slice(at, end - at))
+                a.append(t.column("a").to_numpy()), b.append(t.column("b").to_numpy())
+                continue
+            for i in range(at, end):
+                for j in range(i + 1, end):
+                    if comp[i] != comp[j] and enough(min(n[i], n[j]), n[i], n[j]):
+                        a.append([min(cls[i], cls[j])]), b.append([max(cls[i], cls[j])])
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (a, b))
+        both = np.unique(np.stack([a, b], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def whole(rows: pa.Table) -> list[int]:
+        names = [rows.column(k).to_numpy() for k in keys]
+        change = np.zeros(rows.num_rows, bool)
+        for x in names:
+            change[1:] |= x[1:] != x[:-1]
+        return [0, *np.flatnonzero(change).tolist(), rows.num_rows]
+
+    for b in batches:
+        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        starts = whole(rows)
+        held = rows.slice(starts[-2]).combine_chunks() if rows.num_rows else rows
+        if len(starts) > 2:
+            yield pairs(rows.slice(0, starts[-2]).combine_chunks(), starts[:-1])
+    if held is not None and held.num_rows:
+        yield pairs(held, [0, held.num_rows])
+
+
 def tree_pairs(members: DataFrame, node: int = NODE) -> DataFrame:
     """Candidate pairs ``a, b`` of classes in different components under one key.
     ``members`` has ``key, cls, n, bits, component``.
@@ -303,7 +372,8 @@ def tree_pairs(members: DataFrame, node: int = NODE) -> DataFrame:
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     inside = salted.join(nodes.where(F.col("c0") < F.col("c1")).select("key", "size_class", "salt"), ["key", "size_class", "salt"], "left_semi")
     kinds = "a long, b long"
-    own = inside.groupBy("key", "size_class", "salt").applyInArrow(lambda t: _traverse(t), kinds)
+    node_keys = ["key", "size_class", "salt"]  # hundreds of small nodes a batch, so one call a node would cost too much
+    own = inside.select(*node_keys, "cls", "n", "bits", "component").repartition(*node_keys).sortWithinPartitions(*node_keys).mapInArrow(_inside_nodes, kinds)
 
     # pairs of different nodes of a key: equal or neighbouring size class
     x = nodes.select("key", F.col("size_class").alias("size_x"), F.col("salt").alias("salt_x"), F.col("low").alias("low_x"), F.col("high").alias("high_x"), F.col("c0").alias("c0_x"), F.col("c1").alias("c1_x"),
@@ -333,18 +403,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = pick(docs, doc_id=doc_id, text=text)
     everything = stored(classes(rows, frequent_shingles(rows)), "join-sets")
     sets = everything.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    best = sets.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    # one row for each class
-    one = sets.join(best, ["cls", "doc_id"]).dropDuplicates(["cls"]).select("cls", "n", "tokens", "bits")
     keyed = prefix_rows(sets)
     several = stored(keyed.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where(F.col("lead") < F.col("last")), "join-keys")
-    members = stored(keyed.join(several, "key").select("key", "cls", "lead").distinct(), "join-members")
-    active = stored(one.join(members.select("cls").distinct(), "cls", "left_semi"), "join-classes")
+    members = stored(keyed.join(several.select("key", "lead"), "key").distinct(), "join-members")
+    # one row for each class: that of the smallest id
+    one = sets.groupBy("cls").agg(F.min(F.struct("doc_id", "text_key", "n", "bits")).alias("r")).select("cls", "r.*")
+    one = stored(one, "join-classes")
+    best = one.select("cls", "doc_id")
 
     # first links: each class with the lead it shares most prefix shingles with
     shared = members.where(F.col("cls") != F.col("lead")).groupBy("cls", "lead").agg(F.count(F.lit(1)).alias("n"))
     leads = shared.groupBy("cls").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
-    links = verified(leads.select(F.col("lead").alias("a"), F.col("cls").alias("b")), active)
+    links = verified(leads.select(F.col("lead").alias("a"), F.col("cls").alias("b")), one, rows)
     first = connected_components(links)
 
     # keys whose classes lie in several components; of keys with the same classes, one
@@ -353,9 +423,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"),
                                       F.min("cls").alias("first"), F.max("cls").alias("last"), F.bit_xor("cls").alias("all"), F.bit_xor(F.xxhash64("cls")).alias("all2"))
     mixed = mixed.where(F.col("c0") < F.col("c1")).groupBy("n", "first", "last", "all", "all2").agg(F.min("key").alias("key"))
-    mixed = stored(mixed.select("key"), "join-mixed")
-    rest = placed.join(mixed, "key", "left_semi").join(active.select("cls", "n", "bits"), "cls")
-    more = verified(tree_pairs(rest), active)
+    mixed = stored(mixed, "join-mixed")
+    twos = mixed.where(F.col("n") == 2).select(F.col("first").alias("a"), F.col("last").alias("b"))  # a pair as it is
+    rest = placed.join(mixed.where(F.col("n") > 2).select("key"), "key", "left_semi").join(one.select("cls", "n", "bits"), "cls")
+    more = verified(twos.unionByName(tree_pairs(rest)).distinct(), one, rows)
     links = links.unionByName(more)
     final = connected_components(links)
 
