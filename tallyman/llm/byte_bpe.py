@@ -2,24 +2,23 @@
 
 Texts are split into words by the tokenizer's pattern. Each stream of documents
 encodes a distinct word once: Spark's higher-order functions fold the ranked
-merges over the word's bytes, looking ranks up in a literal map. Documents travel
+merges over the word's bytes, looking ranks up in literal arrays. Documents travel
 as the codes of their words and get their ids from the folded words.
 
 The stages of one task form a stream without any shuffle:
 
 1. ``regexp_extract_all`` splits each text;
 2. a first Arrow pass numbers the distinct words of the stream; a row with new
-   words goes out before the first document that uses them;
+   words, as byte arrays, goes out before the first document that uses them;
 3. a projection folds the merges over each new word (documents pass by);
 4. a second Arrow pass keeps the folded words' ids and writes each document's ids.
 
 The numbering starts anew after ``MAX_WORDS`` words, which bounds the memory of
 both passes. A lost task repeats its own stream and needs nothing of another's.
 
-The rank map is cut into ``BUCKETS`` small maps by a checksum of the piece, so a
-look-up compares a few keys instead of all 50,000. The fold takes the lowest
-rank, leftmost first, and is quadratic in the word; words above ``LONG_WORD``
-bytes (runs of symbols or blanks) take the same merges from a heap instead.
+A word that is a token as a whole is one piece from the start, as in the tiktoken
+library. The fold is quadratic in the word; words above ``LONG_WORD`` bytes (runs of
+symbols or blanks) take the same merges from a heap instead.
 
 Defined results for edge cases
 * null or empty text: no ids, empty decoded bytes; null ``doc_id`` is kept;
@@ -34,19 +33,18 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyman.llm.common import merged_splits, pick
 
-BUCKETS = 1 << 15
-#: A rank above every real one: the pair cannot merge.
-NONE = 2**31 - 1
+#: Stands between the words of a text on their way to Python; texts that hold it are split there.
+SEPARATOR = "\x1f"
 LONG_WORD = 96
 MAX_WORDS = 1 << 21
 #: Words a row hands to the fold, and bytes of input a task should see at least.
@@ -130,14 +128,14 @@ def _with(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def fold_merges(pairs: PairTable, tables: Column, byte_ids: Column, word: Column) -> Column:
-    """The ids of one word: its bytes, merged pair by pair in the order of rank.
+def fold_merges(pairs: PairTable, tables: Column, pieces: Column) -> Column:
+    """The ids of one word: its pieces (ids of its bytes), merged pair by pair in the order of rank.
 
     The state is one array of integers, an element for each piece: the rank of the
     pair it begins, its offset in the word, and its id, from the highest bits down. The
     smallest element is therefore the next merge, leftmost first among equal ranks,
-    and a merge replaces the elements around it. Two sentinels end the array."""
-    n, bits, none = F.octet_length(word), pairs.bits, pairs.none
+    and a merge replaces the elements around it."""
+    n, bits, none = F.size(pieces), pairs.bits, pairs.none
     places = (LONG_WORD + 2).bit_length()
     id_of = lambda e: e.bitwiseAND(none - 1)
     rank_of = lambda e: F.shiftright(e, bits + places)
@@ -168,9 +166,7 @@ def fold_merges(pairs: PairTable, tables: Column, byte_ids: Column, word: Column
 
         return F.aggregate(F.slice(codes, F.lit(2), n), first, step, lambda s: F.transform(s, lambda e: id_of(e).cast("int")))
 
-    raw = F.encode(word, "utf-8")
-    codes = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(byte_ids, F.conv(F.hex(F.substr(raw, i, F.lit(1))), 16, 10).cast("int")))
-    return F.when(n <= LONG_WORD, _with(codes, merge_all))
+    return _with(F.transform(pieces, lambda c: c.cast("long")), merge_all)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -215,38 +211,54 @@ def _gather(table: np.ndarray, starts: np.ndarray, counts: np.ndarray, which: np
     return table[at], ends
 
 
-def _number_words(pattern: str, max_words: int):
+def _number_words(rank_file: str, pattern: str, max_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        split, known = regex.compile(pattern), {}
-        schema = pa.schema([("doc_id", pa.int64()), ("is_doc", pa.bool_()), ("codes", pa.binary()), ("first_code", pa.int64()), ("words", pa.list_(pa.string()))])
+        split, known, ranks = regex.compile(pattern), {}, read_ranks(rank_file)
+        of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        kind = pa.list_(pa.list_(pa.int32()))
+        schema = pa.schema([("doc_id", pa.int64()), ("is_doc", pa.bool_()), ("codes", pa.binary()), ("first_code", pa.int64()), ("words", kind), ("long_words", pa.list_(pa.binary()))])
+
+        def word_rows(first: int, new: list[str]) -> pa.RecordBatch:
+            rows, longs = [], []
+            for at in range(0, len(new), WORDS_A_ROW):
+                raw = [w.encode() for w in new[at:at + WORDS_A_ROW]]
+                rows.append([None if len(w) > LONG_WORD else [ranks[w]] if w in ranks else of_byte[np.frombuffer(w, np.uint8)] for w in raw])
+                longs.append([w for w in raw if len(w) > LONG_WORD])
+            n = len(rows)
+            return pa.RecordBatch.from_arrays([
+                pa.nulls(n, pa.int64()), pa.array([False] * n), pa.nulls(n, pa.binary()), pa.array(range(first, first + len(new), WORDS_A_ROW), pa.int64()),
+                pa.array(rows, kind), pa.array(longs, pa.list_(pa.binary()))], schema=schema)
+
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                b = batch.slice(at, 2000)
-                words = b.column("words")
-                if words.null_count:
-                    words = pa.array([split.findall(t) if w is None else w for w, t in zip(words.to_pylist(), b.column("odd_text").to_pylist())], pa.list_(pa.string()))
-                lengths = words.value_lengths().to_numpy(zero_copy_only=False)
-                coded = words.flatten().dictionary_encode()
-                names = coded.dictionary.to_pylist()
+            for at in range(0, len(batch), 500):
+                b = batch.slice(at, 500)
+                joined = b.column("joined")
+                if joined.null_count:  # some texts come whole
+                    words = pa.array([split.findall(t) if j is None else j.split(SEPARATOR) if j else [] for j, t in zip(joined.to_pylist(), b.column("whole").to_pylist())], pa.list_(pa.string()))
+                    lengths, coded = words.value_lengths().to_numpy(zero_copy_only=False), words.flatten().dictionary_encode()
+                else:
+                    words = pc.split_pattern(joined, SEPARATOR)
+                    lengths = np.where(pc.equal(joined, "").to_numpy(zero_copy_only=False), 0, words.value_lengths().to_numpy(zero_copy_only=False))
+                    coded = words.flatten().dictionary_encode()
+                names, at_name = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+                if "" in names:  # of an empty text
+                    at_name = at_name[at_name != names.index("")]
                 if len(known) + len(names) > max_words:
                     known.clear()
                 first = len(known)
                 codes = np.fromiter((known.setdefault(w, len(known)) for w in names), np.int32, len(names))
                 new = [w for w, c in zip(names, codes.tolist()) if c >= first]
-                parts = [new[i:i + WORDS_A_ROW] for i in range(0, len(new), WORDS_A_ROW)]
-                if parts:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.nulls(len(parts), pa.int64()), pa.array([False] * len(parts)), pa.nulls(len(parts), pa.binary()),
-                        pa.array(range(first, first + len(new), WORDS_A_ROW), pa.int64()), pa.array(parts, pa.list_(pa.string()))], schema=schema)
-                flat = codes[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.empty(0, np.int32)
+                if new:
+                    yield word_rows(first, new)
+                flat = codes[at_name] if len(names) else np.empty(0, np.int32)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     b.column("doc_id"), pa.array([True] * len(b)), _blobs(flat.astype("<i4"), offsets),
-                    pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.list_(pa.string()))], schema=schema)
+                    pa.nulls(len(b), pa.int64()), pa.nulls(len(b), kind), pa.nulls(len(b), pa.list_(pa.binary()))], schema=schema)
 
-    return run, "doc_id long, is_doc boolean, codes binary, first_code long, words array<string>"
+    return run, "doc_id long, is_doc boolean, codes binary, first_code long, words array<array<int>>, long_words array<binary>"
 
 
 def _write_ids(rank_file: str):
@@ -288,7 +300,7 @@ def _write_ids(rank_file: str):
                 if got.null_count:
                     ranks = ranks or read_ranks(rank_file)
                     rest = iter(b.column("long_words")[i].as_py())
-                    got = pa.array([merge_long(next(rest).encode(), ranks) if g is None else g for g in got.to_pylist()], pa.list_(pa.int32()))
+                    got = pa.array([merge_long(next(rest), ranks) if g is None else g for g in got.to_pylist()], pa.list_(pa.int32()))
                 sizes.append(got.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
                 tables.append(got.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
                 if len(tables) == 1:  # so that the next document joins them
@@ -303,13 +315,14 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, doc_id: str = "doc_id"
     """``doc_id, n_tokens, ids`` of each row; ``ids`` are little-endian unsigned 32-bit integers."""
     rows = merged_splits(pick(docs, doc_id=doc_id, text=text), SPLIT_BYTES)
     text_ = F.coalesce("text", F.lit(""))
-    odd = text_.rlike(r"\p{Cn}")  # not assigned in the JVM's Unicode version
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.when(~odd, F.regexp_extract_all(text_, F.lit("(?U)" + pattern), F.lit(0))).alias("words"),
-                       F.when(odd, text_).alias("odd_text"))
-    numbered = rows.mapInArrow(*_number_words(pattern, max_words))
-    ids = _with(rank_map(read_ranks(rank_file)), lambda ranks: F.transform("words", lambda w: fold_merges(ranks, w)))
-    folded = numbered.select("doc_id", "is_doc", "codes", "first_code", ids.alias("ids"), F.filter("words", lambda w: F.octet_length(w) > LONG_WORD).alias("long_words"))
+    # characters not assigned in the JVM's Unicode version, or the separator itself
+    odd = text_.rlike(r"[\p{Cn}\x1f]")
+    words = F.regexp_extract_all(text_, F.lit("(?U)" + pattern), F.lit(0))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(~odd, F.array_join(words, SEPARATOR)).alias("joined"), F.when(odd, text_).alias("whole"))
+    numbered = rows.mapInArrow(*_number_words(rank_file, pattern, max_words))
+    pairs = PairTable(read_ranks(rank_file))
+    ids = _with(pairs.literal(), lambda tables: F.transform("words", lambda w: F.when(w.isNotNull(), fold_merges(pairs, tables, w))))
+    folded = numbered.select("doc_id", "is_doc", "codes", "first_code", ids.alias("ids"), "long_words")
     return folded.mapInArrow(*_write_ids(rank_file))
 
 
