@@ -407,9 +407,11 @@ def generated_page(rng: np.random.Generator, vocabulary: list[str]) -> tuple[lis
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, generated: int = GENERATED, passes: int = PASSES) -> dict[str, np.ndarray]:
     """Weights from generated pages and at most ``sample_pages`` given ones of at most
     ``SAMPLE_CHARS`` characters (the pages whose hashes are smallest)."""
-    rows = (pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("html", F.xxhash64("html").alias("h"))
-            .orderBy("h").limit(sample_pages).collect())
-    given = [p for p in (blocks(r.html) for r in rows) if p]
+    hashed = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("html", F.xxhash64("html").alias("h"))
+    # first which pages, as numbers, then their text: else every task would send its smallest pages
+    chosen = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
+    rows = hashed.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).collect() if chosen else []
+    given = [p for p in (blocks(r.html) for r in sorted(rows, key=lambda r: r.h)) if p]
     words = sorted({w for p in given for b in p for w in b.text.split()}) or ["text"]
     rng, vectors = np.random.default_rng(SEED), Vectors()
     words = [words[k] for k in rng.permutation(len(words))[:20_000]]

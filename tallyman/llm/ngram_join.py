@@ -7,8 +7,8 @@ compared once.
 1. One Arrow pass hashes each document's shingles to 48 bits and writes the class
    digest, the first part of the set in a fixed order and a token bitmap (a signature).
 2. Any two linked sets share a shingle among the first 25 % of their sets in that
-   order. Shingles found in many documents of a sample come last in the order, which
-   keeps boilerplate out of these prefixes; whatever the sample says, the order is
+   order. Frequent shingles, counted in a pass of their own, come last in the order,
+   which keeps boilerplate out of these prefixes; whatever the list holds, the order is
    the same for all sets, so no link is lost.
 3. Prefix shingles are aggregated to their smallest and largest class; those with a
    single class end there. In the others each class is compared with the smallest
@@ -54,8 +54,9 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Bytes kept of a shingle's hash, and least bits of a signature for each shingle.
 HASH_BYTES = 6
 BITS_A_SHINGLE = 2
-#: The sample that finds frequent shingles: documents, and how many must share one.
-SAMPLE_DOCS, FREQUENT = 4096, 3
+#: Documents that make a shingle frequent, how many percent of each set are counted, and
+#: how many frequent shingles are kept at most (8 bytes each, broadcast).
+FREQUENT, COUNTED, MOST_FREQUENT = 24, 35, 1_000_000
 #: Classes in a node of the distributed level, about, and in a node that is not cut further.
 NODE, LEAF = 512, 8
 
@@ -154,20 +155,23 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield b.slice(at, rows)
 
 
-def frequent_shingles(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, least: int = FREQUENT) -> np.ndarray:
-    """Shingles of at least ``least`` documents of a sample. It only tunes the order, and
-    is bounded by the sample's shingles / ``least``."""
-    ids = rows.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample_docs)
+def frequent_shingles(rows: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
+    """Shingles that at least ``least`` documents have among the first part of their sets
+    (by hash); where these are more than ``most``, those of twice as many documents, and
+    so on. The list only tunes the order; ``most`` bounds what is broadcast."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = shingle_sets(b.column("text"))
             if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).astype(np.int64))], names=["token"])
-
-    sample = rows.join(F.broadcast(ids), "doc_id").select("text").distinct()  # at most sample_docs ids
-    counts = sample.mapInArrow(tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return np.sort(np.array([r.token for r in counts.select("token").collect()], np.uint64))
+                part = np.concatenate([s[:-(-COUNTED * len(s) // 100)] for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64))], names=["token"])
+
+    counts = rows.select("text").mapInArrow(tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(counts.where(F.col("n") >= least), "join-counts")
+    while counts.where(F.col("n") >= least).count() > most:
+        least *= 2
+    return np.sort(counts.where(F.col("n") >= least).select("token").toPandas()["token"].to_numpy(np.int64).astype(np.uint64))
 
 
 def classes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
