@@ -18,7 +18,10 @@ compared once.
    trees: a shingle's classes are cut into nodes by size and salt, each with the OR
    of its bitmaps, its size range and its range of components; node pairs survive
    unless they lie in one component, or their sizes or bitmaps rule out the overlap
-   needed. Surviving pairs of nodes are traversed by trees of the same kind down to
+   needed. A linked pair is looked for under its first common shingle in the order, so
+   what comes before it in either set is not shared: the overlap is at most what is
+   left of either set from there, and the smaller set must have it in its first
+   seventh. Under a frequent shingle this rules out nearly all pairs. Surviving pairs of nodes are traversed by trees of the same kind down to
    pairs of classes. Verification sifts pairs by signatures and compares whole sets,
    which are made again from the texts for the few classes that come so far.
 5. Components of all links; each document gets the smallest id of its component.
@@ -196,15 +199,17 @@ def classes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def prefix_rows(sets: DataFrame) -> DataFrame:
-    """``key, cls``: the prefix shingles of each class."""
+    """``key, cls, rest``: the prefix shingles of each class, and how many shingles of its
+    set come from there on in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             keys = [unpack(blob.as_buffer()) for blob in b.column("prefix")]
             of = np.repeat(b.column("cls").to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(of)], names=["key", "cls"])
+            rest = np.concatenate([n - np.arange(len(k)) for k, n in zip(keys, b.column("n").to_numpy())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(of), pa.array(rest.astype(np.int32))], names=["key", "cls", "rest"])
 
-    return sets.where(F.col("n") > 0).select("cls", "prefix").mapInArrow(run, "key long, cls long")
+    return sets.where(F.col("n") > 0).select("cls", "n", "prefix").mapInArrow(run, "key long, cls long, rest int")
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -265,19 +270,20 @@ def verified(pairs: DataFrame, one: DataFrame, rows: DataFrame) -> DataFrame:
 
 class _Tree:
     """A signature tree over classes sorted by size: a node holds the OR of its bitmaps,
-    its sizes' range, the most spare shingles and the range of components."""
+    its sizes' range, the most spare shingles, the most shingles from the key on, and the
+    range of components."""
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, ids: np.ndarray):
-        order = np.lexsort((ids, comp, n))
-        self.ids, n, bits, comp = ids[order], n[order], bits[order], comp[order]
+    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, ids: np.ndarray, rest: np.ndarray):
+        order = np.lexsort((ids, comp, rest, n))
+        self.ids, n, bits, comp, rest = ids[order], n[order], bits[order], comp[order], rest[order]
         spare = n - np.bitwise_count(bits).sum(-1)
         # level 0: the classes; each further level pairs neighbours
-        self.levels = [(n, n, bits, spare, comp, comp)]
+        self.levels = [(n, n, bits, spare, comp, comp, rest)]
         while len(self.levels[-1][0]) > 1:
-            low, high, orr, sp, c0, c1 = self.levels[-1]
+            low, high, orr, sp, c0, c1, left = self.levels[-1]
             at = np.arange(0, len(low), 2)
             self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.bitwise_or.reduceat(orr, at, axis=0),
-                                np.maximum.reduceat(sp, at), np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at)))
+                                np.maximum.reduceat(sp, at), np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at), np.maximum.reduceat(left, at)))
 
     def pairs_with(self, other: "_Tree") -> tuple[np.ndarray, np.ndarray]:
         """Dual traversal, level by level: pairs of nodes that may hold a link descend to
@@ -287,13 +293,18 @@ class _Tree:
         up, down = len(self.levels) - 1, len(other.levels) - 1
         while True:
             a, b = self.levels[up], other.levels[down]
-            low_a, high_a, or_a, sp_a, c0_a, c1_a = (x[i] for x in a)
-            low_b, high_b, or_b, sp_b, c0_b, c1_b = (x[j] for x in b)
+            low_a, high_a, _, sp_a, c0_a, c1_a, rest_a = (x[i] if k != 2 else None for k, x in enumerate(a))
+            low_b, high_b, _, sp_b, c0_b, c1_b, rest_b = (x[j] if k != 2 else None for k, x in enumerate(b))
             one = (c0_a == c1_a) & (c0_b == c1_b) & (c0_a == c0_b)
-            most = np.minimum(_overlap_bound(or_a, or_b, sp_a, sp_b), np.minimum(high_a, high_b))
+            most = np.minimum(np.minimum(rest_a, rest_b), np.minimum(high_a, high_b))
             keep = ~one & enough(most, low_a, low_b)
             if same and up == down:
                 keep &= i <= j if up else i < j
+            at = np.flatnonzero(keep)
+            for part in range(0, len(at), 100_000):  # bitmaps of the pairs that are left
+                k = at[part:part + 100_000]
+                bound = np.minimum(most[k], _overlap_bound(a[2][i[k]], b[2][j[k]], sp_a[k], sp_b[k]))
+                keep[k] = enough(bound, low_a[k], low_b[k])
             i, j = i[keep], j[keep]
             if not (up or down) or not len(i):
                 return self.ids[i], other.ids[j]
@@ -315,7 +326,7 @@ def _traverse(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
     words = min(pc.min(pc.binary_length(t.column("bits"))).as_py() // 8 for t in (left, right) if t is not None)
 
     def tree(t: pa.Table) -> _Tree:
-        return _Tree(t.column("n").to_numpy(), bitmaps(t.column("bits"), words), t.column("component").to_numpy(), t.column("cls").to_numpy())
+        return _Tree(t.column("n").to_numpy(), bitmaps(t.column("bits"), words), t.column("component").to_numpy(), t.column("cls").to_numpy(), t.column("rest").to_numpy())
 
     a = tree(left)
     x, y = a.pairs_with(a if right is None else tree(right))
@@ -324,11 +335,11 @@ def _traverse(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
 
 def _inside_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs inside each node; rows come sorted by node, a node may span batches."""
-    keys, held = ["key", "size_class", "salt"], None
+    keys, held = ["key", "size_class", "early", "salt"], None
 
     def pairs(rows: pa.Table, starts: list[int]) -> pa.RecordBatch:
         """Nodes begin at ``starts``, whose last element is the end of the rows."""
-        cls, n, comp = (rows.column(c).to_numpy() for c in ("cls", "n", "component"))
+        cls, n, comp, rest = (rows.column(c).to_numpy() for c in ("cls", "n", "component", "rest"))
         a, b = [], []
         for at, end in zip(starts, starts[1:]):
             if end - at > LEAF:
@@ -337,7 +348,7 @@ def _inside_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             for i in range(at, end):
                 for j in range(i + 1, end):
-                    if comp[i] != comp[j] and enough(min(n[i], n[j]), n[i], n[j]):
+                    if comp[i] != comp[j] and enough(min(n[i], n[j], rest[i], rest[j]), n[i], n[j]):
                         a.append([min(cls[i], cls[j])]), b.append([max(cls[i], cls[j])])
         a, b = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (a, b))
         both = np.unique(np.stack([a, b], axis=1), axis=0)
@@ -362,39 +373,45 @@ def _inside_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def tree_pairs(members: DataFrame, node: int = NODE) -> DataFrame:
     """Candidate pairs ``a, b`` of classes in different components under one key.
-    ``members`` has ``key, cls, n, bits, component``.
+    ``members`` has ``key, cls, rest, n, bits, component``.
 
     A key's classes are cut by size class (sizes that can link lie in the same or in
-    neighbouring classes) and, where a class is large, by salt."""
+    neighbouring classes), by whether the key comes early in the set (as it must in the
+    smaller one of a pair), and, where such a part is large, by salt."""
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + F.lit(1e-9)).cast("int")
-    members = members.withColumn("size_class", step)
-    counts = members.groupBy("key", "size_class").agg(F.count(F.lit(1)).alias("n_here"))
-    salted = members.join(counts, ["key", "size_class"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n_here") / node)).cast("int"))
-    salted = stored(salted.select("key", "size_class", "salt", "cls", "n", "bits", "component"), "join-nodes")
-
-    nodes = salted.groupBy("key", "size_class", "salt").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    inside = salted.join(nodes.where(F.col("c0") < F.col("c1")).select("key", "size_class", "salt"), ["key", "size_class", "salt"], "left_semi")
+    early = (NUMERATOR + DENOMINATOR) * F.col("rest") >= 2 * NUMERATOR * F.col("n")
+    members = members.withColumn("size_class", step).withColumn("early", early.cast("int"))
+    counts = members.groupBy("key", "size_class", "early").agg(F.count(F.lit(1)).alias("n_here"))
+    useful = members.groupBy("key").agg(F.max("early").alias("any")).where(F.col("any") == 1).select("key")
+    salted = members.join(useful, "key", "left_semi").join(counts, ["key", "size_class", "early"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n_here") / node)).cast("int"))
+    salted = stored(salted.select("key", "size_class", "early", "salt", "cls", "n", "rest", "bits", "component"), "join-nodes")
+
+    node_keys = ["key", "size_class", "early", "salt"]
+    nodes = salted.groupBy(*node_keys).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    inside = salted.where(F.col("early") == 1).join(nodes.where(F.col("c0") < F.col("c1")).select(*node_keys), node_keys, "left_semi")
     kinds = "a long, b long"
-    node_keys = ["key", "size_class", "salt"]  # hundreds of small nodes a batch, so one call a node would cost too much
-    own = inside.select(*node_keys, "cls", "n", "bits", "component").repartition(*node_keys).sortWithinPartitions(*node_keys).mapInArrow(_inside_nodes, kinds)
+    # hundreds of small nodes a batch, so one call a node would cost too much
+    own = inside.select(*node_keys, "cls", "n", "rest", "bits", "component").repartition(*node_keys).sortWithinPartitions(*node_keys).mapInArrow(_inside_nodes, kinds)
 
     # pairs of different nodes of a key: equal or neighbouring size class
-    x = nodes.select("key", F.col("size_class").alias("size_x"), F.col("salt").alias("salt_x"), F.col("low").alias("low_x"), F.col("high").alias("high_x"), F.col("c0").alias("c0_x"), F.col("c1").alias("c1_x"),
-                     F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"))
+    x = nodes.select("key", F.col("size_class").alias("size_x"), F.col("early").alias("early_x"), F.col("salt").alias("salt_x"), F.col("low").alias("low_x"),
+                     F.col("high").alias("high_x"), F.col("rest").alias("rest_x"), F.col("c0").alias("c0_x"), F.col("c1").alias("c1_x"), F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"))
     apart = x.join(nodes, ["key", "size_class"]).where(
-        ((F.col("size_x") < F.col("size_class")) | (F.col("salt_x") < F.col("salt")))
+        ((F.col("size_x") < F.col("size_class")) | (F.struct("early_x", "salt_x") < F.struct("early", "salt")))
+        & ((F.col("early_x") == 1) | (F.col("early") == 1))
+        & (F.least("rest_x", "rest") * (DENOMINATOR + NUMERATOR) >= NUMERATOR * (F.col("low_x") + F.col("low")))
         & ~((F.col("c0_x") == F.col("c1_x")) & (F.col("c0") == F.col("c1")) & (F.col("c0") == F.col("c0_x")))
         & (F.least("high_x", "high") * DENOMINATOR >= F.greatest("low_x", "low") * NUMERATOR))
-    apart = stored(apart.select("key", "size_x", "salt_x", "size_class", "salt"), "join-node-pairs")
-    cell = ["key", "size_x", "salt_x", "size_class", "salt"]
-    one = salted.withColumnsRenamed({"size_class": "size_x", "salt": "salt_x"}).join(apart, ["key", "size_x", "salt_x"])
-    two = salted.join(apart, ["key", "size_class", "salt"])
+    cell = ["key", "size_x", "early_x", "salt_x", "size_class", "early", "salt"]
+    apart = stored(apart.select(*cell), "join-node-pairs")
+    one = salted.withColumnsRenamed({"size_class": "size_x", "early": "early_x", "salt": "salt_x"}).join(apart, cell[:4])
+    two = salted.join(apart, node_keys)
 
     def between(left: pa.Table, right: pa.Table) -> pa.Table:
         return _traverse(left, right)
 
-    data = ["cls", "n", "bits", "component"]
+    data = ["cls", "n", "rest", "bits", "component"]
     two = two.select(*[F.col(c).alias(c) for c in (*cell, *data)])  # columns of its own
     across = one.select(*cell, *data).groupBy(*cell).cogroup(two.groupBy(*cell)).applyInArrow(between, kinds)
     return own.unionByName(across).distinct()
@@ -421,12 +438,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = verified(leads.select(F.col("lead").alias("a"), F.col("cls").alias("b")), one, rows)
     first = connected_components(links)
 
-    # keys whose classes lie in several components; of keys with the same classes, one
-    placed = members.select("key", "cls").join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    # keys whose classes lie in several components; of keys with the same classes, the first
+    # in the order (the one with most left of the sets)
+    placed = members.select("key", "cls", "rest").join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     placed = stored(placed, "join-placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"),
-                                      F.min("cls").alias("first"), F.max("cls").alias("last"), F.bit_xor("cls").alias("all"), F.bit_xor(F.xxhash64("cls")).alias("all2"))
-    mixed = mixed.where(F.col("c0") < F.col("c1")).groupBy("n", "first", "last", "all", "all2").agg(F.min("key").alias("key"))
+                                      F.min("cls").alias("first"), F.max("cls").alias("last"), F.bit_xor("cls").alias("all"), F.bit_xor(F.xxhash64("cls")).alias("all2"), F.sum("rest").alias("rest"))
+    mixed = mixed.where(F.col("c0") < F.col("c1")).groupBy("n", "first", "last", "all", "all2").agg(F.max_by("key", F.struct("rest", "key")).alias("key"))
     mixed = stored(mixed, "join-mixed")
     twos = mixed.where(F.col("n") == 2).select(F.col("first").alias("a"), F.col("last").alias("b"))  # a pair as it is
     rest = placed.join(mixed.where(F.col("n") > 2).select("key"), "key", "left_semi").join(one.select("cls", "n", "bits"), "cls")
