@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def falsy(c: Column) -> Column:
@@ -32,13 +33,20 @@ def first_failure(rules: Sequence[tuple[str, Column]]) -> Column:
     return out
 
 
+#: Tasks that rows without a key are spread over in a key check.
+NULL_KEY_SLICES = 64
+
+
 def with_key_check(df: DataFrame, dim: DataFrame, col: str, flag: str) -> DataFrame:
     """Add boolean ``flag``: the non-NULL ``col`` has no row in ``dim`` (a
-    foreign-key violation). A left join on the key, so a large dimension
-    shuffles and a small one is broadcast by Spark's size check."""
-    keys = dim.select(F.col("id").alias(col)).distinct().withColumn("_found", F.lit(True))
-    return (df.join(keys, col, "left")
-            .withColumn(flag, F.col(col).isNotNull() & F.col("_found").isNull()).drop("_found"))
+    foreign-key violation). ``dim``'s ids are unique, so a plain left join keeps the
+    rows: a large dimension shuffles (and Spark may split a hot key), a small one is
+    broadcast by Spark's size check. Rows without a key, such as all anonymous sales,
+    match nothing; a second key spreads them."""
+    keys = dim.select(F.col("id").alias("_key"), F.lit(0).alias("_key_slice"), F.lit(True).alias("_found"))
+    spread = F.when(F.col(col).isNull(), 1 + F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]), F.lit(NULL_KEY_SLICES))).otherwise(0)
+    return (df.withColumn("_slice", spread.cast("int")).join(keys, (F.col(col) == F.col("_key")) & (F.col("_slice") == F.col("_key_slice")), "left")
+            .withColumn(flag, F.col(col).isNotNull() & F.col("_found").isNull()).drop("_key", "_key_slice", "_found", "_slice"))
 
 
 def accepted(df: DataFrame) -> DataFrame:
@@ -47,18 +55,3 @@ def accepted(df: DataFrame) -> DataFrame:
 
 def rejected(df: DataFrame) -> DataFrame:
     return df.where(F.col("reject_reason").isNotNull())
-
-
-MAX_ATTACHED_LIST = 100_000  # entries a scalar-subquery list may carry to every row
-
-
-def bounded_list(df: DataFrame, item, what: str) -> Column:
-    """A scalar subquery holding ``collect_list(item)`` over a small
-    dimension, attached to every row of another DataFrame. The bound is
-    checked where the list is built: past it the job fails with a message
-    instead of shipping an unbounded list to every task."""
-    n = F.count(F.lit(1))
-    return df.select(
-        F.when(n <= MAX_ATTACHED_LIST, F.collect_list(item))
-        .otherwise(F.raise_error(F.lit(f"{what}: more than {MAX_ATTACHED_LIST} entries to attach to every row")))
-        .alias("_list")).scalar()

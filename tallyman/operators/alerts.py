@@ -25,7 +25,6 @@ NOTIFICATION_COLS = ["branch_id", "customer_id", "alert_type", "message", "sever
 VARIANCE_PCT = 5
 VARIANCE_CRITICAL_PCT = 15
 TARGET_PCT = 80
-DEFAULT_RUN_DATE = dt.date(2001, 8, 1)
 
 
 def _shape(df: DataFrame, alert_type: str, message: Column, severity: Column, alert_date: Column) -> DataFrame:
@@ -59,7 +58,7 @@ def profit_alerts(t: Tables, on: dt.date | None = None, profit: DataFrame | None
     return _shape(p, "negative_profit", msg, F.lit("critical"), F.col("report_date"))
 
 
-def target_alerts(t: Tables, run_date: dt.date = DEFAULT_RUN_DATE, profit: DataFrame | None = None) -> DataFrame:
+def target_alerts(t: Tables, run_date: dt.date, profit: DataFrame | None = None) -> DataFrame:
     """A3: every target (finished, running or future) below 80 % (NULL
     excluded), dated on the run date. ``"{branch} is at {pct}% of its
     {period} target"``."""
@@ -69,7 +68,7 @@ def target_alerts(t: Tables, run_date: dt.date = DEFAULT_RUN_DATE, profit: DataF
     return _shape(p, "target_performance", msg, F.lit("warning"), F.lit(run_date))
 
 
-def alert_feed(t: Tables, run_date: dt.date = DEFAULT_RUN_DATE) -> DataFrame:
+def alert_feed(t: Tables, run_date: dt.date) -> DataFrame:
     """A4: variance, loss, target and credit-crossing alerts as one
     notifications-shaped DataFrame (unread)."""
     credit = credit_limit_crossings(t).select(*NOTIFICATION_COLS)
@@ -78,7 +77,7 @@ def alert_feed(t: Tables, run_date: dt.date = DEFAULT_RUN_DATE) -> DataFrame:
             .unionByName(target_alerts(t, run_date, profit=profit)).unionByName(credit))
 
 
-def regenerated_scope(t: Tables, run_date: dt.date = DEFAULT_RUN_DATE, profit: DataFrame | None = None) -> DataFrame:
+def regenerated_scope(t: Tables, run_date: dt.date, profit: DataFrame | None = None) -> DataFrame:
     """The (alert_type, alert_date) pairs one regeneration run replaces: the
     variance check for every stock day, the loss check for every report
     day, the target check for the run date."""
@@ -99,7 +98,7 @@ def replace_alert_partitions(existing: DataFrame, fresh: DataFrame, scope: DataF
     return kept.select(*NOTIFICATION_COLS).unionByName(fresh.select(*NOTIFICATION_COLS))
 
 
-def regenerate_alerts(t: Tables, run_date: dt.date = DEFAULT_RUN_DATE) -> DataFrame:
+def regenerate_alerts(t: Tables, run_date: dt.date) -> DataFrame:
     """A5: the notifications table after one run of the three checks."""
     profit = daily_branch_profit(t)
     fresh = (variance_alerts(t).unionByName(profit_alerts(t, profit=profit))

@@ -72,8 +72,8 @@ def customer_balances(t: Tables) -> DataFrame:
 def balance_history(t: Tables) -> DataFrame:
     """Every balance change in arrival order with the balance before and
     after it, and the customer's name and limit."""
-    ev = running_total(balance_events(t), ["customer_id"], F.to_date("created_at"),
-                       [F.col("created_at"), F.col("kind"), F.col("event_id")], "delta", "balance_after")
+    ev = running_total(balance_events(t), ["customer_id"], [F.col("created_at"), F.col("kind"), F.col("event_id")],
+                       "delta", "balance_after")
     cu = t["customers"].select(F.col("id").alias("customer_id"), "name", "credit_limit")
     return (ev.join(cu, "customer_id")
             .withColumn("balance_before", F.col("balance_after") - F.col("delta")))
@@ -132,7 +132,7 @@ def customer_statement(t: Tables) -> DataFrame:
         F.lit("Payment received").alias("description"), F.col("amount").cast("decimal(22,4)").alias("amount"))
     known = t["customers"].select(F.col("id").alias("customer_id"))
     ledger = charges.unionByName(pays).join(known, "customer_id", "left_semi")
-    out = running_total(ledger, ["customer_id"], F.col("entry_date"),
-                        [F.col("kind"), F.col("created_at"), F.col("entry_id")], "amount", "running_balance")
+    out = running_total(ledger, ["customer_id"],
+                        [F.col("entry_date"), F.col("kind"), F.col("created_at"), F.col("entry_id")], "amount", "running_balance")
     return out.select("customer_id", "entry_type", "entry_id", "entry_date", "created_at", "description",
                       "amount", "running_balance")

@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyman.functions.ranking import with_position
+from tallyman.functions.prefix import with_position
 from tallyman.operators.credit import customer_balances
 
 Tables = Mapping[str, DataFrame]
@@ -33,13 +33,13 @@ def _names(t: Tables, table: str, prefix: str) -> DataFrame:
 def list_branches(t: Tables) -> DataFrame:
     """L1: main branch first, then by name (with each row's position)."""
     b = t["branches"].select("id", "name", "is_main")
-    return with_position(b, "is_main", True, [F.col("name"), F.col("id")]).orderBy("position")
+    return with_position(b, [F.col("is_main").desc(), F.col("name"), F.col("id")]).orderBy("position")
 
 
 def list_products(t: Tables) -> DataFrame:
     """L2: meat before by-products, then by name (with each row's position)."""
     p = t["products"].select("id", "name", "price_per_kg", "is_byproduct")
-    return with_position(p, "is_byproduct", False, [F.col("name"), F.col("id")]).orderBy("position")
+    return with_position(p, [F.col("is_byproduct"), F.col("name"), F.col("id")]).orderBy("position")
 
 
 def list_daily_stock(t: Tables, date: dt.date | None = None, branch_id: int | None = None) -> DataFrame:
@@ -111,4 +111,4 @@ def list_notifications(t: Tables, is_read: str | None = None, branch_id: int | N
     n = _where(n, branch_id=branch_id)
     return (n.join(_names(t, "branches", "branch"), "branch_id", "left")
             .join(_names(t, "customers", "customer"), "customer_id", "left")
-            .orderBy(F.col("alert_date").desc(), F.col("id").desc()))
+            .orderBy(F.col("created_at").desc(), F.col("id").desc()))

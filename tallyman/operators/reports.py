@@ -8,8 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyman.functions.ranking import with_position
-from tallyman.functions.rules import bounded_list
+from tallyman.functions.prefix import with_position
 from tallyman.operators.profit import branch_target_progress, daily_branch_profit
 from tallyman.operators.stock import daily_stock_variance
 
@@ -60,8 +59,11 @@ def branch_report(t: Tables, date: dt.date | None = None, branch_id: int | None
     if date is not None:
         profit = profit.where(F.col("report_date") == F.lit(date))
         var = var.where(F.col("stock_date") == F.lit(date))
-    spine = (profit.select("branch_id", "report_date")
-             .unionByName(var.select("branch_id", F.col("stock_date").alias("report_date"))).distinct())
+    if branch_id is not None and date is not None:
+        # a requested day is always answered, even without any fact
+        spine = t["branches"].where(F.col("id") == branch_id).select(F.col("id").alias("branch_id"), F.lit(date).alias("report_date"))
+    else:
+        spine = None
     names = t["branches"].select(F.col("id").alias("branch_id"), F.col("name").alias("branch_name"))
     if rendered:
         var_lists = _variance_items(var, ["product_name", "daily_stock_id", "variance_kg", "variance_pct"])
@@ -87,10 +89,11 @@ def branch_report(t: Tables, date: dt.date | None = None, branch_id: int | None
         out = [F.coalesce("stock_variance", F.array()).alias("stock_variance"),
                F.coalesce("targets", F.array()).alias("targets")]
         head = ["branch_id", "branch_name", "report_date", "profit"]
-    return (spine.join(names, "branch_id").join(prof, ["branch_id", "report_date"], "left")
-            .join(var_lists, ["branch_id", "report_date"], "left")
-            .join(tgt_lists, "branch_id", "left")
-            .select(*head, *out))
+    if spine is None:
+        body = prof.join(var_lists, ["branch_id", "report_date"], "full_outer")  # the days that have either
+    else:
+        body = spine.join(prof, ["branch_id", "report_date"], "left").join(var_lists, ["branch_id", "report_date"], "left")
+    return body.join(names, "branch_id").join(tgt_lists, "branch_id", "left").select(*head, *out)
 
 
 def branch_comparison(t: Tables) -> DataFrame:
@@ -98,9 +101,8 @@ def branch_comparison(t: Tables) -> DataFrame:
     with NULL percentages first (the reference database's DESC order)."""
     r = branch_target_progress(t).select("branch_id", "branch_name", "period_type", "period_start",
                                          "target_amount", "actual_profit", "pct_of_target")
-    return (with_position(r, "period_start", True,
-                          [F.col("pct_of_target").desc_nulls_first(), F.col("branch_id"), F.col("period_type")])
-            .orderBy("position"))
+    return with_position(r, [F.col("period_start").desc(), F.col("pct_of_target").desc_nulls_first(), F.col("branch_id"),
+                             F.col("period_type")]).orderBy("position")
 
 
 def latest_target_comparison(t: Tables) -> DataFrame:
@@ -110,12 +112,19 @@ def latest_target_comparison(t: Tables) -> DataFrame:
             .where(F.col("_rn") == 1).drop("_rn"))
 
 
+#: Slices of a branch-day's detail rows.
+DAY_SLICES = 16
+
+
 def _with_day_total(df: DataFrame, date_col: str, amount) -> DataFrame:
-    """Detail rows plus the (branch, day) total: aggregate then join, so a
-    hot branch-day is summed map-side instead of in one window task."""
+    """Detail rows plus the (branch, day) total. The total is summed map-side; it
+    joins once per slice of the day, so the detail rows of a hot branch-day meet it
+    in ``DAY_SLICES`` tasks instead of one."""
     d = df.withColumn("amount", amount)
     tot = d.groupBy("branch_id", date_col).agg(F.sum("amount").alias("day_total"))
-    return d.join(tot, ["branch_id", date_col])
+    tot = tot.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(DAY_SLICES - 1))))
+    d = d.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(DAY_SLICES)).cast("int"))
+    return d.join(tot, ["branch_id", date_col, "_slice"]).drop("_slice")
 
 
 def sales_day_total(t: Tables) -> DataFrame:
@@ -147,19 +156,33 @@ def variance_flags(t: Tables) -> DataFrame:
                     (F.abs(F.coalesce(F.col("variance_pct"), F.lit(0))) > VARIANCE_FLAG_PCT).alias("flagged"))
 
 
-def closing_sheet(t: Tables) -> DataFrame:
-    """The night-count sheet of every (branch, day) that has stock rows:
-    every product, with its closing weight or blank (NULL) when the day has
-    no row for it. The product list (a bounded dimension) is attached with
-    a scalar subquery, not a join."""
+def closing_sheet(t: Tables, date: dt.date | None = None, branch_id: int | None = None) -> DataFrame:
+    """The night-count sheet of every (branch, day) that has stock rows, or of the
+    given ones: every product, with its closing weight or blank (NULL) when the day
+    has no row for it.
+
+    Products get positions by id. The blanks of a day are the gaps between the
+    positions it has, so they are generated from its own rows, and their products are
+    found by an equi-join on the position; products are never joined with all days."""
     ds = t["daily_stock"]
-    products = bounded_list(t["products"], F.struct("id", "name"), "closing sheet products")
-    spine = ds.select("branch_id", "stock_date").distinct()
-    sheet = spine.select("branch_id", "stock_date", F.explode(products).alias("p")).select(
-        "branch_id", "stock_date", F.col("p.id").alias("product_id"), F.col("p.name").alias("product_name"))
-    rows = ds.select("branch_id", "product_id", "stock_date", "closing_kg")
-    return (sheet.join(rows, ["branch_id", "product_id", "stock_date"], "left")
-            .withColumn("entered", F.col("closing_kg").isNotNull()))
+    if branch_id is not None:
+        ds = ds.where(F.col("branch_id") == branch_id)
+    if date is not None:
+        ds = ds.where(F.col("stock_date") == F.lit(date))
+    products = with_position(t["products"].select(F.col("id").alias("product_id"), F.col("name").alias("product_name")), [F.col("product_id")])
+    entered = (ds.select("branch_id", "product_id", "stock_date", "closing_kg").join(products, "product_id")
+               .withColumn("entered", F.col("closing_kg").isNotNull()))
+    days = ds.select("branch_id", "stock_date").distinct()
+    end = t["products"].agg(F.count(F.lit(1)) + 1).scalar()  # one number: the position behind the last
+    has = entered.select("branch_id", "stock_date", "position").unionByName(days.withColumn("position", F.lit(0).cast("bigint")))
+    following = F.lead("position").over(Window.partitionBy("branch_id", "stock_date").orderBy("position"))
+    gaps = has.select("branch_id", "stock_date", (F.col("position") + 1).alias("low"), (F.coalesce(following, end) - 1).alias("high"))
+    blank = (gaps.where(F.col("low") <= F.col("high"))
+             .select("branch_id", "stock_date", F.explode(F.sequence("low", "high")).alias("position")).join(products, "position")
+             .select("branch_id", "product_id", "stock_date", F.lit(None).cast(ds.schema["closing_kg"].dataType).alias("closing_kg"),
+                     "product_name", F.lit(False).alias("entered")))
+    cols = ["branch_id", "stock_date", "product_id", "product_name", "closing_kg", "entered"]
+    return entered.select(*cols).unionByName(blank.select(*cols))
 
 
 def default_branch(t: Tables) -> DataFrame:

@@ -12,24 +12,28 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyman.functions.rules import bounded_list
-
 Tables = Mapping[str, DataFrame]
 
 
-def scoped_pairs(users: DataFrame, rows: DataFrame, row_id: str = "id", branch_col: str = "branch_id") -> DataFrame:
-    """(user, row) pairs a user may see. Attendants join on their branch;
-    admins, a small set, are attached to every row as a scalar-subquery
-    list (no cross join, no non-equi join)."""
-    staff = users.where(F.col("role") == "attendant").select(
-        F.col("id").alias("user_id"), F.col("role"), F.col("branch_id").alias(branch_col))
-    r = rows.select(F.col(row_id).alias("row_id"), branch_col)
-    staff_pairs = r.join(staff, branch_col).select("user_id", "role", "row_id", branch_col)
-    admins = bounded_list(users.where(F.col("role") == "admin"), F.col("id"), "admin users")
-    admin_pairs = r.select(F.explode(admins).alias("user_id"), F.lit("admin").alias("role"), "row_id", branch_col)
-    return staff_pairs.unionByName(admin_pairs)
+def visible_rows(rows: DataFrame, role: str, branch_id: int | None, branch_col: str = "branch_id") -> DataFrame:
+    """The rows one user may see: a filter that reaches the scan. An attendant
+    without a branch sees nothing."""
+    if role == "admin":
+        return rows
+    return rows.where(F.col(branch_col) == F.lit(branch_id).cast("bigint"))
+
+
+def row_audience(users: DataFrame, rows: DataFrame, row_id: str = "id", branch_col: str = "branch_id") -> DataFrame:
+    """Who may see each row, one row for each: how many attendants of its branch and
+    the first of them (NULL if none), and whether there is an admin, who sees all."""
+    staff = (users.where((F.col("role") == "attendant") & F.col("branch_id").isNotNull()).groupBy(F.col("branch_id").alias(branch_col))
+             .agg(F.count(F.lit(1)).alias("n_attendants"), F.min("id").alias("first_attendant_id")))
+    has_admin = users.where(F.col("role") == "admin").agg(F.count(F.lit(1)) > 0).scalar()  # one boolean
+    return (rows.select(F.col(row_id).alias("row_id"), branch_col).join(staff, branch_col, "left")
+            .select("row_id", branch_col, F.coalesce("n_attendants", F.lit(0)).alias("n_attendants"), "first_attendant_id",
+                    has_admin.alias("admin_sees")))
 
 
 def branch_scope(t: Tables) -> DataFrame:
-    """X1 over sales: every (user, sale) pair the user may see."""
-    return scoped_pairs(t["users"], t["sales"])
+    """X1 over sales: the audience of every sale."""
+    return row_audience(t["users"], t["sales"])

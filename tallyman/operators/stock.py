@@ -60,7 +60,7 @@ def opening_stock_fill(t: Tables, table: str = "daily_stock_unfilled") -> DataFr
     a given opening stays. Days are unique per key, so the latest earlier
     row is the previous row of the (branch, product) window."""
     ds = t[table]
-    filled = F.coalesce(F.col("opening_kg"), _previous_closing(), F.lit(0)).cast("decimal(8,2)")
+    filled = F.coalesce(F.col("opening_kg"), _previous_closing(), F.lit(0)).cast("decimal(28,2)")
     return ds.select("id", "branch_id", "product_id", "stock_date",
                      filled.alias("opening_kg"), "received_kg", "closing_kg",
                      F.col("opening_kg").isNull().alias("opening_filled"))
@@ -87,10 +87,10 @@ def _merge_into_stock(existing: DataFrame, incoming: DataFrame, received, closin
     the unique key). Existing rows keep their opening; created rows take the
     previous day's closing of the merged table (T1), else 0."""
     j = existing.select(*LEDGER_COLS, F.lit(True).alias("_old")).join(incoming, KEY, "full_outer")
-    rows = j.select(*KEY, "opening_kg", received.cast("decimal(8,2)").alias("received_kg"),
-                    closing.cast("decimal(8,2)").alias("closing_kg"), F.col("_old").isNull().alias("created"))
+    rows = j.select(*KEY, "opening_kg", received.cast("decimal(28,2)").alias("received_kg"),
+                    closing.cast("decimal(28,2)").alias("closing_kg"), F.col("_old").isNull().alias("created"))
     opening = F.when(F.col("created"), F.coalesce(_previous_closing(), F.lit(0))).otherwise(F.col("opening_kg"))
-    return rows.select(*KEY, opening.cast("decimal(8,2)").alias("opening_kg"), "received_kg", "closing_kg",
+    return rows.select(*KEY, opening.cast("decimal(28,2)").alias("opening_kg"), "received_kg", "closing_kg",
                        "created")
 
 
@@ -117,10 +117,10 @@ def stock_ledger_build(t: Tables) -> DataFrame:
     Σ transfers, closing = last count (0 if none), opening = previous
     day's final closing (0 for the first day)."""
     j = transfers_per_stock_day(t).join(last_counts(t), KEY, "full_outer")
-    closing = F.coalesce(F.col("counted"), F.lit(0)).cast("decimal(8,2)")
-    rows = j.select(*KEY, F.coalesce(F.col("received_in"), F.lit(0)).cast("decimal(8,2)").alias("received_kg"),
+    closing = F.coalesce(F.col("counted"), F.lit(0)).cast("decimal(28,2)")
+    rows = j.select(*KEY, F.coalesce(F.col("received_in"), F.lit(0)).cast("decimal(28,2)").alias("received_kg"),
                     closing.alias("closing_kg"))
-    return rows.select(*KEY, F.coalesce(_previous_closing(), F.lit(0)).cast("decimal(8,2)").alias("opening_kg"),
+    return rows.select(*KEY, F.coalesce(_previous_closing(), F.lit(0)).cast("decimal(28,2)").alias("opening_kg"),
                        "received_kg", "closing_kg")
 
 
@@ -197,6 +197,6 @@ def stock_ledger_replay(t: Tables) -> DataFrame:
     bounded by the calendar, not by the data volume (transfers are
     pre-aggregated to one row per stock day before the shuffle)."""
     rows = _ledger_events(t).groupBy("branch_id", "product_id").applyInPandas(_replay_group, REPLAY_SCHEMA)
-    kg = lambda c: (F.col(c).cast("decimal(18,0)") / 100).cast("decimal(8,2)")
+    kg = lambda c: (F.col(c).cast("decimal(28,0)") / 100).cast("decimal(28,2)")
     return rows.select(*KEY, kg("opening_h").alias("opening_kg"), kg("received_h").alias("received_kg"),
                        kg("closing_h").alias("closing_kg"), "created_at")

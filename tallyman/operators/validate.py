@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyman.functions.rules import falsy, falsy_text, first_failure, with_key_check
 from tallyman.sources.schemas import (
-    ALERT_TYPES, ANIMAL_TYPES, CUSTOMER_TYPES, DISCOUNT_REASONS, PAYMENT_TYPES, SEVERITIES, USER_ROLES,
+    ALERT_TYPES, ANIMAL_TYPES, CUSTOMER_TYPES, DISCOUNT_REASONS, PAYMENT_TYPES, SCHEMAS, SEVERITIES, USER_ROLES,
 )
 
 Tables = Mapping[str, DataFrame]
@@ -85,22 +85,26 @@ def validate_carcass_purchases(t: Tables) -> DataFrame:
 
 
 def validate_breakdown_batches(t: Tables) -> DataFrame:
-    """V4: one breakdown post per carcass with its items, saved all or
-    nothing: one bad item rejects every item of the batch. The batch's
-    reason is the batch check, else the first item (by position) failing
-    the API checks, else the first failing the database's."""
+    """V4: posts of a carcass's breakdown items, each saved all or nothing: one bad item
+    rejects every item of its post. A post's reason is the post check, else the first
+    item (by position) failing the API checks, else the first failing the database's
+    (with pairs the table already holds, and repeats inside the post), else a pair that
+    an earlier accepted post of the same carcass took. Posts are decided in ``post_id``
+    order; a rejected post takes no pairs. Every post gives at least one row."""
     c = F.col
     b = t["raw_breakdown_batches"]
-    items = b.select("carcass_purchase_id", F.size(F.coalesce(c("items"), F.array())).alias("_n"),
+    items = b.select("post_id", "carcass_purchase_id", F.size(F.coalesce(c("items"), F.array())).alias("_n"),
                      F.posexplode_outer("items").alias("pos", "item"))
-    items = items.select("carcass_purchase_id", "_n", "pos", c("item.product_id").alias("product_id"),
+    items = items.select("post_id", "carcass_purchase_id", "_n", "pos", c("item.product_id").alias("product_id"),
                          c("item.output_weight_kg").alias("output_weight_kg"),
                          c("item.expected_yield_pct").alias("expected_yield_pct"))
     items = with_key_check(items, t["products"], "product_id", "_no_product")
     items = with_key_check(items, t["carcass_purchases"], "carcass_purchase_id", "_no_carcass")
-    dup = F.row_number().over(Window.partitionBy("carcass_purchase_id", "product_id").orderBy("pos")) > 1
-    items = items.withColumn("_dup", c("pos").isNotNull() & c("product_id").isNotNull() & dup)
-    batch_rule = first_failure([("missing_required", falsy(c("carcass_purchase_id")) | (c("_n") == 0))])
+    stored = t["stored_breakdown_pairs"].select("carcass_purchase_id", "product_id").distinct()
+    items = items.join(stored.withColumn("_stored", F.lit(True)), ["carcass_purchase_id", "product_id"], "left")
+    repeat = F.row_number().over(Window.partitionBy("post_id", "product_id").orderBy("pos")) > 1  # a post's items
+    items = items.withColumn("_dup", c("product_id").isNotNull() & (F.coalesce(c("_stored"), F.lit(False)) | repeat))
+    post_rule = first_failure([("missing_required", falsy(c("carcass_purchase_id")) | (c("_n") == 0))])
     api_rule = first_failure([
         ("bad_item", falsy(c("product_id")) | c("output_weight_kg").isNull() | c("expected_yield_pct").isNull()),
         ("negative_output", c("output_weight_kg") < 0),
@@ -111,14 +115,29 @@ def validate_breakdown_batches(t: Tables) -> DataFrame:
         ("unknown_product", c("_no_product")),
         ("duplicate_product", c("_dup")),
     ])
-    items = items.withColumn("_batch", batch_rule).withColumn("_api", api_rule).withColumn("_db", db_rule)
-    per_batch = items.groupBy("carcass_purchase_id").agg(
-        F.first("_batch", ignorenulls=True).alias("_batch"),
+    checked = items.withColumn("_post", post_rule).withColumn("_api", api_rule).withColumn("_db", db_rule)
+    per_post = checked.groupBy("post_id", "carcass_purchase_id").agg(
+        F.first("_post", ignorenulls=True).alias("_post"),
         F.min_by("_api", F.when(c("_api").isNotNull(), c("pos"))).alias("_api"),
-        F.min_by("_db", F.when(c("_db").isNotNull(), c("pos"))).alias("_db"))
-    return (items.drop("_batch", "_api", "_db").join(per_batch, "carcass_purchase_id")
-            .select("carcass_purchase_id", "pos", "product_id", "output_weight_kg", "expected_yield_pct",
-                    F.coalesce("_batch", "_api", "_db").alias("reject_reason")))
+        F.min_by("_db", F.when(c("_db").isNotNull(), c("pos"))).alias("_db"),
+        F.collect_set("product_id").alias("_products"))
+    per_post = per_post.select("post_id", "carcass_purchase_id", "_products", F.coalesce("_post", "_api", "_db").alias("_alone"))
+
+    # posts good by themselves, folded in order: a post passes if none of its products is taken
+    def decide(state, post):
+        clash = F.arrays_overlap(state["taken"], post["products"])
+        return F.struct(F.when(clash, state["taken"]).otherwise(F.array_union(state["taken"], post["products"])).alias("taken"),
+                        F.when(clash, F.concat(state["late"], F.array(post["post_id"]))).otherwise(state["late"]).alias("late"))
+
+    posts = (per_post.where(c("_alone").isNull()).groupBy("carcass_purchase_id")
+             .agg(F.array_sort(F.collect_list(F.struct("post_id", c("_products").alias("products")))).alias("posts"))
+             .where(F.size("posts") > 1))
+    none = F.array().cast("array<bigint>")
+    late = posts.select(F.explode(F.aggregate("posts", F.struct(none.alias("taken"), none.alias("late")), decide, lambda s: s["late"])).alias("post_id"))
+    per_post = per_post.join(late.withColumn("_late", F.lit("duplicate_product")), "post_id", "left")
+    reasons = per_post.select("post_id", F.coalesce("_alone", "_late").alias("reject_reason"))
+    return (items.join(reasons, "post_id")
+            .select("post_id", "carcass_purchase_id", "pos", "product_id", "output_weight_kg", "expected_yield_pct", "reject_reason"))
 
 
 def validate_branch_transfers(t: Tables) -> DataFrame:
@@ -187,6 +206,10 @@ def validate_customers(t: Tables) -> DataFrame:
                     first_failure(rules).alias("reject_reason"))
 
 
+#: The tables of the reference's schema (night counts are a separate source).
+STORED_TABLES = tuple(n for n in SCHEMAS if n != "closing_counts")
+
+
 # --- V9: constraint audit of stored tables ----------------------------------------
 def _check_counts(df: DataFrame, table: str, checks: list[tuple[str, object]]) -> DataFrame:
     """One pass over ``df`` counting the rows that break each CHECK (a NULL
@@ -277,6 +300,13 @@ def constraint_report(t: Tables) -> DataFrame:
              ((c("role") == "admin") & c("branch_id").isNull()) | ((c("role") == "attendant") & c("branch_id").isNotNull()))]),
         _fk_count(u, "users", "branch_id", b, "branches"),
     ]
+    parts.append(_unique_count(u, "users", ["username"]))
+    for table, schema in SCHEMAS.items():
+        required = [f.name for f in schema.fields if not f.nullable]
+        if table in STORED_TABLES:
+            parts.append(_check_counts(t[table], table, [(f"{name} not null", c(name).isNotNull()) for name in required]))
+            if "id" in required:
+                parts.append(_unique_count(t[table], table, ["id"]))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -29,7 +29,7 @@ FIXTURE_CTES: dict[str, str] = {
         UNION ALL
         SELECT id, 'attendant_' || CAST(id AS VARCHAR), 'attendant', id FROM m_branches""",
     "m_sales": """
-        SELECT ((l.l_orderkey * 10 + l.l_linenumber) * 100000 + l.l_partkey) * 10000 + l.l_suppkey AS id,
+        SELECT CAST('0x' || substr(md5(concat_ws('-', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey)), 1, 15) AS BIGINT) AS id,
                CAST(c.c_nationkey + 1 AS BIGINT) AS branch_id,
                CAST(l.l_partkey % 6 + 1 AS BIGINT) AS product_id,
                CASE WHEN l.l_returnflag <> 'R' AND l.l_orderkey % 3 = 0 THEN NULL ELSE o.o_custkey END
@@ -51,8 +51,7 @@ FIXTURE_CTES: dict[str, str] = {
         SELECT o_orderkey AS id, o_custkey AS customer_id, CAST(c_nationkey + 1 AS BIGINT) AS branch_id,
                CAST(o_orderdate AS DATE) AS payment_date,
                CAST(floor(o_totalprice / 10) + 1 AS DECIMAL(12,2)) AS amount, o_orderdate AS created_at
-        FROM orders JOIN customer ON c_custkey = o_custkey
-        WHERE o_orderstatus = 'F'""",
+        FROM orders JOIN customer ON c_custkey = o_custkey""",
     "m_expenses": """
         SELECT event_id AS id, CAST(user_id % 25 + 1 AS BIGINT) AS branch_id,
                CAST(DATE '1995-01-01' + CAST(event_id % 2404 AS INTEGER) AS DATE) AS expense_date,
@@ -87,47 +86,54 @@ FIXTURE_CTES: dict[str, str] = {
                 FROM lineitem GROUP BY 1, 2) per
           JOIN m_carcass_purchases cp ON cp.id = per.l_orderkey)""",
     "m_branch_transfers": """
-        SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id,
+        SELECT CAST('0x' || substr(md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15) AS BIGINT) AS id,
                l_orderkey * 10 + (l_partkey % 6 + 1) AS breakdown_record_id,
                CAST(l_suppkey % 25 + 1 AS BIGINT) AS to_branch_id,
                CAST(l_quantity AS DECIMAL(8,2)) AS weight_sent_kg,
                CAST(l_shipdate AS DATE) AS transfer_date, l_shipdate AS created_at
         FROM lineitem""",
+    "m_sold_days": """
+        SELECT branch_id, product_id, sale_date AS stock_date, sum(weight_kg) AS sold FROM m_sales GROUP BY ALL""",
     "m_stock_keys": """
         SELECT k.branch_id, k.product_id, k.stock_date, s.sold,
                (k.branch_id * 31 + k.product_id * 7 + day(k.stock_date)) % 20 AS h
-        FROM (
-          SELECT branch_id, product_id, sale_date AS stock_date FROM m_sales
-          UNION
-          SELECT CAST(l_suppkey % 25 + 1 AS BIGINT), CAST(l_partkey % 6 + 1 AS BIGINT),
-                 CAST(l_shipdate AS DATE) FROM lineitem) k
-        LEFT JOIN (SELECT branch_id, product_id, sale_date, sum(weight_kg) AS sold
-                   FROM m_sales GROUP BY 1, 2, 3) s
-          ON s.branch_id = k.branch_id AND s.product_id = k.product_id AND s.sale_date = k.stock_date""",
+        FROM (SELECT DISTINCT CAST(l_suppkey % 25 + 1 AS BIGINT) AS branch_id, CAST(l_partkey % 6 + 1 AS BIGINT) AS product_id,
+                     CAST(l_shipdate AS DATE) AS stock_date FROM lineitem) k
+        LEFT JOIN m_sold_days s USING (branch_id, product_id, stock_date)""",
     "m_daily_stock": """
         SELECT (branch_id * 10 + product_id) * 100000 + (stock_date - DATE '1970-01-01') AS id,
                branch_id, product_id, stock_date,
-               CAST(CASE WHEN h = 19 THEN 0 ELSE 20 END AS DECIMAL(8,2)) AS opening_kg,
-               CAST(CASE WHEN h = 19 THEN 0 ELSE coalesce(sold, 0) + 30 END AS DECIMAL(8,2)) AS received_kg,
+               CAST(CASE WHEN h = 19 THEN 0 ELSE 20 END AS DECIMAL(28,2)) AS opening_kg,
+               CAST(CASE WHEN h = 19 THEN 0 ELSE coalesce(sold, 0) + 30 END AS DECIMAL(28,2)) AS received_kg,
                CAST(CASE WHEN h = 19 THEN 0 WHEN h < 10 THEN 50 WHEN h < 14 THEN 45 WHEN h < 17 THEN 20
-                         ELSE 58 END AS DECIMAL(8,2)) AS closing_kg
-        FROM m_stock_keys WHERE h <> 18""",
+                         ELSE 58 END AS DECIMAL(28,2)) AS closing_kg,
+               CAST(stock_date + 1 AS TIMESTAMP) AS created_at
+        FROM m_stock_keys""",
     "m_daily_stock_unfilled": """
         SELECT id, branch_id, product_id, stock_date,
                CASE WHEN (branch_id * 31 + product_id * 7 + day(stock_date)) % 20 % 2 = 0 THEN NULL
                     ELSE opening_kg END AS opening_kg, received_kg, closing_kg
         FROM m_daily_stock""",
+    "m_counted_days": """
+        SELECT id, branch_id, product_id, stock_date, closing_kg,
+               (branch_id * 31 + product_id * 7 + day(stock_date)) % 20 AS h
+        FROM (SELECT id, branch_id, product_id, stock_date, closing_kg FROM m_daily_stock
+              UNION ALL
+              SELECT (branch_id * 10 + product_id) * 100000 + (stock_date - DATE '1970-01-01'), branch_id, product_id, stock_date,
+                     CAST(12.5 AS DECIMAL(28,2))
+              FROM m_sold_days s
+              WHERE NOT EXISTS (SELECT 1 FROM m_stock_keys k WHERE k.branch_id = s.branch_id AND k.product_id = s.product_id
+                                                             AND k.stock_date = s.stock_date))""",
     "m_closing_counts": """
         SELECT id * 10 + 1 AS id, branch_id, product_id, stock_date, closing_kg,
                CAST(stock_date + CAST(h % 3 AS INTEGER) AS TIMESTAMP) + INTERVAL 23 HOUR AS created_at
-        FROM (SELECT *, (branch_id * 31 + product_id * 7 + day(stock_date)) % 20 AS h FROM m_daily_stock)
+        FROM m_counted_days
         UNION ALL
-        SELECT id * 10 + 2, branch_id, product_id, stock_date, CAST(closing_kg + 1.5 AS DECIMAL(8,2)),
+        SELECT id * 10 + 2, branch_id, product_id, stock_date, CAST(closing_kg + 1.5 AS DECIMAL(28,2)),
                CAST(stock_date + CAST(h % 3 AS INTEGER) AS TIMESTAMP) + INTERVAL 47 HOUR
-        FROM (SELECT *, (branch_id * 31 + product_id * 7 + day(stock_date)) % 20 AS h FROM m_daily_stock)
-        WHERE h % 7 = 0""",
+        FROM m_counted_days WHERE h % 7 = 0""",
     "m_sale_drafts": """
-        SELECT * REPLACE (CASE WHEN id // 1000000000 % 10 = 6 THEN NULL ELSE price_charged END AS price_charged)
+        SELECT * REPLACE (CASE WHEN id % 7 = 6 THEN NULL ELSE price_charged END AS price_charged)
         FROM m_sales""",
     "m_raw_sales": """
         SELECT id, branch_id,
@@ -175,6 +181,20 @@ FIXTURE_CTES: dict[str, str] = {
               FROM m_breakdown_records)
         WHERE rn = 1 AND carcass_purchase_id % 110 = 0 AND carcass_purchase_id % 70 <> 0
               AND carcass_purchase_id % 90 <> 0""",
+    "m_raw_breakdown_posts": """
+        SELECT carcass_purchase_id * 2 AS post_id, CASE WHEN carcass_purchase_id % 130 = 0 THEN NULL ELSE carcass_purchase_id END
+                 AS carcass_purchase_id, pos, product_id, output_weight_kg, expected_yield_pct FROM m_raw_breakdown_items
+        UNION ALL
+        SELECT DISTINCT carcass_purchase_id * 2, CASE WHEN carcass_purchase_id % 130 = 0 THEN NULL ELSE carcass_purchase_id END,
+               NULL, NULL, NULL, NULL
+        FROM m_breakdown_records WHERE carcass_purchase_id % 70 = 0
+        UNION ALL
+        SELECT carcass_purchase_id * 2 + 1, carcass_purchase_id, 0, product_id, output_weight_kg, expected_yield_pct
+        FROM m_breakdown_records WHERE carcass_purchase_id % 60 = 0
+        QUALIFY row_number() OVER (PARTITION BY carcass_purchase_id ORDER BY product_id, output_weight_kg, expected_yield_pct) = 1""",
+    "m_stored_breakdown_pairs": """
+        SELECT carcass_purchase_id, min(product_id) AS product_id FROM m_breakdown_records
+        WHERE carcass_purchase_id % 50 = 0 GROUP BY carcass_purchase_id""",
     "m_raw_branch_transfers": """
         SELECT id, CASE WHEN _t = 'record_null' THEN NULL ELSE breakdown_record_id END AS breakdown_record_id,
                CASE WHEN _t = 'branch99' THEN 99 ELSE to_branch_id END AS to_branch_id,
@@ -206,7 +226,7 @@ FIXTURE_CTES: dict[str, str] = {
                CASE WHEN t = 'high_credit_balance' THEN CAST(user_id + 1 AS BIGINT) END AS customer_id,
                t AS alert_type, 'earlier alert ' || CAST(event_id AS VARCHAR) AS message, 'info' AS severity,
                event_id % 2 = 0 AS is_read,
-               CAST(DATE '1995-01-01' + CAST(event_id % 2404 AS INTEGER) AS DATE) AS alert_date
+               CAST(DATE '1995-01-01' + CAST(event_id % 2404 AS INTEGER) AS DATE) AS alert_date, ts AS created_at
         FROM (SELECT *, CASE WHEN event_type IN ('view', 'error') THEN 'high_variance'
                              WHEN event_type = 'click' THEN 'negative_profit'
                              WHEN event_type = 'purchase' THEN 'target_performance'

@@ -7,17 +7,19 @@ with the final comparison casts.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyman.operators import alerts, credit, listings, profit, reports, scope, stock, validate, yields
-from tallyman.plans import stream_queries
+from tallyman.plans import stream_queries, write_queries
 from tallyman.plans.finalize import finalize
 from tallyman.sources.fixtures import fixture_tables
-from tallyman.sources.tables import table_row_counts
 
 Tables = Mapping[str, DataFrame]
+#: The day the registered alert checks are run for (their oracles name the same day).
+RUN_DATE = dt.date(2001, 8, 1)
 REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
@@ -54,9 +56,9 @@ register("credit_over_limit_updates")(credit.credit_over_limit_updates)
 # 2.7 alerts -------------------------------------------------------------------
 register("variance_alerts")(alerts.variance_alerts)
 register("profit_alerts")(alerts.profit_alerts)
-register("target_alerts")(alerts.target_alerts)
-register("alert_feed")(alerts.alert_feed)
-register("regenerate_alerts")(alerts.regenerate_alerts)
+register("target_alerts")(lambda t: alerts.target_alerts(t, RUN_DATE))
+register("alert_feed")(lambda t: alerts.alert_feed(t, RUN_DATE))
+register("regenerate_alerts")(lambda t: alerts.regenerate_alerts(t, RUN_DATE))
 register("mark_read")(alerts.mark_read)
 register("mark_read_not_found")(alerts.mark_read_not_found)
 
@@ -69,9 +71,9 @@ register("breakdown_item_requests")(yields.breakdown_item_requests)
 register("breakdown_form_rejects")(yields.breakdown_form_rejects)
 
 # 2.1 sources ----------------------------------------------------------------------
-MODEL_TABLES = ["branches", "products", "customers", "carcass_purchases", "breakdown_records", "branch_transfers",
-                "daily_stock", "sales", "payments", "expenses", "profit_targets", "users"]
-register("load_tables")(lambda t: table_row_counts(t, MODEL_TABLES))
+register("load_tables")(write_queries.load_tables)
+register("append_events")(write_queries.append_events)
+register("replace_alerts")(write_queries.replace_alerts)
 
 # 2.2 ingest validation ----------------------------------------------------------
 register("validate_sales")(validate.validate_sales)
@@ -119,6 +121,8 @@ register("stream_credit_alerts")(stream_queries.stream_credit_alerts)
 register("stream_stock_ledger")(stream_queries.stream_stock_ledger)
 register("stream_validated_ingest")(stream_queries.stream_validated_ingest)
 register("stream_branch_totals")(stream_queries.stream_branch_totals)
+register("stream_credit_balances")(stream_queries.stream_credit_balances)
+register("stream_alert_regeneration")(stream_queries.stream_alert_regeneration)
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

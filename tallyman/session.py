@@ -4,6 +4,7 @@ checkpoint folder taken from the session when the cluster sets one."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,11 +32,15 @@ def local_session(cores: int | str = "*", app: str = "tallyman", **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only when the
-    session names none (tests, local runs)."""
+    """The shared checkpoint folder the session names. Only a local master, where
+    all tasks see the same disk, gets a fresh folder of its own when it names none;
+    on a cluster executors and driver would not see each other's files."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         return d
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder shared by driver and executors (master {master})")
     d = tempfile.mkdtemp(prefix="tallyman-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(d)
     return d

@@ -5,9 +5,10 @@ them computes a report. Every table is derived from whole driver tables (no
 id subsets): every order is also a carcass purchase, every line item is also
 a sale, a breakdown contribution and a branch transfer.
 
-All builders are lazy DataFrames; nothing is read until an action runs.
-The one deliberate gap: daily_stock drops the keys whose hash is 18, so some
-sales have no stock row (the view must then ignore them).
+A builder is a lazy DataFrame; with a store, a table is derived and written on its
+first use, before the query that asks for it runs. Stock rows exist for the days
+that received a transfer; a day with sales only has none (the view must then
+ignore those sales), and its night count creates one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Callable, Iterator, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyman.sources.schemas import KG, MONEY, PCT, PRICE
+from tallyman.sources.schemas import KG, MONEY, PCT, PRICE, STOCK_KG
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -45,18 +46,20 @@ def _list_price(product_id: Column) -> Column:
 
 
 def _line_id(li: str = "") -> Column:
-    c = lambda n: F.col(f"{li}{n}")
-    return ((c("l_orderkey") * 10 + c("l_linenumber")) * 100000 + c("l_partkey")) * 10000 + c("l_suppkey")
+    """A 60-bit id of a line from all four of its keys (order and line number alone are
+    not unique in the test tables): the first digits of their text's MD5, so keys of any
+    size fit into a BIGINT."""
+    keys = F.concat_ws("-", *[F.col(f"{li}{n}").cast("string") for n in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    return F.conv(F.substring(F.md5(keys.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 class FixtureTables(Mapping[str, DataFrame]):
     """``{model table: DataFrame}`` over one driver directory.
 
     With ``store`` set, each stand-in table is written once as parquet to
-    ``store/<table>`` (spread over the session's default parallelism) and read
-    back, the way production reads stored model tables: later queries scan
-    the stored rows with column pruning and parallel splits instead of
-    re-deriving them from the driver tables. Only inputs are stored; every
+    ``store/<table>`` and read back, the way production reads stored model tables:
+    later queries scan the stored rows with column pruning and parallel splits
+    instead of re-deriving them from the driver tables. Only inputs are stored; every
     query still computes its result from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, store: str | None = None):
@@ -88,6 +91,7 @@ class FixtureTables(Mapping[str, DataFrame]):
             "raw_closing_counts": self._raw_closing_counts,
             "raw_carcass_purchases": self._raw_carcass_purchases,
             "raw_breakdown_batches": self._raw_breakdown_batches,
+            "stored_breakdown_pairs": self._stored_breakdown_pairs,
             "raw_branch_transfers": self._raw_branch_transfers,
             "raw_payments": self._raw_payments,
             "raw_expenses": self._raw_expenses,
@@ -105,8 +109,7 @@ class FixtureTables(Mapping[str, DataFrame]):
             df = self._builders[name]()
             if self.store is not None:
                 path = f"{self.store.rstrip('/')}/{name}"
-                n = self.spark.sparkContext.defaultParallelism
-                df.repartition(n).write.mode("overwrite").parquet(path)
+                df.write.mode("overwrite").parquet(path)
                 df = self.spark.read.schema(df.schema).parquet(path)
             self._cache[name] = df
         return self._cache[name]
@@ -193,7 +196,7 @@ class FixtureTables(Mapping[str, DataFrame]):
         )
 
     def _payments(self) -> DataFrame:
-        o = self.raw("orders").where(F.col("o_orderstatus") == "F")
+        o = self.raw("orders")
         c = self.raw("customer").select("c_custkey", "c_nationkey")
         return o.join(c, o.o_custkey == c.c_custkey).select(
             F.col("o_orderkey").alias("id"),
@@ -268,54 +271,57 @@ class FixtureTables(Mapping[str, DataFrame]):
             F.col("l_shipdate").alias("created_at"),
         )
 
-    def _stock_keys(self) -> DataFrame:
-        """Distinct (branch, product, day) of sales ∪ transfers with the day's
-        sold weight (NULL when only transfers), in one aggregate."""
-        sold = self["sales"].select("branch_id", "product_id", F.col("sale_date").alias("stock_date"), "weight_kg")
-        tk = self.raw("lineitem").select(
-            (F.col("l_suppkey") % N_BRANCHES + 1).cast("bigint").alias("branch_id"),
-            _product_of(F.col("l_partkey")).alias("product_id"),
-            F.to_date("l_shipdate").alias("stock_date"),
-            F.lit(None).cast(KG).alias("weight_kg"))
-        k = sold.unionByName(tk).groupBy("branch_id", "product_id", "stock_date") \
-            .agg(F.sum("weight_kg").alias("sold"))
-        return k.withColumn(
-            "h", ((F.col("branch_id") * 31 + F.col("product_id") * 7 + F.dayofmonth("stock_date")) % 20))
+    @staticmethod
+    def _day_hash() -> Column:
+        return (F.col("branch_id") * 31 + F.col("product_id") * 7 + F.dayofmonth("stock_date")) % 20
+
+    @staticmethod
+    def _day_id() -> Column:
+        return ((F.col("branch_id") * 10 + F.col("product_id")) * 100000
+                + F.datediff("stock_date", F.lit("1970-01-01").cast("date")))
+
+    def _sold_days(self) -> DataFrame:
+        return self["sales"].groupBy("branch_id", "product_id", F.col("sale_date").alias("stock_date")).agg(F.sum("weight_kg").alias("sold"))
 
     def _daily_stock(self) -> DataFrame:
-        k = self._stock_keys().where(F.col("h") != 18)
+        """One row for each (branch, product, day) that received a transfer."""
+        days = self.raw("lineitem").select(
+            (F.col("l_suppkey") % N_BRANCHES + 1).cast("bigint").alias("branch_id"),
+            _product_of(F.col("l_partkey")).alias("product_id"),
+            F.to_date("l_shipdate").alias("stock_date")).distinct()
+        k = days.join(self._sold_days(), ["branch_id", "product_id", "stock_date"], "left").withColumn("h", self._day_hash())
         h = F.col("h")
-        sold = F.coalesce(F.col("sold"), F.lit(0).cast(KG))
+        sold = F.coalesce(F.col("sold"), F.lit(0).cast(STOCK_KG))
         return k.select(
-            ((F.col("branch_id") * 10 + F.col("product_id")) * 100000
-             + F.datediff("stock_date", F.lit("1970-01-01").cast("date"))).alias("id"),
+            self._day_id().alias("id"),
             "branch_id", "product_id", "stock_date",
-            F.when(h == 19, 0).otherwise(20).cast(KG).alias("opening_kg"),
-            F.when(h == 19, F.lit(0).cast(KG)).otherwise(sold + 30).cast(KG).alias("received_kg"),
+            F.when(h == 19, 0).otherwise(20).cast(STOCK_KG).alias("opening_kg"),
+            F.when(h == 19, F.lit(0)).otherwise(sold + 30).cast(STOCK_KG).alias("received_kg"),
             F.when(h == 19, 0).when(h < 10, 50).when(h < 14, 45).when(h < 17, 20).otherwise(58)
-            .cast(KG).alias("closing_kg"),
+            .cast(STOCK_KG).alias("closing_kg"),
+            F.date_add("stock_date", 1).cast("timestamp_ntz").alias("created_at"),
         )
 
     def _daily_stock_unfilled(self) -> DataFrame:
         """daily_stock as inserted: rows with an even hash came in with a NULL
         opening (to be filled from the previous day), the others with one."""
-        ds = self["daily_stock"]
-        h = (F.col("branch_id") * 31 + F.col("product_id") * 7 + F.dayofmonth("stock_date")) % 20
-        return ds.withColumn("opening_kg", F.when(h % 2 == 0, F.lit(None)).otherwise(F.col("opening_kg")).cast(KG))
+        return self["daily_stock"].withColumn(
+            "opening_kg", F.when(self._day_hash() % 2 == 0, F.lit(None)).otherwise(F.col("opening_kg")).cast(STOCK_KG))
 
     def _closing_counts(self) -> DataFrame:
-        """Night counts of every stock row, arriving 0–2 days late at 23:00;
-        rows with h % 7 == 0 are counted again a day later (last write wins).
-        id = daily_stock id * 10 + count number."""
-        ds = self["daily_stock"].withColumn(
-            "h", ((F.col("branch_id") * 31 + F.col("product_id") * 7 + F.dayofmonth("stock_date")) % 20))
+        """Night counts, arriving 0–2 days late at 23:00: of every stock row, and (12.5 kg)
+        of every day with sales that has no stock row yet. Days with h % 7 == 0 are
+        counted again a day later (last write wins). id = day id * 10 + count number."""
+        key = ["branch_id", "product_id", "stock_date"]
+        stock = self["daily_stock"].select(*key, "closing_kg")
+        unseen = self._sold_days().join(stock.select(*key), key, "left_anti").select(*key, F.lit(12.5).cast(STOCK_KG).alias("closing_kg"))
+        ds = stock.unionByName(unseen).select(self._day_id().alias("id"), *key, "closing_kg", self._day_hash().alias("h"))
         arrival = F.timestamp_add(
             "HOUR", F.lit(23), F.date_add("stock_date", (F.col("h") % 3).cast("int")).cast("timestamp_ntz"))
-        first = ds.select((F.col("id") * 10 + 1).alias("id"), "branch_id", "product_id", "stock_date",
-                          "closing_kg", arrival.alias("created_at"))
+        first = ds.select((F.col("id") * 10 + 1).alias("id"), *key, "closing_kg", arrival.alias("created_at"))
         again = ds.where(F.col("h") % 7 == 0).select(
-            (F.col("id") * 10 + 2).alias("id"), "branch_id", "product_id", "stock_date",
-            (F.col("closing_kg") + F.lit(1.5)).cast(KG).alias("closing_kg"),
+            (F.col("id") * 10 + 2).alias("id"), *key,
+            (F.col("closing_kg") + F.lit(1.5)).cast(STOCK_KG).alias("closing_kg"),
             F.timestamp_add("HOUR", F.lit(24), arrival).alias("created_at"))
         return first.unionByName(again)
 
@@ -349,10 +355,10 @@ class FixtureTables(Mapping[str, DataFrame]):
             F.map_from_entries(F.collect_list(F.struct("product_id", row))).alias("rows"))
 
     def _sale_drafts(self) -> DataFrame:
-        """Sales as typed: the sixth line of an order left the price blank."""
+        """Sales as typed: every seventh id left the price blank."""
         s = self["sales"]
         return s.withColumn("price_charged",
-                            F.when(F.expr("id div 1000000000") % 10 == 6, F.lit(None))
+                            F.when(F.col("id") % 7 == 6, F.lit(None))
                             .otherwise(F.col("price_charged")).cast(PRICE))
 
     # Dirty inputs (FIXTURES.md §3): fields overridden by id modulus, first
@@ -406,9 +412,11 @@ class FixtureTables(Mapping[str, DataFrame]):
             "purchase_date")
 
     def _raw_breakdown_batches(self) -> DataFrame:
-        """One post per carcass: its items sorted by product; carcass % 70 = 0
-        sent no items, % 90 has a first item with output −1, % 110 repeats
-        its first item at the end."""
+        """Posts of breakdown items, sorted by product. Each carcass sends one: carcass
+        % 70 = 0 without items, % 90 with a first item of output −1, % 110 with its first
+        item repeated at the end, % 130 without naming the carcass. Carcass % 60 = 0 sends
+        a second post (id + 1) with its first item again, and % 50 = 0 has its first item
+        stored already (``stored_breakdown_pairs``)."""
         br = self["breakdown_records"]
         item = F.struct("product_id", "output_weight_kg", "expected_yield_pct")
         g = br.groupBy("carcass_purchase_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -421,7 +429,15 @@ class FixtureTables(Mapping[str, DataFrame]):
                  .when(cid % 90 == 0, F.concat(F.array(bad_first), F.slice("items", 2, F.size("items"))))
                  .when(cid % 110 == 0, F.concat(F.col("items"), F.array(first)))
                  .otherwise(F.col("items")))
-        return g.select("carcass_purchase_id", items.alias("items"))
+        named = F.when(cid % 130 == 0, F.lit(None)).otherwise(cid).cast("bigint")
+        posts = g.select((cid * 2).alias("post_id"), named.alias("carcass_purchase_id"), items.alias("items"))
+        again = g.where(cid % 60 == 0).select((cid * 2 + 1).alias("post_id"), "carcass_purchase_id", F.array(first).alias("items"))
+        return posts.unionByName(again)
+
+    def _stored_breakdown_pairs(self) -> DataFrame:
+        """Breakdown records that the table holds before the posts arrive."""
+        br = self["breakdown_records"].where(F.col("carcass_purchase_id") % 50 == 0)
+        return br.groupBy("carcass_purchase_id").agg(F.min("product_id").alias("product_id"))
 
     def _raw_branch_transfers(self) -> DataFrame:
         tag = self._tag([(37, "weight0"), (41, "branch99"), (43, "record_null")])
@@ -484,6 +500,7 @@ class FixtureTables(Mapping[str, DataFrame]):
             (F.col("event_id") % 2 == 0).alias("is_read"),
             F.date_add(F.lit(EXPENSE_EPOCH).cast("date"),
                        (F.col("event_id") % EXPENSE_SPAN_DAYS).cast("int")).alias("alert_date"),
+            F.col("ts").alias("created_at"),
         )
 
     def _read_acks(self) -> DataFrame:
@@ -512,7 +529,7 @@ class FixtureTables(Mapping[str, DataFrame]):
         )
 
 
-_MAPPINGS: dict[tuple[int, str, bool], FixtureTables] = {}
+_MAPPINGS: dict[tuple[str, str, bool], FixtureTables] = {}
 _MAPPINGS_LOCK = threading.Lock()
 
 
@@ -523,7 +540,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str, stored: bool = True) -> Fix
     session's checkpoint folder (``spark.checkpoint.dir`` on a cluster), in a
     folder unique to this mapping; ``stored=False`` keeps every table a lazy
     derivation from the driver tables."""
-    key = (id(spark), sf_dir.rstrip("/"), stored)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), stored)
     with _MAPPINGS_LOCK:
         return _mapping(spark, sf_dir, stored, key)
 

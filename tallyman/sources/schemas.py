@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 ID = T.LongType()
 KG = T.DecimalType(8, 2)
+STOCK_KG = T.DecimalType(28, 2)  # weights summed over many rows
 PRICE = T.DecimalType(10, 2)
 MONEY = T.DecimalType(12, 2)
 PCT = T.DecimalType(5, 2)
@@ -47,11 +48,11 @@ SCHEMAS: dict[str, T.StructType] = {
     ]),
     "daily_stock": T.StructType([
         _f("id", ID), _f("branch_id", ID), _f("product_id", ID), _f("stock_date", T.DateType()),
-        _f("opening_kg", KG, True), _f("received_kg", KG), _f("closing_kg", KG),
+        _f("opening_kg", STOCK_KG, True), _f("received_kg", STOCK_KG), _f("closing_kg", STOCK_KG), _f("created_at", TS, True),
     ]),
     "closing_counts": T.StructType([
         _f("id", ID), _f("branch_id", ID), _f("product_id", ID), _f("stock_date", T.DateType()),
-        _f("closing_kg", KG), _f("created_at", TS),
+        _f("closing_kg", STOCK_KG), _f("created_at", TS),
     ]),
     "sales": T.StructType([
         _f("id", ID), _f("branch_id", ID), _f("product_id", ID), _f("customer_id", ID, True),
@@ -75,7 +76,7 @@ SCHEMAS: dict[str, T.StructType] = {
         _f("id", ID, True), _f("branch_id", ID, True), _f("customer_id", ID, True),
         _f("alert_type", T.StringType()),
         _f("message", T.StringType()), _f("severity", T.StringType()),
-        _f("is_read", T.BooleanType()), _f("alert_date", T.DateType()),
+        _f("is_read", T.BooleanType()), _f("alert_date", T.DateType()), _f("created_at", TS, True),
     ]),
     "users": T.StructType([
         _f("id", ID), _f("username", T.StringType()), _f("role", T.StringType()),

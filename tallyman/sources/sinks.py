@@ -1,73 +1,60 @@
 """Write paths.
 
 S3 ``append_events``: validated rows are appended to a fact table
-partitioned by business date; rejected rows go to a quarantine table with
+partitioned by business month; rejected rows go to a quarantine table with
 their reason. Returns the accepted rows (the reference's ``RETURNING *``).
 
-S4 ``replace_alert_partitions_on_disk``: idempotent alert regeneration on
-a notifications table partitioned by (alert_type, alert_date): dynamic
-partition overwrite replaces exactly the partitions that have fresh rows;
-partitions in scope with no fresh rows are deleted explicitly, since a
-dynamic overwrite leaves partitions it does not write untouched.
+S4 ``write_alert_run`` / ``current_alerts``: idempotent alert regeneration. Each run
+is one directory with the fresh alerts and, for every (type, date) pair it checked, a
+marker row; the alerts of a pair are those of the latest run that checked it. So a run
+replaces its pairs, also those where nothing fires any more, by a single write that
+becomes visible as a whole; nothing is deleted and nothing collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyman.functions.rules import accepted, rejected
-from tallyman.sources.tables import PARTITION_DATE, partitioned_writer
+from tallyman.sources.tables import batch_path, fact_writer
 
 
 def append_events(validated: DataFrame, table: str, root: str, quarantine_root: str | None = None,
-                  batch_id: int | None = None) -> DataFrame:
+                  batch_id: int | str | None = None) -> DataFrame:
     """Append the accepted rows of a validated DataFrame to ``root/table``
-    (partitioned by business date), the rejected ones to
+    (partitioned by business month), the rejected ones to
     ``quarantine_root/table``; return the accepted rows.
 
-    With a ``batch_id`` (streaming), each micro-batch goes to its own
-    ``ingest_batch=N`` directory (partitioned by business date inside),
-    written with overwrite: a retried micro-batch replaces exactly what it
-    wrote before instead of appending twice."""
+    Every append is a batch with an id and a directory of its own, written with
+    overwrite: repeating a batch (a retried micro-batch) replaces exactly what it
+    wrote before. Without an id the append gets a new one."""
+    batch = f"append-{uuid.uuid4().hex}" if batch_id is None else str(batch_id)
     ok, bad = accepted(validated), rejected(validated)
-    date = PARTITION_DATE[table]
-    base, qbase = f"{root.rstrip('/')}/{table}", f"{(quarantine_root or '').rstrip('/')}/{table}"
-    if batch_id is None:
-        partitioned_writer(ok, [date]).mode("append").parquet(base)
-        if quarantine_root is not None:
-            bad.write.mode("append").parquet(qbase)
-    else:
-        partitioned_writer(ok, [date]).mode("overwrite").parquet(f"{base}/ingest_batch={batch_id}")
-        if quarantine_root is not None:
-            bad.write.mode("overwrite").parquet(f"{qbase}/ingest_batch={batch_id}")
+    fact_writer(ok, table).mode("overwrite").parquet(batch_path(root, table, batch))
+    if quarantine_root is not None:
+        bad.write.mode("overwrite").parquet(batch_path(quarantine_root, table, batch))
     return ok
 
 
-def _delete_partition_dirs(spark, root: str, pairs: list[tuple[str, str]]) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
-    for alert_type, alert_date in pairs:
-        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/alert_type={alert_type}/alert_date={alert_date}")
-        if fs.exists(path):
-            fs.delete(path, True)
+ALERT_COLS = ["branch_id", "customer_id", "alert_type", "message", "severity", "is_read", "alert_date"]
+
+
+def write_alert_run(fresh: DataFrame, scope: DataFrame, root: str, run: int) -> None:
+    """Store one regeneration: ``fresh`` alerts, replacing all alerts of the (alert_type,
+    alert_date) pairs of ``scope``. Repeating a run replaces it; higher runs win."""
+    alerts = fresh.select(*ALERT_COLS, F.lit(False).alias("is_marker"))
+    marks = scope.select("alert_type", "alert_date").distinct()
+    marks = marks.select(*[F.col(c) if c in ("alert_type", "alert_date") else F.lit(None).cast(fresh.schema[c].dataType).alias(c) for c in ALERT_COLS],
+                         F.lit(True).alias("is_marker"))
+    alerts.unionByName(marks).write.mode("overwrite").parquet(f"{root.rstrip('/')}/run={run:012d}")
 
 
-def replace_alert_partitions_on_disk(fresh: DataFrame, scope: DataFrame, root: str) -> None:
-    """Regenerate the (alert_type, alert_date) partitions of ``scope`` under
-    ``root``: written partitions are replaced by ``fresh``'s rows (read flags
-    reset), scope partitions without fresh rows are removed. Running it
-    twice leaves the same rows."""
-    spark = fresh.sparkSession
-    cols = ["id", "branch_id", "customer_id", "message", "severity", "is_read", "alert_type", "alert_date"]
-    out = fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast("bigint").alias(c) for c in cols])
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        partitioned_writer(out, ["alert_type", "alert_date"]).mode("overwrite").parquet(root)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    # The emptied pairs are partition keys (types × days): a bounded list.
-    empty = scope.join(fresh.select("alert_type", "alert_date").distinct(), ["alert_type", "alert_date"], "left_anti")
-    _delete_partition_dirs(spark, root, [(r["alert_type"], str(r["alert_date"])) for r in empty.collect()])
+def current_alerts(spark: SparkSession, root: str) -> DataFrame:
+    """The alerts in force: of each pair, the rows of the latest run that checked it."""
+    rows = spark.read.parquet(root)
+    pair = ["alert_type", "alert_date"]
+    latest = rows.where("is_marker").groupBy(*pair).agg(F.max("run").alias("run"))
+    return rows.where("not is_marker").join(latest, [*pair, "run"], "left_semi").select(*ALERT_COLS)

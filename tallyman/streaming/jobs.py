@@ -24,9 +24,9 @@ from tallyman.operators.alerts import profit_alerts, variance_alerts
 from tallyman.operators.validate import validate_sales
 from tallyman.session import checkpoint_dir
 from tallyman.sources.schemas import SCHEMAS
-from tallyman.sources.sinks import append_events, replace_alert_partitions_on_disk
-from tallyman.sources.tables import load_tables
-from tallyman.streaming.stateful import stream_credit_alerts, stream_stock_ledger
+from tallyman.sources.sinks import append_events, write_alert_run
+from tallyman.sources.tables import MONTH, load_table, month_of
+from tallyman.streaming.stateful import credit_events, stream_credit_alerts, stream_stock_ledger
 
 RAW_SALES_DDL = ("id bigint, branch_id bigint, product_id bigint, customer_id bigint, sale_date date, "
                  "weight_kg decimal(8,2), price_charged decimal(10,2), payment_type string, "
@@ -71,6 +71,20 @@ def start_credit_alerts(spark: SparkSession, sales_path: str, payments_path: str
             .trigger(availableNow=True).start())
 
 
+def start_credit_balances(spark: SparkSession, sales_path: str, payments_path: str, out: str, checkpoint: str | None = None,
+                          max_files: int | None = None) -> StreamingQuery:
+    """ST1 balances: the running balance of every customer with activity, a native
+    aggregate (combined on the map side, so a bulk account is one row per task).
+    Update mode: read the balances with ``latest_versions(spark, out, ["customer_id"])``."""
+    sales = read_stream(spark, sales_path, SCHEMAS["sales"], max_files)
+    pays = read_stream(spark, payments_path, SCHEMAS["payments"], max_files)
+    balances = (credit_events(sales, pays).groupBy("customer_id")
+                .agg((F.sum(F.col("cents").cast("decimal(28,0)")) / 100).cast("decimal(28,2)").alias("balance_owed")))
+    return (balances.writeStream.outputMode("update").foreachBatch(_batch_dir_writer(out))
+            .option("checkpointLocation", _ckpt(spark, "credit_balances", checkpoint))
+            .trigger(availableNow=True).start())
+
+
 def start_stock_ledger(spark: SparkSession, transfers_path: str, counts_path: str, breakdown_records: DataFrame,
                        out: str, checkpoint: str | None = None, max_files: int | None = None) -> StreamingQuery:
     """ST2 runner: changed stock rows per batch under ``out``; read the
@@ -93,7 +107,11 @@ def start_validated_ingest(spark: SparkSession, raw_sales_path: str, dims: Mappi
     validated = validate_sales({**dims, "raw_sales": raw})
 
     def write(df: DataFrame, batch_id: int) -> None:
-        append_events(df, "sales", root, quarantine_root, batch_id=batch_id)
+        held = df.persist()  # two writes, one validation
+        try:
+            append_events(held, "sales", root, quarantine_root, batch_id=batch_id)
+        finally:
+            held.unpersist()
     return (validated.writeStream.foreachBatch(write)
             .option("checkpointLocation", _ckpt(spark, "validated_ingest", checkpoint))
             .trigger(availableNow=True).start())
@@ -135,21 +153,22 @@ def start_branch_totals(spark: SparkSession, sales_path: str, expenses_path: str
             .trigger(availableNow=True).start())
 
 
-def regenerate_for_days(spark: SparkSession, root: str, alerts_root: str, days: DataFrame) -> None:
+def regenerate_for_days(spark: SparkSession, root: str, alerts_root: str, days: DataFrame, run: int) -> None:
     """Re-run the variance and loss checks for the given days (one column
-    ``alert_date``) over the stored tables and replace those partitions.
+    ``alert_date``) over the stored tables, as run ``run`` of the stored alerts.
     Both checks of a day read only that day's rows, so the fact tables are
     semi-joined with the days first: on date-partitioned tables that is a
     partition-pruned scan, not a full one."""
-    t = load_tables(spark, root, ["branches", "products", "sales", "expenses", "daily_stock"])
     d = days.select("alert_date").distinct()
+    months = d.select(month_of(F.col("alert_date")).alias(MONTH)).distinct()
+    t = {n: load_table(spark, root, n, months) for n in ("branches", "products", "sales", "expenses", "daily_stock")}
     only = {name: t[name].join(d.withColumnRenamed("alert_date", col), col, "left_semi")
             for name, col in (("sales", "sale_date"), ("expenses", "expense_date"), ("daily_stock", "stock_date"))}
     t = {**t, **only}
     fresh = variance_alerts(t).unionByName(profit_alerts(t))
     scope = (d.select(F.lit("high_variance").alias("alert_type"), "alert_date")
              .unionByName(d.select(F.lit("negative_profit").alias("alert_type"), "alert_date")))
-    replace_alert_partitions_on_disk(fresh, scope, alerts_root)
+    write_alert_run(fresh, scope, alerts_root, run)
 
 
 def start_alert_regeneration(spark: SparkSession, changes_path: str, date_col: str, root: str, alerts_root: str,
@@ -159,7 +178,7 @@ def start_alert_regeneration(spark: SparkSession, changes_path: str, date_col: s
     changes = read_stream(spark, changes_path, schema, max_files)
 
     def run(df: DataFrame, batch_id: int) -> None:
-        regenerate_for_days(spark, root, alerts_root, df.select(F.col(date_col).alias("alert_date")))
+        regenerate_for_days(spark, root, alerts_root, df.select(F.col(date_col).alias("alert_date")), run=batch_id + 1)
     return (changes.writeStream.foreachBatch(run)
             .option("checkpointLocation", _ckpt(spark, "alert_regeneration", checkpoint))
             .trigger(availableNow=True).start())

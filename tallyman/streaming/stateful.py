@@ -72,8 +72,8 @@ def stream_credit_alerts(sales: DataFrame, payments: DataFrame, customers: DataF
 
 
 # --- ST2: stock ledger per (branch, product) ------------------------------------------
-STOCK_ROW_SCHEMA = ("branch_id bigint, product_id bigint, stock_date date, opening_kg decimal(8,2), "
-                    "received_kg decimal(8,2), closing_kg decimal(8,2), created_at timestamp_ntz")
+STOCK_ROW_SCHEMA = ("branch_id bigint, product_id bigint, stock_date date, opening_kg decimal(28,2), "
+                    "received_kg decimal(28,2), closing_kg decimal(28,2), created_at timestamp_ntz")
 
 
 def stock_events(transfers: DataFrame, counts: DataFrame, breakdown_records: DataFrame) -> DataFrame:
@@ -89,6 +89,24 @@ def stock_events(transfers: DataFrame, counts: DataFrame, breakdown_records: Dat
     return tr.unionByName(ct)
 
 
+EVENT_SCHEMA = ("branch_id bigint, product_id bigint, stock_date date, created_at timestamp_ntz, kind int, event_id bigint, "
+                "hundredths bigint")
+
+
+def _combine_transfers(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Map-side combine of a task's events: a stock day's transfers become one, with the
+    first one's time and id and the total weight (later transfers only add weight).
+    Counts stay: each can be what another day's opening sees."""
+    key = ["branch_id", "product_id", "stock_date"]
+    for pdf in pdfs:
+        moved = pdf[pdf["kind"] == TRANSFER]
+        if len(moved):
+            first = moved.sort_values(["created_at", "event_id"], kind="stable").drop_duplicates(key)
+            total = moved.groupby(key, as_index=False)["hundredths"].sum()
+            moved = first.drop(columns="hundredths").merge(total, on=key)
+        yield pd.concat([moved, pdf[pdf["kind"] != TRANSFER]], ignore_index=True)[list(pdf.columns)]
+
+
 def _stock_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     import bisect
     import datetime as dt
@@ -121,5 +139,6 @@ def stream_stock_ledger(transfers: DataFrame, counts: DataFrame, breakdown_recor
     mode); the last version of each (branch, product, day) is the ledger.
     The opening is the snapshot taken when the row was created."""
     ev = stock_events(transfers, counts, breakdown_records)
+    ev = ev.select("branch_id", "product_id", "stock_date", "created_at", "kind", "event_id", "hundredths").mapInPandas(_combine_transfers, EVENT_SCHEMA)
     return ev.groupBy("branch_id", "product_id").applyInPandasWithState(
         _stock_fold, STOCK_ROW_SCHEMA, "ledger string", "update", GroupStateTimeout.NoTimeout)

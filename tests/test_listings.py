@@ -41,12 +41,15 @@ def test_comparison_puts_null_pct_first(spark, seed):
 
 
 def test_scope_admin_all_attendant_own(seed):
-    pairs = scope.branch_scope(seed).collect()
+    rows = scope.branch_scope(seed).collect()
     sales = {r["id"]: r["branch_id"] for r in seed["sales"].collect()}
-    admin = {r["row_id"] for r in pairs if r["role"] == "admin"}
-    staff = {(r["user_id"], r["row_id"]) for r in pairs if r["role"] == "attendant"}
-    assert admin == set(sales)
-    assert staff == {(2, s) for s, b in sales.items() if b == 1}
+    assert {r["row_id"] for r in rows} == set(sales) and len(rows) == len(sales)
+    assert all(r["admin_sees"] for r in rows)
+    assert {r["row_id"]: r["first_attendant_id"] for r in rows} == {s: 2 if b == 1 else None for s, b in sales.items()}
+    seen = lambda *who: {r["id"] for r in scope.visible_rows(seed["sales"], *who).collect()}
+    assert seen("admin", None) == set(sales)
+    assert seen("attendant", 1) == {s for s, b in sales.items() if b == 1}
+    assert seen("attendant", None) == set()
 
 
 def test_latest_target_per_type(spark, seed):

@@ -6,9 +6,11 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF001
 from oracle_harness import compare, duckdb_con
+from tallyman.plans.oracle import ORACLE
+from tallyman.plans.queries import spark_queries
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = spark_queries()
+ORACLES = {k: v for k, v in ORACLE.items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from tallyman.functions.dates import period_end
-from tallyman.functions.prefix import running_total
-from tallyman.functions.ranking import with_position
+from tallyman.functions.prefix import running_total, with_position
 from tallyman.operators import alerts, credit, profit, stock, validate, yields
+from tallyman.plans.queries import RUN_DATE
 from tallyman.sources.fixtures import fixture_tables
 from tallyman.sources.seed import SEED_DATE
 
@@ -45,7 +45,7 @@ def test_validation_reasons_seen(t):
 
 def test_breakdown_batches_all_or_nothing(t):
     v = validate.validate_breakdown_batches(t)
-    mixed = v.groupBy("carcass_purchase_id").agg(F.countDistinct(F.coalesce("reject_reason", F.lit("ok"))).alias("n"))
+    mixed = v.groupBy("post_id").agg(F.countDistinct(F.coalesce("reject_reason", F.lit("ok"))).alias("n"))
     assert mixed.where("n > 1").count() == 0
     reasons = {r[0] for r in v.select("reject_reason").distinct().collect()}
     assert {None, "missing_required", "negative_output", "duplicate_product"} <= reasons
@@ -86,10 +86,10 @@ def test_statement_ends_at_balance(t):
 
 
 def test_regeneration_twice_equals_once(t):
-    once = alerts.regenerate_alerts({**t})
+    once = alerts.regenerate_alerts({**t}, RUN_DATE)
     twice = alerts.replace_alert_partitions(
-        once, alerts.variance_alerts(t).unionByName(alerts.profit_alerts(t)).unionByName(alerts.target_alerts(t)),
-        alerts.regenerated_scope(t))
+        once, alerts.variance_alerts(t).unionByName(alerts.profit_alerts(t)).unionByName(alerts.target_alerts(t, RUN_DATE)),
+        alerts.regenerated_scope(t, RUN_DATE))
     assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0
 
 
@@ -98,7 +98,7 @@ def test_regeneration_twice_equals_once(t):
 def test_running_total_equals_plain_window(spark, rows):
     rows = [(k if i % 3 else 0, d, i, v) for i, (k, d, v) in enumerate(rows)]  # key 0 is hot
     df = spark.createDataFrame(rows, "k int, d int, id int, v int")
-    got = running_total(df, ["k"], F.col("d"), [F.col("id")], "v", "run")
+    got = running_total(df, ["k"], [F.col("d"), F.col("id")], "v", "run")
     w = Window.partitionBy("k").orderBy("d", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("run", F.sum("v").over(w))
     assert sorted(got.select("id", "run").collect()) == sorted(want.select("id", "run").collect())
@@ -108,7 +108,7 @@ def test_running_total_equals_plain_window(spark, rows):
 @given(st.lists(st.tuples(st.integers(0, 4), st.text(alphabet="abc", max_size=2)), min_size=1, max_size=40))
 def test_position_equals_global_row_number(spark, rows):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "id int, a int, b string")
-    got = with_position(df, "a", True, [F.col("b"), F.col("id")])
+    got = with_position(df, [F.col("a").desc_nulls_first(), F.col("b"), F.col("id")])
     want = df.withColumn("position", F.row_number().over(Window.orderBy(F.col("a").desc(), "b", "id")))
     assert sorted(got.select("id", "position").collect()) == sorted(want.select("id", "position").collect())
 
@@ -146,7 +146,7 @@ def test_zero_target_and_target_threshold(spark, seed):
     assert rows[1]["pct_of_target"] is None
     assert rows[2]["pct_of_target"] == D("80.0")       # 43550 / 54437.50 = 80 % exactly: no alert
     assert rows[3]["pct_of_target"] == D("0.0")
-    assert {r["message"] for r in alerts.target_alerts(t).collect()} == {"Main branch is at 0.0% of its daily target"}
+    assert {r["message"] for r in alerts.target_alerts(t, RUN_DATE).collect()} == {"Main branch is at 0.0% of its daily target"}
 
 
 def test_month_end_period(spark):

@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal as D
 
+from pyspark.sql import functions as F
+
 from tallyman.operators import validate
 from tallyman.streaming.jobs import RAW_SALES_DDL
 
@@ -70,27 +72,51 @@ def test_customer_defaults(spark, seed):
     assert (out[4]["customer_type"], out[4]["credit_limit"], out[4]["reject_reason"]) == ("individual", D("3000.00"), None)
 
 
-def test_breakdown_batch_all_or_nothing(spark, seed):
-    item = "struct<product_id:bigint, output_weight_kg:decimal(8,2), expected_yield_pct:decimal(5,2)>"
-    raw = spark.createDataFrame(
-        [(1, [(1, D("97.00"), D("55.00")), (5, D("24.00"), D("12.00"))]),
-         (2, [(1, D("97.00"), D("55.00")), (5, D("-1.00"), D("12.00"))]),
-         (3, [(1, D("97.00"), D("55.00")), (1, D("5.00"), D("3.00"))]),
-         (4, [])],
-        f"carcass_purchase_id bigint, items array<{item}>")
-    out = validate.validate_breakdown_batches({**seed, "raw_breakdown_batches": raw}).collect()
-    by_batch = {}
+ITEM = "struct<product_id:bigint, output_weight_kg:decimal(8,2), expected_yield_pct:decimal(5,2)>"
+GOOD = lambda product: (product, D("5.00"), D("3.00"))
+
+
+def _posts(spark, seed, posts, pairs=()):
+    raw = spark.createDataFrame(posts, f"post_id bigint, carcass_purchase_id bigint, items array<{ITEM}>")
+    stored = spark.createDataFrame(list(pairs), "carcass_purchase_id bigint, product_id bigint")
+    out = validate.validate_breakdown_batches({**seed, "raw_breakdown_batches": raw, "stored_breakdown_pairs": stored}).collect()
+    reasons = {}
     for r in out:
-        by_batch.setdefault(r["carcass_purchase_id"], set()).add(r["reject_reason"])
-    assert by_batch[1] == {None}
-    assert by_batch[2] == {"negative_output"}
-    assert by_batch[3] == {"unknown_carcass"}       # carcass 3 does not exist: checked before duplicates
-    assert by_batch[4] == {"missing_required"}
+        reasons.setdefault(r["post_id"], set()).add(r["reject_reason"])
+    assert all(len(v) == 1 for v in reasons.values())
+    return {k: v.pop() for k, v in reasons.items()}, len(out)
+
+
+def test_breakdown_batch_all_or_nothing(spark, seed):
+    got, _ = _posts(spark, seed, [
+        (1, 1, [GOOD(1), GOOD(5)]), (2, 2, [GOOD(1), (5, D("-1.00"), D("12.00"))]), (3, 3, [GOOD(1), GOOD(1)]), (4, 4, [])])
+    assert got == {1: None, 2: "negative_output", 3: "unknown_carcass", 4: "missing_required"}
 
 
 def test_breakdown_duplicate_product(spark, seed):
-    item = "struct<product_id:bigint, output_weight_kg:decimal(8,2), expected_yield_pct:decimal(5,2)>"
-    raw = spark.createDataFrame([(1, [(1, D("97.00"), D("55.00")), (5, D("24.00"), D("12.00")),
-                                      (1, D("5.00"), D("3.00"))])], f"carcass_purchase_id bigint, items array<{item}>")
-    out = validate.validate_breakdown_batches({**seed, "raw_breakdown_batches": raw}).collect()
-    assert len(out) == 3 and {r["reject_reason"] for r in out} == {"duplicate_product"}
+    got, rows = _posts(spark, seed, [(1, 1, [GOOD(1), GOOD(5), GOOD(1)])])
+    assert got == {1: "duplicate_product"} and rows == 3
+
+
+def test_breakdown_posts_stand_alone(spark, seed):
+    """Posts of one carcass are decided in order against the accepted ones; a post without
+    a carcass is rejected, not lost."""
+    got, rows = _posts(spark, seed, [
+        (1, 1, [GOOD(2)]), (2, 1, [GOOD(2)]), (3, 1, [GOOD(1)]), (4, None, [GOOD(1)]), (5, 1, [GOOD(2), GOOD(3)]), (6, 1, [GOOD(3)])])
+    assert got == {1: None, 2: "duplicate_product", 3: None, 4: "missing_required", 5: "duplicate_product", 6: None}
+    assert rows == 7
+
+
+def test_breakdown_pairs_already_stored(spark, seed):
+    got, _ = _posts(spark, seed, [(1, 1, [GOOD(2)]), (2, 1, [GOOD(1)])], pairs=[(1, 2)])
+    assert got == {1: "duplicate_product", 2: None}
+
+
+def test_key_check_spreads_rows_without_key(spark):
+    from tallyman.functions.rules import with_key_check
+
+    df = spark.range(200).select("id", F.when(F.col("id") % 4 == 0, F.col("id")).alias("k"))
+    dim = spark.range(0, 100).select("id")
+    out = with_key_check(df, dim, "k", "bad").collect()
+    assert len(out) == 200
+    assert {r["id"] for r in out if r["bad"]} == set(range(100, 200, 4))
