@@ -18,7 +18,8 @@ from tallyman.llm.common import pick, read, stored
 
 def _with_text(docs: DataFrame, rows: DataFrame, text, others) -> DataFrame:
     """``rows`` with the columns of ``docs``: a new text, its length, and ``others`` (by name)."""
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    rows = rows.withColumn("new_text", text)  # a name of its own: an alias "text" would shadow the column in lambdas
+    new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
     return rows.select(*[(new[c] if c in new else others(c)).alias(c) for c in docs.columns])
 
 
@@ -31,8 +32,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many sites share, but for each line's first occurrence."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cleaned = line_dedup.dedup_lines(docs, keep=others)
-    return _with_text(docs, cleaned, F.col("text"), F.col)
+    named = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    cleaned = line_dedup.dedup_lines(named, keep=["row"])
+    return _with_text(docs, cleaned, F.col("text"), lambda c: F.col(f"row.`{c}`") if c in others else F.col(c))
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,13 +46,14 @@ RUN_LEAST = 20
 MARGIN = 0.3
 
 #: Training: documents sampled (by the hash of their id), ordinary words, and the number
-#: of hashed strings (each once in hexadecimal digits and once in base 64).
+#: of hashed strings (32 bytes in base 64; hexadecimal runs are base spans already).
 SAMPLE_DOCS = 2000
 WORD = r"[A-Za-z0-9+/_=-]{4,}"
 HASHED = 2000
-#: Characters of the models (all of RUN) and the count added to every transition.
+#: Characters of the models (all of RUN), the count added to every character, and the
+#: weight of single characters in a transition's estimate.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-SMOOTHING = 0.5
+SMOOTHING, BACK_OFF = 0.5, 200.0
 
 
 def _spans(text: Column, pattern: str, kind: int, least: int, group: int) -> Column:
@@ -115,14 +116,20 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, hashed: int = HASHED)
     sample = docs.join(F.broadcast(ids), "doc_id").select(text.alias("text"))  # at most sample_docs ids
     values = F.transform(base_spans(F.col("text")), lambda s: s["value"])
     digest = F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 256)
-    drawn = docs.sparkSession.range(hashed).select(F.array(digest, F.translate(F.base64(F.unhex(digest)), "\r\n", "")).alias("s"))
+    drawn = docs.sparkSession.range(hashed).select(F.array(F.translate(F.base64(F.unhex(digest)), "\r\n", "")).alias("s"))
     plain = F.regexp_replace(F.regexp_replace(F.col("text"), "(?i)" + ASSIGN, " "), f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}|[0-9a-f]{{{HEX_LEAST},}}", " ")
     random = sample.select(F.filter(values, lambda v: F.length(v) > 1).alias("s")).unionByName(drawn)
     ordinary = sample.select(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)).alias("s"))
 
     def logs(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
-        total = {a: sum(counts.get((a, b), 0) for b in ALPHABET) + SMOOTHING * len(ALPHABET) for a in ALPHABET}
-        return {(a, b): math.log((counts.get((a, b), 0) + SMOOTHING) / total[a]) for a in ALPHABET for b in ALPHABET}
+        """Transition probabilities, drawn to those of single characters where a context is rare."""
+        single = {b: SMOOTHING + sum(counts.get((a, b), 0) for a in ALPHABET) for b in ALPHABET}
+        every = sum(single.values())
+        out = {}
+        for a in ALPHABET:
+            n = sum(counts.get((a, b), 0) for b in ALPHABET)
+            out |= {(a, b): math.log((counts.get((a, b), 0) + BACK_OFF * single[b] / every) / (n + BACK_OFF)) for b in ALPHABET}
+        return out
 
     r, o = logs(_transitions(F.col("s"), random)), logs(_transitions(F.col("s"), ordinary))
     table = [0.0] * (128 * 128)
