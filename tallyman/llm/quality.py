@@ -153,22 +153,23 @@ def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DE
 
 def lasso_logistic(m: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
     """Intercept and weights that minimise mean log loss + penalty × Σ|weight|, by
-    accelerated proximal gradient steps; the intercept is not penalised."""
-    n, k = m.shape
-    a = np.hstack([np.ones((n, 1)), m])
-    v = np.ones(k + 1)
+    accelerated proximal gradient steps; the intercept, which stands for the first column
+    of ``m`` (ones), is not penalised."""
+    a, y = m, y.astype(m.dtype)
+    n, k = m.shape[0], m.shape[1] - 1
+    v = np.ones(k + 1, m.dtype)
     for _ in range(20):  # the largest eigenvalue of the Gram matrix bounds the curvature
         v = a.T @ (a @ v)
         v /= np.linalg.norm(v)
     step = 4 * n / float(v @ (a.T @ (a @ v)))
-    w = np.zeros(k + 1)
+    w = np.zeros(k + 1, m.dtype)
     w[0] = np.log(y.mean() / (1 - y.mean()))
     ahead, t = w, 1.0
     for _ in range(rounds):
-        new = ahead - step * (a.T @ (_sigmoid(a @ ahead) - y)) / n
+        new = (ahead - step * (a.T @ (_sigmoid(a @ ahead) - y)) / n).astype(m.dtype)
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * penalty, 0)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, w, t = new + (t - 1) / t2 * (new - w), new, t2
+        ahead, w, t = (new + (t - 1) / t2 * (new - w)).astype(m.dtype), new, t2
     return float(w[0]), w[1:]
 
 
@@ -180,8 +181,17 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     rules = tree_rules(x, y)
     if not rules:
         return Model(float(np.log(y.mean() / (1 - y.mean()))), ())
-    intercept, weights = lasso_logistic(np.stack([r.holds(x) for r in rules], axis=1).astype(float), y)
-    return Model(intercept, tuple((r, float(w)) for r, w in zip(rules, weights) if abs(w) > 1e-6))
+    # of rules that hold for the same rows, one; one matrix of single precision, as the driver is small
+    distinct: dict[bytes, Rule] = {}
+    for r in rules:
+        distinct.setdefault(np.packbits(r.holds(x)).tobytes(), r)
+    kept = list(distinct.values())
+    distinct.clear()
+    m = np.ones((len(y), len(kept) + 1), np.float32)
+    for j, r in enumerate(kept, 1):
+        m[:, j] = r.holds(x)
+    intercept, weights = lasso_logistic(m, y)
+    return Model(intercept, tuple((r, float(w)) for r, w in zip(kept, weights) if abs(w) > 1e-6))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
