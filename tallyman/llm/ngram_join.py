@@ -25,6 +25,11 @@ compared once.
    pairs of classes. Verification sifts pairs by signatures and compares whole sets,
    which are made again from the texts for the few classes that come so far.
 5. Components of all links; each document gets the smallest id of its component.
+6. Links are counted apart, since steps 3 and 4 leave out pairs that already lie in one
+   component. All links lie inside components: one of two classes is one link, larger
+   ones are cut into blocks of about ``BLOCK`` classes, and each pair of blocks whose
+   sizes allow a link has its overlaps counted from whole sets. Only counts a class
+   leave a pair of blocks, never pairs.
 
 Hot shingles and hot groups are bounded everywhere: minima are combined on the map
 side, joins are plain equi-joins that Spark may split, and a node holds about
@@ -62,6 +67,10 @@ BITS_A_SHINGLE = 2
 FREQUENT, COUNTED, MOST_FREQUENT = 24, 35, 1_000_000
 #: Classes in a node of the distributed level, about, and in a node that is not cut further.
 NODE, LEAF = 512, 8
+#: Classes and shingles in a block whose links are counted at once, about; sets that have a
+#: shingle at most, for it to be counted by pairs, and shingles in a dense product.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
+RARE, COLUMNS = 16, 4096
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SHIFT = np.uint64(64 - 8 * HASH_BYTES)
@@ -417,10 +426,111 @@ def tree_pairs(members: DataFrame, node: int = NODE) -> DataFrame:
     return own.unionByName(across).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links, text_key`` of each row; ``n_links`` counts the
-    verified links of the row's class to other classes (not all of a component's pairs
-    are compared: those its links already connect are left out)."""
+def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Shared shingles of each of the first ``split`` sets with each of the others; of all
+    sets with each other, above the diagonal, where ``split`` is their number."""
+    m = len(sets)
+    left, right = (slice(0, m), slice(0, m)) if split == m else (slice(0, split), slice(split, m))
+    tokens, of = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(tokens, kind="stable")
+    tokens, of = tokens[order], of[order]
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    counts = np.diff(np.append(starts, len(tokens)))
+    group = np.repeat(np.arange(len(starts)), counts)
+    some, many = (counts > 1) & (counts <= RARE), counts > RARE
+    out = np.zeros((m, m), np.int64)
+    at = some[group]
+    g, o = group[at], of[at]
+    for step in range(1, int(counts[some].max(initial=1))):
+        same = np.flatnonzero(g[step:] == g[:-step])
+        out += np.bincount(o[same] * m + o[same + step], minlength=m * m).reshape(m, m)
+    out = out[left, right]
+    at = many[group]
+    column, o = (np.cumsum(many) - 1)[group[at]], of[at]
+    for first in range(0, int(many.sum()), COLUMNS):
+        here = slice(*np.searchsorted(column, [first, first + COLUMNS]))
+        dense = np.zeros((m, min(COLUMNS, int(many.sum()) - first)), np.float32)  # exact up to 2^24
+        dense[o[here], column[here] - first] = 1
+        out += (dense[left] @ dense[right].T).astype(np.int64)
+    return np.triu(out, 1) if split == m else out
+
+
+def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links a class has inside each pair of blocks; rows come sorted by pair and side, a
+    pair may span batches."""
+    keys, held = ["component", "size_x", "salt_x", "size_y", "salt_y"], None
+
+    def counts(rows: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        cls, side = rows.column("cls").to_numpy(), rows.column("side").to_numpy()
+        blobs = rows.column("tokens")
+        ids, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at, end in zip(starts, starts[1:]):
+            sets = [unpack(x.as_buffer()) for x in blobs.slice(at, end - at)]
+            n = np.array([len(s) for s in sets])
+            split = int((side[at:end] == 0).sum())
+            a, b = (n, n) if split == len(n) else (n[:split], n[split:])
+            linked = enough(overlaps(sets, split), a[:, None], b[None, :])
+            here = linked.sum(0) + linked.sum(1) if split == len(n) else np.concatenate([linked.sum(1), linked.sum(0)])
+            ids.append(cls[at:end][here > 0]), found.append(here[here > 0])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).astype(np.int64))], names=["cls", "n_links"])
+
+    def whole(rows: pa.Table) -> list[int]:
+        change = np.zeros(rows.num_rows, bool)
+        for x in (rows.column(k).to_numpy() for k in keys):
+            change[1:] |= x[1:] != x[:-1]
+        return [0, *np.flatnonzero(change).tolist(), rows.num_rows]
+
+    for b in _slices(batches):
+        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        starts = whole(rows)
+        held = rows.slice(starts[-2]) if rows.num_rows else rows
+        if len(starts) > 2:
+            yield counts(rows.slice(0, starts[-2]), starts[:-1])
+    if held is not None and held.num_rows:
+        yield counts(held, [0, held.num_rows])
+
+
+def link_counts(placed: DataFrame, one: DataFrame, rows: DataFrame) -> DataFrame:
+    """``cls, n_links``: how many other classes each class links with, over all pairs.
+    ``placed`` has ``node, component`` of every class with a link, ``one`` a row ``cls, n,
+    doc_id, text_key`` for each class."""
+    members = placed.withColumnRenamed("node", "cls").join(one.select("cls", "n", "doc_id", "text_key"), "cls")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n_here"), F.sum("n").alias("shingles"))
+    members = stored(members.join(sizes, "component"), "join-placed-all")
+    two = members.where(F.col("n_here") == 2).select("cls", F.lit(1).cast("long").alias("n_links"))
+
+    # blocks: a small component whole, a larger one by size class (as in the trees) and salt
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + F.lit(1e-9)).cast("int")
+    small = (F.col("n_here") <= BLOCK) & (F.col("shingles") <= BLOCK_SHINGLES)
+    cut = members.where(F.col("n_here") > 2).withColumn("size_class", F.when(small, F.lit(0)).otherwise(step))
+    parts = cut.groupBy("component", "size_class").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    cut = cut.join(parts, ["component", "size_class"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    cut = stored(cut.select("component", "size_class", "salt", "cls", "n", "doc_id", "text_key"), "join-blocks")
+    blocks = cut.groupBy("component", "size_class", "salt").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    x = blocks.select("component", F.col("size_class").alias("size_x"), F.col("salt").alias("salt_x"), F.col("low").alias("low_x"), F.col("high").alias("high_x"),
+                      F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"))
+    pairs = x.join(blocks, ["component", "size_class"]).where(
+        ((F.col("size_x") < F.col("size_class")) | (F.col("salt_x") <= F.col("salt")))
+        & (F.least("high_x", "high") * DENOMINATOR >= F.greatest("low_x", "low") * NUMERATOR))
+    pairs = stored(pairs.select("component", "size_x", "salt_x", F.col("size_class").alias("size_y"), F.col("salt").alias("salt_y")), "join-block-pairs")
+
+    sets = whole_sets(rows, cut.select("doc_id", "text_key", "cls"))
+    cut = cut.select("component", "size_class", "salt", "cls").join(sets, "cls")
+    key = ["component", "size_x", "salt_x", "size_y", "salt_y"]
+
+    def side(name: str, number: int, of: DataFrame) -> DataFrame:
+        return cut.withColumnsRenamed({"size_class": f"size_{name}", "salt": f"salt_{name}"}).join(of, ["component", f"size_{name}", f"salt_{name}"]).select(
+            *key, F.lit(number).alias("side"), "cls", "tokens")
+
+    both = side("x", 0, pairs).unionByName(side("y", 1, pairs.where((F.col("size_x") < F.col("size_y")) | (F.col("salt_x") < F.col("salt_y")))))
+    counted = both.repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(_count_links, "cls long, n_links long")
+    return two.unionByName(counted.groupBy("cls").agg(F.sum("n_links").alias("n_links")))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links, text_key`` of each row; ``n_links`` is the
+    number of other classes that the row's class links with. Without ``count_links`` there
+    is no ``n_links``: components need only some of the links."""
     rows = pick(docs, doc_id=doc_id, text=text)
     everything = stored(classes(rows, frequent_shingles(rows)), "join-sets")
     sets = everything.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
@@ -454,20 +564,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     lowest = best.join(final.withColumnRenamed("node", "cls"), "cls").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = final.withColumnRenamed("node", "cls").join(lowest, "component").select("cls", "component_id")
-    both = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
-    degree = both.groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    per_class = best.withColumnRenamed("doc_id", "own").join(of_class, "cls", "left").join(degree, "cls", "left")
-    per_class = per_class.select("cls", F.coalesce("component_id", "own").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    per_class = best.withColumnRenamed("doc_id", "own").join(of_class, "cls", "left")
+    if count_links:
+        per_class = per_class.join(link_counts(final, one, rows), "cls", "left")
+    n_links = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    per_class = per_class.select("cls", F.coalesce("component_id", "own").alias("component_id"), *n_links)
     linked = everything.select("doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("cls")).alias("cls"))
     out = linked.join(per_class, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-                      F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_key")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *n_links, "text_key")
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their component; of rows with
     equal id and text one stays. Rows without an id are only compared with each other."""
-    found = near_duplicates(docs, doc_id, text)
+    found = near_duplicates(docs, doc_id, text, count_links=False)
     gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
     whole = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return whole.join(gone, ["id", "key"], "left_anti").dropDuplicates(["id", "key"]).select("row.*")

@@ -178,6 +178,21 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("block, rare", [(512, 16), (5, 2)])
+def test_links_equal_brute_force(spark, monkeypatch, block, rare):
+    """Every pair counts, also those inside a component that other links connect."""
+    rows = near_rows() + [r for r in EDGE if r[0] != 6]
+    monkeypatch.setattr(ngram_join, "BLOCK", block)  # small: most pairs lie across blocks
+    monkeypatch.setattr(ngram_join, "RARE", rare)  # small: most shingles go through products
+    monkeypatch.setattr(ngram_join, "COLUMNS", 64)
+    sets = {shingles(r[1]) for r in rows if r[0] is not None} - {frozenset()}
+    links = {s: sum(100 * len(s & t) >= 75 * len(s | t) for t in sets if t != s) for s in sets}
+    want = sorted((r[0] if r[0] is not None else -1, links[shingles(r[1])] if r[0] is not None and shingles(r[1]) else 0) for r in rows)
+    out = ngram_join.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_links) for r in out) == want
+    assert max(n for _, n in want) > 2
+
+
 def test_near_duplicates_of_empty_table(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
 
