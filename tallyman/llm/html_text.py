@@ -15,12 +15,15 @@ The labeller is trained when the operator runs, on
   they have any; in training their names are hidden at random, so that words and
   context must do too.
 
-Only scripts, styles, heads, comments and other unshown markup are dropped by rule.
+Only scripts, styles, titles, comments and other unshown markup are dropped by rule. A
+head has no text of its own: what cannot stand in it is read, as in browsers.
 
 Defined results for edge cases
 * null or empty html, or a page without any kept block: empty text, 0 characters;
 * unclosed, crossed and unknown elements: as far as they go, like browsers do for
-  paragraphs, list items and table cells;
+  paragraphs, list items and table cells; scripts, styles and titles without an end run
+  to the end of the page, other unshown elements without one hide nothing, and an svg
+  ends at the first HTML element in it or with the element around it;
 * very long pages: all blocks are read, in one sequence;
 * null ids or urls are kept; repeated rows: one result each; an empty table: no
   rows; extra columns are ignored.
@@ -49,21 +52,26 @@ SEED = 11
 #: Block vectors a task holds at a time, about.
 STEPS = 40_000
 
-# Fixed values of HTML: elements that bound a block, that have no end tag, and whose content is not shown.
+# Fixed values of HTML: elements that bound a block, that have no end tag, whose content is text up to their end tag
+# and not shown, whose content is not shown if they end, that end an svg, and in which an svg holds HTML.
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search
 section select summary table tbody td textarea tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSHOWN = "script style head noscript template svg math iframe object title".split()
+RAW = frozenset(("script", "style", "title"))
+UNSHOWN = frozenset(("noscript", "template", "iframe"))
+ANNOTATION = frozenset(("annotation", "annotation-xml"))  # of math
+BREAKOUT = BLOCK | frozenset("b big br code em embed font head i img listing meta nobr ruby s small span strike strong sub sup tt u var".split())
+HOLDS_HTML = frozenset(("foreignobject", "desc"))
 #: Elements that a new one of the same group ends, up to the container that holds them.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 INLINE_SPACE = frozenset(("br", "img", "input", "wbr"))
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(UNSHOWN) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
-    r"|<[/!?a-zA-Z][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
+    r"|<(?P<odd>[a-zA-Z][^\s/>]*)[^>]*>|<[/!?][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
+_TAGS = {name: re.compile(rf"<{name}(?=[\s/>])|<(/){name}(?=[\s/>])[^>]*>", re.I) for name in RAW | UNSHOWN | ANNOTATION}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Za-z]+|\d+")
 _WORD = re.compile(r"\w+|©")
@@ -77,12 +85,28 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where the elements of a name that end do so, by where they start. Templates nest; of
+    the others one that starts again before its end has none."""
+    out, still_open = {}, []
+    for m in _TAGS[name].finditer(page):
+        if not m[1]:
+            if name != "template":
+                still_open.clear()
+            still_open.append(m.start())
+        elif still_open:
+            out[still_open.pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks: text, path words, and characters inside links."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     links = linked = 0
+    foreign: list[str] = []  # open elements from an svg on
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -101,43 +125,76 @@ def blocks(page: str) -> list[Block]:
             links -= name == "a"
         del stack[at:]
 
-    for m in _TOKEN.finditer(page):
+    at = 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         text = m["text"]
         if text is not None:
+            if foreign:
+                continue
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
             if links:
                 linked += len(text.strip())
             continue
-        name = m["name"]
-        if name is None:
-            continue  # a comment, unshown element or declaration
-        name = name.lower()
-        if name in UNSHOWN:
+        name = (m["name"] or m["odd"] or "").lower()
+        if m["name"] is None and name not in RAW and name not in UNSHOWN and name != "svg":
+            continue  # a comment, declaration or broken tag
+        closed = m[0].endswith("/>")
+        if name in RAW:
+            if not m["end"] and not (foreign and closed):
+                last = next((t for t in _TAGS[name].finditer(page, at) if t[1]), None)
+                at = last.end() if last else len(page)
+            continue
+        if name in UNSHOWN or name in ANNOTATION and any(n == "math" for n, _ in stack):
+            if not m["end"]:
+                if name not in ends:
+                    ends[name] = _ends(page, name)
+                at = ends[name].get(m.start(), at)
+            continue
+        if foreign:
+            if m["end"]:
+                if name in foreign:
+                    while foreign.pop() != name:
+                        pass
+                    continue
+                if name not in ("p", "br") and all(n != name for n, _ in stack):
+                    continue
+            elif name not in BREAKOUT or not HOLDS_HTML.isdisjoint(foreign):
+                if not closed and name not in VOID:
+                    foreign.append(name)
+                continue
+            foreign.clear()
+        if name == "svg":
+            if not m["end"] and not closed:
+                foreign.append(name)
+            continue
+        if name == "head":
             continue
         if m["end"]:
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == name:
-                    close(at)
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
+                    close(k)
                     break
             if name in BLOCK:
                 flush()
             continue
         if name in BLOCK:
             flush()
-            for at in range(len(stack) - 1, -1, -1):  # a block element ends an open paragraph
-                if stack[at][0] == "p":
-                    close(at)
+            for k in range(len(stack) - 1, -1, -1):  # a block element ends an open paragraph
+                if stack[k][0] == "p":
+                    close(k)
                     break
-                if stack[at][0] in BLOCK:
+                if stack[k][0] in BLOCK:
                     break
             if name in ENDS:
                 ended, holders = ENDS[name]
-                for at in range(len(stack) - 1, -1, -1):
-                    if stack[at][0] in holders:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in holders:
                         break
-                    if stack[at][0] in ended:
-                        close(at)
+                    if stack[k][0] in ended:
+                        close(k)
                         if name != "tr":
                             break
         elif name in INLINE_SPACE:

@@ -301,6 +301,24 @@ def test_blocks_follow_the_markup():
     assert html_text.blocks("") == []
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><meta charset=utf-8><title>t</title><body><article><p>text</article>", ["text"]),  # a head without its end
+    ("<head><link href=x><div>a</div><p>text", ["a", "text"]), ("<head><style>x{}</style></head><body>text", ["text"]),
+    ('<p>a <svg class="i" /> b</p><p>c</p><svg><path d="M0"/></svg><p>d', ["a b", "c", "d"]),  # a self-closed icon
+    ("<p>a <svg><title/><g><text>no</text></g></svg> b</p><p>c", ["a b", "c"]), ("<div><svg><path></div>a<p>b", ["a", "b"]),
+    ("<svg><path d=x><article><p>a</p></article><svg></svg>b", ["a", "b"]), ("a <svg><foreignObject><div>no</div></foreignObject></svg> b", ["a b"]),
+    ("<noscript><img><p>a</p><noscript>no</noscript><p>b", ["a", "b"]), ("<p>a</p><template><p>b", ["a", "b"]),
+    ("<template>no<template>no</template>no</template>a", ["a"]), ("<iframe src=x /><p>a</p><iframe>no</iframe>b", ["a", "b"]),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds", ["so x=1 holds"]),
+    ("<math><semantics><mi>x</mi><annotation>no</annotation></semantics></math>", ["x"]),
+    ("<p>see <object data=x><param name=y>the fallback</object> here", ["see the fallback here"]), ("<object data=x><p>a</p><p>b", ["a", "b"]),
+    ("<iframe srcdoc='<p>no</p>'>no</iframe>a", ["a"]), ("<script>w('<script src=x')</script>a", ["a"]),
+    ("a<script>no", ["a"]), ("a<style>no<p>no", ["a"]), ("<title>no<p>no", []), ("<script a='>no</script>a", ["a"]), ("<svg-icon>a</svg-icon><title-bar>b</title-bar>", ["ab"]),
+])
+def test_unshown_elements_end_as_in_browsers(page, want):
+    assert [b.text for b in html_text.blocks(page)] == want
+
+
 def test_main_text_of_given_and_generated_pages(spark, weights):
     p = spark.read.parquet(f"{SF}/pages.parquet")
     extra = spark.createDataFrame([(-1, None, None), (-2, "u", ""), (None, "u", "<article><p>" + LONG + "</p></article>"), (-3, "u", "<nav><a>Home</a></nav>")], p.schema)
