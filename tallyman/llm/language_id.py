@@ -22,18 +22,21 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyman.llm.common import held_out, pick
 
 #: Bounds of the learned dictionaries: sampled documents a language and bytes
-#: kept of each normalised sample, so one dictionary holds at most 256 KB.
+#: kept of each sample, so one dictionary holds at most 256 KB; words that a
+#: sample takes together from one place of its text.
 SAMPLE_DOCS = 512
 SAMPLE_BYTES = 512
+WINDOW_WORDS = 8
 #: zstandard level, and bytes encoded at a time (a dictionary fades as a window fills).
 LEVEL = 3
 BLOCK_BYTES = 4096
@@ -48,21 +51,40 @@ def normalise(text: str) -> bytes:
     return " ".join(dict.fromkeys(_WORD.findall(text.lower()))).encode("utf-8", "replace")
 
 
+def sampled(text: str, most: int) -> bytes:
+    """At most ``most`` bytes of a text's distinct words, from windows of ``WINDOW_WORDS``
+    words all over the text, in the order of a hash of their place and the text's length."""
+    words = _WORD.findall(text.lower())
+    starts = range(0, len(words), WINDOW_WORDS)
+    taken: dict[str, int] = {}
+    size = -1
+    for at in sorted(starts, key=lambda k: (zlib.crc32(b"%d %d" % (k, len(words))), k)):
+        for place, word in enumerate(words[at:at + WINDOW_WORDS], at):
+            if word not in taken:
+                size += 1 + len(word.encode("utf-8", "replace"))
+                if size > most and taken:
+                    break
+                taken[word] = place
+        if size >= most:
+            break
+    return " ".join(sorted(taken, key=taken.__getitem__)).encode("utf-8", "replace")[:most]
+
+
 def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Language → dictionary content, from about ``sample_docs`` labelled rows of each
-    language (all, where there are fewer) that are not held out.
+    """Language → dictionary content, from ``sample_docs`` labelled ids of each language
+    (all, where there are fewer) that are not held out, one text each.
 
-    Rows are chosen by a hash of their id below a per-language threshold, so no
-    sort or shuffle of texts is needed; what reaches the driver is bounded by
-    languages × ``sample_docs`` × ``sample_bytes``."""
+    Ids are chosen by their hash, first below a per-language threshold, so no sort or
+    shuffle of texts is needed; what reaches the driver is bounded by languages ×
+    ``sample_docs`` × ``sample_bytes``, however often an id or a row is repeated."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(_HASH_RANGE))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect()}
     if not counts:
         return {}
     chosen = F.lit(False)
     for lang, n in sorted(counts.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (h < max(1, math.ceil(_HASH_RANGE * min(1.0, sample_docs / n)))))
+        chosen = chosen | ((F.col("lang") == lang) & (h < max(1, math.ceil(_HASH_RANGE * min(1.0, 1.5 * sample_docs / max(n, 1))))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,15 +92,19 @@ def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_b
             yield pa.RecordBatch.from_pydict({
                 "lang": pa.array(c["lang"], pa.string()),
                 "key": pa.array(c["key"], pa.int64()),
-                "part": pa.array([normalise(t)[:sample_bytes] for t in c["text"]], pa.binary()),
+                "part": pa.array([sampled(t, sample_bytes) for t in c["text"]], pa.binary()),
             })
 
-    picked = rows.where(chosen).select("lang", F.xxhash64("doc_id", "text").alias("key"), "text")
-    parts = picked.mapInArrow(cut, "lang string, key long, part binary").collect()
+    picked = rows.where(chosen).select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    ids = picked.groupBy("lang", "doc_id").agg(F.min("key").alias("key"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = ids.withColumn("place", place).where(F.col("place") <= sample_docs).select("lang", "doc_id", "key")
+    picked = picked.join(F.broadcast(ids), ["lang", "doc_id", "key"]).select("lang", "key", "text")  # a few ids a language
+    parts = picked.mapInArrow(cut, "lang string, key long, part binary").groupBy("lang", "key").agg(F.min("part").alias("part")).collect()
     out: dict[str, bytes] = {}
     for lang in sorted(counts):
         mine = sorted((r.key, bytes(r.part)) for r in parts if r.lang == lang)
-        out[lang] = b" ".join(p for _, p in mine[: 2 * sample_docs])
+        out[lang] = b" ".join(p for _, p in mine)
     return out
 
 

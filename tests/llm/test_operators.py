@@ -406,5 +406,21 @@ def test_language_by_compression(spark):
     assert language_id.identify_languages(empty(spark)).count() == 0
 
 
+def test_dictionaries_learn_from_whole_texts_and_bounded_rows(spark):
+    ids = [i for i in range(1000) if not held_out_id(i)][:40]
+    licence = " ".join(f"licence{a}{b}" for a in "abcdefgh" for b in "abcdefghijkl")  # over 512 bytes
+    own = [" ".join(f"own{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh")] * len(ids)
+    rows = [(i, licence + " " + t, "aa", "a") for i, t in zip(ids, own)]
+    learned = language_id.learn_dictionaries(docs(spark, rows))["aa"]
+    assert learned.count(b"own") > learned.count(b"licence") > 0
+    letters = "abcdefghij"
+    repeated = [(ids[0], f"again{letters[k // 100]}{letters[k // 10 % 10]}{letters[k % 10]}", "aa", "a") for k in range(300)] * 2
+    learned = language_id.learn_dictionaries(docs(spark, repeated + [(i, "other", "aa", "a") for i in ids[1:]]))["aa"]
+    assert learned.count(b"again") == 1 and learned.count(b"other") == len(ids) - 1
+    learned = language_id.learn_dictionaries(docs(spark, [(i, "other", "aa", "a") for i in ids]), sample_docs=10)["aa"]
+    assert learned.count(b"other") == 10
+    assert language_id.sampled("a" * 3000, 512) == b"a" * 512 and language_id.sampled("", 512) == b""
+
+
 def test_held_out_rows():
     assert held_out_id(12) == (zlib.crc32(b"12") % 5 == 0)
