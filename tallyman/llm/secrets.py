@@ -6,9 +6,9 @@ by two first-order character models, one of random strings and one of ordinary
 identifiers: the log-likelihood ratio of the two, averaged over the transitions,
 decides. All of it is SQL functions; the models are literal arrays.
 
-The models are trained from labelled samples of the corpus itself: the values the
-base patterns found, and as many strings drawn from a hash, are random; the words of a
-bounded sample of documents, outside all base spans, are ordinary.
+The models are trained on the whole corpus, of which only counts of transitions reach the
+driver: the values the base patterns found are random, with strings drawn from a hash as
+a small prior; the words of all documents, outside all base spans, are ordinary.
 
 Positions count code points, ends are exclusive. A match's position is the
 length of everything before it: ``split`` gives the texts between the matches,
@@ -45,15 +45,16 @@ RUN_LEAST = 20
 #: Least average log-likelihood ratio (in nats for each transition) of an added span.
 MARGIN = 0.3
 
-#: Training: documents sampled (by the hash of their id), ordinary words, and the number
-#: of hashed strings (32 bytes in base 64; hexadecimal runs are base spans already).
-SAMPLE_DOCS = 2000
+#: Training: ordinary words, and the number of hashed strings (32 bytes in base 64;
+#: hexadecimal runs are base spans already).
 WORD = r"[A-Za-z0-9+/_=-]{4,}"
 HASHED = 2000
 #: Characters of the models (all of RUN), the count added to every character, and the
 #: weight of single characters in a transition's estimate.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SMOOTHING, BACK_OFF = 0.5, 200.0
+#: Weight of all hashed strings together, in transitions: one for each pair of characters.
+PRIOR = len(ALPHABET) ** 2
 
 
 def _spans(text: Column, pattern: str, kind: int, least: int, group: int) -> Column:
@@ -102,24 +103,23 @@ def rendered(spans: Column) -> Column:
 def _transitions(strings: Column, rows: DataFrame) -> dict[tuple[str, str], int]:
     """How often each character follows another in an array of strings: at most one row
     for each pair of the alphabet reaches the driver."""
-    pairs = F.flatten(F.transform(strings, lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))))
+    two = F.lit("(?s)..")  # the pairs from the first character on and from the second on
+    pairs = F.flatten(F.transform(strings, lambda s: F.concat(F.regexp_extract_all(s, two, F.lit(0)), F.regexp_extract_all(F.substr(s, F.lit(2)), two, F.lit(0)))))
     counts = rows.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
     return {(r.pair[0], r.pair[1]): r.n for r in counts.collect()}
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, hashed: int = HASHED) -> list[float]:
+def train(docs: DataFrame, hashed: int = HASHED) -> list[float]:
     """The log-likelihood ratio random : ordinary of each transition, at 128 × the first
-    character's code + the second's, from the sampled documents and hashed strings."""
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(sample_docs)
-    text = F.coalesce("text", F.lit(""))
-    sample = docs.join(F.broadcast(ids), "doc_id").select(text.alias("text"))  # at most sample_docs ids
+    character's code + the second's, from all documents and hashed strings."""
+    every_text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     values = F.transform(base_spans(F.col("text")), lambda s: s["value"])
     digest = F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 256)
     drawn = docs.sparkSession.range(hashed).select(F.array(F.translate(F.base64(F.unhex(digest)), "\r\n", "")).alias("s"))
     plain = F.regexp_replace(F.regexp_replace(F.col("text"), "(?i)" + ASSIGN, " "), f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}|[0-9a-f]{{{HEX_LEAST},}}", " ")
-    random = sample.select(F.filter(values, lambda v: F.length(v) > 1).alias("s")).unionByName(drawn)
-    ordinary = sample.select(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)).alias("s"))
+    random = every_text.select(values.alias("s"))
+    ordinary = every_text.select(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)).alias("s"))
 
     def logs(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
         """Transition probabilities, drawn to those of single characters where a context is rare."""
@@ -131,7 +131,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, hashed: int = HASHED)
             out |= {(a, b): math.log((counts.get((a, b), 0) + BACK_OFF * single[b] / every) / (n + BACK_OFF)) for b in ALPHABET}
         return out
 
-    r, o = logs(_transitions(F.col("s"), random)), logs(_transitions(F.col("s"), ordinary))
+    found, prior = _transitions(F.col("s"), random), _transitions(F.col("s"), drawn)
+    weight = PRIOR / max(1, sum(prior.values()))
+    r = logs({k: found.get(k, 0) + weight * prior.get(k, 0) for k in found.keys() | prior.keys()})
+    o = logs(_transitions(F.col("s"), ordinary))
     table = [0.0] * (128 * 128)
     for (a, b), v in r.items():
         table[128 * ord(a) + ord(b)] = v - o[a, b]

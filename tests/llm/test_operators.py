@@ -269,6 +269,20 @@ def test_models_find_random_keys_and_leave_words(spark):
     assert clean.t == f"use [SECRET] or {plain} here"
 
 
+def test_models_learn_from_every_document(spark):
+    """Few documents of very many have secrets, or the words that look like some."""
+    def table(rows):
+        return secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+
+    def at(t, pair):
+        return t[128 * ord(pair[0]) + ord(pair[1])]
+
+    rows = [(i, "plain words only") for i in range(3000)]
+    plain = table(rows)
+    more = table(rows + [(k, "XQ" * 100) for k in range(3000, 3010)] + [(k, "password=" + "ZJ" * 300) for k in range(3010, 3020)] + [(None, "VK" * 1000)])
+    assert at(more, "XQ") < at(plain, "XQ") - 1 and at(more, "VK") < at(plain, "VK") - 1 and at(more, "ZJ") > at(plain, "ZJ") + 1
+
+
 # --- 7 exact top-k ------------------------------------------------------------------
 def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(2)
