@@ -5,6 +5,9 @@ from __future__ import annotations
 import uuid
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,16 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts (null: empty), joined, and where each text begins and
+    the last one ends."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, places, data = texts.buffers()
+    offsets = np.frombuffer(places, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for documents no model may learn from: crc32 of the id's text, mod 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
