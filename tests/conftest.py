@@ -4,12 +4,10 @@ import tempfile
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-if ROOT not in sys.path:
-    sys.path.insert(0, ROOT)
-
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
+TESTS = os.path.dirname(os.path.abspath(__file__))
+for folder in (TESTS, os.path.dirname(TESTS)):
+    if folder not in sys.path:
+        sys.path.insert(0, folder)
 
 
 @pytest.fixture(scope="session")
@@ -31,7 +29,3 @@ def seed(spark):
 @pytest.fixture()
 def scratch():
     return tempfile.mkdtemp(prefix="tallyman-test-")
-
-TESTS = os.path.dirname(os.path.abspath(__file__))
-if TESTS not in sys.path:
-    sys.path.insert(0, TESTS)

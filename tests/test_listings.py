@@ -5,7 +5,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from tallyman.operators import listings, reports, scope
 from tallyman.sources.fixtures import fixture_tables
 from tallyman.sources.seed import SEED_DATE

@@ -4,7 +4,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF001
+from paths import SF001
 from oracle_harness import compare, duckdb_con
 from tallyman.plans.oracle import ORACLE
 from tallyman.plans.queries import spark_queries

@@ -8,7 +8,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from tallyman.operators import listings, yields
 from tallyman.plans.queries import spark_queries
 from tallyman.sources.fixtures import fixture_tables

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from tallyman.functions.dates import period_end
 from tallyman.functions.prefix import running_total, with_position
 from tallyman.operators import alerts, credit, profit, stock, validate, yields

@@ -72,7 +72,7 @@ def test_branch_day_details_meet_their_total_in_slices(seed):
     ("list_notifications", [("created_at", True)]),
 ])
 def test_listing_order_row_by_row(spark, name, keys):
-    from conftest import SF001
+    from paths import SF001
     from tallyman.sources.fixtures import fixture_tables
 
     rows = [tuple(r[k] for k, _ in keys) for r in getattr(listings, name)(fixture_tables(spark, SF001)).collect()]

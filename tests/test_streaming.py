@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from tallyman.operators import alerts, credit, profit, stock, validate
 from tallyman.sources.fixtures import fixture_tables
 from tallyman.sources.sinks import current_alerts
