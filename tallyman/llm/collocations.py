@@ -7,14 +7,16 @@ by how much more often they occur than their parts would by chance, at the worst
    lowered support of a shard stays well above one at any input size; a shard is as large
    as the input makes it and is mined by as many tasks as it needs.
 2. Each shard is mined completely at the support lowered to its share of all words: words
-   first, then phrases of two words whose parts are frequent in the shard, and so on. A
-   phrase with the support overall has at least the lowered one in some shard, and so have
-   all its parts there. Phrases are counted under 60-bit hashes here; two that share one
-   only look more frequent, so none is lost.
+   first (as texts, so their counts are exact at once), then phrases of two words whose
+   parts are frequent in the shard, and so on. A phrase with the support overall has at
+   least the lowered one in some shard, and so have all its parts there. Phrases are
+   counted under 60-bit hashes here; two that share one only look more frequent, so none
+   is lost.
 3. The union of the shards' frequent phrases is a bitmap for each length (a few bits a
    phrase, at most ``MOST_BITS``; when crowded it lets more through and loses nothing).
-4. One more pass counts all candidates exactly, as texts, by language; the support, the
-   parts' counts, the cuts and the containing phrases all come from that table.
+4. One more pass counts all candidates of two words and more exactly, as texts, by language;
+   the support, the parts' counts, the cuts and the containing phrases all come from that
+   table and the words'.
 
 Counts are combined in each task before they are shuffled; tasks hold at most about
 ``HELD`` counts.
@@ -41,11 +43,11 @@ from tallyman.llm.common import broadcast_if_small, joined_bytes, pick, stored
 #: Occurrences and words of a phrase; phrases reported of each language.
 SUPPORT, LONGEST, MOST = 100, 5, 2000
 #: Shards (at most 16: four bits of a key), and groups that a language's phrases are ranked in first.
-SHARDS, GROUPS = 8, 32
+SHARDS, GROUPS = 4, 32
 #: Bits of a bitmap for each phrase in it, and least and most bits of a bitmap.
-BITS_A_PHRASE, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 30
-#: Counts a task holds before it passes them on; rows of a batch.
-HELD, ROWS = 1_500_000, 1000
+BITS_A_PHRASE, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 30
+#: Counts by hash and by text that a task holds before it passes them on; rows of a batch.
+HELD, HELD_TEXTS, ROWS = 1_500_000, 600_000, 1000
 
 _BLANK, _MARK = b" \t", b".,;:!?\n\x0b\x0c\r"
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -133,7 +135,7 @@ def _both_parts(found: np.ndarray) -> np.ndarray:
     return found & np.append(found[1:], False)
 
 
-def _count_in_shards(batches: Iterator[pa.RecordBatch], length: int, below: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _count_in_shards(batches: Iterator[pa.RecordBatch], length: int, below: np.ndarray) -> Iterator[pa.RecordBatch]:
     """``key, n``: how often a task meets each phrase of ``length`` words both of whose parts
     are in the bitmap ``below``, by shard (the key's last four bits)."""
     held, room = [], HELD
@@ -153,8 +155,7 @@ def _count_in_shards(batches: Iterator[pa.RecordBatch], length: int, below: np.n
         for _ in range(length - 1):
             shorter = keys.longer()
         here = words.together(length)
-        if length > 1:
-            here &= _both_parts(_among(shorter, below) & words.together(length - 1))
+        here &= _both_parts(_among(shorter, below) & words.together(length - 1))
         shard = b.column("shard").to_numpy().astype(np.uint64)[words.row[here]]
         part = np.unique((keys.longer()[here] << np.uint64(4)) | shard, return_counts=True)
         held.append(part)
@@ -169,44 +170,73 @@ def _count_in_shards(batches: Iterator[pa.RecordBatch], length: int, below: np.n
         yield rows(counts(held))
 
 
-def _count_exactly(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """``lang, phrase, words, n``: how often a task meets each candidate, told apart by its
-    words; with no phrase: the words of a language."""
-    held: dict[tuple[str, bytes, int], int] = {}
-    totals: dict[str, int] = {}
+class _Held:
+    """Counts (several to a name) that a task has met."""
+
+    def __init__(self, columns: int):
+        self.index: dict = {}
+        self.counts = np.zeros((1024, columns), np.int64)
+
+    def add(self, names: list, counts: np.ndarray) -> None:
+        at = np.fromiter((self.index.setdefault(x, len(self.index)) for x in names), np.int64, len(names))
+        while len(self.index) > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+        self.counts[at] += counts
+
+    def batch(self, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        parts = [pa.array(x, pa.binary() if k == pa.string() else k).cast(k) for x, k in zip(list(zip(*self.index)) or [()] * len(kinds), kinds)]
+        counts = [pa.array(c) for c in self.counts[:len(self.index)].T]
+        self.__init__(self.counts.shape[1])
+        return pa.RecordBatch.from_arrays([*parts, *counts], names=names)
 
-    def rows() -> pa.RecordBatch:
-        names, n = list(held), list(held.values())
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in names], pa.string()), pa.array([x[1] for x in names], pa.binary()).view(pa.string()),
-                                           pa.array([x[2] for x in names], pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "n"])
 
+def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """``lang, word, n0, n1, ...``: how often a task meets each word, by shard."""
+    held, columns = _Held(shards), ["lang", "word", *[f"n{s}" for s in range(shards)]]
+    for b in _slices(batches):
+        words = Words(b.column("text"))
+        lang, langs = _languages(b.column("lang"))
+        size, names = max(1, len(words.names)), words.names.to_pylist()
+        found, at = np.unique(lang[words.row] * size + words.code, return_inverse=True)
+        shard = b.column("shard").to_numpy()[words.row]
+        counts = np.bincount(at * shards + shard, minlength=len(found) * shards).reshape(-1, shards)
+        held.add([(langs[x // size].encode(), names[x % size]) for x in found.tolist()], counts)
+        if len(held.index) > HELD_TEXTS:
+            yield held.batch(columns, [pa.string()] * 2)
+    yield held.batch(columns, [pa.string()] * 2)
+
+
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sums = _hashes(["lang " + x for x in b.column("lang").to_pylist()]) + _hashes(b.column("word").cast(pa.binary()).to_pylist()) * _FACTORS[0]
+        yield pa.RecordBatch.from_arrays([pa.array(((_mix(sums + np.uint64(1)) >> np.uint64(4)) << np.uint64(4)).view(np.int64))], names=["key"])
+
+
+def _count_exactly(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """``lang, phrase, words, a``: how often a task meets each candidate of two words and
+    more, told apart by its words."""
+    held, columns, kinds = _Held(1), ["lang", "phrase", "words", "a"], [pa.string(), pa.string(), pa.int32()]
     for b in _slices(batches):
         words = Words(b.column("text"))
         lang, langs = _languages(b.column("lang"))
-        for i, n in enumerate(np.bincount(lang[words.row], minlength=len(langs)).tolist()):
-            totals[langs[i]] = totals.get(langs[i], 0) + n
         keys = Keys(words, lang, langs)
         size, names = max(1, len(words.names)), words.names.to_pylist()
-        number = lang[words.row]  # equal for equal phrases of the length so far
-        found = None
-        for length in range(1, LONGEST + 1):
-            here = words.together(length) & _among(keys.longer(), bitmaps[length - 1])
-            found = here & _both_parts(found) if found is not None else here
+        found = _among(keys.longer(), bitmaps[0])
+        number = lang[words.row] * size + words.code  # equal for equal phrases of the length so far
+        for length in range(2, LONGEST + 1):
+            found = words.together(length) & _both_parts(found) & _among(keys.longer(), bitmaps[length - 1])
             at = np.flatnonzero(found)
             if not len(at):
                 break
             _, first, same, n = np.unique(number[at] * size + words.code[at + length - 1], return_index=True, return_inverse=True, return_counts=True)
-            number = np.zeros(len(found), np.int64)
             number[at] = same
-            for start, times in zip(at[first].tolist(), n.tolist()):
-                key = (langs[lang[words.row[start]]], b" ".join([names[c] for c in words.code[start:start + length].tolist()]), length)
-                held[key] = held.get(key, 0) + times
-        if len(held) > HELD // 4:
-            yield rows()
-            held.clear()
-    yield rows()
-    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()), pa.array([0] * len(totals), pa.int32()),
-                                      pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "words", "n"])
+            begin = at[first]
+            texts = zip(*[[names[c] for c in words.code[begin + step].tolist()] for step in range(length)])
+            own = [langs[x].encode() for x in lang[words.row[begin]].tolist()]
+            held.add([(x, b" ".join(t), length) for x, t in zip(own, texts)], n[:, None])
+        if len(held.index) > HELD_TEXTS:
+            yield held.batch(columns, kinds)
+    yield held.batch(columns, kinds)
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -223,25 +253,26 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def candidates(rows: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> list[np.ndarray]:
-    """Steps 1 to 3: a bitmap for each length of the phrases that some shard finds frequent."""
+def candidates(rows: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple[DataFrame, list[np.ndarray]]:
+    """Steps 1 to 3: the words' counts by shard, and a bitmap for each length of the phrases
+    that some shard finds frequent."""
     sc = rows.sparkSession.sparkContext
-    bitmaps: list[np.ndarray] = []
-    enough = F.lit(True)
-    for length in range(1, LONGEST + 1):
-        below = sc.broadcast(bitmaps[-1] if bitmaps else None)
+    by_shard = [f"n{s}" for s in range(shards)]
+    words = rows.mapInArrow(lambda batches: _count_words(batches, shards), ", ".join(["lang string", "word string", *[f"{n} long" for n in by_shard]]))
+    words = stored(words.groupBy("lang", "word").agg(*[F.sum(n).alias(n) for n in by_shard]), "phrases-words")
+    sizes = [n or 0 for n in words.agg(*[F.sum(n) for n in by_shard]).first()]
+    # support * share of the words, rounded up; a shard without words has no phrases
+    least = [max(1, -(-support * n // max(1, sum(sizes)))) for n in sizes]
+    frequent = words.where(reduce(lambda x, y: x | y, [F.col(n) >= m for n, m in zip(by_shard, least)])).select("lang", "word")
+    bitmaps = [_bitmap(stored(frequent.mapInArrow(_word_keys, "key long"), "phrases-frequent-1"))]
+    shard = F.col("key").bitwiseAND(15)
+    enough = F.col("n") >= reduce(lambda rest, s: F.when(shard == s, F.lit(least[s])).otherwise(rest), range(shards), F.lit(support))
+    for length in range(2, LONGEST + 1):
+        below = sc.broadcast(bitmaps[-1])
         counted = rows.mapInArrow(lambda batches, length=length, below=below: _count_in_shards(batches, length, below.value), "key long, n long")
-        counted = counted.groupBy("key").agg(F.sum("n").alias("n"))
-        shard = F.col("key").bitwiseAND(15)
-        if length == 1:
-            counted = stored(counted, "phrases-words")
-            sizes = dict(counted.groupBy(shard).agg(F.sum("n")).collect())  # a row a shard
-            total = sum(sizes.values())
-            # ceil(support * share of the words), whole numbers only
-            least = {s: -(-support * n // total) for s, n in sizes.items()}
-            enough = F.col("n") >= reduce(lambda rest, s: F.when(shard == s, F.lit(least[s])).otherwise(rest), least, F.lit(support))
-        bitmaps.append(_bitmap(stored(counted.where(enough).select("key"), f"phrases-frequent-{length}")))
-    return bitmaps
+        counted = counted.groupBy("key").agg(F.sum("n").alias("n")).where(enough).select("key")
+        bitmaps.append(_bitmap(stored(counted, f"phrases-frequent-{length}")))
+    return words.select("lang", "word", reduce(lambda x, y: x + y, [F.col(n) for n in by_shard]).alias("a")), bitmaps
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, most: int = MOST, shards: int = SHARDS,
@@ -249,19 +280,21 @@ def collocations(docs: DataFrame, support: int = SUPPORT, most: int = MOST, shar
     """``lang, rank, phrase, a, l, r, n, score``: each language's best phrases."""
     shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")
     rows = pick(docs, doc_id=doc_id, text=text, lang=lang).select("text", F.coalesce("lang", F.lit("und")).alias("lang"), shard.alias("shard"))
-    shared = rows.sparkSession.sparkContext.broadcast(candidates(rows, support, shards))
-    counted = rows.mapInArrow(lambda batches: _count_exactly(batches, shared.value), "lang string, phrase string, words int, n long")
-    counted = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a"))
-    counted = stored(counted.where((F.col("words") == 0) | (F.col("a") >= support)), "phrases-counted")
-
-    sizes = counted.where(F.col("words") == 0).select("lang", F.col("a").alias("n"))
+    words, bitmaps = candidates(rows, support, shards)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmaps)
+    counted = rows.mapInArrow(lambda batches: _count_exactly(batches, shared.value), "lang string, phrase string, words int, a long")
+    counted = counted.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= support)
+    alone = words.where(F.col("a") >= support).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a")
+    counted = stored(counted.unionByName(alone), "phrases-counted")
+
+    sizes = words.groupBy("lang").agg(F.sum("a").alias("n"))
     phrases = counted.where(F.col("words") > 1)
-    parts = broadcast_if_small(counted.where((F.col("words") >= 1) & (F.col("words") < LONGEST)).select("lang", "phrase", "a"))
+    parts = broadcast_if_small(counted.where(F.col("words") < LONGEST).select("lang", "phrase", "a"))
     listed = phrases.select("lang", "phrase", "a", F.split("phrase", " ", -1).alias("w"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = listed.select("lang", "phrase", "a", "k", F.concat_ws(" ", F.slice("w", F.lit(1), F.col("k"))).alias("head"),
                          F.concat_ws(" ", F.slice("w", F.col("k") + 1, F.size("w") - F.col("k"))).alias("tail"))
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("head"), F.col("a").alias("l")), ["lang", "head"])
-    cuts = cuts.join(parts.select("lang", F.col("phrase").alias("tail"), F.col("a").alias("r")), ["lang", "tail"]).join(broadcast_if_small(sizes), "lang")
+    cuts = cuts.join(parts.select("lang", F.col("phrase").alias("tail"), F.col("a").alias("r")), ["lang", "tail"]).join(broadcast_if_small(stored(sizes, "phrases-sizes")), "lang")
     wide = {c: F.col(c).cast("decimal(18,0)") for c in ("a", "l", "r", "n")}
     # whole numbers of up to 38 digits; the quotient is a long
     cuts = cuts.withColumn("up", (wide["a"] * wide["n"] * F.lit(1000).cast("decimal(4,0)")).cast("decimal(38,0)")).withColumn("down", (wide["l"] * wide["r"]).cast("decimal(38,0)"))

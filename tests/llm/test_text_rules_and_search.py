@@ -186,6 +186,7 @@ def test_collocations_equal_brute_force(spark, support, most, shards):
 def test_collocations_with_crowded_bitmaps_and_small_tasks(spark, monkeypatch):
     monkeypatch.setattr(collocations, "MOST_BITS", 1 << 16)
     monkeypatch.setattr(collocations, "HELD", 500)
+    monkeypatch.setattr(collocations, "HELD_TEXTS", 300)
     monkeypatch.setattr(collocations, "ROWS", 7)
     rows = [(i, LONG[i * 300:i * 300 + 900], "en") for i in range(400)]
     got = collocations.collocations(docs(spark, rows), 4).collect()
