@@ -18,8 +18,8 @@ by how much more often they occur than their parts would by chance, at the worst
    the support, the parts' counts, the cuts and the containing phrases all come from that
    table and the words'.
 
-Counts are combined in each task before they are shuffled; tasks hold at most about
-``HELD`` counts.
+Counts are combined in each task before they are shuffled: words and hashes in Python, at
+most about ``HELD_TEXTS`` and ``HELD`` at a time, candidates by Spark.
 
 Defined results for edge cases
 * null texts are empty; a null ``lang`` is ``und``; an empty ``lang`` is a language;
@@ -46,7 +46,7 @@ SUPPORT, LONGEST, MOST = 100, 5, 2000
 SHARDS, GROUPS = 4, 32
 #: Bits of a bitmap for each phrase in it, and least and most bits of a bitmap.
 BITS_A_PHRASE, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 30
-#: Counts by hash and by text that a task holds before it passes them on; rows of a batch.
+#: Counts of hashes and of words that a task holds before it passes them on; rows of a batch.
 HELD, HELD_TEXTS, ROWS = 1_500_000, 600_000, 1000
 
 _BLANK, _MARK = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -213,9 +213,8 @@ def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_exactly(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """``lang, phrase, words, a``: how often a task meets each candidate of two words and
-    more, told apart by its words."""
-    held, columns, kinds = _Held(1), ["lang", "phrase", "words", "a"], [pa.string(), pa.string(), pa.int32()]
+    """``lang, phrase, words, a``: how often each candidate of two words and more, told apart
+    by its words, stands in a batch; Spark's map-side aggregate combines a task's batches."""
     for b in _slices(batches):
         words = Words(b.column("text"))
         lang, langs = _languages(b.column("lang"))
@@ -232,11 +231,9 @@ def _count_exactly(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray])
             number[at] = same
             begin = at[first]
             texts = zip(*[[names[c] for c in words.code[begin + step].tolist()] for step in range(length)])
-            own = [langs[x].encode() for x in lang[words.row[begin]].tolist()]
-            held.add([(x, b" ".join(t), length) for x, t in zip(own, texts)], n[:, None])
-        if len(held.index) > HELD_TEXTS:
-            yield held.batch(columns, kinds)
-    yield held.batch(columns, kinds)
+            own = [langs[x] for x in lang[words.row[begin]].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([b" ".join(t) for t in texts], pa.binary()).cast(pa.string()),
+                                              pa.array([length] * len(begin), pa.int32()), pa.array(n)], names=["lang", "phrase", "words", "a"])
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
