@@ -15,15 +15,19 @@ compared once.
    class it shares most prefix shingles with. These verified links give first
    components, so that a large group of near copies costs one comparison a class.
 4. Shingles whose classes still lie in several components go through signature
-   trees: a shingle's classes are cut into nodes by size and salt, each with the OR
-   of its bitmaps, its size range and its range of components; node pairs survive
-   unless they lie in one component, or their sizes or bitmaps rule out the overlap
-   needed. A linked pair is looked for under its first common shingle in the order, so
-   what comes before it in either set is not shared: the overlap is at most what is
-   left of either set from there, and the smaller set must have it in its first
-   seventh. Under a frequent shingle this rules out nearly all pairs. Surviving pairs of nodes are traversed by trees of the same kind down to
-   pairs of classes. Verification sifts pairs by signatures and compares whole sets,
-   which are made again from the texts for the few classes that come so far.
+   trees: a shingle's classes are cut into nodes by size and salt; node pairs survive
+   unless they lie in one component, or their sizes rule out the overlap needed. A linked
+   pair is looked for under its first common shingle in the order, so what comes before it
+   in either set is not shared: the overlap is at most what is left of either set from
+   there, and the smaller set must have it in its first seventh. Each node, and each
+   surviving pair of nodes, is one group of a task, which builds the trees: their nodes
+   hold the OR of their classes' bitmaps, their sizes' range and their components' range,
+   from the root down to single classes. A dual traversal finds the classes that may link
+   with one of another component; only these classes leave the task, never pairs.
+   Their whole sets, made again from the texts, are dealt to the same groups, where all
+   their overlaps are counted. Of the links only a spanning forest over the components
+   leaves a group, so what leaves is less than its classes and no link that joins two
+   components is lost.
 5. Components of all links; each document gets the smallest id of its component.
 6. Links are counted apart, since steps 3 and 4 leave out pairs that already lie in one
    component. All links lie inside components: one of two classes is one link, larger
@@ -33,14 +37,18 @@ compared once.
 
 Hot shingles and hot groups are bounded everywhere: minima are combined on the map
 side, joins are plain equi-joins that Spark may split, and a node holds about
-``NODE`` classes.
+``NODE`` classes and ``NODE_SHINGLES`` shingles.
+
+The result is exact up to collisions of hashes: 48 bits for a shingle among those of two
+compared sets, 64 bits for a class among all classes (one expected in 6 * 10^9 classes).
 
 Defined results for edge cases
 * null, empty or blank texts: empty set, 0 shingles, linked with nothing; texts of
   fewer than five words: one shingle, the whole sequence;
 * a null ``doc_id``: a document of its own, component null, no links;
 * rows with equal ids and different texts are separate documents that share an id;
-* repeated rows: one result each; an empty table: no rows; extra columns are ignored.
+* repeated rows: one result each; an empty table: no rows; extra columns are ignored;
+* very long texts count whole: a task holds a small multiple of the largest set.
 """
 
 from __future__ import annotations
@@ -66,7 +74,7 @@ BITS_A_SHINGLE = 2
 #: how many frequent shingles are kept at most (8 bytes each, broadcast).
 FREQUENT, COUNTED, MOST_FREQUENT = 24, 35, 1_000_000
 #: Classes in a node of the distributed level, about, and in a node that is not cut further.
-NODE, LEAF = 512, 8
+NODE, NODE_SHINGLES, LEAF = 512, 1_000_000, 8
 #: Classes and shingles in a block whose links are counted at once, about; sets that have a
 #: shingle at most, for it to be counted by pairs, and shingles in a dense product.
 BLOCK, BLOCK_SHINGLES = 512, 500_000
@@ -277,14 +285,35 @@ def verified(pairs: DataFrame, one: DataFrame, rows: DataFrame) -> DataFrame:
     return stored(whole.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long"), "join-links")
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups, and where each group begins (and the last one ends), of rows
+    that come sorted by ``keys``; a group may span batches."""
+
+    def cuts(rows: pa.Table) -> list[int]:
+        change = np.zeros(rows.num_rows, bool)
+        for x in (rows.column(k).to_numpy() for k in keys):
+            change[1:] |= x[1:] != x[:-1]
+        return [0, *np.flatnonzero(change).tolist(), rows.num_rows]
+
+    held = None
+    for b in batches:
+        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        starts = cuts(rows)
+        held = rows.slice(starts[-2]).combine_chunks() if rows.num_rows else rows
+        if len(starts) > 2:
+            yield rows.slice(0, starts[-2]).combine_chunks(), starts[:-1]
+    if held is not None and held.num_rows:
+        yield held, [0, held.num_rows]
+
+
 class _Tree:
     """A signature tree over classes sorted by size: a node holds the OR of its bitmaps,
     its sizes' range, the most spare shingles, the most shingles from the key on, and the
     range of components."""
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, ids: np.ndarray, rest: np.ndarray):
-        order = np.lexsort((ids, comp, rest, n))
-        self.ids, n, bits, comp, rest = ids[order], n[order], bits[order], comp[order], rest[order]
+    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, rest: np.ndarray):
+        order = np.lexsort((comp, rest, n))
+        self.places, n, bits, comp, rest = order, n[order], bits[order], comp[order], rest[order]
         spare = n - np.bitwise_count(bits).sum(-1)
         # level 0: the classes; each further level pairs neighbours
         self.levels = [(n, n, bits, spare, comp, comp, rest)]
@@ -296,7 +325,7 @@ class _Tree:
 
     def pairs_with(self, other: "_Tree") -> tuple[np.ndarray, np.ndarray]:
         """Dual traversal, level by level: pairs of nodes that may hold a link descend to
-        the pairs of their children. Gives pairs of class ids."""
+        the pairs of their children. Gives pairs of the classes' places."""
         same = other is self
         i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
         up, down = len(self.levels) - 1, len(other.levels) - 1
@@ -316,7 +345,7 @@ class _Tree:
                 keep[k] = enough(bound, low_a[k], low_b[k])
             i, j = i[keep], j[keep]
             if not (up or down) or not len(i):
-                return self.ids[i], other.ids[j]
+                return self.places[i], other.places[j]
             if up >= down or not down:
                 i, j = np.concatenate([2 * i, 2 * i + 1]), np.concatenate([j, j])
                 up -= 1
@@ -331,58 +360,118 @@ class _Tree:
                 i, j = i[ok], j[ok]
 
 
-def _traverse(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
-    words = min(pc.min(pc.binary_length(t.column("bits"))).as_py() // 8 for t in (left, right) if t is not None)
+class _Members:
+    """The classes of a node, or of two, and their bitmaps at every width they have."""
+
+    def __init__(self, rows: pa.Table):
+        self.n, self.comp, self.rest = (rows.column(c).to_numpy() for c in ("n", "component", "rest"))
+        self.raw = [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("bits")]
+        self.width = np.array([len(r) for r in self.raw])
+
+    def folded(self, at: np.ndarray, words: int) -> np.ndarray:
+        return np.stack([np.bitwise_or.reduce(self.raw[x].reshape(-1, words), axis=0) for x in at])
+
+    def tree(self, at: np.ndarray, words: int) -> _Tree:
+        return _Tree(self.n[at], self.folded(at, words), self.comp[at], self.rest[at])
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of classes of different components may link, by their bitmaps at the
+        narrower one's width."""
+        keep = (self.comp[i] != self.comp[j]) & enough(np.minimum(np.minimum(self.n[i], self.n[j]), np.minimum(self.rest[i], self.rest[j])), self.n[i], self.n[j])
+        words = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(words[keep]).tolist():
+            wide = np.flatnonzero(self.width >= w)
+            place = np.zeros(len(self.n), np.int64)
+            place[wide] = np.arange(len(wide))
+            bits = self.folded(wide, w)
+            spare = self.n[wide] - np.bitwise_count(bits).sum(-1)
+            some = np.flatnonzero(keep & (words == w))
+            for part in range(0, len(some), 100_000):
+                k = some[part:part + 100_000]
+                x, y = place[i[k]], place[j[k]]
+                most = np.minimum(_overlap_bound(bits[x], bits[y], spare[x], spare[y]), np.minimum(self.n[i[k]], self.n[j[k]]))
+                keep[k] = enough(most, self.n[i[k]], self.n[j[k]])
+        return keep
+
+    def survivors(self, split: int | None = None) -> np.ndarray:
+        """Places of the classes that may link with one of another component: with any
+        other class, or with one on the other side of ``split``."""
+        m = len(self.n)
+        if m <= LEAF and split is None:
+            i, j = np.triu_indices(m, 1)
+        else:
+            words = int(self.width.min())
+            one = np.arange(m if split is None else split)
+            a = self.tree(one, words)
+            i, j = a.pairs_with(a if split is None else self.tree(np.arange(split, m), words))
+            j = j if split is None else j + split
+        keep = self.near(i, j)
+        return np.unique(np.concatenate([i[keep], j[keep]]))
+
+
+_NODE_KEYS = ["key", "size_class", "early", "salt"]
+_CELL = ["key", "size_x", "early_x", "salt_x", "size_y", "early_y", "salt_y"]
+_CELL_TYPES = ["long", "int", "int", "int", "int", "int", "int"]
+_SURVIVORS = ", ".join(f"{c} {t}" for c, t in zip(_CELL, _CELL_TYPES)) + ", side int, cls long, component long"
 
-    def tree(t: pa.Table) -> _Tree:
-        return _Tree(t.column("n").to_numpy(), bitmaps(t.column("bits"), words), t.column("component").to_numpy(), t.column("cls").to_numpy(), t.column("rest").to_numpy())
 
-    a = tree(left)
-    x, y = a.pairs_with(a if right is None else tree(right))
-    return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+def _found(cells: list[np.ndarray], side: np.ndarray, rows: pa.Table, at: np.ndarray) -> pa.Table:
+    kinds = [pa.int64() if t == "long" else pa.int32() for t in _CELL_TYPES]
+    return pa.table([*[pa.array(c, k) for c, k in zip(cells, kinds)], pa.array(side, pa.int32()), rows.column("cls").take(pa.array(at)), rows.column("component").take(pa.array(at))],
+                    names=[*_CELL, "side", "cls", "component"])
 
 
 def _inside_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs inside each node; rows come sorted by node, a node may span batches."""
-    keys, held = ["key", "size_class", "early", "salt"], None
+    """Classes that may link inside their node; rows come sorted by node."""
+    for rows, starts in _whole_groups(batches, _NODE_KEYS):
+        at = np.concatenate([np.empty(0, np.int64), *[start + _Members(rows.slice(start, end - start)).survivors() for start, end in zip(starts, starts[1:])]])
+        node = [rows.column(c).to_numpy()[at] for c in _NODE_KEYS]
+        yield from _found([*node, *node[1:]], np.zeros(len(at)), rows, at).to_batches()
+
+
+def _across_nodes(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Classes of two nodes that may link with one of the other node."""
+    columns = ["cls", "n", "rest", "bits", "component"]
+    rows = pa.concat_tables([left.select(columns), right.select(columns)]).combine_chunks()
+    at = _Members(rows).survivors(left.num_rows)
+    cell = [np.full(len(at), left.column(c)[0].as_py()) for c in _CELL]
+    return _found(cell, at >= left.num_rows, rows, at)
+
+
+def spanning_links(linked: np.ndarray, component: np.ndarray, split: int) -> list[tuple[int, int]]:
+    """Of the linked pairs (above the diagonal, or across ``split``) as few as join the same components."""
+    label, out = component.copy(), []
+    shift = 0 if split == len(component) else split
+    for i in range(len(linked)):
+        others = np.flatnonzero(linked[i]) + shift
+        labels, first = np.unique(label[others], return_index=True)
+        for own, j in zip(labels.tolist(), others[first].tolist()):
+            if own != label[i]:
+                out.append((i, j))
+                label[label == own] = label[i]
+    return out
+
 
-    def pairs(rows: pa.Table, starts: list[int]) -> pa.RecordBatch:
-        """Nodes begin at ``starts``, whose last element is the end of the rows."""
-        cls, n, comp, rest = (rows.column(c).to_numpy() for c in ("cls", "n", "component", "rest"))
+def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links ``a, b`` that join components in each group; rows come sorted by group and side."""
+    for rows, starts in _whole_groups(_slices(batches), _CELL):
+        cls, comp, side = (rows.column(c).to_numpy() for c in ("cls", "component", "side"))
         a, b = [], []
         for at, end in zip(starts, starts[1:]):
-            if end - at > LEAF:
-                t = _traverse(rows.slice(at, end - at))
-                a.append(t.column("a").to_numpy()), b.append(t.column("b").to_numpy())
-                continue
-            for i in range(at, end):
-                for j in range(i + 1, end):
-                    if comp[i] != comp[j] and enough(min(n[i], n[j], rest[i], rest[j]), n[i], n[j]):
-                        a.append([min(cls[i], cls[j])]), b.append([max(cls[i], cls[j])])
-        a, b = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (a, b))
-        both = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    def whole(rows: pa.Table) -> list[int]:
-        names = [rows.column(k).to_numpy() for k in keys]
-        change = np.zeros(rows.num_rows, bool)
-        for x in names:
-            change[1:] |= x[1:] != x[:-1]
-        return [0, *np.flatnonzero(change).tolist(), rows.num_rows]
-
-    for b in batches:
-        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        starts = whole(rows)
-        held = rows.slice(starts[-2]).combine_chunks() if rows.num_rows else rows
-        if len(starts) > 2:
-            yield pairs(rows.slice(0, starts[-2]).combine_chunks(), starts[:-1])
-    if held is not None and held.num_rows:
-        yield pairs(held, [0, held.num_rows])
+            sets = [unpack(x.as_buffer()) for x in rows.column("tokens").slice(at, end - at)]
+            n = np.array([len(s) for s in sets])
+            split = int((side[at:end] == 0).sum())
+            x, y = (n, n) if split == len(n) else (n[:split], n[split:])
+            shared = overlaps(sets, split)
+            for i, j in spanning_links((shared > 0) & enough(shared, x[:, None], y[None, :]), comp[at:end], split):
+                a.append(min(cls[at + i], cls[at + j])), b.append(max(cls[at + i], cls[at + j]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def tree_pairs(members: DataFrame, node: int = NODE) -> DataFrame:
-    """Candidate pairs ``a, b`` of classes in different components under one key.
-    ``members`` has ``key, cls, rest, n, bits, component``.
+def tree_survivors(members: DataFrame, node: int = NODE, shingles: int = NODE_SHINGLES) -> DataFrame:
+    """Classes that may link with one of another component under the same key: a row for
+    each in each group (node, or pair of nodes) where it may. ``members`` has ``key, cls,
+    rest, n, bits, component``.
 
     A key's classes are cut by size class (sizes that can link lie in the same or in
     neighbouring classes), by whether the key comes early in the set (as it must in the
@@ -390,18 +479,17 @@ def tree_pairs(members: DataFrame, node: int = NODE) -> DataFrame:
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + F.lit(1e-9)).cast("int")
     early = (NUMERATOR + DENOMINATOR) * F.col("rest") >= 2 * NUMERATOR * F.col("n")
     members = members.withColumn("size_class", step).withColumn("early", early.cast("int"))
-    counts = members.groupBy("key", "size_class", "early").agg(F.count(F.lit(1)).alias("n_here"))
+    parts = members.groupBy("key", "size_class", "early").agg(F.greatest(F.ceil(F.count(F.lit(1)) / node), F.ceil(F.sum("n") / shingles)).alias("parts"))
     useful = members.groupBy("key").agg(F.max("early").alias("any")).where(F.col("any") == 1).select("key")
-    salted = members.join(useful, "key", "left_semi").join(counts, ["key", "size_class", "early"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n_here") / node)).cast("int"))
-    salted = stored(salted.select("key", "size_class", "early", "salt", "cls", "n", "rest", "bits", "component"), "join-nodes")
+    salted = members.join(useful, "key", "left_semi").join(parts, ["key", "size_class", "early"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    salted = stored(salted.select(*_NODE_KEYS, "cls", "n", "rest", "bits", "component"), "join-nodes")
 
-    node_keys = ["key", "size_class", "early", "salt"]
-    nodes = salted.groupBy(*node_keys).agg(
+    nodes = salted.groupBy(*_NODE_KEYS).agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    inside = salted.where(F.col("early") == 1).join(nodes.where(F.col("c0") < F.col("c1")).select(*node_keys), node_keys, "left_semi")
-    kinds = "a long, b long"
+    inside = salted.where(F.col("early") == 1).join(nodes.where(F.col("c0") < F.col("c1")).select(*_NODE_KEYS), _NODE_KEYS, "left_semi")
+    data = ["cls", "n", "rest", "bits", "component"]
     # hundreds of small nodes a batch, so one call a node would cost too much
-    own = inside.select(*node_keys, "cls", "n", "rest", "bits", "component").repartition(*node_keys).sortWithinPartitions(*node_keys).mapInArrow(_inside_nodes, kinds)
+    own = inside.select(*_NODE_KEYS, *data).repartition(*_NODE_KEYS).sortWithinPartitions(*_NODE_KEYS).mapInArrow(_inside_nodes, _SURVIVORS)
 
     # pairs of different nodes of a key: equal or neighbouring size class
     x = nodes.select("key", F.col("size_class").alias("size_x"), F.col("early").alias("early_x"), F.col("salt").alias("salt_x"), F.col("low").alias("low_x"),
@@ -412,18 +500,21 @@ def tree_pairs(members: DataFrame, node: int = NODE) -> DataFrame:
         & (F.least("rest_x", "rest") * (DENOMINATOR + NUMERATOR) >= NUMERATOR * (F.col("low_x") + F.col("low")))
         & ~((F.col("c0_x") == F.col("c1_x")) & (F.col("c0") == F.col("c1")) & (F.col("c0") == F.col("c0_x")))
         & (F.least("high_x", "high") * DENOMINATOR >= F.greatest("low_x", "low") * NUMERATOR))
-    cell = ["key", "size_x", "early_x", "salt_x", "size_class", "early", "salt"]
-    apart = stored(apart.select(*cell), "join-node-pairs")
-    one = salted.withColumnsRenamed({"size_class": "size_x", "early": "early_x", "salt": "salt_x"}).join(apart, cell[:4])
-    two = salted.join(apart, node_keys)
+    apart = stored(apart.withColumnsRenamed({"size_class": "size_y", "early": "early_y", "salt": "salt_y"}).select(*_CELL), "join-node-pairs")
+    one = salted.withColumnsRenamed({"size_class": "size_x", "early": "early_x", "salt": "salt_x"}).join(apart, _CELL[:4])
+    two = salted.withColumnsRenamed({"size_class": "size_y", "early": "early_y", "salt": "salt_y"}).join(apart, ["key", *_CELL[4:]])
+    two = two.select(*[F.col(c).alias(c) for c in (*_CELL, *data)])  # columns of its own
+    across = one.select(*_CELL, *data).groupBy(*_CELL).cogroup(two.groupBy(*_CELL)).applyInArrow(_across_nodes, _SURVIVORS)
+    return own.unionByName(across)
 
-    def between(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _traverse(left, right)
 
-    data = ["cls", "n", "rest", "bits", "component"]
-    two = two.select(*[F.col(c).alias(c) for c in (*cell, *data)])  # columns of its own
-    across = one.select(*cell, *data).groupBy(*cell).cogroup(two.groupBy(*cell)).applyInArrow(between, kinds)
-    return own.unionByName(across).distinct()
+def tree_links(members: DataFrame, one: DataFrame, rows: DataFrame, **limits: int) -> DataFrame:
+    """Links ``a, b`` between components, found by trees and verified from whole sets in
+    their groups: together with the components, they join what all links would."""
+    found = stored(tree_survivors(members, **limits), "join-survivors")
+    wanted = stored(one.join(found.select("cls").distinct(), "cls", "left_semi").select("doc_id", "text_key", "cls"), "join-tree-wanted")
+    whole = found.join(whole_sets(rows, wanted), "cls").select(*_CELL, "side", "cls", "component", "tokens")
+    return stored(whole.repartition(*_CELL).sortWithinPartitions(*_CELL, "side").mapInArrow(_spanning, "a long, b long").distinct(), "join-tree-links")
 
 
 def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -456,11 +547,8 @@ def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
 
 
 def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links a class has inside each pair of blocks; rows come sorted by pair and side, a
-    pair may span batches."""
-    keys, held = ["component", "size_x", "salt_x", "size_y", "salt_y"], None
-
-    def counts(rows: pa.Table, starts: list[int]) -> pa.RecordBatch:
+    """Links a class has inside each pair of blocks; rows come sorted by pair and side."""
+    for rows, starts in _whole_groups(_slices(batches), ["component", "size_x", "salt_x", "size_y", "salt_y"]):
         cls, side = rows.column("cls").to_numpy(), rows.column("side").to_numpy()
         blobs = rows.column("tokens")
         ids, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -472,22 +560,7 @@ def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             linked = enough(overlaps(sets, split), a[:, None], b[None, :])
             here = linked.sum(0) + linked.sum(1) if split == len(n) else np.concatenate([linked.sum(1), linked.sum(0)])
             ids.append(cls[at:end][here > 0]), found.append(here[here > 0])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).astype(np.int64))], names=["cls", "n_links"])
-
-    def whole(rows: pa.Table) -> list[int]:
-        change = np.zeros(rows.num_rows, bool)
-        for x in (rows.column(k).to_numpy() for k in keys):
-            change[1:] |= x[1:] != x[:-1]
-        return [0, *np.flatnonzero(change).tolist(), rows.num_rows]
-
-    for b in _slices(batches):
-        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        starts = whole(rows)
-        held = rows.slice(starts[-2]) if rows.num_rows else rows
-        if len(starts) > 2:
-            yield counts(rows.slice(0, starts[-2]), starts[:-1])
-    if held is not None and held.num_rows:
-        yield counts(held, [0, held.num_rows])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).astype(np.int64))], names=["cls", "n_links"])
 
 
 def link_counts(placed: DataFrame, one: DataFrame, rows: DataFrame) -> DataFrame:
@@ -555,11 +628,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"),
                                       F.min("cls").alias("first"), F.max("cls").alias("last"), F.bit_xor("cls").alias("all"), F.bit_xor(F.xxhash64("cls")).alias("all2"), F.sum("rest").alias("rest"))
     mixed = mixed.where(F.col("c0") < F.col("c1")).groupBy("n", "first", "last", "all", "all2").agg(F.max_by("key", F.struct("rest", "key")).alias("key"))
-    mixed = stored(mixed, "join-mixed")
-    twos = mixed.where(F.col("n") == 2).select(F.col("first").alias("a"), F.col("last").alias("b"))  # a pair as it is
-    rest = placed.join(mixed.where(F.col("n") > 2).select("key"), "key", "left_semi").join(one.select("cls", "n", "bits"), "cls")
-    more = verified(twos.unionByName(tree_pairs(rest)).distinct(), one, rows)
-    links = links.unionByName(more)
+    mixed = stored(mixed.select("key"), "join-mixed")
+    rest = placed.join(mixed, "key", "left_semi").join(one.select("cls", "n", "bits"), "cls")
+    links = links.unionByName(tree_links(rest, one, rows))
     final = connected_components(links)
 
     lowest = best.join(final.withColumnRenamed("node", "cls"), "cls").groupBy("component").agg(F.min("doc_id").alias("component_id"))

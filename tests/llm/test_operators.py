@@ -170,7 +170,8 @@ def near_rows():
 
 
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
-    rows = near_rows() + [r for r in EDGE if r[0] != 6]
+    long = LONG.split(" ")  # 30,000 words, and near copies of them
+    rows = near_rows() + EDGE + [(60, " ".join(long[:26_000]), "en", "a"), (61, " ".join([*long[:15_000], "new", *long[15_000:]]), "en", "a"), (62, " ".join(long[:20_000]), "en", "a")]
     rows[3] = (None, *rows[3][1:])
     monkeypatch.setattr(ngram_join, "LEAF", 3)  # so that small groups go through trees
     out = ngram_join.near_duplicates(docs(spark, rows)).collect()
@@ -197,18 +198,40 @@ def test_near_duplicates_of_empty_table(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
 
 
-def test_tree_pairs_lose_no_link_for_any_cut(spark):
+def test_trees_lose_no_link_for_any_cut(spark):
     """Nodes of two classes each: almost all pairs lie across nodes."""
     sets = [np.unique(ngram_join._mix(np.arange(40 + k % 9, dtype=np.uint64) + np.uint64(k // 9)) >> np.uint64(16)) for k in range(60)]
     rows = [(1, k, len(s), len(s), ngram_join.signature(s).tobytes(), k) for k, s in enumerate(sets)]
     members = spark.createDataFrame([(a, b, c, d, bytearray(e), f) for a, b, c, d, e, f in rows], "key long, cls long, rest int, n long, bits binary, component long")
-    got = {(r.a, r.b) for r in ngram_join.tree_pairs(members, node=2).collect()}
+    found = {}
+    for r in ngram_join.tree_survivors(members, node=2).collect():
+        found.setdefault(tuple(r[c] for c in ngram_join._CELL), set()).add(r.cls)
     for i in range(60):
         for j in range(i):
             n = len(np.intersect1d(sets[i], sets[j]))
             if ngram_join.enough(n, len(sets[i]), len(sets[j])):
-                assert (j, i) in got
-    assert len(got) < 60 * 59 // 2
+                assert any({i, j} <= group for group in found.values())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_spanning_links_join_what_all_links_join(seed):
+    r = np.random.default_rng(seed)
+    m = 25
+    split = m if seed % 2 else 11
+    component = r.integers(0, 18, m)
+    linked = r.random((m, m)) < 0.04 if split == m else r.random((split, m - split)) < 0.05
+    linked = np.triu(linked, 1) if split == m else linked
+
+    def joined(pairs):
+        label = component.copy()
+        for i, j in pairs:
+            label[label == label[j]] = label[i]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+
+    every = [(int(i), int(j) + (0 if split == m else split)) for i, j in np.argwhere(linked)]
+    few = ngram_join.spanning_links(linked, component, split)
+    assert set(few) <= set(every) and joined(few) == joined(every)
+    assert len(few) == len(set(component.tolist())) - len(joined(every))
 
 
 def test_components_of_a_long_path_and_a_star(spark):
