@@ -1,4 +1,4 @@
-"""Skew-safe running sums and positions.
+"""Skew-safe running sums, last values and positions.
 
 A running total per key is usually ``sum() over (partition by key order by …)``,
 which puts every row of a key into one task: a customer holding a third of all rows
@@ -17,21 +17,17 @@ No task holds more than one slice, which is as large as a shuffle partition.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyman.session import checkpoint_dir
+from tallyman.session import written
 
 
 def _sliced(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
     """``df`` with ``_slice``: the number of its range of ``keys``, in their order."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tallyman-slices-{uuid.uuid4().hex}"
-    df.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id()).write.parquet(path)
-    return spark.read.parquet(path)
+    return written(df.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id()), "slices")
 
 
 def running_total(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
@@ -50,6 +46,22 @@ def running_total(df: DataFrame, by: Sequence[str], order: Sequence[Column], val
     return joined.select(*df.columns, (F.col("_offset") + F.col("_local")).alias(out))
 
 
+def running_last(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
+    """Add column ``out``: the last ``value`` that isn't null among all rows of the same ``by``
+    key up to and including this one, sliced like ``running_total``. ``order`` must make
+    the order total within a key."""
+    by = list(by)
+    d = _sliced(df, [*[F.col(c) for c in by], *order])
+    has = F.col(value).isNotNull()
+    lasts = d.where(has).groupBy(*by, "_slice").agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
+    slices = d.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_rows")).join(lasts, [*by, "_slice"], "left")
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select(*by, "_slice", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    local = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_local", F.last(value, ignorenulls=True).over(local))
+    return d.join(offsets, [*by, "_slice"]).select(*df.columns, F.coalesce("_local", "_before").alias(out))
+
+
 def with_position(df: DataFrame, order: Sequence[Column], out: str = "position") -> DataFrame:
     """Add ``out`` = 1-based position in ``order``, which must be total, without a
     window over the whole table."""

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def falsy(c: Column) -> Column:
@@ -42,9 +41,9 @@ def with_key_check(df: DataFrame, dim: DataFrame, col: str, flag: str) -> DataFr
     foreign-key violation). ``dim``'s ids are unique, so a plain left join keeps the
     rows: a large dimension shuffles (and Spark may split a hot key), a small one is
     broadcast by Spark's size check. Rows without a key, such as all anonymous sales,
-    match nothing; a second key spreads them."""
+    match nothing; a second key, from a row's first two columns, spreads them."""
     keys = dim.select(F.col("id").alias("_key"), F.lit(0).alias("_key_slice"), F.lit(True).alias("_found"))
-    spread = F.when(F.col(col).isNull(), 1 + F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]), F.lit(NULL_KEY_SLICES))).otherwise(0)
+    spread = F.when(F.col(col).isNull(), 1 + F.pmod(F.xxhash64(*[F.col(c) for c in df.columns[:2]]), F.lit(NULL_KEY_SLICES))).otherwise(0)
     return (df.withColumn("_slice", spread.cast("int")).join(keys, (F.col(col) == F.col("_key")) & (F.col("_slice") == F.col("_key_slice")), "left")
             .withColumn(flag, F.col(col).isNotNull() & F.col("_found").isNull()).drop("_key", "_key_slice", "_found", "_slice"))
 

@@ -12,7 +12,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyman.functions.asof import earlier_in_both
 from tallyman.functions.money import pct_of
+from tallyman.functions.prefix import running_last
+from tallyman.session import written
 
 Tables = Mapping[str, DataFrame]
 KEY = ["branch_id", "product_id", "stock_date"]
@@ -124,79 +127,71 @@ def stock_ledger_build(t: Tables) -> DataFrame:
                        "received_kg", "closing_kg")
 
 
-def _ledger_events(t: Tables) -> DataFrame:
-    """Events that create or change stock rows, in arrival order, weights in
-    integer hundredths of a kg: one row per stock day that received
-    transfers (kind 0: its first transfer's time and id, and the day's total
-    received; later transfers only add to received) and every night count
-    (kind 1). Ties on time put transfers first, then id."""
+def transfers_in(t: Tables) -> DataFrame:
+    """Transfers with the product they move (from their breakdown record)."""
     br = t["breakdown_records"].select(F.col("id").alias("breakdown_record_id"), "product_id")
-    tr = (t["branch_transfers"].join(br, "breakdown_record_id")
-          .groupBy(F.col("to_branch_id").alias("branch_id"), "product_id",
-                   F.col("transfer_date").alias("stock_date"))
-          .agg(F.min(F.struct("created_at", "id")).alias("first"),
-               F.sum("weight_sent_kg").alias("received")))
-    first = tr.select(*KEY, F.col("first.created_at").alias("ts"), F.lit(0).alias("kind"),
-                      F.col("first.id").alias("event_id"), F.lit(0).cast("bigint").alias("closing_h"),
-                      (F.col("received") * 100).cast("bigint").alias("received_h"))
-    counts = t["closing_counts"].select(*KEY, F.col("created_at").alias("ts"), F.lit(1).alias("kind"),
-                                        F.col("id").alias("event_id"),
-                                        (F.col("closing_kg") * 100).cast("bigint").alias("closing_h"),
-                                        F.lit(0).cast("bigint").alias("received_h"))
-    return first.unionByName(counts)
-
-
-REPLAY_SCHEMA = ("branch_id bigint, product_id bigint, stock_date date, opening_h bigint, received_h bigint, "
-                 "closing_h bigint, created_at timestamp_ntz")
-
-
-def _replay_group(pdf):
-    """Fold one (branch, product)'s events in arrival order. A stock day is
-    created by its first event; its opening is the closing, as known at that
-    moment, of the latest earlier day that already existed (else 0), and is
-    never revised. Counts set the closing; a transfer-created row starts at 0.
-    Weights travel as integer hundredths of a kg."""
-    import bisect
-    import datetime as dt
-
-    import pandas as pd
-
-    pdf = pdf.sort_values(["ts", "kind", "event_id"], kind="stable")
-    days: list = []
-    closing: dict = {}
-    opening: dict = {}
-    received: dict = {}
-    created: dict = {}
-    dates = pdf["stock_date"].map(lambda d: d.toordinal()).to_numpy()
-    for d, ts, kind, c, r in zip(dates, pdf["ts"].to_numpy(), pdf["kind"].to_numpy(),
-                                 pdf["closing_h"].to_numpy(), pdf["received_h"].to_numpy()):
-        if d not in closing:
-            i = bisect.bisect_left(days, d)
-            opening[d] = closing[days[i - 1]] if i > 0 else 0
-            days.insert(i, d)
-            closing[d] = 0
-            received[d] = 0
-            created[d] = ts
-        if kind == 1:
-            closing[d] = int(c)
-        else:
-            received[d] += int(r)
-    return pd.DataFrame({"branch_id": pdf["branch_id"].iloc[0], "product_id": pdf["product_id"].iloc[0],
-                         "stock_date": [dt.date.fromordinal(int(d)) for d in days],
-                         "opening_h": [opening[d] for d in days], "received_h": [received[d] for d in days],
-                         "closing_h": [closing[d] for d in days], "created_at": [created[d] for d in days]})
+    return t["branch_transfers"].join(br, "breakdown_record_id").select(
+        F.col("to_branch_id").alias("branch_id"), "product_id", F.col("transfer_date").alias("stock_date"), "created_at", "id", "weight_sent_kg")
+
+
+def replayed_days(transfers: DataFrame, counts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """The stock days that these events, in arrival order (time, transfers before counts, id),
+    create or change in a ledger: ``branch_id, product_id, stock_date, opening_kg,
+    received_kg, closing_kg, created_at``. ``existing`` holds the days of earlier events.
+
+    A day is created by its first event. Its opening is the closing, as known at that
+    moment, of the latest earlier day that already existed, else 0, and is never revised.
+    So it takes a lookup in two orders (an earlier business day, and created earlier:
+    ``earlier_in_both``) and then the last count of that day that arrived before
+    (``running_last``); both split hot keys and hot days over tasks."""
+    seq = lambda kind: F.struct(F.col("created_at").alias("ts"), F.lit(kind).alias("kind"), F.col("id").alias("event_id"))
+    moved = transfers.groupBy(*KEY).agg(F.min(seq(0)).alias("moved"), F.sum("weight_sent_kg").alias("received_in"))
+    counted = counts.groupBy(*KEY).agg(F.min(seq(1)).alias("counted"), F.max_by("closing_kg", seq(1)).alias("last_count"))
+    days = moved.join(counted, KEY, "full_outer").withColumn("born", F.least("moved", "counted"))  # least skips NULLs
+    pair = ["branch_id", "product_id"]
+    if existing is not None:
+        old = existing.select(*KEY, "opening_kg", "received_kg", "closing_kg", "created_at")
+        days = days.join(old, KEY, "left")
+        fresh = days.where(F.col("created_at").isNull()).select(*KEY, "born")
+    else:
+        days = days.withColumns({c: F.lit(None).cast("decimal(28,2)") for c in ("opening_kg", "received_kg", "closing_kg")}).withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+        fresh = days.select(*KEY, "born")
+
+    epoch = F.lit("1970-01-01").cast("date")
+    fresh = earlier_in_both(fresh.withColumn("_day", F.datediff("stock_date", epoch)), pair, "_day", "born", "_prev")
+    fresh = fresh.select(*KEY, "born", F.date_add(epoch, F.col("_prev").cast("int")).alias("prev"))
+    known = F.lit(None).cast("decimal(28,2)")
+    if existing is not None:
+        # days of earlier events all exist before: the latest one by date (a row a day of the key)
+        marks = fresh.select(*KEY, "born", "prev", F.lit(None).cast("date").alias("seen"), known.alias("closed")).unionByName(
+            old.join(fresh.select(*pair).distinct(), pair, "left_semi").select(*KEY, F.lit(None).cast(fresh.schema["born"].dataType).alias("born"), F.lit(None).cast("date").alias("prev"),
+                                                               F.col("stock_date").alias("seen"), F.col("closing_kg").alias("closed")))
+        so_far = Window.partitionBy(*pair).orderBy("stock_date").rowsBetween(Window.unboundedPreceding, -1)
+        marks = marks.withColumn("_old", F.last(F.when(F.col("seen").isNotNull(), F.struct("seen", "closed")), ignorenulls=True).over(so_far)).where(F.col("born").isNotNull())
+        from_old = F.col("_old").isNotNull() & (F.col("prev").isNull() | (F.col("_old.seen") > F.col("prev")))
+        fresh = marks.select(*KEY, "born", F.when(from_old, F.col("_old.seen")).otherwise(F.col("prev")).alias("prev"), F.when(from_old, F.col("_old.closed")).alias("closed"))
+    else:
+        fresh = fresh.withColumn("closed", known)
+
+    # the last count of the day before, as known when the day was created
+    fresh = written(fresh, "asof-days")  # sliced, joined and read again
+    probes = fresh.where(F.col("prev").isNotNull()).select(*pair, F.col("prev").alias("stock_date"), F.col("born").alias("seq"), F.lit(0).alias("is_count"),
+                                                         known.alias("value"), F.col("stock_date").alias("of_day"))
+    facts = counts.select(*KEY, seq(1).alias("seq"), F.lit(1).alias("is_count"), F.col("closing_kg").cast("decimal(28,2)").alias("value"), F.lit(None).cast("date").alias("of_day"))
+    facts = facts.join(probes.select(*KEY).distinct(), KEY, "left_semi")
+    seen = running_last(probes.unionByName(facts), KEY, [F.col("seq"), F.col("is_count"), F.col("of_day")], "value", "known")
+    seen = seen.where(F.col("is_count") == 0).select(*pair, F.col("of_day").alias("stock_date"), "known")
+    fresh = fresh.join(seen, KEY, "left").select(*KEY, F.coalesce("known", "closed", F.lit(0)).alias("first_opening"))
+
+    zero, kg = F.lit(0), "decimal(28,2)"
+    return days.join(fresh, KEY, "left").select(
+        *KEY, F.coalesce("opening_kg", "first_opening").cast(kg).alias("opening_kg"),
+        (F.coalesce("received_kg", zero) + F.coalesce("received_in", zero)).cast(kg).alias("received_kg"),
+        F.coalesce("last_count", "closing_kg", zero).cast(kg).alias("closing_kg"), F.coalesce("created_at", F.col("born.ts")).alias("created_at"))
 
 
 def stock_ledger_replay(t: Tables) -> DataFrame:
-    """T5 (arrival order): daily_stock as the triggers leave it when events
-    arrive one by one: the opening is a snapshot taken when the row is
-    created, so a previous day's count that arrives later does not reach it.
-
-    The fold runs per (branch, product) in ``applyInPandas``; a group holds
-    one creation event per stock day plus that day's counts, i.e. it is
-    bounded by the calendar, not by the data volume (transfers are
-    pre-aggregated to one row per stock day before the shuffle)."""
-    rows = _ledger_events(t).groupBy("branch_id", "product_id").applyInPandas(_replay_group, REPLAY_SCHEMA)
-    kg = lambda c: (F.col(c).cast("decimal(28,0)") / 100).cast("decimal(28,2)")
-    return rows.select(*KEY, kg("opening_h").alias("opening_kg"), kg("received_h").alias("received_kg"),
-                       kg("closing_h").alias("closing_kg"), "created_at")
+    """T5 (arrival order): daily_stock as the triggers leave it when events arrive one by
+    one: the opening is a snapshot taken when the row is created, so a previous day's
+    count that arrives later does not reach it."""
+    return replayed_days(transfers_in(t), t["closing_counts"])

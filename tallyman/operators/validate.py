@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyman.functions.rules import falsy, falsy_text, first_failure, with_key_check
+from tallyman.session import written
 from tallyman.sources.schemas import (
     ALERT_TYPES, ANIMAL_TYPES, CUSTOMER_TYPES, DISCOUNT_REASONS, PAYMENT_TYPES, SCHEMAS, SEVERITIES, USER_ROLES,
 )
@@ -84,6 +85,27 @@ def validate_carcass_purchases(t: Tables) -> DataFrame:
                     "purchase_date", first_failure(rules).alias("reject_reason"))
 
 
+def _late_posts(pairs: DataFrame) -> DataFrame:
+    """``post_id`` of posts that come after an accepted one with a pair (carcass, product) of
+    theirs. Posts are decided in rounds: one that is the first undecided post of each of
+    its pairs is accepted, and rejects those that share a pair with it. Every round accepts
+    a post of each carcass that has undecided ones, so rounds are at most as many as a
+    carcass has products; a round is joins and aggregates over the undecided pairs, and a
+    carcass with very many posts splits over tasks like any other rows."""
+    pair = ["carcass_purchase_id", "product_id"]
+    shared = pairs.groupBy(*pair).agg(F.count(F.lit(1)).alias("posts")).where(F.col("posts") > 1)
+    undecided, late = written(pairs.join(shared.select(*pair), pair, "left_semi"), "posts"), None
+    while not undecided.isEmpty():
+        first = undecided.groupBy(*pair).agg(F.min("post_id").alias("first"))
+        accepted = undecided.join(first, pair).groupBy("post_id").agg(F.min(F.col("first") == F.col("post_id")).alias("ok")).where("ok").select("post_id")
+        decided = written(undecided.join(accepted.withColumn("ok", F.lit(True)), "post_id", "left"), "posts-decided")
+        rest = decided.where(F.col("ok").isNull()).select("post_id", *pair)
+        lost = written(rest.join(decided.where("ok").select(*pair), pair, "left_semi").select("post_id").distinct(), "posts-late")
+        late = lost if late is None else late.unionByName(lost)
+        undecided = written(rest.join(lost, "post_id", "left_anti"), "posts")
+    return undecided.select("post_id") if late is None else late
+
+
 def validate_breakdown_batches(t: Tables) -> DataFrame:
     """V4: posts of a carcass's breakdown items, each saved all or nothing: one bad item
     rejects every item of its post. A post's reason is the post check, else the first
@@ -119,21 +141,11 @@ def validate_breakdown_batches(t: Tables) -> DataFrame:
     per_post = checked.groupBy("post_id", "carcass_purchase_id").agg(
         F.first("_post", ignorenulls=True).alias("_post"),
         F.min_by("_api", F.when(c("_api").isNotNull(), c("pos"))).alias("_api"),
-        F.min_by("_db", F.when(c("_db").isNotNull(), c("pos"))).alias("_db"),
-        F.collect_set("product_id").alias("_products"))
-    per_post = per_post.select("post_id", "carcass_purchase_id", "_products", F.coalesce("_post", "_api", "_db").alias("_alone"))
-
-    # posts good by themselves, folded in order: a post passes if none of its products is taken
-    def decide(state, post):
-        clash = F.arrays_overlap(state["taken"], post["products"])
-        return F.struct(F.when(clash, state["taken"]).otherwise(F.array_union(state["taken"], post["products"])).alias("taken"),
-                        F.when(clash, F.concat(state["late"], F.array(post["post_id"]))).otherwise(state["late"]).alias("late"))
-
-    posts = (per_post.where(c("_alone").isNull()).groupBy("carcass_purchase_id")
-             .agg(F.array_sort(F.collect_list(F.struct("post_id", c("_products").alias("products")))).alias("posts"))
-             .where(F.size("posts") > 1))
-    none = F.array().cast("array<bigint>")
-    late = posts.select(F.explode(F.aggregate("posts", F.struct(none.alias("taken"), none.alias("late")), decide, lambda s: s["late"])).alias("post_id"))
+        F.min_by("_db", F.when(c("_db").isNotNull(), c("pos"))).alias("_db"))
+    per_post = per_post.select("post_id", "carcass_purchase_id", F.coalesce("_post", "_api", "_db").alias("_alone"))
+
+    good = items.join(per_post.where(c("_alone").isNull()).select("post_id"), "post_id", "left_semi")
+    late = _late_posts(good.select("post_id", "carcass_purchase_id", "product_id").distinct())
     per_post = per_post.join(late.withColumn("_late", F.lit("duplicate_product")), "post_id", "left")
     reasons = per_post.select("post_id", F.coalesce("_alone", "_late").alias("reject_reason"))
     return (items.join(reasons, "post_id")
@@ -231,7 +243,7 @@ def _unique_count(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
 
 def _fk_count(df: DataFrame, table: str, col: str, dim: DataFrame, dim_name: str) -> DataFrame:
     """Rows whose non-NULL ``col`` names no row of ``dim``."""
-    ids = dim.select(F.col("id").alias(col)).distinct()
+    ids = dim.select(F.col("id").alias(col))
     bad = df.select(col).where(F.col(col).isNotNull()).join(ids, col, "left_anti")
     return bad.agg(F.count(F.lit(1)).cast("bigint").alias("bad_rows")).select(
         F.lit(table).alias("table_name"), F.lit(f"{col} -> {dim_name}").alias("rule"), "bad_rows")

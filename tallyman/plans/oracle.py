@@ -261,10 +261,11 @@ oracle("profit_alerts", A2)
 oracle("target_alerts", A3)
 oracle("alert_feed", f"{A1}\n UNION ALL {A2}\n UNION ALL {A3}\n UNION ALL {C5}", *CREDIT_VIEWS)
 oracle("regenerate_alerts", f"""
-    SELECT branch_id, customer_id, alert_type, message, severity, is_read, alert_date FROM m_notifications n
-    WHERE NOT (n.alert_type = 'high_variance' AND n.alert_date IN (SELECT stock_date FROM m_daily_stock))
-      AND NOT (n.alert_type = 'negative_profit' AND n.alert_date IN (SELECT report_date FROM o_profit))
-      AND NOT (n.alert_type = 'target_performance' AND n.alert_date = {RUN_DATE})
+    SELECT branch_id, customer_id, alert_type, message, severity, is_read, alert_date
+    FROM m_notifications n ANTI JOIN (
+      SELECT DISTINCT 'high_variance' AS alert_type, stock_date AS alert_date FROM m_daily_stock
+      UNION ALL SELECT DISTINCT 'negative_profit', report_date FROM o_profit
+      UNION ALL SELECT 'target_performance', {RUN_DATE}) checked USING (alert_type, alert_date)
     UNION ALL {A1}
     UNION ALL {A2}
     UNION ALL {A3}""")
@@ -632,6 +633,7 @@ oracle("load_tables", _column_checks())
 
 # 2.11 streaming forms: the stream equals its batch twin ---------------------------
 ORACLE["stream_credit_alerts"] = ORACLE["credit_limit_crossings"]
+ORACLE["stream_redelivered_alerts"] = ORACLE["credit_limit_crossings"]
 ORACLE["stream_stock_ledger"] = ORACLE["stock_ledger_replay"]
 ORACLE["stream_validated_ingest"] = ORACLE["validate_sales"]
 oracle("stream_branch_totals", """

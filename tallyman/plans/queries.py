@@ -118,6 +118,7 @@ register("branch_scope")(scope.branch_scope)
 
 # 2.11 streaming forms (run once over stored inputs) ------------------------------
 register("stream_credit_alerts")(stream_queries.stream_credit_alerts)
+register("stream_redelivered_alerts")(stream_queries.stream_redelivered_alerts)
 register("stream_stock_ledger")(stream_queries.stream_stock_ledger)
 register("stream_validated_ingest")(stream_queries.stream_validated_ingest)
 register("stream_branch_totals")(stream_queries.stream_branch_totals)

@@ -52,7 +52,7 @@ def replace_alerts(t: FixtureTables) -> DataFrame:
     days = t["daily_stock"].select(F.col("stock_date").alias("alert_date")).unionByName(losses.select("alert_date")).distinct()
     types = F.explode(F.array(F.lit("high_variance"), F.lit("negative_profit")))
     scope = days.withColumn("alert_type", types)
-    sinks.write_alert_run(fresh, scope, root, 1)
+    sinks.write_alert_run(fresh, scope, root, "19980101-000000000001")
     year = F.year("alert_date") == 1997
-    sinks.write_alert_run(variance.where(year), scope.where(year), root, 2)
+    sinks.write_alert_run(variance.where(year), scope.where(year), root, "19980101-000000000002")
     return sinks.current_alerts(t.spark, root)

@@ -6,7 +6,8 @@ their reason. Returns the accepted rows (the reference's ``RETURNING *``).
 
 S4 ``write_alert_run`` / ``current_alerts``: idempotent alert regeneration. Each run
 is one directory with the fresh alerts and, for every (type, date) pair it checked, a
-marker row; the alerts of a pair are those of the latest run that checked it. So a run
+marker row; the alerts of a pair are those of the latest run that checked it (runs are
+named by time, see ``streaming/snapshots.stream_id``, so a new stream never repeats an old name). So a run
 replaces its pairs, also those where nothing fires any more, by a single write that
 becomes visible as a whole; nothing is deleted and nothing collected.
 """
@@ -42,19 +43,20 @@ def append_events(validated: DataFrame, table: str, root: str, quarantine_root:
 ALERT_COLS = ["branch_id", "customer_id", "alert_type", "message", "severity", "is_read", "alert_date"]
 
 
-def write_alert_run(fresh: DataFrame, scope: DataFrame, root: str, run: int) -> None:
+def write_alert_run(fresh: DataFrame, scope: DataFrame, root: str, run: str) -> None:
     """Store one regeneration: ``fresh`` alerts, replacing all alerts of the (alert_type,
-    alert_date) pairs of ``scope``. Repeating a run replaces it; higher runs win."""
+    alert_date) pairs of ``scope``. Repeating a run replaces it; runs whose name sorts
+    higher win, so names begin with the time their stream or job began."""
     alerts = fresh.select(*ALERT_COLS, F.lit(False).alias("is_marker"))
     marks = scope.select("alert_type", "alert_date").distinct()
     marks = marks.select(*[F.col(c) if c in ("alert_type", "alert_date") else F.lit(None).cast(fresh.schema[c].dataType).alias(c) for c in ALERT_COLS],
                          F.lit(True).alias("is_marker"))
-    alerts.unionByName(marks).write.mode("overwrite").parquet(f"{root.rstrip('/')}/run={run:012d}")
+    alerts.unionByName(marks).write.mode("overwrite").parquet(f"{root.rstrip('/')}/run={run}")
 
 
 def current_alerts(spark: SparkSession, root: str) -> DataFrame:
     """The alerts in force: of each pair, the rows of the latest run that checked it."""
-    rows = spark.read.parquet(root)
+    rows = spark.read.parquet(root).withColumn("run", F.col("run").cast("string"))
     pair = ["alert_type", "alert_date"]
     latest = rows.where("is_marker").groupBy(*pair).agg(F.max("run").alias("run"))
     return rows.where("not is_marker").join(latest, [*pair, "run"], "left_semi").select(*ALERT_COLS)

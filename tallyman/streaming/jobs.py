@@ -1,15 +1,18 @@
 """Streaming jobs over parquet directories (file streams).
 
-Every job reads its inputs with ``readStream`` and the declared schema,
-checkpoints under the session's shared checkpoint folder unless told
-otherwise, and writes micro-batch results so that re-running a batch after
-a failure rewrites the same files (output directories keyed by batch id, or
-dynamic partition overwrite).
-
+Every job reads its inputs with ``readStream`` and the declared schema and checkpoints
+under the session's shared checkpoint folder unless told otherwise. What a micro-batch
+writes is named by the stream (an id of its checkpoint) and the batch, so repeating a
+batch after a failure rewrites the same files, and a stream that starts again with an
+empty checkpoint never overwrites what an earlier one wrote.
+
+ST1 ``start_credit_alerts`` / ``start_credit_balances``  balances and limit crossings
+ST2 ``start_stock_ledger``      the stock ledger in arrival order
 ST3 ``start_validated_ingest``  raw sales → accepted / quarantine
 ST4 ``start_branch_totals``     running revenue, discount, expenses per branch-day
 ST5 ``start_alert_regeneration``  re-check only the days a batch touched
-ST1/ST2 runners wrap ``tallyman.streaming.stateful``.
+
+State (ST1, ST2, ST4) is a ``KeyedSnapshot`` under the job's output folder.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from tallyman.session import checkpoint_dir
 from tallyman.sources.schemas import SCHEMAS
 from tallyman.sources.sinks import append_events, write_alert_run
 from tallyman.sources.tables import MONTH, load_table, month_of
-from tallyman.streaming.stateful import credit_events, stream_credit_alerts, stream_stock_ledger
+from tallyman.streaming.snapshots import KeyedSnapshot, stream_id
+from tallyman.streaming.stateful import BALANCES, LEDGER, changed_days, credit_events, crossing_alerts, stock_events
 
 RAW_SALES_DDL = ("id bigint, branch_id bigint, product_id bigint, customer_id bigint, sale_date date, "
                  "weight_kg decimal(8,2), price_charged decimal(10,2), payment_type string, "
@@ -44,57 +48,95 @@ def _ckpt(spark: SparkSession, name: str, given: str | None) -> str:
     return given or f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
 
-def _batch_dir_writer(out: str):
-    """foreachBatch sink writing batch N to ``out/batch_id=N`` (overwrite):
-    a retried batch replaces its own files."""
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
-    return write
+def once_each(events: DataFrame, keys: list[str], arrived: str, delay: str) -> DataFrame:
+    """Events without redelivered ones: of equal ``keys`` that arrive within ``delay`` of each
+    other the first counts. Events older than the watermark are redelivered ones, too, as
+    ``arrived`` is the time of arrival."""
+    timed = events.withColumn("_arrived", F.col(arrived).cast("timestamp")).withWatermark("_arrived", delay)
+    return timed.dropDuplicatesWithinWatermark(keys).drop("_arrived")
+
+
+def _start(events: DataFrame, write, checkpoint: str) -> StreamingQuery:
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
+def _snapshot(spark: SparkSession, out: str, stream: str, schema: str, bucket_by: list[str], buckets: int) -> KeyedSnapshot:
+    return KeyedSnapshot(spark, f"{out.rstrip('/')}/state/stream={stream}", schema, bucket_by, buckets)
 
-def latest_versions(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """The last written version of each key from a batch-directory sink."""
-    df = spark.read.parquet(out)
-    cols = [c for c in df.columns if c not in keys and c != "batch_id"]
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("_v"))
-            .select(*keys, "_v.*"))
+
+def latest_state(spark: SparkSession, out: str, schema: str, bucket_by: list[str], checkpoint: str) -> DataFrame:
+    """What the job with this checkpoint keeps as state."""
+    return _snapshot(spark, out, stream_id(spark, checkpoint), schema, bucket_by, BUCKETS).current()
+
+
+#: Buckets of a job's state: a batch rewrites those it touches, each by one or more tasks.
+BUCKETS = 32
 
 
 def start_credit_alerts(spark: SparkSession, sales_path: str, payments_path: str, customers: DataFrame,
-                        out: str, checkpoint: str | None = None, max_files: int | None = None) -> StreamingQuery:
-    """ST1 runner: crossing alerts appended under ``out``."""
-    sales = read_stream(spark, sales_path, SCHEMAS["sales"], max_files)
-    pays = read_stream(spark, payments_path, SCHEMAS["payments"], max_files)
-    return (stream_credit_alerts(sales, pays, customers).writeStream.outputMode("append")
-            .foreachBatch(_batch_dir_writer(out))
-            .option("checkpointLocation", _ckpt(spark, "credit_alerts", checkpoint))
-            .trigger(availableNow=True).start())
+                        out: str, checkpoint: str | None = None, max_files: int | None = None, redelivered: str | None = None) -> StreamingQuery:
+    """ST1 runner: crossing alerts appended under ``out/alerts``, balances in ``out/state``.
+    ``redelivered`` (a duration) drops events that are delivered again within it."""
+    ck = _ckpt(spark, "credit_alerts", checkpoint)
+    stream = stream_id(spark, ck)
+    balances = _snapshot(spark, out, stream, BALANCES, ["customer_id"], BUCKETS)
+    events = credit_events(read_stream(spark, sales_path, SCHEMAS["sales"], max_files), read_stream(spark, payments_path, SCHEMAS["payments"], max_files))
+    if redelivered:
+        events = once_each(events, ["kind", "event_id"], "created_at", redelivered)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()  # the alerts, the buckets they touch and the new balances read it
+        try:
+            def grown(before: DataFrame) -> DataFrame:
+                alerts = crossing_alerts(held, before, customers)
+                alerts.write.mode("overwrite").parquet(f"{out.rstrip('/')}/alerts/stream={stream}/batch={batch_id:012d}")
+                deltas = held.select("customer_id", F.col("cents").cast("decimal(28,0)").alias("cents"))
+                return before.unionByName(deltas).groupBy("customer_id").agg(F.sum("cents").alias("cents"))
+
+            balances.update(batch_id, held, grown)
+        finally:
+            held.unpersist()
+    return _start(events, write, ck)
 
 
 def start_credit_balances(spark: SparkSession, sales_path: str, payments_path: str, out: str, checkpoint: str | None = None,
                           max_files: int | None = None) -> StreamingQuery:
-    """ST1 balances: the running balance of every customer with activity, a native
-    aggregate (combined on the map side, so a bulk account is one row per task).
-    Update mode: read the balances with ``latest_versions(spark, out, ["customer_id"])``."""
-    sales = read_stream(spark, sales_path, SCHEMAS["sales"], max_files)
-    pays = read_stream(spark, payments_path, SCHEMAS["payments"], max_files)
-    balances = (credit_events(sales, pays).groupBy("customer_id")
-                .agg((F.sum(F.col("cents").cast("decimal(28,0)")) / 100).cast("decimal(28,2)").alias("balance_owed")))
-    return (balances.writeStream.outputMode("update").foreachBatch(_batch_dir_writer(out))
-            .option("checkpointLocation", _ckpt(spark, "credit_balances", checkpoint))
-            .trigger(availableNow=True).start())
+    """ST1 balances: the balance of every customer with activity. A batch's changes are
+    summed on the map side, so a bulk account is one row a task; read them with
+    ``latest_state(spark, out, BALANCES, ["customer_id"], checkpoint)``."""
+    ck = _ckpt(spark, "credit_balances", checkpoint)
+    balances = _snapshot(spark, out, stream_id(spark, ck), BALANCES, ["customer_id"], BUCKETS)
+    events = credit_events(read_stream(spark, sales_path, SCHEMAS["sales"], max_files), read_stream(spark, payments_path, SCHEMAS["payments"], max_files))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        balances.add(batch_id, batch.groupBy("customer_id").agg(F.sum(F.col("cents").cast("decimal(28,0)")).alias("cents")), ["customer_id"], ["cents"])
+    return _start(events, write, ck)
 
 
 def start_stock_ledger(spark: SparkSession, transfers_path: str, counts_path: str, breakdown_records: DataFrame,
                        out: str, checkpoint: str | None = None, max_files: int | None = None) -> StreamingQuery:
-    """ST2 runner: changed stock rows per batch under ``out``; read the
-    ledger with ``latest_versions(spark, out, [branch_id, product_id, stock_date])``."""
-    tr = read_stream(spark, transfers_path, SCHEMAS["branch_transfers"], max_files)
-    ct = read_stream(spark, counts_path, SCHEMAS["closing_counts"], max_files)
-    return (stream_stock_ledger(tr, ct, breakdown_records).writeStream.outputMode("update")
-            .foreachBatch(_batch_dir_writer(out))
-            .option("checkpointLocation", _ckpt(spark, "stock_ledger", checkpoint))
-            .trigger(availableNow=True).start())
+    """ST2 runner: the days each batch changes under ``out/changes``, the ledger in ``out/state``
+    (``latest_state(spark, out, LEDGER, ["branch_id", "product_id"], checkpoint)``)."""
+    ck = _ckpt(spark, "stock_ledger", checkpoint)
+    stream = stream_id(spark, ck)
+    ledger = _snapshot(spark, out, stream, LEDGER, ["branch_id", "product_id"], BUCKETS)
+    events = stock_events(read_stream(spark, transfers_path, SCHEMAS["branch_transfers"], max_files),
+                          read_stream(spark, counts_path, SCHEMAS["closing_counts"], max_files), breakdown_records)
+    key = ["branch_id", "product_id", "stock_date"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        try:
+            def merged(before: DataFrame) -> DataFrame:
+                path = f"{out.rstrip('/')}/changes/stream={stream}/batch={batch_id:012d}"
+                changed_days(held, before).write.mode("overwrite").parquet(path)
+                changed = spark.read.schema(before.schema).parquet(path)
+                return before.join(changed, key, "left_anti").unionByName(changed.select(*before.columns))
+
+            ledger.update(batch_id, held, merged)
+        finally:
+            held.unpersist()
+    return _start(events, write, ck)
 
 
 def start_validated_ingest(spark: SparkSession, raw_sales_path: str, dims: Mapping[str, DataFrame], root: str,
@@ -102,19 +144,21 @@ def start_validated_ingest(spark: SparkSession, raw_sales_path: str, dims: Mappi
                            max_files: int | None = None) -> StreamingQuery:
     """ST3: validate each micro-batch of raw sales (V1, stream-static key
     checks) and write accepted rows to ``root/sales`` and rejected rows to
-    ``quarantine_root/sales``, both keyed by batch id for idempotent retries."""
+    ``quarantine_root/sales``, both keyed by stream and batch for idempotent retries.
+    A stream that starts again with an empty checkpoint reads all files again and adds
+    what it reads; it deletes nothing."""
+    ck = _ckpt(spark, "validated_ingest", checkpoint)
+    stream = stream_id(spark, ck)
     raw = read_stream(spark, raw_sales_path, RAW_SALES_DDL, max_files)
     validated = validate_sales({**dims, "raw_sales": raw})
 
     def write(df: DataFrame, batch_id: int) -> None:
         held = df.persist()  # two writes, one validation
         try:
-            append_events(held, "sales", root, quarantine_root, batch_id=batch_id)
+            append_events(held, "sales", root, quarantine_root, batch_id=f"{stream}-{batch_id:012d}")
         finally:
             held.unpersist()
-    return (validated.writeStream.foreachBatch(write)
-            .option("checkpointLocation", _ckpt(spark, "validated_ingest", checkpoint))
-            .trigger(availableNow=True).start())
+    return _start(validated, write, ck)
 
 
 def branch_day_amounts(sales: DataFrame, expenses: DataFrame, products: DataFrame) -> DataFrame:
@@ -133,27 +177,29 @@ def branch_day_amounts(sales: DataFrame, expenses: DataFrame, products: DataFram
     return s.unionByName(e)
 
 
-def stream_branch_totals(sales: DataFrame, expenses: DataFrame, products: DataFrame) -> DataFrame:
-    """ST4: running totals per (branch, day), in update mode; no watermark
-    on the business date, so a late row still counts."""
-    a = branch_day_amounts(sales, expenses, products)
-    return (a.groupBy("branch_id", "report_date")
-            .agg(F.sum("revenue").alias("revenue"), F.sum("discount_given").alias("discount_given"),
-                 F.sum("expenses").alias("expenses"))
-            .withColumn("gross_profit", F.col("revenue") - F.col("expenses")))
+TOTALS = "branch_id bigint, report_date date, revenue decimal(38,4), discount_given decimal(38,4), expenses decimal(38,4)"
 
 
 def start_branch_totals(spark: SparkSession, sales_path: str, expenses_path: str, products: DataFrame, out: str,
                         checkpoint: str | None = None, max_files: int | None = None) -> StreamingQuery:
-    sales = read_stream(spark, sales_path, SCHEMAS["sales"], max_files)
-    exp = read_stream(spark, expenses_path, SCHEMAS["expenses"], max_files)
-    return (stream_branch_totals(sales, exp, products).writeStream.outputMode("update")
-            .foreachBatch(_batch_dir_writer(out))
-            .option("checkpointLocation", _ckpt(spark, "branch_totals", checkpoint))
-            .trigger(availableNow=True).start())
+    """ST4: running totals per (branch, day); no watermark on the business date, so a late
+    row still counts. Read them with ``branch_totals(spark, out, checkpoint)``."""
+    ck = _ckpt(spark, "branch_totals", checkpoint)
+    totals = _snapshot(spark, out, stream_id(spark, ck), TOTALS, ["branch_id", "report_date"], BUCKETS)
+    amounts = branch_day_amounts(read_stream(spark, sales_path, SCHEMAS["sales"], max_files), read_stream(spark, expenses_path, SCHEMAS["expenses"], max_files), products)
+    keys, sums = ["branch_id", "report_date"], ["revenue", "discount_given", "expenses"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        totals.add(batch_id, batch.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]), keys, sums)
+    return _start(amounts, write, ck)
+
+
+def branch_totals(spark: SparkSession, out: str, checkpoint: str) -> DataFrame:
+    t = latest_state(spark, out, TOTALS, ["branch_id", "report_date"], checkpoint)
+    return t.withColumn("gross_profit", F.col("revenue") - F.col("expenses"))
 
 
-def regenerate_for_days(spark: SparkSession, root: str, alerts_root: str, days: DataFrame, run: int) -> None:
+def regenerate_for_days(spark: SparkSession, root: str, alerts_root: str, days: DataFrame, run: str) -> None:
     """Re-run the variance and loss checks for the given days (one column
     ``alert_date``) over the stored tables, as run ``run`` of the stored alerts.
     Both checks of a day read only that day's rows, so the fact tables are
@@ -175,10 +221,10 @@ def start_alert_regeneration(spark: SparkSession, changes_path: str, date_col: s
                              schema, checkpoint: str | None = None, max_files: int | None = None) -> StreamingQuery:
     """ST5: for each micro-batch of changed rows (already stored under
     ``root``), regenerate the alerts of the days it touched only."""
+    ck = _ckpt(spark, "alert_regeneration", checkpoint)
+    stream = stream_id(spark, ck)
     changes = read_stream(spark, changes_path, schema, max_files)
 
     def run(df: DataFrame, batch_id: int) -> None:
-        regenerate_for_days(spark, root, alerts_root, df.select(F.col(date_col).alias("alert_date")), run=batch_id + 1)
-    return (changes.writeStream.foreachBatch(run)
-            .option("checkpointLocation", _ckpt(spark, "alert_regeneration", checkpoint))
-            .trigger(availableNow=True).start())
+        regenerate_for_days(spark, root, alerts_root, df.select(F.col(date_col).alias("alert_date")), run=f"{stream}-{batch_id:012d}")
+    return _start(changes, run, ck)

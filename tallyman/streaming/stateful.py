@@ -1,36 +1,32 @@
-"""ST1 and ST2: the reference's row triggers as keyed streaming state.
-
-Both keep one state row per key (customer; branch × product) and fold the
-key's events of each micro-batch in arrival order (created_at, kind, id).
-A micro-batch's rows of one key are bounded by the trigger size
-(``maxFilesPerTrigger`` / ``maxBytesPerTrigger``); the stock state holds
-one entry per stock day of the key, i.e. it is bounded by the calendar.
-No watermark: back-dated rows are always accepted, as in the reference.
+"""ST1 and ST2: the reference's row triggers over micro-batches.
+
+Events are taken in arrival order (created_at, kind, id); a micro-batch holds events
+that arrived after those of the batches before. Each batch is an ordinary Spark job over
+its events and the state before it, which is a keyed table (``KeyedSnapshot``):
+
+* ST1: a running sum of the batch (``running_total``: slices of events are summed apart,
+  so a customer with a third of all events splits over tasks) plus the balance before
+  the batch gives the balance before and after each event, hence the crossings;
+* ST2: the batch replay of the stock ledger (T5, ``replayed_days``) with the days of
+  earlier batches as existing ones.
+
+No watermark bounds the state: back-dated rows are always accepted, as in the reference.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from decimal import Decimal
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tallyman.functions.prefix import running_total
+from tallyman.operators.stock import replayed_days
 
 CHARGE, PAYMENT = 0, 1
 TRANSFER, COUNT = 0, 1
 
 
-def _cents_text(cents: int) -> str:
-    return str(Decimal(int(cents)).scaleb(-2))
-
-
 # --- ST1: credit balance and limit crossing --------------------------------------
-CREDIT_ALERT_SCHEMA = ("branch_id bigint, customer_id bigint, alert_type string, message string, severity string, "
-                       "is_read boolean, alert_date date, event_kind int, event_id bigint, "
-                       "balance_after decimal(38,2)")
+BALANCES = "customer_id bigint, cents decimal(28,0)"
 
 
 def credit_events(sales: DataFrame, payments: DataFrame) -> DataFrame:
@@ -44,101 +40,42 @@ def credit_events(sales: DataFrame, payments: DataFrame) -> DataFrame:
     return c.unionByName(p)
 
 
-def _credit_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    balance = state.get[0] if state.exists else 0
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["created_at", "kind", "event_id"], kind="stable")
-    out = []
-    for name, limit, kind, eid, ts, cents in zip(batch["name"], batch["credit_limit"], batch["kind"],
-                                                 batch["event_id"], batch["created_at"], batch["cents"]):
-        before, balance = balance, balance + int(cents)
-        limit_cents = int(Decimal(limit) * 100)
-        if before <= limit_cents < balance:
-            out.append((None, key[0], "high_credit_balance",
-                        f"{name} crossed their credit limit of {limit}, now owes {_cents_text(balance)}",
-                        "warning", False, pd.Timestamp(ts).date(), int(kind), int(eid),
-                        Decimal(int(balance)).scaleb(-2)))
-    state.update((balance,))
-    cols = [f.split(" ")[0] for f in CREDIT_ALERT_SCHEMA.split(", ")]
-    yield pd.DataFrame(out, columns=cols)
-
-
-def stream_credit_alerts(sales: DataFrame, payments: DataFrame, customers: DataFrame) -> DataFrame:
-    """ST1: limit-crossing alerts from sales and payment streams; the
-    customer's name and limit come from a stream-static join."""
+def crossing_alerts(events: DataFrame, before: DataFrame, customers: DataFrame) -> DataFrame:
+    """ST1: the limit-crossing alerts of a batch's events, given each customer's balance
+    (``customer_id, cents``) before the batch."""
     cu = customers.select(F.col("id").alias("customer_id"), "name", "credit_limit")
-    ev = credit_events(sales, payments).join(cu, "customer_id")
-    return ev.groupBy("customer_id").applyInPandasWithState(
-        _credit_fold, CREDIT_ALERT_SCHEMA, "balance_cents bigint", "append", GroupStateTimeout.NoTimeout)
+    known = events.join(cu.select("customer_id"), "customer_id", "left_semi").withColumn("cents", F.col("cents").cast("decimal(28,0)"))
+    sums = running_total(known, ["customer_id"], [F.col("created_at"), F.col("kind"), F.col("event_id")], "cents", "sum")
+    sums = sums.join(before.withColumnRenamed("cents", "entry"), "customer_id", "left").join(cu, "customer_id")
+    money = lambda c: (c / 100).cast("decimal(28,2)")
+    after = F.coalesce("entry", F.lit(0)) + F.col("sum")
+    sums = sums.withColumn("balance_after", money(after)).withColumn("balance_before", money(after - F.col("cents")))
+    crossed = sums.where((F.col("balance_before") <= F.col("credit_limit")) & (F.col("balance_after") > F.col("credit_limit")))
+    message = F.concat(F.col("name"), F.lit(" crossed their credit limit of "), F.col("credit_limit").cast("string"), F.lit(", now owes "), F.col("balance_after").cast("string"))
+    return crossed.select(
+        F.lit(None).cast("bigint").alias("branch_id"), "customer_id", F.lit("high_credit_balance").alias("alert_type"), message.alias("message"),
+        F.lit("warning").alias("severity"), F.lit(False).alias("is_read"), F.to_date("created_at").alias("alert_date"),
+        F.col("kind").alias("event_kind"), "event_id", F.col("balance_after").cast("decimal(38,2)").alias("balance_after"))
 
 
 # --- ST2: stock ledger per (branch, product) ------------------------------------------
-STOCK_ROW_SCHEMA = ("branch_id bigint, product_id bigint, stock_date date, opening_kg decimal(28,2), "
-                    "received_kg decimal(28,2), closing_kg decimal(28,2), created_at timestamp_ntz")
+LEDGER = ("branch_id bigint, product_id bigint, stock_date date, opening_kg decimal(28,2), "
+          "received_kg decimal(28,2), closing_kg decimal(28,2), created_at timestamp_ntz")
 
 
 def stock_events(transfers: DataFrame, counts: DataFrame, breakdown_records: DataFrame) -> DataFrame:
     """Transfers (product from their breakdown record, a static table) and
-    night counts as one event stream, weights in hundredths of a kg."""
+    night counts as one event stream."""
     br = breakdown_records.select(F.col("id").alias("breakdown_record_id"), "product_id")
     tr = transfers.join(br, "breakdown_record_id").select(
         F.col("to_branch_id").alias("branch_id"), "product_id", F.col("transfer_date").alias("stock_date"),
-        "created_at", F.lit(TRANSFER).alias("kind"), F.col("id").alias("event_id"),
-        (F.col("weight_sent_kg") * 100).cast("bigint").alias("hundredths"))
-    ct = counts.select("branch_id", "product_id", "stock_date", "created_at", F.lit(COUNT).alias("kind"),
-                       F.col("id").alias("event_id"), (F.col("closing_kg") * 100).cast("bigint").alias("hundredths"))
+        "created_at", F.lit(TRANSFER).alias("kind"), "id", F.col("weight_sent_kg").cast("decimal(28,2)").alias("kg"))
+    ct = counts.select("branch_id", "product_id", "stock_date", "created_at", F.lit(COUNT).alias("kind"), "id", F.col("closing_kg").cast("decimal(28,2)").alias("kg"))
     return tr.unionByName(ct)
 
 
-EVENT_SCHEMA = ("branch_id bigint, product_id bigint, stock_date date, created_at timestamp_ntz, kind int, event_id bigint, "
-                "hundredths bigint")
-
-
-def _combine_transfers(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Map-side combine of a task's events: a stock day's transfers become one, with the
-    first one's time and id and the total weight (later transfers only add weight).
-    Counts stay: each can be what another day's opening sees."""
-    key = ["branch_id", "product_id", "stock_date"]
-    for pdf in pdfs:
-        moved = pdf[pdf["kind"] == TRANSFER]
-        if len(moved):
-            first = moved.sort_values(["created_at", "event_id"], kind="stable").drop_duplicates(key)
-            total = moved.groupby(key, as_index=False)["hundredths"].sum()
-            moved = first.drop(columns="hundredths").merge(total, on=key)
-        yield pd.concat([moved, pdf[pdf["kind"] != TRANSFER]], ignore_index=True)[list(pdf.columns)]
-
-
-def _stock_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    import bisect
-    import datetime as dt
-
-    ledger = json.loads(state.get[0]) if state.exists else {}
-    days = sorted(ledger)
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["created_at", "kind", "event_id"], kind="stable")
-    touched = set()
-    for d, ts, kind, h in zip(batch["stock_date"], batch["created_at"], batch["kind"], batch["hundredths"]):
-        day = d.isoformat()
-        if day not in ledger:
-            i = bisect.bisect_left(days, day)
-            opening = ledger[days[i - 1]][2] if i > 0 else 0
-            days.insert(i, day)
-            ledger[day] = [opening, 0, 0, pd.Timestamp(ts).isoformat()]
-        if kind == TRANSFER:
-            ledger[day][1] += int(h)
-        else:
-            ledger[day][2] = int(h)
-        touched.add(day)
-    state.update((json.dumps(ledger),))
-    rows = [(key[0], key[1], dt.date.fromisoformat(day), Decimal(ledger[day][0]).scaleb(-2),
-             Decimal(ledger[day][1]).scaleb(-2), Decimal(ledger[day][2]).scaleb(-2),
-             pd.Timestamp(ledger[day][3])) for day in sorted(touched)]
-    yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in STOCK_ROW_SCHEMA.split(", ")])
-
-
-def stream_stock_ledger(transfers: DataFrame, counts: DataFrame, breakdown_records: DataFrame) -> DataFrame:
-    """ST2: the stock rows each micro-batch creates or changes (update
-    mode); the last version of each (branch, product, day) is the ledger.
-    The opening is the snapshot taken when the row was created."""
-    ev = stock_events(transfers, counts, breakdown_records)
-    ev = ev.select("branch_id", "product_id", "stock_date", "created_at", "kind", "event_id", "hundredths").mapInPandas(_combine_transfers, EVENT_SCHEMA)
-    return ev.groupBy("branch_id", "product_id").applyInPandasWithState(
-        _stock_fold, STOCK_ROW_SCHEMA, "ledger string", "update", GroupStateTimeout.NoTimeout)
+def changed_days(events: DataFrame, existing: DataFrame) -> DataFrame:
+    """ST2: the stock days that a batch's events create or change, as they are after it."""
+    moved = events.where(F.col("kind") == TRANSFER).withColumnRenamed("kg", "weight_sent_kg")
+    counted = events.where(F.col("kind") == COUNT).withColumnRenamed("kg", "closing_kg")
+    return replayed_days(moved, counted, existing)
