@@ -38,11 +38,10 @@ def earlier_in_both(rows: DataFrame, by: Sequence[str], position: str, arrival:
     ``by`` (whose columns aren't null); ``arrival`` is any comparable column."""
     by = list(by)
     rows = written(rows, "asof-rows")  # read by every level
-    low, high = rows.agg(F.min(position), F.max(position)).first()
-    levels = 1
-    while low is not None and low >> (BITS * levels) != high >> (BITS * levels):  # until all lie below one node
-        levels += 1
-    nodes, children = [], rows.select(*by, F.col(position).cast("bigint").alias("at"), F.col(arrival).alias("arrival"))
+    low, high = (x or 0 for x in rows.agg(F.min(position), F.max(position)).first())
+    place = F.col(position).cast("bigint") - low  # from 0, so that one node lies above all
+    levels = max(1, -(-(high - low).bit_length() // BITS))
+    nodes, children = [], rows.select(*by, place.alias("at"), F.col(arrival).alias("arrival"))
     for _ in range(levels):
         node = children.groupBy(*by, F.shiftright("at", BITS).alias("_node")).agg(
             F.array_sort(F.collect_list(F.struct("at", "arrival"))).alias("_children"), F.min("arrival").alias("arrival"))
@@ -52,7 +51,7 @@ def earlier_in_both(rows: DataFrame, by: Sequence[str], position: str, arrival:
     def met(d: DataFrame, node: Column, level: int) -> DataFrame:
         return d.withColumn("_node", node).join(nodes[level], [*by, "_node"], "left")
 
-    own = lambda level: F.shiftright(F.col(position).cast("bigint"), BITS * level)
+    own = lambda level: F.shiftright(place, BITS * level)
     d = rows.withColumn("_level", F.lit(None).cast("int")).withColumn("_at", F.lit(None).cast("bigint"))
     for level in range(levels):
         d = met(d, own(level + 1), level)
@@ -64,4 +63,4 @@ def earlier_in_both(rows: DataFrame, by: Sequence[str], position: str, arrival:
         d = met(d, F.when(here, F.col("_at")).otherwise(own(level)), level - 1)  # others meet their own node, unused
         d = d.withColumn("_at", F.when(here, _last_before(arrival)).otherwise(F.col("_at"))).withColumn("_level", F.when(here, F.lit(level - 1)).otherwise(F.col("_level")))
         d = d.drop("_children", "_node")
-    return d.select(*rows.columns, F.col("_at").alias(out))
+    return d.select(*rows.columns, (F.col("_at") + low).alias(out))
