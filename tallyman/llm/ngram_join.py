@@ -512,6 +512,11 @@ def tree_links(members: DataFrame, one: DataFrame, rows: DataFrame, **limits: in
     """Links ``a, b`` between components, found by trees and verified from whole sets in
     their groups: together with the components, they join what all links would."""
     found = stored(tree_survivors(members, **limits), "join-survivors")
+    # similar sets meet under many shingles: of groups with the same classes on the same sides, one
+    marks = found.withColumn("mark", F.xxhash64("cls", "side"))
+    same = marks.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first"), F.max("cls").alias("last"), F.bit_xor("mark").alias("all"), F.bit_xor(F.xxhash64("mark")).alias("all2"))
+    once = same.groupBy("n", "first", "last", "all", "all2").agg(F.min(F.struct(*_CELL)).alias("cell")).select("cell.*")
+    found = stored(found.join(once, _CELL, "left_semi"), "join-survivors-once")
     wanted = stored(one.join(found.select("cls").distinct(), "cls", "left_semi").select("doc_id", "text_key", "cls"), "join-tree-wanted")
     whole = found.join(whole_sets(rows, wanted), "cls").select(*_CELL, "side", "cls", "component", "tokens")
     return stored(whole.repartition(*_CELL).sortWithinPartitions(*_CELL, "side").mapInArrow(_spanning, "a long, b long").distinct(), "join-tree-links")
