@@ -32,10 +32,19 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.schema("id string").parquet(path).first()["id"]
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    files, place = _place(spark, path)
+    files.delete(place, True)
 
 
 class KeyedSnapshot:
@@ -81,7 +90,8 @@ class KeyedSnapshot:
         filled = set(r[0] for r in self.spark.read.parquet(f"{self.root}/data/version={version:012d}").select("bucket").distinct().collect()) if touched else set()
         after = {**{b: v for b, v in before.items() if b not in touched}, **{b: version for b in filled}}
         self.spark.createDataFrame(sorted(after.items()), "bucket int, held bigint").coalesce(1).write.mode("overwrite").parquet(self._manifest_path(version))
-        if version >= 2:  # a repeat of this version needs the one before; nothing needs older ones
+        # a repeat of this version needs the one before; nothing needs older ones (a manifest goes last)
+        if version >= 2 and _exists(self.spark, self._manifest_path(version - 2)):
             for b, v in self._manifest(version - 2).items():
                 if before.get(b) != v:
                     _remove(self.spark, f"{self.root}/data/version={v:012d}/bucket={b}")
