@@ -7,7 +7,11 @@ sum of digests and the sum of check values. Subtracting two tables cancels what
 the texts share. Peeling then recovers the differing digests: a counter of ±1
 whose check value fits holds exactly one digest, which is taken out everywhere,
 and so on. When peeling gets stuck the comparison is made again with tables four
-times as large, under another placement, until it succeeds.
+times as large, under another placement. Digests that would need tables of more than
+``MOST_CELLS`` counters are split by a hash into ``SHARDS`` parts, each compared by
+tables of its own, so memory stays in proportion to the text; should a table six times
+as large as both texts' digests not peel (digests that collide), the two lists of
+digests are compared directly.
 
 A digest's low byte is the length of its cell, so that the recovered digests say
 how many characters differ: likeness = 2 × shared / (characters of both), 1 for
@@ -21,6 +25,7 @@ sorted slice is one task's stream. Texts are shuffled once.
 Defined results for edge cases
 * null text: as empty; empty text: no cells, a table of zeros;
 * null ``doc_id``: before all others; equal ids follow each other by their text;
+* very long texts: compared whole, in shards; time and memory are linear in the digests;
 * repeated rows: each row is a document, its next one may equal it (likeness 1);
 * a single document: it is its own next document; an empty table: no rows;
 * extra columns are ignored.
@@ -44,8 +49,9 @@ WIDTH = 80
 #: Counters of a fingerprint; a multiple of the three parts a digest is placed in.
 CELLS = 24
 GROWTH = 4
-#: Cells a third of a table can be addressed with.
-MOST_PLACES = 3 << 21
+#: Counters of the largest table, and the parts that more digests are split into.
+MOST_CELLS = 3 << 18
+SHARDS = 16
 _CELL = re.compile(rf"\S(?:[^\n]{{0,{WIDTH - 2}}}\S)?(?!\S)|\S[^\n]{{{WIDTH - 1}}}")
 _LOWEST = -(1 << 63)
 
@@ -76,13 +82,16 @@ def digests(text: str) -> np.ndarray:
     return (h & ~np.uint64(255)) | n
 
 
-_BITS = np.array([[0], [21], [42]], np.uint64)
+_NEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _places(keys: np.ndarray, cells: int) -> np.ndarray:
-    """Each key's cell in each third of the table, by its own bits of one scrambled value."""
-    h = (_mix(keys + np.uint64(cells)) >> _BITS) & np.uint64(0x1FFFFF)
-    return (h.view(np.int64) % (cells // 3) + np.array([[0], [cells // 3], [2 * (cells // 3)]])).ravel()
+    """Each key's cell in each third of the table, each by a scrambled value of all 64 bits."""
+    third, out, h = cells // 3, [], keys + np.uint64(cells)
+    for part in range(3):
+        h = _mix(h + _NEXT)
+        out.append((h % np.uint64(third)).astype(np.int64) + part * third)
+    return np.concatenate(out)
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
@@ -138,8 +147,8 @@ class Sketch:
 class Version:
     """A text's digests and its sketches of the sizes asked for so far."""
 
-    def __init__(self, text: str):
-        self.keys, self.sketches = digests(text), {}
+    def __init__(self, text: str = "", keys: np.ndarray | None = None):
+        self.keys, self.sketches = digests(text) if keys is None else keys, {}
         self.weight = weight(self.keys)
 
     def sketch(self, cells: int) -> Sketch:
@@ -147,11 +156,23 @@ class Version:
             self.sketches[cells] = Sketch(self.keys, cells)
         return self.sketches[cells]
 
+    def shards(self, depth: int) -> list["Version"]:
+        at = _mix(_mix(self.keys) + np.uint64(depth)) % np.uint64(SHARDS)
+        return [Version(keys=self.keys[at == np.uint64(i)]) for i in range(SHARDS)]
 
-def differing(a: Version, b: Version, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, int]:
+
+def without(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Digests of ``a`` beyond those ``b`` has, as often as they are more."""
+    keys, counts = np.unique(np.concatenate((a, b)), return_inverse=True)
+    more = np.bincount(counts[:len(a)], minlength=len(keys)) - np.bincount(counts[len(a):], minlength=len(keys))
+    return np.repeat(keys, np.maximum(more, 0))
+
+
+def differing(a: Version, b: Version, cells: int = CELLS, depth: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
     """Digests only in ``a``, only in ``b``, and the size of the tables that gave them.
     A failure is tried again four times as large, or larger by a power of four where
     the squared counts (a digest adds about 1 to each of three) tell of more digests."""
+    enough = 6 * (len(a.keys) + len(b.keys))
     while True:
         difference = a.sketch(cells).minus(b.sketch(cells))
         about = float((difference.count ** 2).sum()) / 3
@@ -159,8 +180,14 @@ def differing(a: Version, b: Version, cells: int = CELLS) -> tuple[np.ndarray, n
         if got is not None:
             return *got, cells
         cells *= GROWTH
-        while cells < about and cells < MOST_PLACES and cells < 3 * (len(a.keys) + len(b.keys)):
+        while cells < about and cells < enough:
             cells *= GROWTH
+        if cells > max(enough, GROWTH * CELLS):
+            return without(a.keys, b.keys), without(b.keys, a.keys), cells
+        if cells > MOST_CELLS:
+            parts = [differing(x, y, CELLS, depth + 1) for x, y in zip(a.shards(depth), b.shards(depth))]
+            left, right, sizes = zip(*parts)
+            return np.concatenate(left), np.concatenate(right), sum(sizes)
 
 
 def weight(keys: np.ndarray) -> int:
