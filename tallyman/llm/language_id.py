@@ -5,12 +5,13 @@ sample of labelled documents. A text is encoded once with each dictionary; the
 language whose dictionary gives the fewest bytes wins, and the prediction is
 rejected (``accepted`` false) when the runner-up is nearly as small.
 
-Each text is normalised before encoding: case-folded, reduced to its letters'
-words, each distinct word once, in order of first use. All words of the whole
-text take part; repetition, case and symbol noise carry no language evidence.
+What is encoded is the whole text in lower case, in blocks of ``BLOCK_BYTES`` (a
+dictionary fades as the window fills), so a very long text costs time in proportion
+to its length and no more memory than a block.
 
 Defined results for edge cases
-* null text, empty text or text without any letter: ``und``, score 0, rejected;
+* null text, empty text or text without any letter (of a Unicode letter category, so
+  digits, fractions and Roman numeral signs are none): ``und``, score 0, rejected;
 * null ``doc_id``: predicted like any other row, never learned from;
 * null ``lang``: predicted, never learned from;
 * ties between languages: the alphabetically first language, rejected;
@@ -48,7 +49,8 @@ _HASH_RANGE = 1 << 20
 
 
 def normalise(text: str) -> bytes:
-    return " ".join(dict.fromkeys(_WORD.findall(text.lower()))).encode("utf-8", "replace")
+    """The text as it is encoded; nothing where it has no letter."""
+    return text.lower().encode("utf-8", "replace") if any(map(str.isalpha, text)) else b""
 
 
 def sampled(text: str, most: int) -> bytes:
