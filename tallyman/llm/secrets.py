@@ -12,11 +12,13 @@ a small prior; the words of all documents, outside all base spans, are ordinary.
 
 Positions count code points, ends are exclusive. A match's position is the
 length of everything before it: ``split`` gives the texts between the matches,
-``regexp_extract_all`` the matches.
+``regexp_extract_all`` the matches. Both are folded in blocks, and long runs and
+texts are cut into chunks, so that the time stays close to linear in the text's length.
 
 Defined results for edge cases
 * null or empty text: counts 0, no spans; null ``doc_id`` is kept;
 * candidates that overlap a base span are not added; equal rows give equal results;
+* very long texts, runs and lists of spans: as any other, in near-linear time;
 * an empty table: no rows; extra columns are ignored.
 """
 
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,10 +55,43 @@ HASHED = 2000
 #: weight of single characters in a transition's estimate.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SMOOTHING, BACK_OFF = 0.5, 200.0
+#: Spans folded at a time, characters of a run scored at a time and of a text redacted at a time.
+BLOCK, RUN_CHUNK, TEXT_CHUNK = 512, 256, 1 << 15
+#: Log-likelihood ratios are whole multiples of 1 / RATIO_SCALE, so sums are exact.
+RATIO_SCALE = 10_000
 #: Weight of all hashed strings together, in transitions: one for each pair of characters.
 PRIOR = len(ALPHABET) ** 2
 
 
+_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
+def _gathered(rows: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """The spans that a walk over ``rows`` keeps; ``step(at, row)`` gives the next ``at``
+    (a number carried along, from 0), whether to keep a span, and the span.
+
+    An array that grows by one is copied each time, so spans are gathered in blocks."""
+    empty = F.array().cast(_SPANS)
+
+    def place(state: Column, row: Column) -> Column:
+        at, keep, span = step(state["at"], row)
+        return F.struct(at.alias("at"), F.when(keep, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"), state["done"].alias("done"))
+
+    def block(state: Column, i: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), empty.alias("found"), state["done"].alias("done"))
+        return F.aggregate(F.slice(rows, i * BLOCK + 1, F.lit(BLOCK)), start, place,
+                           lambda s: F.struct(s["at"].alias("at"), F.concat(s["done"], F.array(s["found"])).alias("done")))
+
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(rows) - 1, F.lit(0)) / BLOCK).cast("int"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("done"))
+    return F.flatten(F.aggregate(blocks, start, block, lambda s: s["done"]))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(text: Column, pattern: str, kind: int, least: int, group: int) -> Column:
     """The pattern's non-overlapping matches as structs (start, kind, end, value), where
     ``group`` has at least ``least`` characters; null where nothing matches."""
@@ -64,16 +99,14 @@ def _spans(text: Column, pattern: str, kind: int, least: int, group: int) -> Col
     values = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.transform(F.split(text, pattern, -1), F.length)
     rows = F.arrays_zip(between.alias("gap"), F.transform(whole, F.length).alias("n"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("found"))
 
-    def place(state: Column, row: Column) -> Column:
-        at = state["at"] + row["gap"]
-        n = F.coalesce(row["n"], F.lit(0))  # behind the last match there is only a gap
-        span = F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + n).alias("end"), row["value"].alias("value"))
-        keep = F.coalesce(F.length(row["value"]), F.lit(0)) >= least
-        return F.struct((at + n).alias("at"), F.when(keep, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
+    def step(at: Column, row: Column) -> tuple[Column, Column, Column]:
+        start = at + row["gap"]
+        end = start + F.coalesce(row["n"], F.lit(0))  # behind the last match there is only a gap
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), row["value"].alias("value"))
+        return end, F.coalesce(F.length(row["value"]), F.lit(0)) >= least, span
 
-    return F.aggregate(rows, start, place, lambda s: s["found"])
+    return _bound(rows, lambda r: _gathered(r, step))
 
 
 def base_spans(text: Column) -> Column:
@@ -83,7 +116,7 @@ def base_spans(text: Column) -> Column:
     the few texts that have any. An access key id and a hexadecimal run are maximal runs of
     their characters, so asking for the least length in the pattern finds the same spans
     as dropping the short ones afterwards; an assignment's short values must be matched and dropped."""
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    empty = F.array().cast(_SPANS)
 
     def where(needle: str, spans: Column) -> Column:
         return F.when(text.rlike(needle), spans).otherwise(empty)
@@ -142,17 +175,45 @@ def train(docs: DataFrame, hashed: int = HASHED) -> list[float]:
 
 
 def model_spans(text: Column, base: Column, table: list[float], margin: float = MARGIN) -> Column:
-    """Runs that no base span touches and the random model explains better by ``margin``."""
-    ratios = F.from_json(F.lit(json.dumps([round(v, 4) for v in table])), "array<double>")
+    """Runs that no base span touches and the random model explains better by ``margin``.
+
+    Access key ids and hexadecimal runs consist of a run's characters, so a run touches one
+    if and only if it holds one. Assignments don't: runs and assignments are walked together,
+    by start. The last assignments' end tells whether one reaches into a run; one that
+    begins inside it comes next, as runs don't overlap."""
+    ratios = F.from_json(F.lit(json.dumps([round(v * RATIO_SCALE) for v in table])), "array<int>")
+    chunks = f"(?=(.{{1,{RUN_CHUNK + 1}}})).{{1,{RUN_CHUNK}}}"  # each with the first character of the next one
 
     def random(value: Column, ratios: Column) -> Column:
-        steps = F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.get(ratios, F.ascii(F.substr(value, i, F.lit(1))) * 128 + F.ascii(F.substr(value, i + 1, F.lit(1)))))
-        return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) >= margin * (F.length(value) - 1)
+        def ratio(chunk: Column, i: Column) -> Column:
+            return F.get(ratios, F.ascii(F.substr(chunk, i, F.lit(1))) * 128 + F.ascii(F.substr(chunk, i + 1, F.lit(1))))
+
+        def total(sum_: Column, chunk: Column) -> Column:
+            steps = F.sequence(F.lit(1), F.greatest(F.length(chunk) - 1, F.lit(1)))  # a lone last character has no step
+            return F.aggregate(steps, sum_, lambda a, i: a + F.when(F.length(chunk) > i, ratio(chunk, i)).otherwise(0).cast("long"))
+
+        every = F.aggregate(F.regexp_extract_all(value, F.lit(chunks), F.lit(1)), F.lit(0).cast("long"), total)
+        return every >= margin * RATIO_SCALE * (F.length(value) - 1)
+
+    def step(at: Column, row: Column) -> tuple[Column, Column, Column]:
+        span, after = row["span"], row["after"]
+        is_run = span["kind"] == 3
+        inside = F.coalesce((after["kind"] == 0) & (after["start"] < span["end"]), F.lit(False))
+        return F.when(is_run, at).otherwise(F.greatest(at, span["end"])), is_run & (span["start"] >= at) & ~inside, span
+
+    held = f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}|[0-9a-f]{{{HEX_LEAST},}}"
+    assigned = F.filter(base, lambda b: b["kind"] == 0)
+
+    def apart(runs: Column) -> Column:
+        both = F.array_sort(F.concat(assigned, runs))
+        pairs = _bound(both, lambda b: F.arrays_zip(b.alias("span"), F.slice(b, F.lit(2), F.size(b)).alias("after")))
+        return F.when(F.exists(base, lambda b: b["kind"] == 0), _bound(pairs, lambda r: _gathered(r, step))).otherwise(runs)
 
     def chosen(ratios: Column) -> Column:
-        return F.filter(_spans(text, RUN, 3, RUN_LEAST, 0), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & random(c["value"], ratios))
+        free = _bound(_spans(text, RUN, 3, RUN_LEAST, 0), apart)
+        return F.filter(free, lambda c: ~c["value"].rlike(held) & random(c["value"], ratios))
 
-    return F.when(text.rlike(RUN), F.element_at(F.transform(F.array(ratios), chosen), 1)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
+    return F.when(text.rlike(RUN), _bound(ratios, chosen)).otherwise(F.array().cast(_SPANS))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table: list[float] | None = None, margin: float = MARGIN,
@@ -167,13 +228,20 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", table: lis
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch that spans cover replaced by ``mark``."""
+    """The text with each stretch that spans cover replaced by ``mark``, a chunk at a time
+    (finding a place in a text means counting from its start)."""
+
+    def part(chunk: Column, i: Column) -> Column:
+        first = i * TEXT_CHUNK
+        mine = F.filter(spans, lambda s: (s["end"] > first) & (s["start"] < first + TEXT_CHUNK))
+
+        def take(state: Column, s: Column) -> Column:
+            gap = F.substr(chunk, state["at"] - first + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+            piece = F.when(s["start"] >= state["at"], F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))
 
-    def take(state: Column, s: Column) -> Column:
-        gap = F.substr(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        piece = F.when(s["start"] >= state["at"], F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))
+        start = F.struct(first.alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(mine, start, take, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(chunk, s["at"] - first + 1, F.lit(TEXT_CHUNK))))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(spans, start, take, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_CHUNK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(chunks, part), "")).otherwise(text)

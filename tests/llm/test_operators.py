@@ -6,8 +6,10 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -277,6 +279,49 @@ def test_secret_spans_equal_brute_force(spark):
     assert secrets.scan(empty(spark), table=[0.0] * 128 * 128).count() == 0
 
 
+def brute_added(text, base, ratios, margin):
+    out = []
+    for m in re.finditer(secrets.RUN, text):
+        if any(s < m.end() and m.start() < e for s, _, e in base):
+            continue
+        v = m.group()
+        if sum(ratios[128 * ord(a) + ord(b)] for a, b in zip(v, v[1:])) >= margin * secrets.RATIO_SCALE * (len(v) - 1):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_added_spans_and_redaction_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 3)
+    monkeypatch.setattr(secrets, "RUN_CHUNK", 4)
+    monkeypatch.setattr(secrets, "TEXT_CHUNK", 16)
+    r = random.Random(21)
+    ratios = [r.randint(-5000, 5000) for _ in range(128 * 128)]
+    bits = ["token=", "password: ", ".", " ", "\n", "Zx9+/_=-.", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeefdeadbeef00", "é", "\U0001f600",
+            "QrStUvWxYzQrStUvWxYz", "a.b", "kL-mN_oP=qR/sT+uVwXyZ0", "zzzzzzzzzzzzzzzzzzzzzz"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(200)] + ["", "Zz" * 300]
+    rows = secrets.scan(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), table=[v / secrets.RATIO_SCALE for v in ratios], margin=0.01)
+    out = rows.withColumn("clean", secrets.redacted(F.col("text"), F.col("spans"), "#")).collect()
+    for row in out:
+        base = brute_spans(row.text)
+        want = sorted(base + brute_added(row.text, base, ratios, 0.01))
+        assert [(s.start, s.kind, s.end) for s in row.spans] == want, row.text
+        clean, at = [], 0
+        for start, _, end in want:
+            if start >= at:
+                clean += [row.text[at:start], "#"]
+            at = max(at, end)
+        assert row.clean == "".join(clean) + row.text[at:]
+    assert any(s.kind == 3 for row in out for s in row.spans)
+
+
+@pytest.mark.parametrize("text, n", [("\n".join(f"{i:032x}" for i in range(300_000)), 300_000), ("Qz7/" * 2_500_000, 1)])
+def test_ten_megabytes_take_seconds(spark, text, n):
+    rows = secrets.scan(docs(spark, [(1, text, "en", "a")]), table=[1.0] * 128 * 128)
+    started = time.monotonic()
+    got = rows.select(F.size("spans").alias("n"), F.length(secrets.redacted(F.col("text"), F.col("spans"))).alias("left")).first()
+    assert (got.n, got.left) == (n, n * len("[SECRET]") + n - 1) and time.monotonic() - started < 60
+
+
 def test_models_find_random_keys_and_leave_words(spark):
     r = random.Random(9)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -324,6 +369,34 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), 50).count() == 0
 
 
+def test_every_row_is_a_candidate_whatever_its_id(spark):
+    r = np.random.default_rng(5)
+    rows = [(int(i), r.integers(-3, 4, size=4).astype(float).tolist()) for i in r.integers(0, 120, size=400)]  # ids repeat, also those of queries
+    rows += rows[:60] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.createOrReplaceTempView("embeddings")
+    con = duckdb.connect()
+    con.register("embeddings", df.toPandas())
+    got = sorted(tuple(x) for x in topk.top_k(df, 50, pivots=6, seeds=30, block=50, query_block=4, blocks_at_once=3).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == sorted(con.execute(ORACLE["op7_topk"]).fetchall())
+    with pytest.raises(Exception, match="too long"):
+        topk.top_k(spark.createDataFrame([(50, [1e30, 0.0]), (7, [1.0, 0.0])], "vec_id long, embedding array<double>"), 50).collect()
+
+
+def test_vectors_only_reach_blocks_they_could_have_a_place_in(spark):
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(5, 8)) * 20
+    rows = [(i, (centres[i // 50 % 5] + r.normal(size=8) * 0.1).tolist()) for i in range(1000)]
+    sizes = []
+    real = topk.sent
+    try:
+        topk.sent = lambda *a: (lambda d: (sizes.append(d.count()), d)[1])(real(*a))
+        topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 50, pivots=8, query_block=4)
+    finally:
+        topk.sent = real
+    assert 0 < sum(sizes) < 0.6 * 1000 * 5
+
+
 # --- 8 HTML ------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def weights(spark):
@@ -426,18 +499,31 @@ def test_sketches_recover_the_differing_digests(seed):
     assert len(base64.b64decode(a.sketch(24).text())) == 24 * 16
 
 
+def test_long_texts_of_short_lines_are_compared_to_the_end(monkeypatch):
+    a, b = (fingerprints.Version("\n".join(f"{side}{i:x}" for i in range(400_000))) for side in "ab")
+    only_a, only_b, _ = fingerprints.differing(a, b)
+    assert sorted(only_a.tolist()) == sorted(a.keys.tolist()) and sorted(only_b.tolist()) == sorted(b.keys.tolist())
+    monkeypatch.setattr(fingerprints, "MOST_CELLS", 96)  # shards of shards
+    a, b = (fingerprints.Version("\n".join(f"{i}" for i in range(start, 5000 + start))) for start in (0, 1000))
+    only_a, only_b, _ = fingerprints.differing(a, b)
+    assert set(only_a.tolist()) == set(a.keys.tolist()) - set(b.keys.tolist()) and len(only_a) == len(only_b) == 1000
+    twice = fingerprints.Version(keys=np.array([5, 5, 9], np.uint64))  # digests that collide never peel
+    only_a, only_b, _ = fingerprints.differing(twice, fingerprints.Version(keys=np.array([9], np.uint64)))
+    assert only_a.tolist() == [5, 5] and only_b.tolist() == []
+
+
 # --- 10 language --------------------------------------------------------------------
 def test_language_by_compression(spark):
     r = random.Random(4)
     letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx"}
     lex = {k: ["".join(r.choice(v + "e") for _ in range(r.randint(2, 8))) for _ in range(300)] for k, v in letters.items()}
     rows = [(100 + i, " ".join(r.choice(lex[k]) for _ in range(150)).upper() if i % 5 == 0 else " ".join(r.choice(lex[k]) for _ in range(150)), k, "a") for i in range(300) for k in [("aa", "bb", "cc")[i % 3]]]
-    out = language_id.identify_languages(docs(spark, rows + EDGE[:5] + [(99, "12345 !!", None, None)])).collect()
+    out = language_id.identify_languages(docs(spark, rows + EDGE + [(99, "12345 !!", None, None), (98, "½ ² Ⅷ ٣", None, None)])).collect()
     got = {x.doc_id: x for x in out}
     held = [x for x in out if x.held_out and x.doc_id and x.doc_id >= 100]
     assert held and np.mean([x.lang_pred == ("aa", "bb", "cc")[(x.doc_id - 100) % 3] for x in held]) > 0.98
     assert all(0 <= x.score <= 1 for x in out)
-    for i in (1, 2, 4, 99):
+    for i in (1, 2, 4, 98, 99):
         assert got[i].lang_pred == "und" and got[i].score == 0 and not got[i].accepted
     assert {x.lang_pred for x in language_id.identify_languages(docs(spark, [(3, "words", None, None)])).collect()} == {"und"}
     assert language_id.identify_languages(empty(spark)).count() == 0
