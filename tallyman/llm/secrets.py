@@ -66,25 +66,22 @@ PRIOR = len(ALPHABET) ** 2
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def _gathered(rows: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
-    """The spans that a walk over ``rows`` keeps; ``step(at, row)`` gives the next ``at``
-    (a number carried along, from 0), whether to keep a span, and the span.
+def _running(rows: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """A number carried along ``rows`` from 0, after each of them: ``step(at, row)``.
 
-    An array that grows by one is copied each time, so spans are gathered in blocks."""
-    empty = F.array().cast(_SPANS)
+    An array that grows by one is copied each time, so it is put together from blocks."""
+    none = F.array().cast("array<int>")
 
     def place(state: Column, row: Column) -> Column:
-        at, keep, span = step(state["at"], row)
-        return F.struct(at.alias("at"), F.when(keep, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"), state["done"].alias("done"))
+        at = step(state["at"], row)
+        return F.struct(at.alias("at"), F.concat(state["found"], F.array(at)).alias("found"))
 
     def block(state: Column, i: Column) -> Column:
-        start = F.struct(state["at"].alias("at"), empty.alias("found"), state["done"].alias("done"))
-        return F.aggregate(F.slice(rows, i * BLOCK + 1, F.lit(BLOCK)), start, place,
-                           lambda s: F.struct(s["at"].alias("at"), F.concat(s["done"], F.array(s["found"])).alias("done")))
+        return F.aggregate(F.slice(rows, i * BLOCK + 1, F.lit(BLOCK)), F.struct(state["at"].alias("at"), none.alias("found")), place,
+                           lambda s: F.struct(s["at"].alias("at"), F.concat(state["found"], s["found"]).alias("found")))
 
     blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(rows) - 1, F.lit(0)) / BLOCK).cast("int"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("done"))
-    return F.flatten(F.aggregate(blocks, start, block, lambda s: s["done"]))
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("found")), block, lambda s: s["found"])
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -100,13 +97,14 @@ def _spans(text: Column, pattern: str, kind: int, least: int, group: int) -> Col
     between = F.transform(F.split(text, pattern, -1), F.length)
     rows = F.arrays_zip(between.alias("gap"), F.transform(whole, F.length).alias("n"), values.alias("value"))
 
-    def step(at: Column, row: Column) -> tuple[Column, Column, Column]:
-        start = at + row["gap"]
-        end = start + F.coalesce(row["n"], F.lit(0))  # behind the last match there is only a gap
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), row["value"].alias("value"))
-        return end, F.coalesce(F.length(row["value"]), F.lit(0)) >= least, span
+    def end(at: Column, row: Column) -> Column:
+        return at + row["gap"] + F.coalesce(row["n"], F.lit(0))  # behind the last match there is only a gap
+
+    def span(row: Column, end: Column) -> Column:
+        return F.struct((end - row["n"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), row["value"].alias("value"))
 
-    return _bound(rows, lambda r: _gathered(r, step))
+    spans = _bound(rows, lambda r: F.zip_with(r, _running(r, end), span))
+    return F.filter(spans, lambda s: F.coalesce(F.length(s["value"]), F.lit(0)) >= least)
 
 
 def base_spans(text: Column) -> Column:
@@ -195,23 +193,24 @@ def model_spans(text: Column, base: Column, table: list[float], margin: float =
         every = F.aggregate(F.regexp_extract_all(value, F.lit(chunks), F.lit(1)), F.lit(0).cast("long"), total)
         return every >= margin * RATIO_SCALE * (F.length(value) - 1)
 
-    def step(at: Column, row: Column) -> tuple[Column, Column, Column]:
-        span, after = row["span"], row["after"]
-        is_run = span["kind"] == 3
-        inside = F.coalesce((after["kind"] == 0) & (after["start"] < span["end"]), F.lit(False))
-        return F.when(is_run, at).otherwise(F.greatest(at, span["end"])), is_run & (span["start"] >= at) & ~inside, span
+    def reach(far: Column, span: Column) -> Column:
+        return F.when(span["kind"] == 0, F.greatest(far, span["end"])).otherwise(far)
 
     held = f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}|[0-9a-f]{{{HEX_LEAST},}}"
     assigned = F.filter(base, lambda b: b["kind"] == 0)
 
+    def free(row: Column) -> Column:
+        inside = F.coalesce((row["after"]["kind"] == 0) & (row["after"]["start"] < row["span"]["end"]), F.lit(False))
+        return (row["span"]["kind"] == 3) & (row["span"]["start"] >= row["far"]) & ~inside
+
     def apart(runs: Column) -> Column:
-        both = F.array_sort(F.concat(assigned, runs))
-        pairs = _bound(both, lambda b: F.arrays_zip(b.alias("span"), F.slice(b, F.lit(2), F.size(b)).alias("after")))
-        return F.when(F.exists(base, lambda b: b["kind"] == 0), _bound(pairs, lambda r: _gathered(r, step))).otherwise(runs)
+        walked = _bound(F.array_sort(F.concat(assigned, runs)),
+                        lambda b: F.arrays_zip(b.alias("span"), F.slice(b, F.lit(2), F.size(b)).alias("after"), _running(b, reach).alias("far")))
+        kept = F.transform(F.filter(walked, lambda r: r["span"].isNotNull() & free(r)), lambda r: r["span"])
+        return F.when(F.exists(base, lambda b: b["kind"] == 0), kept).otherwise(runs)
 
     def chosen(ratios: Column) -> Column:
-        free = _bound(_spans(text, RUN, 3, RUN_LEAST, 0), apart)
-        return F.filter(free, lambda c: ~c["value"].rlike(held) & random(c["value"], ratios))
+        return F.filter(_bound(_spans(text, RUN, 3, RUN_LEAST, 0), apart), lambda c: ~c["value"].rlike(held) & random(c["value"], ratios))
 
     return F.when(text.rlike(RUN), _bound(ratios, chosen)).otherwise(F.array().cast(_SPANS))
 
