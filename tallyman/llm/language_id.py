@@ -5,9 +5,10 @@ sample of labelled documents. A text is encoded once with each dictionary; the
 language whose dictionary gives the fewest bytes wins, and the prediction is
 rejected (``accepted`` false) when the runner-up is nearly as small.
 
-What is encoded is the whole text in lower case, in blocks of ``BLOCK_BYTES`` (a
-dictionary fades as the window fills), so a very long text costs time in proportion
-to its length and no more memory than a block.
+Each text is normalised before encoding: case-folded, reduced to its letters'
+words, each distinct word once, in order of first use, and encoded in blocks of
+``BLOCK_BYTES``. All words of the whole text take part. (Encoding the lower-case text
+as it stands was measured too: it names fewer held-out languages rightly.)
 
 Defined results for edge cases
 * null text, empty text or text without any letter (of a Unicode letter category, so
@@ -49,8 +50,8 @@ _HASH_RANGE = 1 << 20
 
 
 def normalise(text: str) -> bytes:
-    """The text as it is encoded; nothing where it has no letter."""
-    return text.lower().encode("utf-8", "replace") if any(map(str.isalpha, text)) else b""
+    """The distinct words; nothing where the text has no letter."""
+    return " ".join(dict.fromkeys(_WORD.findall(text.lower()))).encode("utf-8", "replace") if any(map(str.isalpha, text)) else b""
 
 
 def sampled(text: str, most: int) -> bytes:
