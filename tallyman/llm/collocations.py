@@ -12,8 +12,10 @@ by how much more often they occur than their parts would by chance, at the worst
    least the lowered one in some shard, and so have all its parts there. Phrases are
    counted under 60-bit hashes here; two that share one only look more frequent, so none
    is lost.
-3. The union of the shards' frequent phrases is a bitmap for each length (a few bits a
-   phrase, at most ``MOST_BITS``; when crowded it lets more through and loses nothing).
+3. The union of the shards' frequent phrases, without those that can't reach the support
+   (their counts where they are frequent, and one less than the lowered support elsewhere,
+   come to less), is a bitmap for each length: ``PLACES`` bits a phrase of a few each, at
+   most ``MOST_BITS`` in all; when crowded it lets more through and loses nothing.
 4. One more pass counts all candidates of two words and more exactly, as texts, by language;
    the support, the parts' counts, the cuts and the containing phrases all come from that
    table and the words'.
@@ -44,14 +46,15 @@ from tallyman.llm.common import broadcast_if_small, joined_bytes, pick, stored
 SUPPORT, LONGEST, MOST = 100, 5, 2000
 #: Shards (at most 16: four bits of a key), and groups that a language's phrases are ranked in first.
 SHARDS, GROUPS = 4, 32
-#: Bits of a bitmap for each phrase in it, and least and most bits of a bitmap.
-BITS_A_PHRASE, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 30
+#: Bits of a bitmap for each phrase in it, of which are set, and least and most bits of a bitmap.
+BITS_A_PHRASE, PLACES, LEAST_BITS, MOST_BITS = 16, 4, 1 << 16, 1 << 30
 #: Counts of hashes and of words that a task holds before it passes them on; rows of a batch.
 HELD, HELD_TEXTS, ROWS = 1_500_000, 600_000, 1000
 
 _BLANK, _MARK = b" \t", b".,;:!?\n\x0b\x0c\r"
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _KIND = np.array([1 if b in _BLANK else 2 if b in _MARK else 0 for b in range(256)], np.uint8)
+_HALF = np.uint64((1 << 30) - 1)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -120,8 +123,16 @@ class Keys:
 
 
 def _among(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(8 * len(bitmap) - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    """Which keys' places are all set (places as in ``_bitmap``); a key that fails at one is
+    not looked up at the next."""
+    found = np.arange(len(keys))
+    for place in range(PLACES):
+        key = keys[found]
+        at = ((key & _HALF) + np.uint64(place) * ((key >> np.uint64(30)) | np.uint64(1))) & np.uint64(8 * len(bitmap) - 1)
+        found = found[(bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+    out = np.zeros(len(keys), bool)
+    out[found] = True
+    return out
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +220,7 @@ def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
 def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sums = _hashes(["lang " + x for x in b.column("lang").to_pylist()]) + _hashes(b.column("word").cast(pa.binary()).to_pylist()) * _FACTORS[0]
-        yield pa.RecordBatch.from_arrays([pa.array(((_mix(sums + np.uint64(1)) >> np.uint64(4)) << np.uint64(4)).view(np.int64))], names=["key"])
+        yield pa.RecordBatch.from_arrays([pa.array((_mix(sums + np.uint64(1)) >> np.uint64(4)).view(np.int64))], names=["key"])
 
 
 def _count_exactly(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -237,13 +248,14 @@ def _count_exactly(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray])
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """The bitmap of a table of keys (with the shard in the last four bits)."""
+    """The bitmap of a table of keys."""
     bits = LEAST_BITS
     n = keys.count()
     while bits < MOST_BITS and bits < BITS_A_PHRASE * n:
         bits *= 2
-    at = F.shiftrightunsigned("key", 4).bitwiseAND(bits - 1)
-    parts = keys.select(at.alias("at")).groupBy((F.shiftright("at", 15)).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << 15) - 1)).alias("bits"))
+    low, step = F.col("key").bitwiseAND(int(_HALF)), F.shiftrightunsigned("key", 30).bitwiseOR(F.lit(1))
+    places = F.array(*[(low + step * place).bitwiseAND(bits - 1) for place in range(PLACES)])
+    parts = keys.select(F.explode(places).alias("at")).groupBy((F.shiftright("at", 15)).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << 15) - 1)).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     for part, held in parts.collect():  # 4 KB each, at most MOST_BITS in all
         out[part * 4096:(part + 1) * 4096] = np.frombuffer(held, np.uint8)
@@ -260,14 +272,18 @@ def candidates(rows: DataFrame, support: int = SUPPORT, shards: int = SHARDS) ->
     sizes = [n or 0 for n in words.agg(*[F.sum(n) for n in by_shard]).first()]
     # support * share of the words, rounded up; a shard without words has no phrases
     least = [max(1, -(-support * n // max(1, sum(sizes)))) for n in sizes]
-    frequent = words.where(reduce(lambda x, y: x | y, [F.col(n) >= m for n, m in zip(by_shard, least)])).select("lang", "word")
+    frequent = words.where(reduce(lambda x, y: x | y, [F.col(n) >= m for n, m in zip(by_shard, least)]))
+    frequent = frequent.where(reduce(lambda x, y: x + y, [F.greatest(F.col(n), F.lit(m - 1)) for n, m in zip(by_shard, least)]) >= support).select("lang", "word")
     bitmaps = [_bitmap(stored(frequent.mapInArrow(_word_keys, "key long"), "phrases-frequent-1"))]
     shard = F.col("key").bitwiseAND(15)
-    enough = F.col("n") >= reduce(lambda rest, s: F.when(shard == s, F.lit(least[s])).otherwise(rest), range(shards), F.lit(support))
+    lowered = reduce(lambda rest, s: F.when(shard == s, F.lit(least[s])).otherwise(rest), range(shards), F.lit(support))
+    elsewhere = sum(m - 1 for m in least)  # most occurrences of a phrase that no shard finds frequent
     for length in range(2, LONGEST + 1):
         below = sc.broadcast(bitmaps[-1])
         counted = rows.mapInArrow(lambda batches, length=length, below=below: _count_in_shards(batches, length, below.value), "key long, n long")
-        counted = counted.groupBy("key").agg(F.sum("n").alias("n")).where(enough).select("key")
+        counted = counted.groupBy("key").agg(F.sum("n").alias("n")).withColumn("more", F.col("n") - (lowered - 1)).where(F.col("more") > 0)
+        counted = counted.groupBy(F.shiftrightunsigned("key", 4).alias("key")).agg(F.sum("more").alias("more"))
+        counted = counted.where(F.col("more") + elsewhere >= support).select("key")
         bitmaps.append(_bitmap(stored(counted, f"phrases-frequent-{length}")))
     return words.select("lang", "word", reduce(lambda x, y: x + y, [F.col(n) for n in by_shard]).alias("a")), bitmaps
 
