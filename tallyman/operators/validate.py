@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyman.functions.rules import falsy, falsy_text, first_failure, with_key_check
@@ -223,103 +223,121 @@ STORED_TABLES = tuple(n for n in SCHEMAS if n != "closing_counts")
 
 
 # --- V9: constraint audit of stored tables ----------------------------------------
-def _check_counts(df: DataFrame, table: str, checks: list[tuple[str, object]]) -> DataFrame:
-    """One pass over ``df`` counting the rows that break each CHECK (a NULL
-    check result passes, as in SQL), as (table_name, rule, bad_rows) rows."""
-    agg = df.agg(*[F.sum(F.when(F.coalesce(~cond, F.lit(False)), 1).otherwise(0)).alias(f"_c{i}")
-                   for i, (_, cond) in enumerate(checks)])
-    rows = [F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-                     F.coalesce(F.col(f"_c{i}"), F.lit(0)).cast("bigint").alias("bad_rows"))
-            for i, (rule, _) in enumerate(checks)]
-    return agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+def _unique(*keys: str) -> tuple[str, Column, Column | None]:
+    """Rule: no two rows share ``keys`` (rows without a key share the missing one)."""
+    return "unique(" + ", ".join(keys) + ")", F.lit(True), F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
 
 
-def _unique_count(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
-    """Rows sharing their unique key with another row."""
-    d = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    return d.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("bad_rows")).select(
-        F.lit(table).alias("table_name"), F.lit("unique(" + ", ".join(keys) + ")").alias("rule"), "bad_rows")
+def _check(rule: str, cond: Column) -> tuple[str, Column, Column | None]:
+    """Rule: ``cond`` holds for every row (a NULL result passes, as in SQL)."""
+    return rule, F.coalesce(~cond, F.lit(False)), None
 
 
-def _fk_count(df: DataFrame, table: str, col: str, dim: DataFrame, dim_name: str) -> DataFrame:
-    """Rows whose non-NULL ``col`` names no row of ``dim``."""
-    ids = dim.select(F.col("id").alias(col))
-    bad = df.select(col).where(F.col(col).isNotNull()).join(ids, col, "left_anti")
-    return bad.agg(F.count(F.lit(1)).cast("bigint").alias("bad_rows")).select(
-        F.lit(table).alias("table_name"), F.lit(f"{col} -> {dim_name}").alias("rule"), "bad_rows")
+def _references(col: str, dim: str) -> tuple[str, Column, Column | None]:
+    """Rule: a non-NULL ``col`` names a row of ``dim``."""
+    return f"{col} -> {dim}", F.col(col).isNotNull(), F.col(col).cast("string")
+
+
+def _rules() -> dict[str, list[tuple[str, Column, Column | None]]]:
+    """Table → its rules as (name, rows that the rule concerns, key of such a row)."""
+    c = F.col
+    role = c("role")
+    rules = {
+        "branches": [_unique("name")],
+        "products": [_unique("name"), _check("price_per_kg >= 0", c("price_per_kg") >= 0)],
+        "customers": [_check("customer_type in domain", c("customer_type").isin(*CUSTOMER_TYPES))],
+        "carcass_purchases": [
+            _check("animal_type in domain", c("animal_type").isin(*ANIMAL_TYPES)),
+            _check("invoice_weight_kg > 0", c("invoice_weight_kg") > 0),
+            _check("received_weight_kg > 0", c("received_weight_kg") > 0),
+            _check("cost >= 0", c("cost") >= 0),
+            _references("branch_id", "branches")],
+        "breakdown_records": [
+            _unique("carcass_purchase_id", "product_id"),
+            _check("output_weight_kg >= 0", c("output_weight_kg") >= 0),
+            _check("expected_yield_pct >= 0", c("expected_yield_pct") >= 0),
+            _references("carcass_purchase_id", "carcass_purchases"),
+            _references("product_id", "products")],
+        "branch_transfers": [
+            _check("weight_sent_kg >= 0", c("weight_sent_kg") >= 0),
+            _references("breakdown_record_id", "breakdown_records"),
+            _references("to_branch_id", "branches")],
+        "daily_stock": [
+            _unique("branch_id", "product_id", "stock_date"),
+            _references("branch_id", "branches"),
+            _references("product_id", "products")],
+        "sales": [
+            _check("weight_kg > 0", c("weight_kg") > 0),
+            _check("price_charged >= 0", c("price_charged") >= 0),
+            _check("payment_type in domain", c("payment_type").isin(*PAYMENT_TYPES)),
+            _check("discount_reason in domain", c("discount_reason").isin(*DISCOUNT_REASONS)),
+            _references("branch_id", "branches"),
+            _references("product_id", "products"),
+            _references("customer_id", "customers")],
+        "payments": [
+            _check("amount > 0", c("amount") > 0),
+            _references("customer_id", "customers"),
+            _references("branch_id", "branches")],
+        "expenses": [_check("amount >= 0", c("amount") >= 0), _references("branch_id", "branches")],
+        "profit_targets": [
+            _unique("branch_id", "period_type", "period_start"),
+            _check("period_type in domain", c("period_type").isin("daily", "weekly", "monthly")),
+            _check("target_amount >= 0", c("target_amount") >= 0),
+            _references("branch_id", "branches")],
+        "notifications": [
+            _check("alert_type in domain", c("alert_type").isin(*ALERT_TYPES)),
+            _check("severity in domain", c("severity").isin(*SEVERITIES)),
+            _references("branch_id", "branches"),
+            _references("customer_id", "customers")],
+        "users": [
+            _unique("username"),
+            _check("role in domain", role.isin(*USER_ROLES)),
+            _check("admin has no branch, attendant has one",
+                   ((role == "admin") & c("branch_id").isNull()) | ((role == "attendant") & c("branch_id").isNotNull())),
+            _references("branch_id", "branches")],
+    }
+    for table in STORED_TABLES:
+        required = [f.name for f in SCHEMAS[table].fields if not f.nullable]
+        rules.setdefault(table, []).extend(_check(f"{name} not null", c(name).isNotNull()) for name in required)
+        if "id" in required:
+            rules[table].append(_unique("id"))
+    return rules
+
+
+_MAIN = "at most one main branch"
 
 
 def constraint_report(t: Tables) -> DataFrame:
     """V9: for every stored table, the rows breaking each of the schema's
     rules: unique keys, CHECKs, foreign keys, at most one main branch, and
-    admin ⇔ no branch for users. One row per (table, rule), 0 when clean."""
-    c = F.col
-    b, p, cu = t["branches"], t["products"], t["customers"]
-    cp, br, bt = t["carcass_purchases"], t["breakdown_records"], t["branch_transfers"]
-    ds, s, pay, ex = t["daily_stock"], t["sales"], t["payments"], t["expenses"]
-    pt, n, u = t["profit_targets"], t["notifications"], t["users"]
-    parts = [
-        _unique_count(b, "branches", ["name"]),
-        _check_counts(b.agg(F.count(F.when(c("is_main"), 1)).alias("mains")), "branches",
-                      [("at most one main branch", c("mains") <= 1)]),
-        _unique_count(p, "products", ["name"]),
-        _check_counts(p, "products", [("price_per_kg >= 0", c("price_per_kg") >= 0)]),
-        _check_counts(cu, "customers", [("customer_type in domain", c("customer_type").isin(*CUSTOMER_TYPES))]),
-        _check_counts(cp, "carcass_purchases", [
-            ("animal_type in domain", c("animal_type").isin(*ANIMAL_TYPES)),
-            ("invoice_weight_kg > 0", c("invoice_weight_kg") > 0),
-            ("received_weight_kg > 0", c("received_weight_kg") > 0),
-            ("cost >= 0", c("cost") >= 0)]),
-        _fk_count(cp, "carcass_purchases", "branch_id", b, "branches"),
-        _unique_count(br, "breakdown_records", ["carcass_purchase_id", "product_id"]),
-        _check_counts(br, "breakdown_records", [
-            ("output_weight_kg >= 0", c("output_weight_kg") >= 0),
-            ("expected_yield_pct >= 0", c("expected_yield_pct") >= 0)]),
-        _fk_count(br, "breakdown_records", "carcass_purchase_id", cp, "carcass_purchases"),
-        _fk_count(br, "breakdown_records", "product_id", p, "products"),
-        _check_counts(bt, "branch_transfers", [("weight_sent_kg >= 0", c("weight_sent_kg") >= 0)]),
-        _fk_count(bt, "branch_transfers", "breakdown_record_id", br, "breakdown_records"),
-        _fk_count(bt, "branch_transfers", "to_branch_id", b, "branches"),
-        _unique_count(ds, "daily_stock", ["branch_id", "product_id", "stock_date"]),
-        _fk_count(ds, "daily_stock", "branch_id", b, "branches"),
-        _fk_count(ds, "daily_stock", "product_id", p, "products"),
-        _check_counts(s, "sales", [
-            ("weight_kg > 0", c("weight_kg") > 0),
-            ("price_charged >= 0", c("price_charged") >= 0),
-            ("payment_type in domain", c("payment_type").isin(*PAYMENT_TYPES)),
-            ("discount_reason in domain", c("discount_reason").isin(*DISCOUNT_REASONS))]),
-        _fk_count(s, "sales", "branch_id", b, "branches"),
-        _fk_count(s, "sales", "product_id", p, "products"),
-        _fk_count(s, "sales", "customer_id", cu, "customers"),
-        _check_counts(pay, "payments", [("amount > 0", c("amount") > 0)]),
-        _fk_count(pay, "payments", "customer_id", cu, "customers"),
-        _fk_count(pay, "payments", "branch_id", b, "branches"),
-        _check_counts(ex, "expenses", [("amount >= 0", c("amount") >= 0)]),
-        _fk_count(ex, "expenses", "branch_id", b, "branches"),
-        _unique_count(pt, "profit_targets", ["branch_id", "period_type", "period_start"]),
-        _check_counts(pt, "profit_targets", [
-            ("period_type in domain", c("period_type").isin("daily", "weekly", "monthly")),
-            ("target_amount >= 0", c("target_amount") >= 0)]),
-        _fk_count(pt, "profit_targets", "branch_id", b, "branches"),
-        _check_counts(n, "notifications", [
-            ("alert_type in domain", c("alert_type").isin(*ALERT_TYPES)),
-            ("severity in domain", c("severity").isin(*SEVERITIES))]),
-        _fk_count(n, "notifications", "branch_id", b, "branches"),
-        _fk_count(n, "notifications", "customer_id", cu, "customers"),
-        _check_counts(u, "users", [
-            ("role in domain", c("role").isin(*USER_ROLES)),
-            ("admin has no branch, attendant has one",
-             ((c("role") == "admin") & c("branch_id").isNull()) | ((c("role") == "attendant") & c("branch_id").isNotNull()))]),
-        _fk_count(u, "users", "branch_id", b, "branches"),
-    ]
-    parts.append(_unique_count(u, "users", ["username"]))
-    for table, schema in SCHEMAS.items():
-        required = [f.name for f in schema.fields if not f.nullable]
-        if table in STORED_TABLES:
-            parts.append(_check_counts(t[table], table, [(f"{name} not null", c(name).isNotNull()) for name in required]))
-            if "id" in required:
-                parts.append(_unique_count(t[table], table, ["id"]))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    admin ⇔ no branch for users. One row per (table, rule), 0 when clean.
+
+    Each table is scanned once: a row gives one narrow row (rule, key) for each rule that
+    concerns it, and one for each foreign key that may name it. One aggregate over (rule,
+    key) counts them, combined in each task before the shuffle, so that a key of a third of
+    all rows arrives as one row a task; what a group says of its rule is then summed."""
+    rules = _rules()
+    names = [(table, rule) for table, own in rules.items() for rule, _, _ in own] + [("branches", _MAIN)]
+    number = {name: i for i, name in enumerate(names)}
+    named_by: dict[str, list[int]] = {}
+    for (_, rule), i in number.items():
+        if " -> " in rule:
+            named_by.setdefault(rule.rsplit(" -> ", 1)[1], []).append(i)
+    rows = None
+    for table, own in rules.items():
+        told = [F.when(concerned, F.struct(F.lit(number[table, rule]).alias("rule"), (F.lit(None) if key is None else key).cast("string").alias("key"), F.lit(False).alias("named")))
+                for rule, concerned, key in own]
+        told += [F.struct(F.lit(i).alias("rule"), F.col("id").cast("string").alias("key"), F.lit(True).alias("named")) for i in named_by.get(table, ())]
+        if table == "branches":
+            told.append(F.when(F.col("is_main"), F.struct(F.lit(number["branches", _MAIN]).alias("rule"), F.lit(None).cast("string").alias("key"), F.lit(False).alias("named"))))
+        part = t[table].select(F.explode(F.array_compact(F.array(*told))).alias("r")).select("r.*")
+        rows = part if rows is None else rows.unionByName(part)
+    groups = rows.groupBy("rule", "key").agg(F.count(F.when(~F.col("named"), 1)).alias("n"), F.max("named").alias("named"))
+    single = [i for (_, rule), i in number.items() if rule == _MAIN or rule.startswith("unique(")]
+    n, rule = F.col("n"), F.col("rule")
+    bad = (F.when(rule.isin(single), F.when(n > 1, n))
+           .when(rule.isin([i for own in named_by.values() for i in own]), F.when(~F.col("named"), n)).otherwise(n))
+    found = groups.select("rule", F.coalesce(bad, F.lit(0)).alias("n")).groupBy("rule").agg(F.sum("n").alias("bad_rows"))
+    listed = rows.sparkSession.createDataFrame([(i, *name) for name, i in number.items()], "rule int, table_name string, name string")
+    return (listed.join(found, "rule", "left")
+            .select("table_name", F.col("name").alias("rule"), F.coalesce("bad_rows", F.lit(0)).cast("bigint").alias("bad_rows")))
