@@ -31,9 +31,9 @@ compared once.
 5. Components of all links; each document gets the smallest id of its component.
 6. Links are counted apart, since steps 3 and 4 leave out pairs that already lie in one
    component. All links lie inside components: one of two classes is one link, larger
-   ones are cut into blocks of about ``BLOCK`` classes, and each pair of blocks whose
-   sizes allow a link has its overlaps counted from whole sets. Only counts a class
-   leave a pair of blocks, never pairs.
+   ones are cut into blocks of about ``BLOCK`` classes, each packed into one row (shingles
+   that its sets share are held once), and each pair of blocks whose sizes allow a link
+   has its overlaps counted from whole sets. Only counts a class leave a pair of blocks.
 
 Hot shingles and hot groups are bounded everywhere: minima are combined on the map
 side, joins are plain equi-joins that Spark may split, and a node holds about
@@ -551,21 +551,52 @@ def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
     return np.triu(out, 1) if split == m else out
 
 
-def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links a class has inside each pair of blocks; rows come sorted by pair and side."""
-    for rows, starts in _whole_groups(_slices(batches), ["component", "size_x", "salt_x", "size_y", "salt_y"]):
-        cls, side = rows.column("cls").to_numpy(), rows.column("side").to_numpy()
-        blobs = rows.column("tokens")
-        ids, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+_BLOCK_KEYS = ["component", "size_class", "salt"]
+_BLOCK = "cls: binary, sizes: binary, tokens: binary, places: binary"
+
+
+def _packed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block: its classes, the sizes of their sets, the distinct shingles of all,
+    and where among these each set's stand (steps, compressed). Sets of a block share most
+    shingles, so a block takes little more than one of its sets. Rows come sorted by block."""
+    import zstandard
+
+    coder = zstandard.ZstdCompressor(level=1)
+    kind = pa.struct([(name.split(":")[0], pa.binary()) for name in _BLOCK.split(", ")])
+    for rows, starts in _whole_groups(_slices(batches), _BLOCK_KEYS):
+        cls, blobs, blocks = rows.column("cls").to_numpy(), rows.column("tokens"), []
         for at, end in zip(starts, starts[1:]):
             sets = [unpack(x.as_buffer()) for x in blobs.slice(at, end - at)]
+            tokens, places = np.unique(np.concatenate(sets), return_inverse=True)
+            steps = np.diff(places, prepend=0).astype("<i4")
+            blocks.append({"cls": cls[at:end].astype("<i8").tobytes(), "sizes": np.array([len(x) for x in sets], "<i8").tobytes(),
+                           "tokens": pack(tokens), "places": coder.compress(steps.tobytes())})
+        first = pa.array(starts[:-1])
+        yield pa.RecordBatch.from_arrays([*[rows.column(c).combine_chunks().take(first) for c in _BLOCK_KEYS], pa.array(blocks, kind)], names=[*_BLOCK_KEYS, "block"])
+
+
+def _unpacked(block: dict[str, bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    import zstandard
+
+    sizes = np.frombuffer(block["sizes"], "<i8")
+    places = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(block["places"]), "<i4"), dtype=np.int64)
+    return np.frombuffer(block["cls"], "<i8"), np.split(unpack(pa.py_buffer(block["tokens"]))[places], np.cumsum(sizes)[:-1])
+
+
+def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links a class has in each pair of blocks ``x, y`` (``y`` null: inside ``x``)."""
+    for b in batches:
+        for at in range(len(b)):
+            cls, sets = _unpacked(b.column("x")[at].as_py())
+            split, other = len(sets), b.column("y")[at].as_py()
+            if other is not None:
+                more, others = _unpacked(other)
+                cls, sets = np.concatenate([cls, more]), sets + others
             n = np.array([len(s) for s in sets])
-            split = int((side[at:end] == 0).sum())
-            a, b = (n, n) if split == len(n) else (n[:split], n[split:])
-            linked = enough(overlaps(sets, split), a[:, None], b[None, :])
-            here = linked.sum(0) + linked.sum(1) if split == len(n) else np.concatenate([linked.sum(1), linked.sum(0)])
-            ids.append(cls[at:end][here > 0]), found.append(here[here > 0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).astype(np.int64))], names=["cls", "n_links"])
+            x, y = (n, n) if other is None else (n[:split], n[split:])
+            linked = enough(overlaps(sets, split), x[:, None], y[None, :])
+            here = linked.sum(0) + linked.sum(1) if other is None else np.concatenate([linked.sum(1), linked.sum(0)])
+            yield pa.RecordBatch.from_arrays([pa.array(cls[here > 0]), pa.array(here[here > 0].astype(np.int64))], names=["cls", "n_links"])
 
 
 def link_counts(placed: DataFrame, one: DataFrame, rows: DataFrame) -> DataFrame:
@@ -593,15 +624,19 @@ def link_counts(placed: DataFrame, one: DataFrame, rows: DataFrame) -> DataFrame
     pairs = stored(pairs.select("component", "size_x", "salt_x", F.col("size_class").alias("size_y"), F.col("salt").alias("salt_y")), "join-block-pairs")
 
     sets = whole_sets(rows, cut.select("doc_id", "text_key", "cls"))
-    cut = cut.select("component", "size_class", "salt", "cls").join(sets, "cls")
-    key = ["component", "size_x", "salt_x", "size_y", "salt_y"]
-
-    def side(name: str, number: int, of: DataFrame) -> DataFrame:
-        return cut.withColumnsRenamed({"size_class": f"size_{name}", "salt": f"salt_{name}"}).join(of, ["component", f"size_{name}", f"salt_{name}"]).select(
-            *key, F.lit(number).alias("side"), "cls", "tokens")
-
-    both = side("x", 0, pairs).unionByName(side("y", 1, pairs.where((F.col("size_x") < F.col("size_y")) | (F.col("salt_x") < F.col("salt_y")))))
-    counted = both.repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(_count_links, "cls long, n_links long")
+    cut = cut.select(*_BLOCK_KEYS, "cls").join(sets, "cls")
+    packed = cut.repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS).mapInArrow(_packed_blocks, f"component long, size_class int, salt int, block struct<{_BLOCK}>")
+    packed = stored(packed, "join-packed-blocks")
+
+    def named(name: str) -> DataFrame:
+        return packed.withColumnsRenamed({"size_class": f"size_{name}", "salt": f"salt_{name}", "block": name})
+
+    apart = pairs.where((F.col("size_x") < F.col("size_y")) | (F.col("salt_x") < F.col("salt_y")))
+    across = apart.join(named("x"), ["component", "size_x", "salt_x"]).join(named("y"), ["component", "size_y", "salt_y"]).select("x", "y")
+    # a few rows a task of much work each: dealt evenly
+    across = across.repartition(F.xxhash64("x.cls", "y.cls"))
+    own = packed.select(F.col("block").alias("x"), F.lit(None).cast(f"struct<{_BLOCK}>").alias("y"))
+    counted = own.mapInArrow(_count_links, "cls long, n_links long").unionByName(across.mapInArrow(_count_links, "cls long, n_links long"))
     return two.unionByName(counted.groupBy("cls").agg(F.sum("n_links").alias("n_links")))
 
 
