@@ -9,6 +9,22 @@ from tallyman.sources.fixtures import FixtureTables
 from tests.paths import SF001
 
 
+def test_stock_rows_do_not_store_sales(spark, tmp_path):
+    t = FixtureTables(spark, SF001, str(tmp_path / "a"))
+    lazily = sorted(map(tuple, t["closing_counts"].collect()))
+    assert "sales" not in t._cache and "sold_days" not in list(t)
+    u = FixtureTables(spark, SF001, str(tmp_path / "b"))
+    u["sales"]
+    assert lazily == sorted(map(tuple, u["closing_counts"].collect()))
+
+
+def test_lines_are_shuffled_once_for_sales(spark, tmp_path):
+    t = FixtureTables(spark, SF001)
+    plan = t["sales"]._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "o_custkey" in joins[1] and "l_orderkey" in joins[0]  # the join with customers lies below that with lines
+
+
 def test_constraint_keys_need_no_json_and_never_mix(spark):
     t = dict(FixtureTables(spark, SF001))
     day = dt.date(2024, 1, 1)
