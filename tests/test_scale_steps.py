@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyman.operators.validate import constraint_report
 from tallyman.sources.fixtures import FixtureTables
+from tallyman.streaming.snapshots import KeyedSnapshot
 from tests.paths import SF001
 
 
@@ -25,6 +26,22 @@ def test_lines_are_shuffled_once_for_sales(spark, tmp_path):
     assert "o_custkey" in joins[1] and "l_orderkey" in joins[0]  # the join with customers lies below that with lines
 
 
+def test_snapshot_computes_its_deltas_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    deltas = spark.createDataFrame([(k, 1) for k in range(50)], "k bigint, n bigint").coalesce(1).mapInArrow(run, "k bigint, n bigint")
+    kept = KeyedSnapshot(spark, str(tmp_path / "s"), "k bigint, n bigint", ["k"], 8)
+    kept.add(0, deltas, ["k"], ["n"])
+    kept.add(1, deltas, ["k"], ["n"])
+    assert kept.current().agg(F.sum("n"), F.count("k")).first() == (100, 50)
+    assert seen.value == 100
+
+
 def test_constraint_keys_need_no_json_and_never_mix(spark):
     t = dict(FixtureTables(spark, SF001))
     day = dt.date(2024, 1, 1)
