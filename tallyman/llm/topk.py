@@ -51,7 +51,7 @@ QUERY_BLOCK = 1024
 BLOCKS_AT_ONCE = 4096
 #: Squared lengths from here on could lead to scores or distances beyond 64 bits.
 LONGEST = 2.0 ** 60
-#: Candidates evaluated between two looks at the stopping rule.
+#: Candidates evaluated before the first look at the stopping rule; four times as many before each next.
 STEP = 64
 
 
@@ -98,17 +98,25 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, floor: np
     reach its ``floor``, a score its k-th best is known to have."""
     out = []
     q_sq, x_sq = (q * q).sum(1), (x * x).sum(1)
+    if len(q) and len(x) and float(q_sq.max()) * float(x_sq.max()) < 2.0 ** 104:  # every partial sum is an integer below 2^53
+        q, x = q.astype(float), x.astype(float)
+    far = np.ascontiguousarray(x_far.T)
     for i in range(len(q)):
-        bound = upper_bounds(np.abs(x_far - q_far[i]).max(1), (q_sq[i] + x_sq).astype(float))
+        bound = upper_bounds(np.abs(far - q_far[i][:, None]).max(0), (q_sq[i] + x_sq).astype(float))
         left = np.flatnonzero((bound >= floor[i]) & (x_ids != q_ids[i]))
         left = left[np.argsort(-bound[left], kind="stable")]
-        best: list[tuple[int, int, int]] = []  # (-score, id, row), the k first
-        for at in range(0, len(left), STEP):
-            if len(best) == k and -best[-1][0] > bound[left[at]]:
-                break
-            part = left[at:at + STEP]
-            best = sorted(best + list(zip((-(x[part] @ q[i])).tolist(), x_ids[part].tolist(), part.tolist())))[:k]
-        out += [(i, j, -s) for s, _, j in best]
+        best, scores = np.empty(0, np.int64), np.empty(0, np.int64)  # the k first so far, best first
+        at, step = 0, STEP
+        while at < len(left) and not (len(best) == k and scores[-1] > bound[left[at]]):
+            part = left[at:at + step]
+            best, scores = np.concatenate([best, part]), np.concatenate([scores, (x[part] @ q[i]).astype(np.int64)])
+            if len(best) > k:
+                kept = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+                best, scores = best[kept], scores[kept]
+            order = np.lexsort((best, x_ids[best], -scores))[:k]
+            best, scores = best[order], scores[order]
+            at, step = at + step, 4 * step  # few looks, and at most about four times what was needed
+        out += zip([i] * len(best), best.tolist(), scores.tolist())
     return out
 
 

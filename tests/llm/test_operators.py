@@ -397,6 +397,29 @@ def test_vectors_only_reach_blocks_they_could_have_a_place_in(spark):
     assert 0 < sum(sizes) < 0.6 * 1000 * 5
 
 
+def test_candidates_take_few_looks():
+    class Counted(np.ndarray):
+        looks = 0
+
+        def __array_ufunc__(self, ufunc, method, *args, **kw):
+            Counted.looks += ufunc is np.matmul
+            got = getattr(ufunc, method)(*[np.asarray(a) for a in args], **{k: v for k, v in kw.items() if k != "out"})
+            return got.view(Counted) if isinstance(got, np.ndarray) else got
+
+    r = np.random.default_rng(8)
+    for scale in (300, 1 << 27):  # the longer ones need 64-bit integers
+        x, q = r.integers(-scale, scale, (20_000, 8)), r.integers(-scale, scale, (3, 8))
+        ids, near = np.arange(20_000), np.zeros((20_000, 2))  # pivots that eliminate nothing
+        Counted.looks = 0
+        got = topk.best_of_block(np.array([-1, 5, 7]), q, np.zeros((3, 2)), np.full(3, -np.inf), ids, x.view(Counted), near, 5)
+        want = []
+        for i, own in enumerate((-1, 5, 7)):
+            s = x @ q[i]
+            want += [(i, j, int(s[j])) for j in sorted((j for j in range(20_000) if j != own), key=lambda j: (-int(s[j]), j))[:5]]
+        assert [tuple(map(int, g)) for g in got] == want
+        assert 0 < Counted.looks <= 3 * 6
+
+
 # --- 8 HTML ------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def weights(spark):
