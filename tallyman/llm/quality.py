@@ -215,9 +215,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text")).withColumns(statistics(F.col("text")))
-    return rows.where(model.score() >= threshold).select("row.*")
+    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns.
+
+    The statistics pass through a generator of one row: the optimizer would move a filter on
+    a projection's columns below it, with a copy of each statistic's expression for each rule."""
+    numbers = F.array(F.struct(*[c.alias(name) for name, c in statistics(F.col(f"`{text}`")).items()]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), numbers.alias("numbers"))
+    return rows.select("row", F.inline_outer("numbers")).where(model.score() >= threshold).select("row.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -257,6 +257,18 @@ def test_quality_learns_and_scores_edge_rows(spark):
     assert quality.classify(empty(spark), lab).count() == 0
 
 
+def test_accepted_rows_compute_each_statistic_once(spark):
+    rows = [(i, " ".join(words(3 + i % 57, i)) + "#" * (i % 7) + "\n" * (i % 5), "en", "a") for i in range(300)] + [(None, None, "en", "a"), (1, "", "en", "a")]
+    rules = tuple((quality.Rule(((j % 14, j % 2 == 0, 0.01 * j), ((j + 3) % 14, True, 0.02 * j))), 0.3 - 0.01 * j) for j in range(60))
+    model = quality.Model(0.1, rules)
+    scored = quality.score(docs(spark, rows), model).collect()
+    middle = sorted(r.score for r in scored)[150]
+    kept = quality.accepted(docs(spark, rows), model, threshold=middle)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= len(quality.STATISTICS)
+    assert kept.columns == docs(spark, rows).columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in scored if r.score >= middle)
+
+
 # --- 6 secrets ----------------------------------------------------------------------
 def brute_spans(t):
     kw = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token"))
