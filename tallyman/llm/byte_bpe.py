@@ -51,6 +51,8 @@ MAX_WORDS = 1 << 21
 WORDS_A_ROW = 20_000
 SPLIT_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
+#: Cells of a pair table that a row is tried at together.
+STRETCH = 1024
 
 
 def read_ranks(rank_file: str) -> dict[bytes, int]:
@@ -61,66 +63,61 @@ def read_ranks(rank_file: str) -> dict[bytes, int]:
 class PairTable:
     """The rank of every mergeable pair of pieces, as two literal arrays.
 
-    A piece is known by its rank (its id). The key of a pair is left × size + right; it
-    lies in one of two places, key modulo either prime (a cuckoo table), together with
-    its quotient, which tells it from other keys of that place. So a look-up reads two
-    array elements, however many pairs there are."""
+    A piece is known by its rank (its id). The first array gives a left piece its offset, the
+    second holds a pair's rank at offset + right piece, together with the left piece, which
+    tells it from other pairs around: the rows of a sparse matrix are pushed into each other's
+    gaps. So a look-up reads two array elements, however many pairs there are."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bits = max(ranks.values()).bit_length()
         self.none = 1 << self.bits  # above every rank: the pair cannot merge
-        pairs = {}
+        rows: dict[int, dict[int, int]] = {}
         for piece, rank in ranks.items():
             for k in range(1, len(piece)):
                 left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
                 if left is not None and right is not None:
-                    pairs[(left << self.bits) | right] = rank
-        least = max(64, 2 * len(pairs))
-        while True:
-            self.primes = (_next_prime(least), _next_prime(least + 1000))
-            self.tables = self._placed(pairs)
-            if self.tables:
-                return
-            least = least * 5 // 4
-
-    def _placed(self, pairs: dict[int, int]) -> tuple[list[int], list[int]] | None:
-        places: tuple[dict[int, int], dict[int, int]] = ({}, {})
-        for key in pairs:
-            t = 0
-            for _ in range(500):
-                at = key % self.primes[t]
-                evicted = places[t].get(at)
-                places[t][at] = key
-                if evicted is None:
-                    break
-                key, t = evicted, 1 - t
+                    rows.setdefault(left, {})[right] = rank
+        self.tables = self._placed(rows)
+
+    def _placed(self, rows: dict[int, dict[int, int]]) -> tuple[list[int | None], list[int]]:
+        offsets: list[int | None] = [None] * self.none
+        cells = np.full(self.none + 2 * sum(map(len, rows.values())) + 2 * STRETCH, -1, np.int64)
+        start, free = 0, np.empty(0, np.int64)
+        for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):  # full rows first
+            right = np.array(sorted(rows[left]))
+            gaps = right - right[0]
+            if len(right) == 1:  # any free cell
+                if not len(free):
+                    cells = np.concatenate([cells, np.full(2 * STRETCH, -1, np.int64)])
+                    free = np.flatnonzero(cells < 0)
+                at, free = free[0], free[1:]
             else:
-                return None
-        tables = tuple([0] * p for p in self.primes)
-        for t, held in enumerate(places):
-            for at, key in held.items():
-                tables[t][at] = ((key // self.primes[t] + 1) << self.bits) | pairs[key]
-        return tables
+                while True:  # a stretch of cells for its first element after the other
+                    if start + STRETCH + gaps[-1] >= len(cells):
+                        cells = np.concatenate([cells, np.full(len(cells), -1, np.int64)])
+                    firsts = start + np.flatnonzero(cells[start:start + STRETCH] < 0)
+                    fitting = firsts[(cells[firsts[:, None] + gaps] < 0).all(axis=1)]
+                    if len(fitting):
+                        break
+                    start += STRETCH // 4
+                at = fitting[0]
+            offsets[left] = int(at - right[0])  # below 0 at times
+            cells[at + gaps] = (left << self.bits) | np.array([rows[left][r] for r in right.tolist()])
+        return offsets, cells[:int(np.flatnonzero(cells >= 0).max(initial=0)) + 1].tolist()
 
     def literal(self) -> Column:
         """Both arrays, as a constant that the optimizer parses once."""
         return F.from_json(F.lit(json.dumps(self.tables, separators=(",", ":"))), "array<array<bigint>>")
 
-    def rank(self, tables: Column, left: Column, right: Column) -> Column:
-        key = F.shiftleft(left, self.bits).bitwiseOR(right)
-        out = F.lit(self.none).cast("long")
-        for t in (1, 0):
-            entry = F.get(F.get(tables, F.lit(t)), (key % self.primes[t]).cast("int"))
-            fits = (F.shiftright(entry, self.bits) - 1) * self.primes[t] == key - key % self.primes[t]
-            out = F.when(fits, entry.bitwiseAND(self.none - 1)).otherwise(out)
-        return out
+    def bound(self, f) -> Column:
+        """``f(tables)`` with both arrays as variables."""
+        return _with(self.literal(), lambda both: _with(F.get(both, F.lit(0)), lambda offsets: _with(F.get(both, F.lit(1)), lambda cells: f((offsets, cells)))))
 
-
-def _next_prime(n: int) -> int:
-    n |= 1
-    while any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
-        n += 2
-    return n
+    def rank(self, tables: tuple[Column, Column], left: Column, right: Column) -> Column:
+        """``none`` for a pair that cannot merge, or without a right piece."""
+        offsets, cells = tables
+        entry = F.get(cells, F.get(offsets, left) + right)
+        return F.when(F.shiftright(entry, self.bits) == left, entry.bitwiseAND(self.none - 1)).otherwise(F.lit(self.none).cast("long"))
 
 
 def _with(value: Column, f) -> Column:
@@ -128,7 +125,7 @@ def _with(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def fold_merges(pairs: PairTable, tables: Column, pieces: Column) -> Column:
+def fold_merges(pairs: PairTable, tables: tuple[Column, Column], pieces: Column) -> Column:
     """The ids of one word: its pieces (ids of its bytes), merged pair by pair in the order of rank.
 
     The state is one array of integers, an element for each piece: the rank of the
@@ -155,7 +152,7 @@ def fold_merges(pairs: PairTable, tables: Column, pieces: Column) -> Column:
 
                 def around(left: Column, right: Column) -> Column:
                     here = low.bitwiseAND(((1 << places) - 1) << bits).bitwiseOR(new)  # its offset and id
-                    begun = F.when(right.isNull(), here.bitwiseOR(F.lit(unmergeable))).otherwise(element(pairs.rank(tables, new, id_of(right)), here))
+                    begun = F.shiftleft(pairs.rank(tables, new, id_of(right)), bits + places).bitwiseOR(here)
                     return F.when(i > 0, F.flatten(F.array(F.slice(state, F.lit(1), i - 1), F.array(element(pairs.rank(tables, id_of(left), new), left), begun), F.slice(state, i + 3, n)))
                                   ).otherwise(F.flatten(F.array(F.array(begun), F.slice(state, F.lit(3), n))))
 
@@ -321,7 +318,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, doc_id: str = "doc_id"
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(~odd, F.array_join(words, SEPARATOR)).alias("joined"), F.when(odd, text_).alias("whole"))
     numbered = rows.mapInArrow(*_number_words(rank_file, pattern, max_words))
     pairs = PairTable(read_ranks(rank_file))
-    ids = _with(pairs.literal(), lambda tables: F.transform("words", lambda w: F.when(w.isNotNull(), fold_merges(pairs, tables, w))))
+    ids = pairs.bound(lambda tables: F.transform("words", lambda w: F.when(w.isNotNull(), fold_merges(pairs, tables, w))))
     folded = numbered.select("doc_id", "is_doc", "codes", "first_code", ids.alias("ids"), "long_words")
     return folded.mapInArrow(*_write_ids(rank_file))
 

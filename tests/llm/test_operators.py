@@ -87,6 +87,15 @@ def test_long_words_take_the_same_merges():
             assert byte_bpe.merge_long(w.encode(), ranks) == enc.encode_ordinary(w)
 
 
+def test_every_mergeable_pair_is_found_in_two_reads():
+    ranks = byte_bpe.read_ranks(RANKS)
+    pairs = byte_bpe.PairTable(ranks)
+    offsets, cells = pairs.tables
+    want = {(ranks[p[:k]], ranks[p[k:]]): rank for p, rank in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks}
+    assert len(want) == sum(c >= 0 for c in cells)
+    assert all(cells[offsets[left] + right] == left << pairs.bits | rank for (left, right), rank in want.items())
+
+
 # --- 2 line dedup -------------------------------------------------------------------
 def test_lines_of_many_sites_stay_once(spark):
     rows = [(i, f"own line {i}\n Subscribe now! \n\nother {i % 3}", "en", f"site{i}" if i else None) for i in range(12)]
