@@ -20,8 +20,8 @@ by how much more often they occur than their parts would by chance, at the worst
    the support, the parts' counts, the cuts and the containing phrases all come from that
    table and the words'.
 
-Counts are combined in each task before they are shuffled: words and hashes in Python, at
-most about ``HELD_TEXTS`` and ``HELD`` at a time, candidates by Spark.
+Counts are combined in each task before they are shuffled: hashes, at most about ``HELD`` at
+a time, words and candidates, at most about ``HELD_TEXTS``.
 
 Defined results for edge cases
 * null texts are empty; a null ``lang`` is ``und``; an empty ``lang`` is a language;
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyman.llm.common import broadcast_if_small, joined_bytes, pick, stored
+from tallyman.llm.common import broadcast_if_small, joined_bytes, merged_splits, pick, stored
 
 #: Occurrences and words of a phrase; phrases reported of each language.
 SUPPORT, LONGEST, MOST = 100, 5, 2000
@@ -50,6 +50,8 @@ SHARDS, GROUPS = 4, 32
 BITS_A_PHRASE, PLACES, LEAST_BITS, MOST_BITS = 16, 4, 1 << 16, 1 << 30
 #: Counts of hashes and of words that a task holds before it passes them on; rows of a batch.
 HELD, HELD_TEXTS, ROWS = 1_500_000, 600_000, 1000
+#: Bytes of input that a task of the exact pass should see at least.
+SPLIT_BYTES = 64 << 20
 
 _BLANK, _MARK = b" \t", b".,;:!?\n\x0b\x0c\r"
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -223,9 +225,16 @@ def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array((_mix(sums + np.uint64(1)) >> np.uint64(4)).view(np.int64))], names=["key"])
 
 
+def _combined(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """One batch, with one row a phrase."""
+    table = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("a", "sum")])
+    return table.select(["lang", "phrase", "words", "a_sum"]).rename_columns(["lang", "phrase", "words", "a"]).combine_chunks().to_batches()
+
+
 def _count_exactly(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """``lang, phrase, words, a``: how often each candidate of two words and more, told apart
-    by its words, stands in a batch; Spark's map-side aggregate combines a task's batches."""
+    """``lang, phrase, words, a``: how often a task meets each candidate of two words and more,
+    told apart by its words."""
+    held, room = [], HELD_TEXTS
     for b in _slices(batches):
         words = Words(b.column("text"))
         lang, langs = _languages(b.column("lang"))
@@ -243,8 +252,17 @@ def _count_exactly(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray])
             begin = at[first]
             texts = zip(*[[names[c] for c in words.code[begin + step].tolist()] for step in range(length)])
             own = [langs[x] for x in lang[words.row[begin]].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([b" ".join(t) for t in texts], pa.binary()).cast(pa.string()),
-                                              pa.array([length] * len(begin), pa.int32()), pa.array(n)], names=["lang", "phrase", "words", "a"])
+            held.append(pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([b" ".join(t) for t in texts], pa.binary()).cast(pa.string()),
+                                                    pa.array([length] * len(begin), pa.int32()), pa.array(n)], names=["lang", "phrase", "words", "a"]))
+            room -= len(begin)
+        if room < 0:
+            held = _combined(held)
+            room = HELD_TEXTS - sum(map(len, held))
+            if room < HELD_TEXTS // 2:
+                yield from held
+                held, room = [], HELD_TEXTS
+    if held:
+        yield from _combined(held)
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -295,7 +313,8 @@ def collocations(docs: DataFrame, support: int = SUPPORT, most: int = MOST, shar
     rows = pick(docs, doc_id=doc_id, text=text, lang=lang).select("text", F.coalesce("lang", F.lit("und")).alias("lang"), shard.alias("shard"))
     words, bitmaps = candidates(rows, support, shards)
     shared = rows.sparkSession.sparkContext.broadcast(bitmaps)
-    counted = rows.mapInArrow(lambda batches: _count_exactly(batches, shared.value), "lang string, phrase string, words int, a long")
+    # wide tasks, as each passes a phrase on once
+    counted = merged_splits(rows, SPLIT_BYTES).mapInArrow(lambda batches: _count_exactly(batches, shared.value), "lang string, phrase string, words int, a long")
     counted = counted.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= support)
     alone = words.where(F.col("a") >= support).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a")
     counted = stored(counted.unionByName(alone), "phrases-counted")

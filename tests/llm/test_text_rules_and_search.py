@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -196,3 +197,10 @@ def test_collocations_with_crowded_bitmaps_and_small_tasks(spark, monkeypatch):
 def test_collocations_of_empty_tables(spark):
     assert collocations.collocations(docs(spark).limit(0)).count() == 0
     assert collocations.collocations(docs(spark, TEXTS[:2]), 1).count() == 0
+
+
+def test_a_task_passes_a_candidate_on_once():
+    batches = [pa.RecordBatch.from_pydict({"text": ["a b c", f"b c d{i} a b"], "lang": ["en", "de"]}) for i in range(50)]
+    rows = [r for b in collocations._count_exactly(iter(batches), [np.full(1 << 13, 255, np.uint8)] * 5) for r in b.to_pylist()]
+    got = {(r["lang"], r["phrase"], r["words"]): r["a"] for r in rows}
+    assert len(got) == len(rows) and got["en", "a b c", 3] == got["de", "a b", 2] == 50 and got["de", "b c d7 a b", 5] == 1
