@@ -13,8 +13,9 @@ The stages of one task form a stream without any shuffle:
 3. a projection folds the merges over each new word (documents pass by);
 4. a second Arrow pass keeps the folded words' ids and writes each document's ids.
 
-The numbering starts anew after ``MAX_WORDS`` words, which bounds the memory of
-both passes. A lost task repeats its own stream and needs nothing of another's.
+The numbering starts anew after ``MAX_WORDS`` words or ``MAX_WORD_BYTES`` bytes of
+them, which bounds the memory of both passes; words and ids lie in arrays that grow,
+some 50 bytes a word. A lost task repeats its own stream and needs nothing of another's.
 
 A word that is a token as a whole is one piece from the start, as in the tiktoken
 library. The fold is quadratic in the word; words above ``LONG_WORD`` bytes (runs of
@@ -41,12 +42,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyman.llm.common import merged_splits, pick
+from tallyman.llm.common import joined_bytes, merged_splits, pick
 
 #: Stands between the words of a text on their way to Python; texts that hold it are split there.
 SEPARATOR = "\x1f"
 LONG_WORD = 96
 MAX_WORDS = 1 << 21
+MAX_WORD_BYTES = 64 << 20
+#: Documents that are numbered together.
+SLICE = 200
 #: Words a row hands to the fold, and bytes of input a task should see at least.
 WORDS_A_ROW = 20_000
 SPLIT_BYTES = 64 << 20
@@ -208,29 +212,97 @@ def _gather(table: np.ndarray, starts: np.ndarray, counts: np.ndarray, which: np
     return table[at], ends
 
 
+def _grown(values: np.ndarray, n: int) -> np.ndarray:
+    """The same values with room for ``n``."""
+    if n <= len(values):
+        return values
+    out = np.empty(max(n, 2 * len(values)), values.dtype)
+    out[:len(values)] = values
+    return out
+
+
+class WordNumbers:
+    """Numbers distinct words from 0 in the order they come.
+
+    A hash table in arrays: ``slots`` holds a word's number at the first free place from its
+    hash on. Equal hashes are told apart by the words themselves."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = 0
+        self.slots = np.full(1 << 10, -1, np.int32)
+        self.hashes, self.ends, self.data = np.empty(1 << 9, np.int64), np.zeros(1 << 9, np.int64), np.empty(1 << 12, np.uint8)
+
+    @property
+    def n_bytes(self) -> int:
+        return int(self.ends[self.n])
+
+    def number(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of ``words`` (distinct, ``large_binary``); a word not met before gets the next one."""
+        if 2 * (self.n + len(words)) > len(self.slots):
+            self.slots = np.full(1 << (2 * (self.n + len(words))).bit_length(), -1, np.int32)
+            self._place(np.arange(self.n, dtype=np.int32))
+        numbers, at = np.full(len(words), -1, np.int32), hashes & (len(self.slots) - 1)
+        stored = pa.Array.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(self.ends), pa.py_buffer(self.data)])
+        todo = np.arange(len(words))
+        while len(todo):
+            held = self.slots[at[todo]]
+            todo, held = todo[held >= 0], held[held >= 0]
+            like = np.flatnonzero(self.hashes[held] == hashes[todo])
+            same = like[pc.equal(words.take(pa.array(todo[like])), stored.take(pa.array(held[like]))).to_numpy(zero_copy_only=False)]
+            numbers[todo[same]] = held[same]
+            todo = np.delete(todo, same)
+            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            raw, offsets = joined_bytes(words.take(pa.array(new)))
+            start, stop, first = self.n, self.n + len(new), self.n_bytes
+            self.hashes, self.ends, self.data = _grown(self.hashes, stop), _grown(self.ends, stop + 1), _grown(self.data, first + len(raw))
+            self.hashes[start:stop], self.ends[start:stop + 1], self.data[first:first + len(raw)] = hashes[new], first + offsets, raw
+            numbers[new] = np.arange(start, stop)
+            self.n = stop
+            self._place(numbers[new])
+        return numbers
+
+    def _place(self, numbers: np.ndarray) -> None:
+        at = self.hashes[numbers] & (len(self.slots) - 1)
+        while len(numbers):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]
+            left = self.slots[at] != numbers  # the place was taken, or went to another of them
+            numbers, at = numbers[left], (at[left] + 1) & (len(self.slots) - 1)
+
+
 def _number_words(rank_file: str, pattern: str, max_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        split, known, ranks = regex.compile(pattern), {}, read_ranks(rank_file)
+        split, known, ranks = regex.compile(pattern), WordNumbers(), read_ranks(rank_file)
         of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         kind = pa.list_(pa.list_(pa.int32()))
         schema = pa.schema([("doc_id", pa.int64()), ("is_doc", pa.bool_()), ("codes", pa.binary()), ("first_code", pa.int64()), ("words", kind), ("long_words", pa.list_(pa.binary()))])
 
-        def word_rows(first: int, new: list[str]) -> pa.RecordBatch:
-            rows, longs = [], []
-            for at in range(0, len(new), WORDS_A_ROW):
-                raw = [w.encode() for w in new[at:at + WORDS_A_ROW]]
-                rows.append([None if len(w) > LONG_WORD else [ranks[w]] if w in ranks else of_byte[np.frombuffer(w, np.uint8)] for w in raw])
-                longs.append([w for w in raw if len(w) > LONG_WORD])
-            n = len(rows)
+        def word_rows(first: int, new: pa.Array) -> pa.RecordBatch:
+            raw, offsets = joined_bytes(new)
+            sizes, token = np.diff(offsets), np.fromiter((ranks.get(w, -1) for w in new.to_pylist()), np.int32, len(new))
+            long, whole = sizes > LONG_WORD, (sizes <= LONG_WORD) & (token >= 0)
+            kept = np.repeat(~long & ~whole, sizes)
+            pieces = of_byte[raw]
+            kept[offsets[:-1][whole]], pieces[offsets[:-1][whole]] = True, token[whole]  # a token as a whole: one piece
+            ends = np.cumsum(np.where(long, 0, np.where(whole, 1, sizes)))
+            rows = np.array([*range(0, len(new), WORDS_A_ROW), len(new)], np.int32)
+            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(pieces[kept]), mask=pa.array(long))
+            longs = new.filter(pa.array(long)).cast(pa.binary())
+            n = len(rows) - 1
             return pa.RecordBatch.from_arrays([
-                pa.nulls(n, pa.int64()), pa.array([False] * n), pa.nulls(n, pa.binary()), pa.array(range(first, first + len(new), WORDS_A_ROW), pa.int64()),
-                pa.array(rows, kind), pa.array(longs, pa.list_(pa.binary()))], schema=schema)
+                pa.nulls(n, pa.int64()), pa.array([False] * n), pa.nulls(n, pa.binary()), pa.array(first + rows[:-1], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(rows), words), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long)])[rows], pa.int32()), longs)], schema=schema)
 
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                b = batch.slice(at, 500)
+            for at in range(0, len(batch), SLICE):
+                b = batch.slice(at, SLICE)
                 joined = b.column("joined")
                 if joined.null_count:  # some texts come whole
                     words = pa.array([split.findall(t) if j is None else j.split(SEPARATOR) if j else [] for j, t in zip(joined.to_pylist(), b.column("whole").to_pylist())], pa.list_(pa.string()))
@@ -239,21 +311,27 @@ def _number_words(rank_file: str, pattern: str, max_words: int):
                     words = pc.split_pattern(joined, SEPARATOR)
                     lengths = np.where(pc.equal(joined, "").to_numpy(zero_copy_only=False), 0, words.value_lengths().to_numpy(zero_copy_only=False))
                     coded = words.flatten().dictionary_encode()
-                names, at_name = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-                if "" in names:  # of an empty text
-                    at_name = at_name[at_name != names.index("")]
-                if len(known) + len(names) > max_words:
+                names, at_name = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+                texts = names.to_pylist()
+                if "" in texts:  # of an empty text
+                    at_name = at_name[at_name != texts.index("")]
+                hashes = np.fromiter(map(hash, texts), np.int64, len(texts))
+                names = names.cast(pa.large_binary())
+                if known.n + len(names) > max_words or known.n_bytes > MAX_WORD_BYTES:
                     known.clear()
-                first = len(known)
-                codes = np.fromiter((known.setdefault(w, len(known)) for w in names), np.int32, len(names))
-                new = [w for w, c in zip(names, codes.tolist()) if c >= first]
-                if new:
-                    yield word_rows(first, new)
+                first = known.n
+                codes = known.number(names, hashes)
+                new = np.flatnonzero(codes >= first)
+                pa.default_memory_pool().release_unused()  # a worker's memory would keep growing
+                if len(new):
+                    yield word_rows(first, names.take(pa.array(new)))
                 flat = codes[at_name] if len(names) else np.empty(0, np.int32)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     b.column("doc_id"), pa.array([True] * len(b)), _blobs(flat.astype("<i4"), offsets),
                     pa.nulls(len(b), pa.int64()), pa.nulls(len(b), kind), pa.nulls(len(b), pa.list_(pa.binary()))], schema=schema)
+        known.clear()
+        pa.default_memory_pool().release_unused()  # Spark's workers go on to other tasks
 
     return run, "doc_id long, is_doc boolean, codes binary, first_code long, words array<array<int>>, long_words array<binary>"
 
@@ -261,22 +339,16 @@ def _number_words(rank_file: str, pattern: str, max_words: int):
 def _write_ids(rank_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: dict[bytes, int] = {}
-        tables: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        table, counts, starts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        # the ids of all words so far, one word after another, and where each begins
+        table, starts, n_words = np.empty(1 << 10, np.int32), np.zeros(1 << 10, np.int64), 0
         names = ["doc_id", "n_tokens", "ids"]
         for b in batches:
             is_doc = b.column("is_doc").to_numpy(zero_copy_only=False)
             docs, held = [], 0
 
             def written() -> pa.RecordBatch:
-                nonlocal table, counts, starts, tables, sizes
-                if len(tables) > 1:
-                    table, counts = np.concatenate(tables), np.concatenate(sizes)
-                    starts = np.cumsum(counts) - counts
-                    tables, sizes = [table], [counts]
                 each = [np.frombuffer(b.column("codes")[i].as_buffer(), "<i4") for i in docs]
-                ids, ends = _gather(table, starts, counts, np.concatenate(each))
+                ids, ends = _gather(table, starts, np.diff(starts[:n_words + 1]), np.concatenate(each))
                 stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(c) for c in each])])]
                 return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(docs)), pa.array(np.diff(stops), pa.int64()), _blobs(ids.astype("<u4"), stops)], names=names)
 
@@ -293,17 +365,19 @@ def _write_ids(rank_file: str):
                     docs, held = [], 0
                 got = b.column("ids")[i].values
                 if b.column("first_code")[i].as_py() == 0:
-                    tables, sizes = [], []
+                    n_words = 0
                 if got.null_count:
                     ranks = ranks or read_ranks(rank_file)
                     rest = iter(b.column("long_words")[i].as_py())
                     got = pa.array([merge_long(next(rest), ranks) if g is None else g for g in got.to_pylist()], pa.list_(pa.int32()))
-                sizes.append(got.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-                tables.append(got.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
-                if len(tables) == 1:  # so that the next document joins them
-                    tables.append(np.empty(0, np.int32)), sizes.append(np.empty(0, np.int64))
+                ids, first, stop = got.flatten().to_numpy(zero_copy_only=False), int(starts[n_words]), n_words + len(got)
+                table, starts = _grown(table, first + len(ids)), _grown(starts, stop + 1)
+                table[first:first + len(ids)] = ids
+                starts[n_words + 1:stop + 1] = first + np.cumsum(got.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+                n_words = stop
             if docs:
                 yield written()
+        pa.default_memory_pool().release_unused()  # Spark's workers go on to other tasks
 
     return run, "doc_id long, n_tokens long, ids binary"
 

@@ -96,6 +96,43 @@ def test_every_mergeable_pair_is_found_in_two_reads():
     assert all(cells[offsets[left] + right] == left << pairs.bits | rank for (left, right), rank in want.items())
 
 
+def test_words_of_equal_hashes_get_numbers_of_their_own():
+    import pyarrow as pa
+
+    numbers, known = byte_bpe.WordNumbers(), {}
+    r = random.Random(5)
+    for k in range(40):
+        words = sorted({str(r.randint(0, 900)) * r.randint(1, 3) for _ in range(50)})
+        hashes = np.array([hash(w) % 3 if k % 2 else hash(w) % 3 + 2**40 for w in words], np.int64) if k < 20 else np.array([hash(w) for w in words], np.int64)
+        if k == 20:
+            numbers.clear(), known.clear()
+        keys = [(w, h) for w, h in zip(words, hashes.tolist())]
+        got = numbers.number(pa.array([w.encode() for w in words], pa.large_binary()), hashes).tolist()
+        assert got == [known.setdefault(key, len(known)) for key in keys]
+        assert numbers.n == len(known) and numbers.n_bytes == sum(len(w) for w, _ in known)
+
+
+def test_numbering_holds_few_bytes_a_word():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 200_000
+    texts = [byte_bpe.SEPARATOR.join(f" w{i:07d}" for i in range(at, at + 100)) for at in range(0, n, 100)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "joined": pa.array(texts), "whole": pa.nulls(len(texts), pa.string())})
+    run, _ = byte_bpe._number_words(RANKS, public_tokenizers.PATTERN, byte_bpe.MAX_WORDS)
+    tracemalloc.start()
+    try:
+        held, words = [], 0
+        for rows in run(iter([batch])):
+            words += sum(map(len, filter(None, rows.column("words").to_pylist())))
+            del rows
+            held.append(tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+    assert words == n and held[-1] - held[0] < 64 * n
+
+
 # --- 2 line dedup -------------------------------------------------------------------
 def test_lines_of_many_sites_stay_once(spark):
     rows = [(i, f"own line {i}\n Subscribe now! \n\nother {i % 3}", "en", f"site{i}" if i else None) for i in range(12)]
