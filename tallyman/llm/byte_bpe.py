@@ -16,6 +16,8 @@ The stages of one task form a stream without any shuffle:
 The numbering starts anew after ``MAX_WORDS`` words or ``MAX_WORD_BYTES`` bytes of
 them, which bounds the memory of both passes; words and ids lie in arrays that grow,
 some 50 bytes a word. A lost task repeats its own stream and needs nothing of another's.
+Each pass holds an Arrow batch besides, in Spark's process and in Python's: a session of
+``common.small_batches`` keeps these to a few MB, whatever the length of the texts.
 
 A word that is a token as a whole is one piece from the start, as in the tiktoken
 library. The fold is quadratic in the word; words above ``LONG_WORD`` bytes (runs of
@@ -54,7 +56,9 @@ SLICE = 200
 #: Words a row hands to the fold, and bytes of input a task should see at least.
 WORDS_A_ROW = 20_000
 SPLIT_BYTES = 64 << 20
-BATCH_BYTES = 8 << 20
+#: Codes or ids, in bytes, that become ids or texts together; and what a batch between Spark and Python should hold.
+STEP_BYTES = 512 << 10
+BATCH_BYTES = 4 << 20
 #: Cells of a pair table that a row is tried at together.
 STRETCH = 1024
 
@@ -212,6 +216,15 @@ def _gather(table: np.ndarray, starts: np.ndarray, counts: np.ndarray, which: np
     return table[at], ends
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows (from, to) of ``most`` bytes together; a larger row stands alone."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+        yield at, stop
+        at = stop
+
+
 def _grown(values: np.ndarray, n: int) -> np.ndarray:
     """The same values with room for ``n``."""
     if n <= len(values):
@@ -356,7 +369,7 @@ def _write_ids(rank_file: str):
                 if is_doc[i]:
                     docs.append(i)
                     held += b.column("codes")[i].as_buffer().size
-                    if held >= BATCH_BYTES // 4:
+                    if held >= STEP_BYTES:
                         yield written()
                         docs, held = [], 0
                     continue
@@ -408,8 +421,8 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                b = batch.slice(at, 200)
+            for at, stop in _runs(pc.binary_length(batch.column("ids")).to_numpy(zero_copy_only=False), STEP_BYTES):
+                b = batch.slice(at, stop - at)
                 each = [np.frombuffer(x.as_buffer(), "<u4") for x in b.column("ids")]
                 data, ends = _gather(table, starts, counts, np.concatenate(each))
                 stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in each])])]

@@ -18,6 +18,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession, batch_bytes: int) -> SparkSession:
+    """A session with the settings of ``spark`` whose Arrow passes get batches of about
+    ``batch_bytes`` at most; ``spark`` keeps its own setting."""
+    session = spark.newSession()
+    has = session.conf.getAll
+    for key, value in spark.conf.getAll.items():  # those set since the start, but for what only the start can set
+        if has.get(key) != value and (session.conf.isModifiable(key) or not key.startswith("spark.") or key.startswith("spark.hadoop.")):
+            session.conf.set(key, value)
+    held = _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(min(held, batch_bytes) if held > 0 else batch_bytes))
+    return session
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, under the operator's own names, so that
     further columns of the input can never clash with the operator's."""

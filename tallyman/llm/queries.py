@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from tallyman.llm import (byte_bpe, collocations, compression_bands, fingerprints, html_text, language_id, lexical_search, line_dedup,
                           ngram_join, packing, quality, secrets, topk)
-from tallyman.llm.common import read
+from tallyman.llm.common import read, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    docs = read(small_batches(spark, byte_bpe.BATCH_BYTES), sf_dir, "documents")
+    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
     decoded = byte_bpe.decode(encoded, ranks)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

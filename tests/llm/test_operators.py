@@ -133,6 +133,30 @@ def test_numbering_holds_few_bytes_a_word():
     assert words == n and held[-1] - held[0] < 64 * n
 
 
+def test_bpe_passes_get_small_batches(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = spark.newSession()
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("fs.own.setting", "7")
+    before = spark.conf.get(setting)
+    session = QUERIES["op1_byte_bpe"](spark, SF).sparkSession
+    seen = session.range(0, 8000, 1, 1).select("id", F.repeat(F.lit("word "), 600).alias("text")).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in seen) == 8000 and max(r.size for r in seen) <= byte_bpe.BATCH_BYTES + 4000
+    assert spark.conf.get(setting) == before
+    assert (session.conf.get("spark.sql.shuffle.partitions"), session.conf.get("fs.own.setting")) == ("13", "7")
+
+
+def test_long_documents_are_decoded_a_few_at_a_time():
+    assert list(byte_bpe._runs(np.array([3, 4, 0, 9, 2, 2, 20, 1]), 7)) == [(0, 3), (3, 4), (4, 6), (6, 7), (7, 8)]
+    assert list(byte_bpe._runs(np.array([], np.int64), 7)) == []
+
+
 # --- 2 line dedup -------------------------------------------------------------------
 def test_lines_of_many_sites_stay_once(spark):
     rows = [(i, f"own line {i}\n Subscribe now! \n\nother {i % 3}", "en", f"site{i}" if i else None) for i in range(12)]
